@@ -1,0 +1,31 @@
+"""Corpora: the text-file reader and an adapter for a document table with labels."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from counterpoise.sources.lines import read_corpus  # noqa: F401  (public name)
+
+IDS_PER_DOCUMENT = 100_000
+
+
+def labelled_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, sentiment, text): the sentences of ``documents`` with the class of their ``labels``.
+
+    Commas become spaces, as in a comma-separated corpus.  The documents hold no negated
+    words, so two frequent words are turned into them.
+    """
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    sentences = documents.join(labels, "doc_id").select(
+        "doc_id", "quality", F.posexplode(F.split("text", "[.\n]")).alias("nth", "t")
+    )
+    text = F.replace("t", F.lit(","), F.lit(" "))
+    text = F.replace(text, F.lit(" it "), F.lit(" NOT_"))
+    text = F.replace(text, F.lit(" are "), F.lit(" arenot "))
+    return sentences.select(
+        (F.col("doc_id") * IDS_PER_DOCUMENT + F.col("nth")).alias("id"),
+        F.when(F.col("quality") == 1, "positive").otherwise("negative").alias("sentiment"),
+        F.btrim(F.regexp_replace(text, "[ \t\r\n]+", " ")).alias("text"),
+    ).filter(F.col("text") != "")

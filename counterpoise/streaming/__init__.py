@@ -1,0 +1,6 @@
+"""No streaming operators are defined.
+
+The reading, labelling, tokenising and blankout expressions are row-local, so they can be
+applied to a streaming DataFrame unchanged; the other generators group tokens by row id and
+are batch only.
+"""

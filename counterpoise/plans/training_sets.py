@@ -190,3 +190,26 @@ def _redrawn(corpus, spec, lex, in_sample, seed) -> DataFrame:
     return once.join(draws, ["src_id", "method", "copy"], "left").select(
         "src_id", "method", "copy", "label", F.coalesce("drawn", "text").alias("text")
     )
+
+
+def training_set_rows(
+    corpus: DataFrame,
+    specs: Sequence[Spec],
+    lex: Lexicons = Lexicons(),
+    in_sample: Column | None = None,
+    seed: str = "blank",
+) -> DataFrame:
+    """Several training sets as rows (scenario, src_id, method, copy, label, text)."""
+    rows = training_sets(corpus, specs, lex, in_sample, seed)
+    per_set = rows.select(
+        "src_id", "method", "label", "text", F.posexplode("w").alias("s", "n")
+    ).filter(F.col("n") > 0)
+    names = F.array(*[F.lit(s.scenario) for s in specs])
+    return per_set.select(
+        F.element_at(names, F.col("s") + 1).alias("scenario"),
+        "src_id",
+        "method",
+        F.explode(copies(F.col("n"))).alias("copy"),
+        "label",
+        "text",
+    )

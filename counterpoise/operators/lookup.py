@@ -1,8 +1,9 @@
 """Joining tokens with a table that has one row per key.
 
-A table of checked size is broadcast.  A larger one is joined by shuffle, except for the rows
-with very frequent keys: at most ``HOT_KEYS`` keys can each hold more than 1/HOT_KEYS of all
-rows, so their entries always fit a broadcast and no key overloads one task.
+A table of checked size is broadcast.  Of a larger one, the rows of the most frequent keys are
+broadcast, as many as the same bound allows; the rest is joined by shuffle.  Word frequencies
+fall off steeply, so that leaves few tokens to move and no key frequent enough to overload a
+task, whatever share of all tokens it has.
 """
 
 from __future__ import annotations
@@ -10,31 +11,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from counterpoise.session import spool
+
 BROADCAST_ROWS = 1_000_000
-HOT_KEYS = 1_000
+STEPS_PER_DOUBLING = 8
 
 
 def fits_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return table.limit(max_rows + 1).count() <= max_rows
 
 
+def frequent_keys(rows: DataFrame, key: str, max_rows: int) -> DataFrame:
+    """The most frequent keys of ``rows``, at most ``max_rows`` of them."""
+    counts = spool(rows.groupBy(key).agg(F.count("*").alias("_n")), "frequency")
+    step = F.floor(F.log2("_n") * STEPS_PER_DOUBLING).cast("int").alias("_step")
+    # a few hundred rows: one per step of the logarithmic scale
+    steps = counts.groupBy(step).agg(F.count("*").alias("keys")).collect()
+    cut, taken = None, 0
+    for r in sorted(steps, key=lambda r: -r["_step"]):
+        taken += r["keys"]
+        if taken > max_rows:
+            break
+        cut = r["_step"]
+    return counts.filter(F.lit(False) if cut is None else step >= cut).select(key)
+
+
 def lookup_join(
     rows: DataFrame,
     table: DataFrame,
     key: str,
     how: str = "left",
     max_rows: int = BROADCAST_ROWS,
-    hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
     """``rows`` left or inner joined with ``table`` (unique on ``key``)."""
     if fits_broadcast(table, max_rows):
         return rows.join(F.broadcast(table), key, how)
-
-    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    total = rows.select(F.count("*")).scalar()
-    hot = counts.filter(F.col("_n") * hot_keys > total).select(key, F.lit(True).alias("_hot"))
-    marked = rows.join(F.broadcast(hot), key, "left")
-    hot_table = table.join(F.broadcast(hot.select(key)), key, "left_semi")
-    cold = marked.filter(F.col("_hot").isNull()).drop("_hot").join(table, key, how)
-    warm = marked.filter(F.col("_hot")).drop("_hot").join(F.broadcast(hot_table), key, how)
-    return cold.unionByName(warm)
+    head = frequent_keys(rows, key, max_rows)
+    head_table = table.join(F.broadcast(head), key, "left_semi")
+    if how == "left":
+        head_table = head.join(F.broadcast(head_table), key, "left")
+    in_head = rows.join(F.broadcast(head_table), key)
+    in_tail = rows.join(F.broadcast(head), key, "left_anti").join(table, key, how)
+    return in_head.unionByName(in_tail)

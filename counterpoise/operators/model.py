@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from counterpoise.functions.text import tokens
 from counterpoise.operators.lookup import lookup_join
+from counterpoise.session import spool
 
 # Buckets of the hashed feature space and the additive smoothing.
 FEATURES = 1_500_000
@@ -28,8 +29,7 @@ SMOOTHING = 1.0
 
 NAIVE_BAYES, SVM_ONE_STEP = "nb", "svm1"
 MARGIN_DIGITS = 9
-MODEL_ROWS_PER_BROADCAST_MB = 4_000  # about 250 bytes per term and scenario pair of logs
-BROADCAST_MB = 128
+BROADCAST_MB = 256  # for the weight table
 
 
 def term_counts(df: DataFrame, *key: str) -> DataFrame:
@@ -78,27 +78,40 @@ def _of_fold(entries: Column, label: int, fold: Column, n: int) -> Column:
     return F.coalesce(F.get(hit, F.lit(0))["n"], _zeros(n))
 
 
-def class_totals(train: DataFrame, n: int) -> DataFrame:
-    """(fold, label, docs, terms): rows and tokens per scenario, one small row per class."""
-    words = F.size(tokens("text"))
-    w = F.col("w")
-    return train.groupBy("fold", "label").agg(
-        F.array(*[F.sum(w[s]).cast("bigint") for s in range(n)]).alias("docs"),
-        F.array(*[F.sum(w[s] * words).cast("bigint") for s in range(n)]).alias("terms"),
-    )
-
+def training_counts(train: DataFrame, n: int) -> DataFrame:
+    """(term, fold, label, n): copies of each term per class, fold and scenario.
 
-def term_class_counts(train: DataFrame, n: int) -> DataFrame:
-    """(term, fold, label, n): copies of each term per class, fold and scenario."""
-    w = F.col("w")
+    The NULL term counts the rows themselves, so one pass over the texts yields everything
+    the models need.  Rows with the same copy vector are counted together before the vectors
+    are added up; there are only a few different vectors.
+    """
+    words = F.array_append(tokens("text"), F.lit(None).cast("string"))
+    alike = (
+        train.select("fold", "label", "w", F.explode(words).alias("term"))
+        .groupBy("term", "fold", "label", "w")
+        .agg(F.count("*").alias("c"))
+    )
+    w, c = F.col("w"), F.col("c")
     return (
-        train.select("fold", "label", "w", F.explode(tokens("text")).alias("term"))
-        .groupBy("term", "fold", "label")
-        .agg(*_sums(n, lambda s: w[s].cast("bigint")))
+        alike.groupBy("term", "fold", "label")
+        .agg(*_sums(n, lambda s: w[s] * c))
         .select("term", "fold", "label", _pack(n).alias("n"))
     )
 
 
+def class_totals(counts: DataFrame, n: int) -> DataFrame:
+    """(fold, label, docs, terms): rows and tokens per scenario, from ``training_counts``."""
+    v, is_row = F.col("n"), F.col("term").isNull()
+
+    def total(s: int, rows: bool) -> Column:
+        return F.sum(F.when(is_row == F.lit(rows), v[s]).otherwise(0)).cast("bigint")
+
+    return counts.groupBy("fold", "label").agg(
+        F.array(*[total(s, True) for s in range(n)]).alias("docs"),
+        F.array(*[total(s, False) for s in range(n)]).alias("terms"),
+    )
+
+
 def _weight(n0: Column, n1: Column, classifier: str) -> Column:
     """Contribution of one occurrence of a term towards label 1, per scenario."""
     if classifier == SVM_ONE_STEP:
@@ -106,12 +119,12 @@ def _weight(n0: Column, n1: Column, classifier: str) -> Column:
     return F.zip_with(n0, n1, lambda a, b: F.log(b + SMOOTHING) - F.log(a + SMOOTHING))
 
 
-def term_weights(train: DataFrame, n: int, classifier: str) -> DataFrame:
+def term_weights(counts: DataFrame, n: int, classifier: str) -> DataFrame:
     """(term, base, by_fold): weights from all folds, and those that leave one fold out.
 
     ``by_fold`` only lists the folds a term occurs in; leaving out another one changes nothing.
     """
-    per_term = term_class_counts(train, n).groupBy("term").agg(
+    per_term = counts.filter(F.col("term").isNotNull()).groupBy("term").agg(
         F.collect_list(F.struct("fold", "label", "n")).alias("e")  # two per fold at most
     )
     summed = per_term.select(
@@ -137,10 +150,10 @@ def term_weights(train: DataFrame, n: int, classifier: str) -> DataFrame:
     )
 
 
-def class_constants(train: DataFrame, n: int, folds: int, features: int) -> DataFrame:
+def class_constants(counts: DataFrame, n: int, folds: int, features: int) -> DataFrame:
     """One row per test fold: (fold, docs0, docs1, prior, per_word), each per scenario."""
     entries = F.collect_list(F.struct("fold", "label", "docs", "terms"))
-    totals = class_totals(train, n).agg(entries.alias("e"))
+    totals = class_totals(counts, n).agg(entries.alias("e"))  # two entries per fold
 
     def left(field: str, label: int) -> Column:
         mine = F.filter("e", lambda e: (e["label"] == label) & (e["fold"] == F.col("fold")))
@@ -179,6 +192,16 @@ def class_constants(train: DataFrame, n: int, folds: int, features: int) -> Data
 # ---------------------------------------------------------------- scoring
 
 
+def _broadcast_rows(counts: DataFrame, n: int) -> int:
+    """How many rows of the weight table fit the broadcast budget."""
+    size = counts.agg(
+        F.count("*").alias("entries"), F.count_distinct("term").alias("terms")
+    ).first()
+    folds_per_term = size["entries"] / max(1, size["terms"])  # at least the number of maps
+    vector = 8 * n + 32
+    return max(1, int(BROADCAST_MB * 2**20 / (64 + (1 + folds_per_term) * vector)))
+
+
 def score(
     train: DataFrame,
     test: DataFrame,
@@ -191,13 +214,26 @@ def score(
 
     Both are arrays over scenarios.  Each row is scored by the models without its own fold.
     """
-    weights = term_weights(train, n, classifier)
+    return score_with(
+        spool(training_counts(train, n), "counts"), test, n, classifier, folds, features
+    )
+
+
+def score_with(
+    counts: DataFrame,
+    test: DataFrame,
+    n: int,
+    classifier: str = NAIVE_BAYES,
+    folds: int = 10,
+    features: int = FEATURES,
+) -> DataFrame:
+    """``score`` for training counts that are already there."""
+    weights = term_weights(counts, n, classifier)
     carried = [c for c in test.columns if c != "text"]
     tok = test.select(
         *carried, F.size(tokens("text")).alias("_len"), F.explode(tokens("text")).alias("term")
     )
-    max_rows = max(1, BROADCAST_MB * MODEL_ROWS_PER_BROADCAST_MB // max(1, n))
-    matched = lookup_join(tok, weights, "term", "left", max_rows)
+    matched = lookup_join(tok, weights, "term", "left", _broadcast_rows(counts, n))
     weight = F.coalesce(F.try_element_at("by_fold", F.col("fold")), F.col("base"))
     summed = (
         matched.select(*carried, "_len", weight.alias("v"))
@@ -210,7 +246,7 @@ def score(
         return summed.drop("_len").withColumn(
             "prediction", F.transform("margin", lambda m: (m > 0).cast("int"))
         )
-    constants = class_constants(train, n, folds, features)
+    constants = class_constants(counts, n, folds, features)
     joined = summed.join(F.broadcast(constants), "fold", "left")  # one row per fold
     parts = F.arrays_zip("margin", "prior", "per_word", "docs0", "docs1")
     margin = F.transform(

@@ -2,8 +2,9 @@
 
 "The first n rows" means the n rows with the smallest order key (a hash), so it does not
 depend on partitions.  The n-th key is found without sorting the data: keys are counted per
-4-digit prefix, a running sum over those at most 65,536 counts names the prefix that holds
-the n-th key, and only that slice is ranked.  The sample itself is then a plain filter.
+3-digit prefix, a running sum over those at most 4,096 counts names the prefix that holds the
+n-th key, and the search goes on with three more digits inside that slice until it is small
+enough to be ranked by one task.  The sample itself is then a plain filter.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 
 from counterpoise.functions.text import hash_below, label_of, order_key
 
-PREFIX = 4
+DIGITS = 3
+RANKED_ROWS = 1_000_000
 NOTHING, EVERYTHING = "", "~"  # below and above every hex digest
 
 
@@ -40,52 +42,75 @@ def find_limits(
     group reaches the driver.
     """
     names = list(groups)
-    flagged = df.select(
-        key.alias("_key"), *[groups[g].cast("int").alias(g) for g in names]
-    ).withColumn("_prefix", F.substring("_key", 1, PREFIX))
-    per_prefix = flagged.groupBy("_prefix").agg(*[F.sum(g).alias(g) for g in names])
-    if take:
-        per_prefix = per_prefix.persist()
-    first = per_prefix.agg(*[F.coalesce(F.sum(g), F.lit(0)).alias(g) for g in names]).first()
-    counts = {g: int(first[g]) for g in names}
-    if not take:
-        return Limits(counts, {})
-
-    wanted = {g: f(counts) for g, f in take.items()}
-    keys = {
-        g: NOTHING if n <= 0 else EVERYTHING
-        for g, n in wanted.items()
-        if n <= 0 or n >= counts[g]
-    }
-    searched = [g for g in take if g not in keys]
-    if searched:
-        number = {g: i for i, g in enumerate(searched)}
-        n_of = F.element_at(F.array(*[F.lit(wanted[g]) for g in searched]), F.col("_g") + 1)
-        upto = F.sum("_c").over(Window.partitionBy("_g").orderBy("_prefix"))
-        edges = (
-            per_prefix.select(
-                "_prefix", F.posexplode(F.array(*[F.col(g) for g in searched])).alias("_g", "_c")
-            )
-            .withColumn("_upto", upto)
-            .filter((F.col("_upto") >= n_of) & (F.col("_upto") - F.col("_c") < n_of))
-            .select("_prefix", "_g", (n_of - F.col("_upto") + F.col("_c")).alias("_rank"))
-        )
-        member = F.element_at(F.array(*[F.col(g) for g in searched]), F.col("_g") + 1)
-        nth = F.row_number().over(Window.partitionBy("_g").orderBy("_key"))
-        found = (
-            flagged.join(F.broadcast(edges), "_prefix")  # one row per group
-            .filter(member == 1)
-            .withColumn("_nth", nth)
-            .filter(F.col("_nth") == F.col("_rank"))
-            .select("_g", "_key")
-            .collect()
-        )
-        by_number = {r["_g"]: r["_key"] for r in found}
-        keys.update({g: by_number[i] for g, i in number.items()})
-    per_prefix.unpersist()
+    flagged = df.select(key.alias("_key"), *[groups[g].cast("int").alias(g) for g in names])
+    per_prefix = flagged.groupBy(F.substring("_key", 1, DIGITS).alias("_prefix")).agg(
+        *[F.sum(g).alias(g) for g in names]
+    )
+    # at most 4,096 rows with one small number per group
+    table = [r.asDict() for r in per_prefix.collect()]
+    counts = {g: sum(r[g] for r in table) for g in names}
+    keys: dict[str, str] = {}
+    edges: dict[str, tuple[str, int, int]] = {}  # group -> prefix, rank within it, its rows
+    for g, f in take.items():
+        n = f(counts)
+        if n <= 0:
+            keys[g] = NOTHING
+        elif n >= counts[g]:
+            keys[g] = EVERYTHING
+        else:
+            edges[g] = _edge([(r["_prefix"], r[g]) for r in table], n)
+    while edges and max(rows for _, _, rows in edges.values()) > RANKED_ROWS:
+        edges = _refine(flagged, edges)
+    if edges:
+        keys.update(_rank(flagged, edges))
     return Limits(counts, keys)
 
 
+def _edge(per_prefix: list[tuple[str, int]], n: int) -> tuple[str, int, int]:
+    """The prefix that holds the n-th key, the key's rank within it, and its row count."""
+    before = 0
+    for prefix, rows in sorted(per_prefix):
+        if before + rows >= n:
+            return prefix, n - before, rows
+        before += rows
+    raise ValueError("fewer rows than asked for")
+
+
+def _in_edges(flagged: DataFrame, edges: Mapping[str, tuple[str, int, int]]) -> DataFrame:
+    """(_g, _key) of the rows in the edge slice of their group."""
+    slices = [
+        F.when(F.startswith("_key", F.lit(prefix)) & (F.col(g) == 1), F.lit(g))
+        for g, (prefix, _, _) in edges.items()
+    ]
+    return flagged.select("_key", F.explode(F.array_compact(F.array(*slices))).alias("_g"))
+
+
+def _refine(flagged: DataFrame, edges: dict[str, tuple[str, int, int]]) -> dict:
+    digits = len(next(iter(edges.values()))[0]) + DIGITS
+    found = (
+        _in_edges(flagged, edges)
+        .groupBy("_g", F.substring("_key", 1, digits).alias("_prefix"))
+        .agg(F.count("*").alias("rows"))
+        .collect()  # at most 4,096 rows per group
+    )
+    return {
+        g: _edge([(r["_prefix"], r["rows"]) for r in found if r["_g"] == g], rank)
+        for g, (_, rank, _) in edges.items()
+    }
+
+
+def _rank(flagged: DataFrame, edges: Mapping[str, tuple[str, int, int]]) -> dict[str, str]:
+    ranks = F.create_map(*[F.lit(x) for g, e in edges.items() for x in (g, e[1])])
+    nth = F.row_number().over(Window.partitionBy("_g").orderBy("_key"))
+    found = (
+        _in_edges(flagged, edges)
+        .withColumn("_nth", nth)
+        .filter(F.col("_nth") == F.element_at(ranks, F.col("_g")))
+        .collect()  # one row per group
+    )
+    return {r["_g"]: r["_key"] for r in found}
+
+
 def first_n(df: DataFrame, n: int, *key: str, salt: str = "order") -> DataFrame:
     """Exactly min(n, rows) rows of ``df``; ``key`` columns identify a row."""
     k = order_key(salt, *key)

@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from counterpoise.operators.metrics import binary_metrics
-from counterpoise.operators.model import FEATURES, NAIVE_BAYES, score
+from counterpoise.operators.model import (
+    FEATURES,
+    NAIVE_BAYES,
+    class_totals,
+    score_with,
+    training_counts,
+)
+from counterpoise.session import spool
 
 FOLDS = 10
 
@@ -57,10 +64,24 @@ def cross_validate(
     folds: int = FOLDS,
     features: int = FEATURES,
 ) -> DataFrame:
-    """Averaged metrics per scenario.
+    """One row per scenario: training rows per class and the averaged metrics.
 
     ``train(fold, label, text, w)`` and ``test(key, fold, label, text, tw)``: rows of fold f
     are scored by the model of all training rows outside fold f.
     """
-    scored = score(train, test, len(names), classifier, folds, features)
-    return average_over_folds(fold_cells(scored, names))
+    n = len(names)
+    counts = spool(training_counts(train, n), "counts")
+    scored = score_with(counts, test, n, classifier, folds, features)
+    metrics = average_over_folds(fold_cells(scored, names))
+
+    docs = class_totals(counts, n).select("label", F.posexplode("docs").alias("s", "docs"))
+    sizes = docs.groupBy("s").agg(
+        *[
+            F.sum(F.when(F.col("label") == c, F.col("docs")).otherwise(0)).alias(f"n_label_{c}")
+            for c in (0, 1)
+        ]
+    )
+    name = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("s") + 1)
+    return sizes.select(name.alias("scenario"), "n_label_0", "n_label_1").join(
+        metrics, "scenario", "left"
+    )

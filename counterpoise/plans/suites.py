@@ -13,8 +13,7 @@ from counterpoise.operators.model import FEATURES, NAIVE_BAYES
 from counterpoise.operators.sampling import copies
 from counterpoise.plans.crossval import FOLDS, cross_validate
 from counterpoise.plans.specs import SIMILAR_LEXICONS, Spec
-from counterpoise.plans.training_sets import ORIGINAL, training_sets
-from counterpoise.session import spool
+from counterpoise.plans.training_sets import ORIGINAL, in_any_set, weighted_variants
 
 SCENARIOS_PER_PASS = 64
 BY_SOURCE, INDEPENDENT = "by_source", "independent"
@@ -33,7 +32,7 @@ def _test_weights(specs: Sequence[Spec], w: Column) -> Column:
             n = F.when(made, w[i]).otherwise(0)
         else:
             raise ValueError(f"unknown test side {s.test!r}")
-        out.append(n.cast("int"))
+        out.append(n.cast("short"))
     return F.array(*out)
 
 
@@ -51,7 +50,7 @@ def suite_tables(
                  relative in the training set
     independent  training and test folds are drawn separately, per copy
     """
-    rows = training_sets(corpus, specs, lex, in_sample, seed, keep_originals=True)
+    rows = weighted_variants(corpus, specs, lex, in_sample, seed, reuse=True)
     rows = rows.withColumn("tw", _test_weights(specs, F.col("w")))
     if folds == BY_SOURCE:
         fold = fold_of("src_id", folds=FOLDS)
@@ -60,10 +59,10 @@ def suite_tables(
         raise ValueError(f"unknown fold rule {folds!r}")
     # one row per copy: copy c belongs to the scenarios with at least c copies
     most = F.greatest(F.array_max("w"), F.array_max("tw"))
-    rows = rows.withColumn("copy", F.explode(copies(most)))
+    rows = rows.withColumn("copy", F.explode(copies(most.cast("int"))))
 
     def present(a: str) -> Column:
-        return F.transform(a, lambda n: (n >= F.col("copy")).cast("int"))
+        return F.transform(a, lambda n: (n >= F.col("copy")).cast("short"))
 
     return (
         rows.withColumn("w", present("w"))
@@ -93,33 +92,14 @@ def run_suite(
 
 
 def _run_pass(corpus, specs, lex, classifier, in_sample, folds, seed, features) -> DataFrame:
-    names = [s.scenario for s in specs]
-    n = len(names)
-    rows = spool(suite_tables(corpus, specs, lex, in_sample, folds, seed), "suite")
-
+    rows = suite_tables(corpus, specs, lex, in_sample, folds, seed)
     key = ["src_id", "gen"] + (["copy"] if folds == INDEPENDENT else [])
-    train = rows.select("fold", "label", "text", "w").filter(F.exists("w", lambda x: x > 0))
-    test = rows.filter(F.exists("tw", lambda x: x > 0)).select(
+    train = rows.filter(in_any_set("w")).select("fold", "label", "text", "w")
+    test = rows.filter(in_any_set("tw")).select(
         *key, F.col("test_fold").alias("fold"), "label", "text", "tw"
     )
-    metrics = cross_validate(train, test, names, classifier, FOLDS, features)
-
-    w, y = F.col("w"), F.col("label")
-
-    def size(s: int, label: int) -> Column:
-        return F.sum(F.when(y == label, w[s]).otherwise(0)).cast("bigint")
-
-    sizes = rows.agg(
-        *[
-            F.struct(
-                F.lit(names[s]).alias("scenario"),
-                size(s, 0).alias("n_label_0"),
-                size(s, 1).alias("n_label_1"),
-            ).alias(f"c{s}")
-            for s in range(n)
-        ]
-    ).select(F.explode(F.array(*[F.col(f"c{s}") for s in range(n)])).alias("c"))
-    return sizes.select("c.*").join(metrics, "scenario", "left")
+    names = [s.scenario for s in specs]
+    return cross_validate(train, test, names, classifier, FOLDS, features)
 
 
 # ---------------------------------------------------------------- export

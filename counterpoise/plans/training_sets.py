@@ -49,7 +49,10 @@ def row_variants(
     in_sample: Column | None = None,
     seed: str = "blank",
 ) -> DataFrame:
-    """(src_id, in_sample, gen, method, label, text): originals (gen -1) and generated rows."""
+    """(src_id, in_sample, gen, method, label, key, text): originals (gen -1), generated rows.
+
+    ``key`` is the random order in which rows are taken when a set is cut or topped up.
+    """
     flag = in_minority_sample() if in_sample is None else in_sample
     rows = two_classes(corpus).select("id", "sentiment", "text", flag.alias("in_sample"))
     originals = rows.select(
@@ -60,12 +63,13 @@ def row_variants(
         label_of("sentiment").alias("label"),
         "text",
     )
-    if not gens:
-        return originals
-    made = generate(rows, gens, lex, seed).select(
-        "src_id", "in_sample", "gen", "method", label_of("sentiment").alias("label"), "text"
-    )
-    return originals.unionByName(made)
+    variants = originals
+    if gens:
+        made = generate(rows, gens, lex, seed).select(
+            "src_id", "in_sample", "gen", "method", label_of("sentiment").alias("label"), "text"
+        )
+        variants = originals.unionByName(made)
+    return variants.withColumn("key", order_key("order", "src_id", "method"))
 
 
 def _membership(s: Spec, gens: Sequence[Gen]) -> tuple[Column, Column]:
@@ -80,10 +84,11 @@ def _membership(s: Spec, gens: Sequence[Gen]) -> tuple[Column, Column]:
     return original, made
 
 
-def copy_counts(variants: DataFrame, specs: Sequence[Spec], gens: Sequence[Gen],
-                salt: str = "order") -> list[Column]:
+def copy_counts(
+    variants: DataFrame, specs: Sequence[Spec], gens: Sequence[Gen]
+) -> list[Column]:
     """Per scenario, how often a variant occurs in its training set."""
-    key = order_key(salt, "src_id", "method")
+    key = F.col("key")
     major, minor = F.col("label") == 0, F.col("label") == 1
     members = [_membership(s, gens) for s in specs]
 
@@ -136,28 +141,34 @@ def copy_counts(variants: DataFrame, specs: Sequence[Spec], gens: Sequence[Gen],
     return counts
 
 
-def training_sets(
+def is_sampled(s: Spec) -> bool:
+    """True if the set depends on counts over the whole table."""
+    return bool(s.rebalance or s.perturb or (s.gen and s.fraction < 1))
+
+
+def weighted_variants(
     corpus: DataFrame,
     specs: Sequence[Spec],
     lex: Lexicons = Lexicons(),
     in_sample: Column | None = None,
     seed: str = "blank",
-    keep_originals: bool = False,
+    reuse: bool = False,
 ) -> DataFrame:
     """Row variants with ``w``: per scenario (in the order of ``specs``) the number of copies.
 
-    Variants that no scenario uses are left out; originals stay if ``keep_originals``.
+    The variants are written once if they are needed several times: when a set is cut or
+    topped up, and when the caller will ``reuse`` the result.
     """
     gens = _distinct_gens(specs)
     variants = row_variants(corpus, gens, lex, in_sample, seed)
-    if any(s.rebalance or s.perturb or (s.gen and s.fraction < 1) for s in specs):
-        # counted and ranked before it is used; write it once instead of generating thrice
+    if reuse or any(is_sampled(s) for s in specs):
         variants = spool(variants, "variants")
-    counted = variants.withColumn("w", F.array(*copy_counts(variants, specs, gens)))
-    used = F.exists("w", lambda n: n > 0)
-    if keep_originals:
-        used = used | (F.col("gen") == ORIGINAL)
-    return counted.filter(used)
+    counts = copy_counts(variants, specs, gens)
+    return variants.withColumn("w", F.array(*[c.cast("short") for c in counts]))
+
+
+def in_any_set(w: Column | str = "w") -> Column:
+    return F.exists(w, lambda n: n > 0)
 
 
 def build_training_set(
@@ -174,8 +185,8 @@ def build_training_set(
     """
     if redraw and spec.gen is not None and spec.gen.kind == "blankout":
         return _redrawn(corpus, spec, lex, in_sample, seed)
-    rows = training_sets(corpus, [spec], lex, in_sample, seed)
-    return rows.withColumn("copy", F.explode(copies(F.col("w")[0]))).select(
+    rows = weighted_variants(corpus, [spec], lex, in_sample, seed)
+    return rows.withColumn("copy", F.explode(copies(F.col("w")[0].cast("int")))).select(
         "src_id", "method", "copy", "label", "text"
     )
 
@@ -200,7 +211,7 @@ def training_set_rows(
     seed: str = "blank",
 ) -> DataFrame:
     """Several training sets as rows (scenario, src_id, method, copy, label, text)."""
-    rows = training_sets(corpus, specs, lex, in_sample, seed)
+    rows = weighted_variants(corpus, specs, lex, in_sample, seed)
     per_set = rows.select(
         "src_id", "method", "label", "text", F.posexplode("w").alias("s", "n")
     ).filter(F.col("n") > 0)
@@ -209,7 +220,7 @@ def training_set_rows(
         F.element_at(names, F.col("s") + 1).alias("scenario"),
         "src_id",
         "method",
-        F.explode(copies(F.col("n"))).alias("copy"),
+        F.explode(copies(F.col("n").cast("int"))).alias("copy"),
         "label",
         "text",
     )

@@ -17,9 +17,19 @@ def tune(spark: SparkSession) -> SparkSession:
     # Re-building a text from its tokens collects one small list per row.  The default of
     # 128 groups per task would turn that into a sort of every token.
     spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "65536")
+    # Per-row work on texts is heavy for its bytes: keep all cores busy on small inputs too.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     return spark
 
 
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Hash-partitions an input with fewer splits than cores; leaves any larger one alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *key)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: the one the cluster names in ``spark.checkpoint.dir``.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from counterpoise.session import spread
 from counterpoise.sources.lines import read_corpus  # noqa: F401  (public name)
 
 IDS_PER_DOCUMENT = 100_000
@@ -18,7 +19,7 @@ def labelled_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    sentences = documents.join(labels, "doc_id").select(
+    sentences = spread(documents, "doc_id").join(labels, "doc_id").select(
         "doc_id", "quality", F.posexplode(F.split("text", "[.\n]")).alias("nth", "t")
     )
     text = F.replace("t", F.lit(","), F.lit(" "))

@@ -435,7 +435,8 @@ ORACLES["denoise_with_original"] = (
 METRICS = """
   CASE WHEN fn + tn > 0 THEN (tp + fn) / (tp + fp + fn + tn) END AS precision_at_0,
   CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS precision_at_1,
-  CASE WHEN fn + tn > 0 THEN CASE WHEN tp + fn > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS recall_at_0,
+  CAST(CASE WHEN fn + tn > 0 THEN CASE WHEN tp + fn > 0 THEN 1 ELSE 0 END END AS DOUBLE)
+    AS recall_at_0,
   CASE WHEN tp + fp > 0 THEN CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END END
     AS recall_at_1,
   CASE WHEN fn + tn > 0 THEN 2 * (tp + fn) / (2 * (tp + fn) + fp + tn) END AS f1_at_0,

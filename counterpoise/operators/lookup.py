@@ -42,9 +42,14 @@ def lookup_join(
     key: str,
     how: str = "left",
     max_rows: int = BROADCAST_ROWS,
+    table_rows: int | None = None,
 ) -> DataFrame:
-    """``rows`` left or inner joined with ``table`` (unique on ``key``)."""
-    if fits_broadcast(table, max_rows):
+    """``rows`` left or inner joined with ``table`` (unique on ``key``).
+
+    ``table_rows``: number of rows of ``table``, if the caller has counted them already.
+    """
+    fits = fits_broadcast(table, max_rows) if table_rows is None else table_rows <= max_rows
+    if fits:
         return rows.join(F.broadcast(table), key, how)
     head = frequent_keys(rows, key, max_rows)
     head_table = table.join(F.broadcast(head), key, "left_semi")

@@ -8,9 +8,10 @@ count per scenario in an array, every scenario.
 Inputs
     train(fold, label, text, w)        w: copies per scenario
     test(key, fold, label, text, tw)   tw: test rows per scenario; key identifies the row
-Both classifiers are linear, so a test row needs one sum over its tokens per scenario.  Terms
-are used as they are, with the vocabulary size of the hashed feature space; ``term_counts``
-and ``hashed_features`` show the two forms side by side.
+Both classifiers are linear, so a test row needs one sum over its tokens per scenario; with a
+broadcast model that sum is complete before anything is shuffled.  Terms are used as they are,
+with the vocabulary size of the hashed feature space; ``term_counts`` and ``hashed_features``
+show the two forms side by side.
 """
 
 from __future__ import annotations
@@ -51,119 +52,86 @@ def hashed_features(df: DataFrame, features: int = FEATURES) -> DataFrame:
 # ---------------------------------------------------------------- training
 
 
-def _sums(n: int, weight) -> list[Column]:
-    return [F.sum(weight(s)).alias(f"n{s}") for s in range(n)]
+def training_stats(train: DataFrame) -> DataFrame:
+    """(term, fold, label, w, c, words): all a model needs, from one pass over the texts.
 
-
-def _pack(n: int) -> Column:
-    return F.array(*[F.col(f"n{s}") for s in range(n)])
-
-
-def _zeros(n: int, kind: str = "bigint") -> Column:
-    return F.array_repeat(F.lit(0).cast(kind), n)
-
-
-def _total(entries: Column, label: int, n: int) -> Column:
-    """Sum of the count vectors of one class."""
-    return F.aggregate(
-        F.filter(entries, lambda e: e["label"] == label),
-        _zeros(n),
-        lambda acc, e: F.zip_with(acc, e["n"], lambda a, b: a + b),
-    )
-
-
-def _of_fold(entries: Column, label: int, fold: Column, n: int) -> Column:
-    """Count vector of one class in one fold; zeros if it has none."""
-    hit = F.filter(entries, lambda e: (e["label"] == label) & (e["fold"] == fold))
-    return F.coalesce(F.get(hit, F.lit(0))["n"], _zeros(n))
-
-
-def training_counts(train: DataFrame, n: int) -> DataFrame:
-    """(term, fold, label, n): copies of each term per class, fold and scenario.
-
-    The NULL term counts the rows themselves, so one pass over the texts yields everything
-    the models need.  Rows with the same copy vector are counted together before the vectors
-    are added up; there are only a few different vectors.
+    Rows with the same copy vector ``w`` are counted together (``c``); there are only a few
+    different vectors, so the table is little wider than plain term counts.  The NULL term
+    counts the rows themselves and adds up their lengths in ``words``.
     """
-    words = F.array_append(tokens("text"), F.lit(None).cast("string"))
-    alike = (
-        train.select("fold", "label", "w", F.explode(words).alias("term"))
-        .groupBy("term", "fold", "label", "w")
-        .agg(F.count("*").alias("c"))
-    )
-    w, c = F.col("w"), F.col("c")
+    terms = tokens("text")
     return (
-        alike.groupBy("term", "fold", "label")
-        .agg(*_sums(n, lambda s: w[s] * c))
-        .select("term", "fold", "label", _pack(n).alias("n"))
+        train.select(
+            "fold",
+            "label",
+            "w",
+            F.size(terms).alias("_len"),
+            F.explode(F.array_append(terms, F.lit(None).cast("string"))).alias("term"),
+        )
+        .groupBy("term", "fold", "label", "w")
+        .agg(
+            F.count("*").alias("c"),
+            F.sum(F.when(F.col("term").isNull(), F.col("_len"))).alias("words"),
+        )
     )
 
 
-def class_totals(counts: DataFrame, n: int) -> DataFrame:
-    """(fold, label, docs, terms): rows and tokens per scenario, from ``training_counts``."""
-    v, is_row = F.col("n"), F.col("term").isNull()
-
-    def total(s: int, rows: bool) -> Column:
-        return F.sum(F.when(is_row == F.lit(rows), v[s]).otherwise(0)).cast("bigint")
-
-    return counts.groupBy("fold", "label").agg(
-        F.array(*[total(s, True) for s in range(n)]).alias("docs"),
-        F.array(*[total(s, False) for s in range(n)]).alias("terms"),
+def class_totals(stats: DataFrame, n: int) -> DataFrame:
+    """(fold, label, docs, terms): rows and tokens per scenario, two small rows per fold."""
+    w = F.col("w")
+    return (
+        stats.filter(F.col("term").isNull())
+        .groupBy("fold", "label")
+        .agg(
+            F.array(*[F.sum(w[s] * F.col("c")) for s in range(n)]).alias("docs"),
+            F.array(*[F.sum(w[s] * F.col("words")) for s in range(n)]).alias("terms"),
+        )
     )
 
 
-def _weight(n0: Column, n1: Column, classifier: str) -> Column:
-    """Contribution of one occurrence of a term towards label 1, per scenario."""
-    if classifier == SVM_ONE_STEP:
-        return F.zip_with(n0, n1, lambda a, b: (b - a).cast("double"))
-    return F.zip_with(n0, n1, lambda a, b: F.log(b + SMOOTHING) - F.log(a + SMOOTHING))
-
-
-def term_weights(counts: DataFrame, n: int, classifier: str) -> DataFrame:
-    """(term, base, by_fold): weights from all folds, and those that leave one fold out.
+def term_model(stats: DataFrame, n: int) -> DataFrame:
+    """(term, n0, n1, by_fold): copies per class and scenario, in total and per fold.
 
     ``by_fold`` only lists the folds a term occurs in; leaving out another one changes nothing.
+    Rows are moved while they are narrow: once by term, which serves both aggregations.
     """
-    per_term = counts.filter(F.col("term").isNotNull()).groupBy("term").agg(
-        F.collect_list(F.struct("fold", "label", "n")).alias("e")  # two per fold at most
-    )
-    summed = per_term.select(
-        "term", "e", _total(F.col("e"), 0, n).alias("t0"), _total(F.col("e"), 1, n).alias("t1")
-    )
-
-    def minus(total: str, label: int, fold: Column) -> Column:
-        return F.zip_with(
-            F.col(total), _of_fold(F.col("e"), label, fold, n), lambda a, b: a - b
-        )
-
-    own_folds = F.array_distinct(F.transform("e", lambda e: e["fold"]))
-    by_fold = F.map_from_entries(
-        F.transform(
-            own_folds,
-            lambda f: F.struct(f, _weight(minus("t0", 0, f), minus("t1", 1, f), classifier)),
+    w, c, label = F.col("w"), F.col("c"), F.col("label")
+    names = [f"n{k}_{s}" for k in (0, 1) for s in range(n)]
+
+    def pack(k: int) -> Column:
+        return F.array(*[F.col(f"n{k}_{s}") for s in range(n)]).alias(f"n{k}")
+
+    per_fold = (
+        stats.filter(F.col("term").isNotNull())
+        .repartition("term")
+        .groupBy("term", "fold")
+        .agg(
+            *[
+                F.sum(F.when(label == k, w[s] * c).otherwise(0)).alias(f"n{k}_{s}")
+                for k in (0, 1)
+                for s in range(n)
+            ]
         )
     )
-    return summed.select(
-        "term",
-        _weight(F.col("t0"), F.col("t1"), classifier).alias("base"),
-        by_fold.alias("by_fold"),
+    folds = F.collect_list(F.struct("fold", F.struct(pack(0), pack(1))))
+    return (
+        per_fold.groupBy("term")
+        .agg(*[F.sum(x).alias(x) for x in names], F.map_from_entries(folds).alias("by_fold"))
+        .select("term", pack(0), pack(1), "by_fold")
     )
 
 
-def class_constants(counts: DataFrame, n: int, folds: int, features: int) -> DataFrame:
+def class_constants(stats: DataFrame, n: int, folds: int, features: int) -> DataFrame:
     """One row per test fold: (fold, docs0, docs1, prior, per_word), each per scenario."""
     entries = F.collect_list(F.struct("fold", "label", "docs", "terms"))
-    totals = class_totals(counts, n).agg(entries.alias("e"))  # two entries per fold
+    totals = class_totals(stats, n).agg(entries.alias("e"))  # two entries per fold
+    zeros = F.array_repeat(F.lit(0).cast("bigint"), n)
 
     def left(field: str, label: int) -> Column:
-        mine = F.filter("e", lambda e: (e["label"] == label) & (e["fold"] == F.col("fold")))
-        total = F.aggregate(
-            F.filter("e", lambda e: e["label"] == label),
-            _zeros(n),
-            lambda acc, e: F.zip_with(acc, e[field], lambda a, b: a + b),
+        others = F.filter("e", lambda e: (e["label"] == label) & (e["fold"] != F.col("fold")))
+        return F.aggregate(
+            others, zeros, lambda acc, e: F.zip_with(acc, e[field], lambda a, b: a + b)
         )
-        own = F.coalesce(F.get(mine, F.lit(0))[field], _zeros(n))
-        return F.zip_with(total, own, lambda a, b: a - b)
 
     per_fold = totals.select(
         "e", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold")
@@ -192,80 +160,81 @@ def class_constants(counts: DataFrame, n: int, folds: int, features: int) -> Dat
 # ---------------------------------------------------------------- scoring
 
 
-def _broadcast_rows(counts: DataFrame, n: int) -> int:
-    """How many rows of the weight table fit the broadcast budget."""
-    size = counts.agg(
-        F.count("*").alias("entries"), F.count_distinct("term").alias("terms")
-    ).first()
-    folds_per_term = size["entries"] / max(1, size["terms"])  # at least the number of maps
-    vector = 8 * n + 32
-    return max(1, int(BROADCAST_MB * 2**20 / (64 + (1 + folds_per_term) * vector)))
+def _model_size(stats: DataFrame, n: int) -> tuple[int, int]:
+    """(rows of the term model, how many of its rows fit the broadcast budget)."""
+    size = (
+        stats.filter(F.col("term").isNotNull())
+        .groupBy("term")
+        .agg(F.count_distinct("fold").alias("folds"))
+        .agg(F.count("*").alias("terms"), F.sum("folds").alias("folds"))
+        .first()
+    )
+    terms = size["terms"]
+    per_row = 64 + (1 + (size["folds"] or 0) / max(1, terms)) * 2 * (8 * n + 32)
+    return terms, max(1, int(BROADCAST_MB * 2**20 / per_row))
 
 
-def score(
-    train: DataFrame,
+def margins(
+    stats: DataFrame,
     test: DataFrame,
     n: int,
     classifier: str = NAIVE_BAYES,
     folds: int = 10,
     features: int = FEATURES,
 ) -> DataFrame:
-    """Margins and predictions of ``test``: its columns without ``text``, plus margin, prediction.
+    """``test`` without ``text``, plus per scenario s a margin ``m<s>`` and a prediction ``p<s>``.
 
-    Both are arrays over scenarios.  Each row is scored by the models without its own fold.
+    A row of fold f is scored by the models of all training rows outside fold f.
     """
-    return score_with(
-        spool(training_counts(train, n), "counts"), test, n, classifier, folds, features
-    )
-
-
-def score_with(
-    counts: DataFrame,
-    test: DataFrame,
-    n: int,
-    classifier: str = NAIVE_BAYES,
-    folds: int = 10,
-    features: int = FEATURES,
-) -> DataFrame:
-    """``score`` for training counts that are already there."""
-    weights = term_weights(counts, n, classifier)
+    rows, max_rows = _model_size(stats, n)
     carried = [c for c in test.columns if c != "text"]
     tok = test.select(
         *carried, F.size(tokens("text")).alias("_len"), F.explode(tokens("text")).alias("term")
     )
-    matched = lookup_join(tok, weights, "term", "left", _broadcast_rows(counts, n))
-    weight = F.coalesce(F.try_element_at("by_fold", F.col("fold")), F.col("base"))
-    summed = (
-        matched.select(*carried, "_len", weight.alias("v"))
-        .groupBy(*carried, "_len")
-        .agg(*[F.sum(F.coalesce(F.col("v")[s], F.lit(0.0))).alias(f"n{s}") for s in range(n)])
-        .select(*carried, "_len", _pack(n).alias("margin"))
+    matched = lookup_join(tok, term_model(stats, n), "term", "left", max_rows, rows)
+    own = F.try_element_at("by_fold", F.col("fold"))
+    matched = matched.select(*carried, "_len", "n0", "n1", own.alias("own"))
+
+    def others(k: int, s: int) -> Column:
+        return F.col(f"n{k}")[s] - F.coalesce(F.col("own")[f"n{k}"][s], F.lit(0))
+
+    def weight(s: int) -> Column:
+        if classifier == SVM_ONE_STEP:
+            return (others(1, s) - others(0, s)).cast("double")
+        return F.log(others(1, s) + SMOOTHING) - F.log(others(0, s) + SMOOTHING)
+
+    summed = matched.groupBy(*carried, "_len").agg(
+        *[F.coalesce(F.sum(weight(s)), F.lit(0.0)).alias(f"m{s}") for s in range(n)]
     )
+    m = [F.col(f"m{s}") for s in range(n)]
     if classifier == SVM_ONE_STEP:
         # integers divided by the number of rows: the sign needs no division
-        return summed.drop("_len").withColumn(
-            "prediction", F.transform("margin", lambda m: (m > 0).cast("int"))
+        return summed.select(
+            *carried, *m, *[(m[s] > 0).cast("int").alias(f"p{s}") for s in range(n)]
         )
-    constants = class_constants(counts, n, folds, features)
+    constants = class_constants(stats, n, folds, features)
     joined = summed.join(F.broadcast(constants), "fold", "left")  # one row per fold
-    parts = F.arrays_zip("margin", "prior", "per_word", "docs0", "docs1")
-    margin = F.transform(
-        parts,
-        lambda p: F.round(p["margin"] + p["prior"] + F.col("_len") * p["per_word"], MARGIN_DIGITS),
-    )
-    # a class without training rows is never predicted
-    prediction = F.transform(
-        F.arrays_zip("margin", "docs0", "docs1"),
-        lambda p: F.when(p["docs1"] == 0, 0)
-        .when(p["docs0"] == 0, 1)
-        .otherwise((p["margin"] > 0).cast("int")),
-    )
-    return (
-        joined.withColumn("margin", margin)
-        .withColumn("prediction", prediction)
-        .select(*carried, "margin", "prediction")
+    prior, per_word = F.col("prior"), F.col("per_word")
+    full = joined.select(
+        *carried,
+        "docs0",
+        "docs1",
+        *[
+            F.round(m[s] + prior[s] + F.col("_len") * per_word[s], MARGIN_DIGITS).alias(f"m{s}")
+            for s in range(n)
+        ],
     )
 
+    def prediction(s: int) -> Column:
+        # a class without training rows is never predicted
+        return (
+            F.when(F.col("docs1")[s] == 0, 0)
+            .when(F.col("docs0")[s] == 0, 1)
+            .otherwise((m[s] > 0).cast("int"))
+        )
+
+    return full.select(*carried, *m, *[prediction(s).alias(f"p{s}") for s in range(n)])
+
 
 def fit_predict(
     train: DataFrame,
@@ -277,15 +246,15 @@ def fit_predict(
 
     Further columns of ``test`` must identify its rows.
     """
-    one = F.array(F.lit(1))
-    train = train.select(F.lit(0).alias("fold"), "label", "text", one.alias("w"))
-    scored = score(
-        train, test.withColumn("fold", F.lit(1)), 1, classifier, folds=2, features=features
+    one = F.array(F.lit(1).cast("short"))
+    stats = training_stats(train.select(F.lit(0).alias("fold"), "label", "text", one.alias("w")))
+    scored = margins(
+        spool(stats, "stats"), test.withColumn("fold", F.lit(1)), 1, classifier, 2, features
     )
     return scored.select(
         *[c for c in test.columns if c != "text"],
-        F.col("margin")[0].alias("margin"),
-        F.col("prediction")[0].alias("prediction"),
+        F.col("m0").alias("margin"),
+        F.col("p0").alias("prediction"),
     )
 
 

@@ -42,9 +42,13 @@ def find_limits(
     group reaches the driver.
     """
     names = list(groups)
-    flagged = df.select(key.alias("_key"), *[groups[g].cast("int").alias(g) for g in names])
-    per_prefix = flagged.groupBy(F.substring("_key", 1, DIGITS).alias("_prefix")).agg(
-        *[F.sum(g).alias(g) for g in names]
+    flagged = df.select(key.alias("_key"), *[groups[g].cast("tinyint").alias(g) for g in names])
+    # rows in the same groups are counted together; there are only a few combinations
+    alike = flagged.groupBy(
+        F.substring("_key", 1, DIGITS).alias("_prefix"), F.array(*names).alias("_in")
+    ).agg(F.count("*").alias("_c"))
+    per_prefix = alike.groupBy("_prefix").agg(
+        *[F.sum(F.col("_in")[i] * F.col("_c")).alias(g) for i, g in enumerate(names)]
     )
     # at most 4,096 rows with one small number per group
     table = [r.asDict() for r in per_prefix.collect()]

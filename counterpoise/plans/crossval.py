@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from counterpoise.operators.metrics import binary_metrics
@@ -12,8 +12,8 @@ from counterpoise.operators.model import (
     FEATURES,
     NAIVE_BAYES,
     class_totals,
-    score_with,
-    training_counts,
+    margins,
+    training_stats,
 )
 from counterpoise.session import spool
 
@@ -21,29 +21,35 @@ FOLDS = 10
 
 
 def fold_cells(scored: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(scenario, fold, tp, fp, fn, tn) from rows with arrays ``prediction`` and ``tw``."""
+    """(scenario, fold, tp, fp, fn, tn) from rows with predictions ``p<s>`` and weights ``tw``."""
     n = len(names)
-    p, tw, y = F.col("prediction"), F.col("tw"), F.col("label")
+    tw = F.col("tw")
+    per_class = scored.groupBy("fold", "label").agg(
+        *[F.sum(F.col(f"p{s}") * tw[s]).alias(f"p{s}") for s in range(n)],
+        *[F.sum(tw[s]).alias(f"n{s}") for s in range(n)],
+    )
+    pairs = F.array(*[F.struct(F.col(f"p{s}").alias("p"), F.col(f"n{s}").alias("n"))
+                      for s in range(n)])
+    long = per_class.select("fold", "label", F.posexplode(pairs).alias("s", "c"))
 
-    def cell(s: int, predicted: int, label: int):
-        hit = (p[s] == predicted) & (y == label)
-        return F.sum(F.when(hit, tw[s]).otherwise(0)).cast("bigint")
+    def cell(label: int, predicted: int):
+        value = F.col("c.p") if predicted else F.col("c.n") - F.col("c.p")
+        return F.sum(F.when(F.col("label") == label, value).otherwise(0)).cast("bigint")
 
-    per_fold = scored.groupBy("fold").agg(
-        *[
-            F.struct(
-                F.lit(names[s]).alias("scenario"),
-                cell(s, 1, 1).alias("tp"),
-                cell(s, 1, 0).alias("fp"),
-                cell(s, 0, 1).alias("fn"),
-                cell(s, 0, 0).alias("tn"),
-            ).alias(f"c{s}")
-            for s in range(n)
-        ]
+    return (
+        long.groupBy("s", "fold")
+        .agg(
+            cell(1, 1).alias("tp"),
+            cell(0, 1).alias("fp"),
+            cell(1, 0).alias("fn"),
+            cell(0, 0).alias("tn"),
+        )
+        .select(_name(names).alias("scenario"), "fold", "tp", "fp", "fn", "tn")
     )
-    return per_fold.select(
-        "fold", F.explode(F.array(*[F.col(f"c{s}") for s in range(n)])).alias("c")
-    ).select("c.scenario", "fold", "c.tp", "c.fp", "c.fn", "c.tn")
+
+
+def _name(names: Sequence[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in names]), F.col("s") + 1)
 
 
 def average_over_folds(cells: DataFrame) -> DataFrame:
@@ -70,18 +76,17 @@ def cross_validate(
     are scored by the model of all training rows outside fold f.
     """
     n = len(names)
-    counts = spool(training_counts(train, n), "counts")
-    scored = score_with(counts, test, n, classifier, folds, features)
+    stats = spool(training_stats(train), "stats")
+    scored = margins(stats, test, n, classifier, folds, features)
     metrics = average_over_folds(fold_cells(scored, names))
 
-    docs = class_totals(counts, n).select("label", F.posexplode("docs").alias("s", "docs"))
+    docs = class_totals(stats, n).select("label", F.posexplode("docs").alias("s", "docs"))
     sizes = docs.groupBy("s").agg(
         *[
             F.sum(F.when(F.col("label") == c, F.col("docs")).otherwise(0)).alias(f"n_label_{c}")
             for c in (0, 1)
         ]
     )
-    name = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("s") + 1)
-    return sizes.select(name.alias("scenario"), "n_label_0", "n_label_1").join(
+    return sizes.select(_name(names).alias("scenario"), "n_label_0", "n_label_1").join(
         metrics, "scenario", "left"
     )

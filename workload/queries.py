@@ -17,7 +17,7 @@ from counterpoise.plans import specs as P
 from counterpoise.plans.crossval import fold_cells
 from counterpoise.plans.suites import augmented_sets, run_suite, suite_tables
 from counterpoise.plans.training_sets import build_training_set, training_set_rows
-from counterpoise.session import tune
+from counterpoise.session import spool, tune
 from counterpoise.sources.corpus import labelled_sentences
 from counterpoise.sources.lexicons import antonym_lexicon, sentiment_vocabulary, similar_lexicon
 from counterpoise.sources.lines import parse_lines, to_lines
@@ -369,10 +369,10 @@ def _cv(classifier: str) -> Query:
 
     def run(spark, d):
         spark = tune(spark)
-        rows = suite_tables(corpus(spark, d), [spec], G.Lexicons()).drop("test_fold", "gen")
-        train = rows.select("fold", "label", "text", "w")
+        rows = suite_tables(corpus(spark, d), [spec], G.Lexicons())
+        stats = spool(B.training_stats(rows.select("fold", "label", "text", "w")))
         test = rows.select("src_id", "fold", "label", "text", "tw")
-        scored = B.score(train, test, 1, classifier)
+        scored = B.margins(stats, test, 1, classifier)
         cells = fold_cells(scored, [spec.scenario])
         return _round_metrics(
             cells.join(M.binary_metrics(cells).select("fold", *METRICS), "fold")

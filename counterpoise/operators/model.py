@@ -8,14 +8,17 @@ count per scenario in an array, every scenario.
 Inputs
     train(fold, label, text, w)        w: copies per scenario
     test(key, fold, label, text, tw)   tw: test rows per scenario; key identifies the row
-Both classifiers are linear, so a test row needs one sum over its tokens per scenario; with a
-broadcast model that sum is complete before anything is shuffled.  Terms are used as they are,
+Both classifiers are linear, so a test row needs one sum over its tokens per scenario.  Test
+rows are partitioned by key while they are whole texts; with a broadcast model nothing else is
+moved.  Terms are used as they are,
 with the vocabulary size of the hashed feature space; ``term_counts`` and ``hashed_features``
 show the two forms side by side.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.feature import HashingTF
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,40 +92,63 @@ def class_totals(stats: DataFrame, n: int) -> DataFrame:
     )
 
 
-def term_model(stats: DataFrame, n: int) -> DataFrame:
-    """(term, n0, n1, by_fold): copies per class and scenario, in total and per fold.
+def term_weights(stats: DataFrame, n: int, classifier: str) -> DataFrame:
+    """(term, base, by_fold): contribution of one occurrence of a term towards label 1.
 
-    ``by_fold`` only lists the folds a term occurs in; leaving out another one changes nothing.
-    Rows are moved while they are narrow: once by term, which serves both aggregations.
+    Vectors over scenarios: from all folds, and leaving one fold out.  ``by_fold`` only lists
+    the folds the term occurs in; leaving out another one changes nothing.  The list collected
+    per term has one entry per fold, class and copy vector, however frequent the term is.
     """
-    w, c, label = F.col("w"), F.col("c"), F.col("label")
-    names = [f"n{k}_{s}" for k in (0, 1) for s in range(n)]
+    zeros = F.array_repeat(F.lit(0).cast("bigint"), n)
+    per_term = (
+        stats.filter(F.col("term").isNotNull())
+        .groupBy("term")
+        .agg(F.collect_list(F.struct("fold", "label", "w", "c")).alias("e"))
+    )
 
-    def pack(k: int) -> Column:
-        return F.array(*[F.col(f"n{k}_{s}") for s in range(n)]).alias(f"n{k}")
+    def counted(label: int, in_fold: Column | None) -> Column:
+        def wanted(e: Column) -> Column:
+            same = e["label"] == label
+            return same if in_fold is None else same & (e["fold"] == in_fold)
 
-    per_fold = (
-        stats.filter(F.col("term").isNotNull())
-        .repartition("term")
-        .groupBy("term", "fold")
-        .agg(
-            *[
-                F.sum(F.when(label == k, w[s] * c).otherwise(0)).alias(f"n{k}_{s}")
-                for k in (0, 1)
-                for s in range(n)
-            ]
+        return F.aggregate(
+            F.filter("e", wanted),
+            zeros,
+            lambda acc, e: F.zip_with(acc, e["w"], lambda a, b: a + b * e["c"]),
         )
+
+    def weight(n0: Column, n1: Column) -> Column:
+        if classifier == SVM_ONE_STEP:
+            return F.zip_with(n0, n1, lambda a, b: (b - a).cast("double"))
+        return F.zip_with(n0, n1, lambda a, b: F.log(b + SMOOTHING) - F.log(a + SMOOTHING))
+
+    def minus(total: str, own: Column) -> Column:
+        return F.zip_with(F.col(total), own, lambda a, b: a - b)
+
+    summed = per_term.select(
+        "term",
+        counted(0, None).alias("n0"),
+        counted(1, None).alias("n1"),
+        F.transform(
+            F.array_distinct(F.transform("e", lambda e: e["fold"])),
+            lambda f: F.struct(
+                f.alias("fold"), counted(0, f).alias("n0"), counted(1, f).alias("n1")
+            ),
+        ).alias("own"),
     )
-    folds = F.collect_list(F.struct("fold", F.struct(pack(0), pack(1))))
-    return (
-        per_fold.groupBy("term")
-        .agg(*[F.sum(x).alias(x) for x in names], F.map_from_entries(folds).alias("by_fold"))
-        .select("term", pack(0), pack(1), "by_fold")
+    by_fold = F.map_from_entries(
+        F.transform(
+            "own",
+            lambda f: F.struct(f["fold"], weight(minus("n0", f["n0"]), minus("n1", f["n1"]))),
+        )
+    )
+    return summed.select(
+        "term", weight(F.col("n0"), F.col("n1")).alias("base"), by_fold.alias("by_fold")
     )
 
 
 def class_constants(stats: DataFrame, n: int, folds: int, features: int) -> DataFrame:
-    """One row per test fold: (fold, docs0, docs1, prior, per_word), each per scenario."""
+    """(fold, s, docs0, docs1, prior, per_word): one row per test fold and scenario."""
     entries = F.collect_list(F.struct("fold", "label", "docs", "terms"))
     totals = class_totals(stats, n).agg(entries.alias("e"))  # two entries per fold
     zeros = F.array_repeat(F.lit(0).cast("bigint"), n)
@@ -137,23 +163,26 @@ def class_constants(stats: DataFrame, n: int, folds: int, features: int) -> Data
         "e", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold")
     ).select(
         "fold",
-        left("docs", 0).alias("docs0"),
-        left("docs", 1).alias("docs1"),
-        left("terms", 0).alias("terms0"),
-        left("terms", 1).alias("terms1"),
+        F.posexplode(
+            F.arrays_zip(
+                left("docs", 0).alias("docs0"),
+                left("docs", 1).alias("docs1"),
+                left("terms", 0).alias("terms0"),
+                left("terms", 1).alias("terms1"),
+            )
+        ).alias("s", "c"),
     )
+
+    def log_ratio(over: str, under: str, added: float) -> Column:
+        return F.log(F.col(f"c.{over}") + added) - F.log(F.col(f"c.{under}") + added)
+
     return per_fold.select(
         "fold",
-        "docs0",
-        "docs1",
-        F.zip_with(
-            "docs0", "docs1", lambda a, b: F.log(b + SMOOTHING) - F.log(a + SMOOTHING)
-        ).alias("prior"),
-        F.zip_with(
-            "terms0",
-            "terms1",
-            lambda a, b: F.log(a + SMOOTHING * features) - F.log(b + SMOOTHING * features),
-        ).alias("per_word"),
+        "s",
+        "c.docs0",
+        "c.docs1",
+        log_ratio("docs1", "docs0", SMOOTHING).alias("prior"),
+        log_ratio("terms0", "terms1", SMOOTHING * features).alias("per_word"),
     )
 
 
@@ -161,101 +190,81 @@ def class_constants(stats: DataFrame, n: int, folds: int, features: int) -> Data
 
 
 def _model_size(stats: DataFrame, n: int) -> tuple[int, int]:
-    """(rows of the term model, how many of its rows fit the broadcast budget)."""
+    """(rows of the weight table, how many of its rows fit the broadcast budget)."""
     size = (
         stats.filter(F.col("term").isNotNull())
         .groupBy("term")
-        .agg(F.count_distinct("fold").alias("folds"))
+        .agg(F.size(F.collect_set("fold")).alias("folds"))
         .agg(F.count("*").alias("terms"), F.sum("folds").alias("folds"))
         .first()
     )
     terms = size["terms"]
-    per_row = 64 + (1 + (size["folds"] or 0) / max(1, terms)) * 2 * (8 * n + 32)
+    per_row = 64 + (1 + (size["folds"] or 0) / max(1, terms)) * (8 * n + 32)
     return terms, max(1, int(BROADCAST_MB * 2**20 / per_row))
 
 
-def margins(
+def score(
     stats: DataFrame,
     test: DataFrame,
+    key: Sequence[str],
     n: int,
     classifier: str = NAIVE_BAYES,
     folds: int = 10,
     features: int = FEATURES,
 ) -> DataFrame:
-    """``test`` without ``text``, plus per scenario s a margin ``m<s>`` and a prediction ``p<s>``.
+    """(key..., fold, label, s, tw, margin, prediction) of the rows tested in scenario ``s``.
 
     A row of fold f is scored by the models of all training rows outside fold f.
     """
     rows, max_rows = _model_size(stats, n)
-    carried = [c for c in test.columns if c != "text"]
-    tok = test.select(
+    carried = [*key, "fold", "label", "tw"]
+    tok = test.repartition(*key).select(
         *carried, F.size(tokens("text")).alias("_len"), F.explode(tokens("text")).alias("term")
     )
-    matched = lookup_join(tok, term_model(stats, n), "term", "left", max_rows, rows)
-    own = F.try_element_at("by_fold", F.col("fold"))
-    matched = matched.select(*carried, "_len", "n0", "n1", own.alias("own"))
-
-    def others(k: int, s: int) -> Column:
-        return F.col(f"n{k}")[s] - F.coalesce(F.col("own")[f"n{k}"][s], F.lit(0))
-
-    def weight(s: int) -> Column:
-        if classifier == SVM_ONE_STEP:
-            return (others(1, s) - others(0, s)).cast("double")
-        return F.log(others(1, s) + SMOOTHING) - F.log(others(0, s) + SMOOTHING)
-
-    summed = matched.groupBy(*carried, "_len").agg(
-        *[F.coalesce(F.sum(weight(s)), F.lit(0.0)).alias(f"m{s}") for s in range(n)]
+    weights = term_weights(stats, n, classifier)
+    matched = lookup_join(tok, weights, "term", "left", max_rows, rows)
+    none = F.array_repeat(F.lit(0.0), n)
+    v = F.coalesce(F.try_element_at("by_fold", F.col("fold")), F.col("base"), none)
+    per_word = matched.select(
+        *key, "fold", "label", "_len", F.posexplode(F.arrays_zip(v.alias("v"), "tw")).alias("s", "x")
+    ).select(*key, "fold", "label", "_len", "s", F.col("x.tw").alias("tw"), F.col("x.v").alias("v"))
+    summed = (
+        per_word.filter(F.col("tw") > 0)
+        .groupBy(*key, "fold", "label", "_len", "s", "tw")
+        .agg(F.sum("v").alias("margin"))
     )
-    m = [F.col(f"m{s}") for s in range(n)]
+    m = F.col("margin")
     if classifier == SVM_ONE_STEP:
         # integers divided by the number of rows: the sign needs no division
-        return summed.select(
-            *carried, *m, *[(m[s] > 0).cast("int").alias(f"p{s}") for s in range(n)]
-        )
-    constants = class_constants(stats, n, folds, features)
-    joined = summed.join(F.broadcast(constants), "fold", "left")  # one row per fold
-    prior, per_word = F.col("prior"), F.col("per_word")
-    full = joined.select(
-        *carried,
-        "docs0",
-        "docs1",
-        *[
-            F.round(m[s] + prior[s] + F.col("_len") * per_word[s], MARGIN_DIGITS).alias(f"m{s}")
-            for s in range(n)
-        ],
+        return summed.drop("_len").withColumn("prediction", (m > 0).cast("int"))
+    constants = class_constants(stats, n, folds, features)  # folds x scenarios rows
+    full = F.round(m + F.col("prior") + F.col("_len") * F.col("per_word"), MARGIN_DIGITS)
+    # a class without training rows is never predicted
+    prediction = (
+        F.when(F.col("docs1") == 0, 0)
+        .when(F.col("docs0") == 0, 1)
+        .otherwise((m > 0).cast("int"))
+    )
+    return (
+        summed.join(F.broadcast(constants), ["fold", "s"], "left")
+        .withColumn("margin", full)
+        .select(*key, "fold", "label", "s", "tw", "margin", prediction.alias("prediction"))
     )
-
-    def prediction(s: int) -> Column:
-        # a class without training rows is never predicted
-        return (
-            F.when(F.col("docs1")[s] == 0, 0)
-            .when(F.col("docs0")[s] == 0, 1)
-            .otherwise((m[s] > 0).cast("int"))
-        )
-
-    return full.select(*carried, *m, *[prediction(s).alias(f"p{s}") for s in range(n)])
 
 
 def fit_predict(
     train: DataFrame,
     test: DataFrame,
+    key: str,
     classifier: str = NAIVE_BAYES,
     features: int = FEATURES,
 ) -> DataFrame:
-    """One training set, one test set: adds margin and prediction to ``test(..., label, text)``.
-
-    Further columns of ``test`` must identify its rows.
-    """
-    one = F.array(F.lit(1).cast("short"))
-    stats = training_stats(train.select(F.lit(0).alias("fold"), "label", "text", one.alias("w")))
-    scored = margins(
-        spool(stats, "stats"), test.withColumn("fold", F.lit(1)), 1, classifier, 2, features
-    )
-    return scored.select(
-        *[c for c in test.columns if c != "text"],
-        F.col("m0").alias("margin"),
-        F.col("p0").alias("prediction"),
-    )
+    """(key, label, margin, prediction): one training set, one test set with unique ``key``."""
+    once = F.array(F.lit(1).cast("short"))
+    stats = training_stats(train.select(F.lit(0).alias("fold"), "label", "text", once.alias("w")))
+    tested = test.select(key, F.lit(1).alias("fold"), "label", "text", once.alias("tw"))
+    scored = score(spool(stats, "stats"), tested, [key], 1, classifier, 2, features)
+    return scored.select(key, "label", "margin", "prediction")
 
 
 def nb_model(train: DataFrame, features: int = FEATURES) -> DataFrame:
@@ -305,5 +314,5 @@ def denoise(made: DataFrame, original: DataFrame | None = None) -> DataFrame:
     train = made.select("label", "text")
     if original is not None:
         train = train.unionByName(original.select("label", "text"))
-    return fit_predict(train, made, NAIVE_BAYES).filter(F.col("prediction") == F.col("label"))
+    return fit_predict(train, made, "src_id").filter(F.col("prediction") == F.col("label"))
 

@@ -12,7 +12,7 @@ from counterpoise.operators.model import (
     FEATURES,
     NAIVE_BAYES,
     class_totals,
-    margins,
+    score,
     training_stats,
 )
 from counterpoise.session import spool
@@ -21,27 +21,19 @@ FOLDS = 10
 
 
 def fold_cells(scored: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(scenario, fold, tp, fp, fn, tn) from rows with predictions ``p<s>`` and weights ``tw``."""
-    n = len(names)
-    tw = F.col("tw")
-    per_class = scored.groupBy("fold", "label").agg(
-        *[F.sum(F.col(f"p{s}") * tw[s]).alias(f"p{s}") for s in range(n)],
-        *[F.sum(tw[s]).alias(f"n{s}") for s in range(n)],
-    )
-    pairs = F.array(*[F.struct(F.col(f"p{s}").alias("p"), F.col(f"n{s}").alias("n"))
-                      for s in range(n)])
-    long = per_class.select("fold", "label", F.posexplode(pairs).alias("s", "c"))
+    """(scenario, fold, tp, fp, fn, tn) of ``scored(s, fold, label, tw, prediction)``."""
+    p, y = F.col("prediction"), F.col("label")
 
-    def cell(label: int, predicted: int):
-        value = F.col("c.p") if predicted else F.col("c.n") - F.col("c.p")
-        return F.sum(F.when(F.col("label") == label, value).otherwise(0)).cast("bigint")
+    def cell(predicted: int, label: int) -> Column:
+        hit = (p == predicted) & (y == label)
+        return F.sum(F.when(hit, F.col("tw").cast("bigint")).otherwise(F.lit(0).cast("bigint")))
 
     return (
-        long.groupBy("s", "fold")
+        scored.groupBy("s", "fold")
         .agg(
             cell(1, 1).alias("tp"),
-            cell(0, 1).alias("fp"),
-            cell(1, 0).alias("fn"),
+            cell(1, 0).alias("fp"),
+            cell(0, 1).alias("fn"),
             cell(0, 0).alias("tn"),
         )
         .select(_name(names).alias("scenario"), "fold", "tp", "fp", "fn", "tn")
@@ -65,6 +57,7 @@ def average_over_folds(cells: DataFrame) -> DataFrame:
 def cross_validate(
     train: DataFrame,
     test: DataFrame,
+    key: Sequence[str],
     names: Sequence[str],
     classifier: str = NAIVE_BAYES,
     folds: int = FOLDS,
@@ -77,7 +70,7 @@ def cross_validate(
     """
     n = len(names)
     stats = spool(training_stats(train), "stats")
-    scored = margins(stats, test, n, classifier, folds, features)
+    scored = score(stats, test, key, n, classifier, folds, features)
     metrics = average_over_folds(fold_cells(scored, names))
 
     docs = class_totals(stats, n).select("label", F.posexplode("docs").alias("s", "docs"))

@@ -99,7 +99,7 @@ def _run_pass(corpus, specs, lex, classifier, in_sample, folds, seed, features)
         *key, F.col("test_fold").alias("fold"), "label", "text", "tw"
     )
     names = [s.scenario for s in specs]
-    return cross_validate(train, test, names, classifier, FOLDS, features)
+    return cross_validate(train, test, key, names, classifier, FOLDS, features)
 
 
 # ---------------------------------------------------------------- export

@@ -327,14 +327,14 @@ def _rounded(scored: DataFrame) -> DataFrame:
 @query("nb_predict")
 def nb_predict(spark, d):
     rows = _labelled(spark, d)
-    return _rounded(B.fit_predict(rows, rows))
+    return _rounded(B.fit_predict(rows, rows, "id"))
 
 
 @query("nb_holdout")
 def nb_holdout(spark, d):
     rows = _labelled(spark, d)
     held_out = fold_of("id") == X.HOLDOUT_FOLD
-    return _rounded(B.fit_predict(rows.filter(~held_out), rows.filter(held_out)))
+    return _rounded(B.fit_predict(rows.filter(~held_out), rows.filter(held_out), "id"))
 
 
 @query("svm1_model")
@@ -346,7 +346,7 @@ def svm1_model(spark, d):
 @query("svm1_predict")
 def svm1_predict(spark, d):
     rows = _labelled(spark, d)
-    return B.fit_predict(rows, rows, B.SVM_ONE_STEP).select("id", "label", "prediction")
+    return B.fit_predict(rows, rows, "id", B.SVM_ONE_STEP).select("id", "label", "prediction")
 
 
 def _generated(spark, d) -> DataFrame:
@@ -372,7 +372,7 @@ def _cv(classifier: str) -> Query:
         rows = suite_tables(corpus(spark, d), [spec], G.Lexicons())
         stats = spool(B.training_stats(rows.select("fold", "label", "text", "w")))
         test = rows.select("src_id", "fold", "label", "text", "tw")
-        scored = B.margins(stats, test, 1, classifier)
+        scored = B.score(stats, test, ["src_id"], 1, classifier)
         cells = fold_cells(scored, [spec.scenario])
         return _round_metrics(
             cells.join(M.binary_metrics(cells).select("fold", *METRICS), "fold")

@@ -56,39 +56,32 @@ def hashed_features(df: DataFrame, features: int = FEATURES) -> DataFrame:
 
 
 def training_stats(train: DataFrame) -> DataFrame:
-    """(term, fold, label, w, c, words): all a model needs, from one pass over the texts.
+    """(term, fold, label, w, c): all a model needs, from one pass over the texts.
 
     Rows with the same copy vector ``w`` are counted together (``c``); there are only a few
     different vectors, so the table is little wider than plain term counts.  The NULL term
-    counts the rows themselves and adds up their lengths in ``words``.
+    counts the rows themselves.
     """
-    terms = tokens("text")
+    terms = F.array_append(tokens("text"), F.lit(None).cast("string"))
     return (
-        train.select(
-            "fold",
-            "label",
-            "w",
-            F.size(terms).alias("_len"),
-            F.explode(F.array_append(terms, F.lit(None).cast("string"))).alias("term"),
-        )
+        train.select("fold", "label", "w", F.explode(terms).alias("term"))
         .groupBy("term", "fold", "label", "w")
-        .agg(
-            F.count("*").alias("c"),
-            F.sum(F.when(F.col("term").isNull(), F.col("_len"))).alias("words"),
-        )
+        .agg(F.count("*").alias("c"))
     )
 
 
 def class_totals(stats: DataFrame, n: int) -> DataFrame:
     """(fold, label, docs, terms): rows and tokens per scenario, two small rows per fold."""
-    w = F.col("w")
-    return (
-        stats.filter(F.col("term").isNull())
-        .groupBy("fold", "label")
-        .agg(
-            F.array(*[F.sum(w[s] * F.col("c")) for s in range(n)]).alias("docs"),
-            F.array(*[F.sum(w[s] * F.col("words")) for s in range(n)]).alias("terms"),
-        )
+    w, is_row = F.col("w"), F.col("term").isNull()
+    alike = stats.groupBy("fold", "label", "w").agg(
+        F.sum(F.when(is_row, F.col("c")).otherwise(0)).alias("docs"),
+        F.sum(F.when(~is_row, F.col("c")).otherwise(0)).alias("terms"),
+    )
+    return alike.groupBy("fold", "label").agg(
+        *[
+            F.array(*[F.sum(w[s] * F.col(name)) for s in range(n)]).alias(name)
+            for name in ("docs", "terms")
+        ]
     )
 
 
@@ -96,27 +89,34 @@ def term_weights(stats: DataFrame, n: int, classifier: str) -> DataFrame:
     """(term, base, by_fold): contribution of one occurrence of a term towards label 1.
 
     Vectors over scenarios: from all folds, and leaving one fold out.  ``by_fold`` only lists
-    the folds the term occurs in; leaving out another one changes nothing.  The list collected
-    per term has one entry per fold, class and copy vector, however frequent the term is.
+    the folds the term occurs in; leaving out another one changes nothing.  Rows are moved
+    while they are narrow, once by term for both aggregations, and the list collected per term
+    has one entry per fold and class, however frequent the term is.
     """
     zeros = F.array_repeat(F.lit(0).cast("bigint"), n)
-    per_term = (
+    w, c = F.col("w"), F.col("c")
+    per_fold = (
         stats.filter(F.col("term").isNotNull())
-        .groupBy("term")
-        .agg(F.collect_list(F.struct("fold", "label", "w", "c")).alias("e"))
+        .repartition("term")
+        .groupBy("term", "fold", "label")
+        .agg(*[F.sum(w[s] * c).alias(f"n{s}") for s in range(n)])
+        .select("term", "fold", "label", F.array(*[f"n{s}" for s in range(n)]).alias("n"))
+    )
+    per_term = per_fold.groupBy("term").agg(
+        F.collect_list(F.struct("fold", "label", "n")).alias("e")
     )
 
-    def counted(label: int, in_fold: Column | None) -> Column:
-        def wanted(e: Column) -> Column:
-            same = e["label"] == label
-            return same if in_fold is None else same & (e["fold"] == in_fold)
-
+    def total(label: int) -> Column:
         return F.aggregate(
-            F.filter("e", wanted),
+            F.filter("e", lambda e: e["label"] == label),
             zeros,
-            lambda acc, e: F.zip_with(acc, e["w"], lambda a, b: a + b * e["c"]),
+            lambda acc, e: F.zip_with(acc, e["n"], lambda a, b: a + b),
         )
 
+    def of_fold(label: int, fold: Column) -> Column:
+        hit = F.filter("e", lambda e: (e["label"] == label) & (e["fold"] == fold))
+        return F.coalesce(F.get(hit, F.lit(0))["n"], zeros)
+
     def weight(n0: Column, n1: Column) -> Column:
         if classifier == SVM_ONE_STEP:
             return F.zip_with(n0, n1, lambda a, b: (b - a).cast("double"))
@@ -127,12 +127,12 @@ def term_weights(stats: DataFrame, n: int, classifier: str) -> DataFrame:
 
     summed = per_term.select(
         "term",
-        counted(0, None).alias("n0"),
-        counted(1, None).alias("n1"),
+        total(0).alias("n0"),
+        total(1).alias("n1"),
         F.transform(
             F.array_distinct(F.transform("e", lambda e: e["fold"])),
             lambda f: F.struct(
-                f.alias("fold"), counted(0, f).alias("n0"), counted(1, f).alias("n1")
+                f.alias("fold"), of_fold(0, f).alias("n0"), of_fold(1, f).alias("n1")
             ),
         ).alias("own"),
     )

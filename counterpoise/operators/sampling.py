@@ -153,17 +153,17 @@ def undersample(df: DataFrame, *key: str, salt: str = "order") -> DataFrame:
     return df.filter(~major | (k <= found.keys["major"]))
 
 
-def oversample_copies(key: Column, minor: Column, cap: int, major_n: int, minor_n: int,
-                      extra_key: str) -> Column:
-    """How often a row is repeated so that the minority reaches the majority, at most ``cap``."""
+def minority_copies_sql(cap: int, major_n: int, minor_n: int, extra_key: str) -> str:
+    """Copies of a minority row with column ``key``, so that the minority reaches the majority.
+
+    At most ``cap``; the rows up to ``extra_key`` take one more than the others.
+    """
     if minor_n == 0:
-        return F.lit(1)
+        return "1"
     if major_n >= cap * minor_n:
-        return F.when(minor, F.lit(cap)).otherwise(F.lit(1))
+        return str(cap)
     base = major_n // minor_n
-    return F.when(
-        minor, F.lit(base) + F.when(key <= extra_key, F.lit(1)).otherwise(F.lit(0))
-    ).otherwise(F.lit(1))
+    return f"CASE WHEN key <= '{extra_key}' THEN {base + 1} ELSE {base} END"
 
 
 def oversample(df: DataFrame, cap: int, *key: str, salt: str = "order") -> DataFrame:
@@ -177,8 +177,9 @@ def oversample(df: DataFrame, cap: int, *key: str, salt: str = "order") -> DataF
         {"minor": lambda c: c["major"] % c["minor"] if c["minor"] else 0},
     )
     c = found.counts
-    n = oversample_copies(k, minor, cap, c["major"], c["minor"], found.keys["minor"])
-    return df.withColumn("copy", F.explode(copies(n)))
+    repeat = minority_copies_sql(cap, c["major"], c["minor"], found.keys["minor"])
+    n = F.when(minor, F.expr(repeat)).otherwise(F.lit(1))
+    return df.withColumn("key", k).withColumn("copy", F.explode(copies(n))).drop("key")
 
 
 # ---------------------------------------------------------------- dataset profiles

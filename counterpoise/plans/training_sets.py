@@ -18,7 +18,7 @@ from counterpoise.operators.sampling import (
     copies,
     find_limits,
     in_minority_sample,
-    oversample_copies,
+    minority_copies_sql,
     two_classes,
 )
 from counterpoise.plans.specs import Spec
@@ -72,24 +72,24 @@ def row_variants(
     return variants.withColumn("key", order_key("order", "src_id", "method"))
 
 
-def _membership(s: Spec, gens: Sequence[Gen]) -> tuple[Column, Column]:
-    """(is an original of the set, is a generated row of the set) before any sampling."""
-    base = F.lit(True) if s.base == "full" else F.col("in_sample")
-    original = base & (F.col("gen") == ORIGINAL)
+def _membership(s: Spec, gens: Sequence[Gen]) -> tuple[str, str]:
+    """(is an original of the set, is a generated row of the set) before any sampling, as SQL."""
+    base = "" if s.base == "full" else " AND in_sample"
+    original = f"(gen = {ORIGINAL}{base})"
     if s.gen is None:
-        return original, F.lit(False)
-    made = base & (F.col("gen") == gens.index(_both(s.gen)))
-    if s.gen.minority:
-        made = made & (F.col("label") == 1)
-    return original, made
+        return original, "false"
+    scope = " AND label = 1" if s.gen.minority else ""
+    return original, f"(gen = {gens.index(_both(s.gen))}{base}{scope})"
 
 
 def copy_counts(
     variants: DataFrame, specs: Sequence[Spec], gens: Sequence[Gen]
 ) -> list[Column]:
-    """Per scenario, how often a variant occurs in its training set."""
-    key = F.col("key")
-    major, minor = F.col("label") == 0, F.col("label") == 1
+    """Per scenario, how often a variant occurs in its training set.
+
+    Conditions are put together as SQL text: with dozens of scenarios that is much quicker
+    than building thousands of Column objects one call at a time.
+    """
     members = [_membership(s, gens) for s in specs]
 
     # 1. a fraction of the generated rows
@@ -98,9 +98,9 @@ def copy_counts(
         take = {
             g: (lambda c, g=g: int(c[g] * specs[int(g[1:])].fraction)) for g in groups
         }
-        keys = find_limits(variants, key, groups, take).keys
+        keys = _limits(variants, groups, take).keys
         members = [
-            (o, m & (key <= keys[f"m{i}"]) if f"m{i}" in keys else m)
+            (o, f"({m} AND key <= '{keys[f'm{i}']}')" if f"m{i}" in keys else m)
             for i, (o, m) in enumerate(members)
         ]
 
@@ -109,38 +109,44 @@ def copy_counts(
     for i, s in enumerate(specs):
         original, made = members[i]
         if s.perturb:
-            groups[f"o{i}"], groups[f"g{i}"] = original & major, made & major
+            groups[f"o{i}"], groups[f"g{i}"] = f"{original} AND label = 0", f"{made} AND label = 0"
             take[f"o{i}"] = take[f"g{i}"] = lambda c, i=i: c[f"o{i}"] // 2
         elif s.rebalance:
-            both = original | made
-            groups[f"a{i}"], groups[f"b{i}"] = both & major, both & minor
+            both = f"({original} OR {made})"
+            groups[f"a{i}"], groups[f"b{i}"] = f"{both} AND label = 0", f"{both} AND label = 1"
             if s.rebalance == "under":
                 take[f"a{i}"] = lambda c, i=i: c[f"b{i}"]
             else:
                 take[f"b{i}"] = lambda c, i=i: c[f"a{i}"] % c[f"b{i}"] if c[f"b{i}"] else 0
-    found = find_limits(variants, key, groups, take) if groups else None
+    found = _limits(variants, groups, take) if groups else None
 
     counts = []
     for i, s in enumerate(specs):
         original, made = members[i]
-        inside = original | made
+        inside, copies_of_minor = f"({original} OR {made})", "1"
         if s.perturb:
-            keys = found.keys
-            kept = minor | F.when(original, key <= keys[f"o{i}"]).otherwise(key <= keys[f"g{i}"])
-            inside = inside & kept
+            o, g = found.keys[f"o{i}"], found.keys[f"g{i}"]
+            last = f"CASE WHEN gen = {ORIGINAL} THEN '{o}' ELSE '{g}' END"
+            inside += f" AND (label = 1 OR key <= {last})"
         elif s.rebalance == "under":
-            inside = inside & (minor | (key <= found.keys[f"a{i}"]))
-        if s.rebalance == "over" and not s.perturb:
-            n = oversample_copies(
-                key, minor, s.cap, found.counts[f"a{i}"], found.counts[f"b{i}"],
-                found.keys[f"b{i}"],
+            inside += f" AND (label = 1 OR key <= '{found.keys[f'a{i}']}')"
+        elif s.rebalance == "over":
+            copies_of_minor = minority_copies_sql(
+                s.cap, found.counts[f"a{i}"], found.counts[f"b{i}"], found.keys[f"b{i}"]
+            )
+        counts.append(
+            F.expr(
+                f"CASE WHEN NOT ({inside}) THEN 0 WHEN label = 1 THEN {copies_of_minor} ELSE 1 END"
             )
-        else:
-            n = F.lit(1)
-        counts.append(F.when(inside, n).otherwise(F.lit(0)).cast("int"))
+        )
     return counts
 
 
+def _limits(variants: DataFrame, groups: dict[str, str], take: dict):
+    conditions = {g: F.expr(c) for g, c in groups.items()}
+    return find_limits(variants, F.col("key"), conditions, take)
+
+
 def is_sampled(s: Spec) -> bool:
     """True if the set depends on counts over the whole table."""
     return bool(s.rebalance or s.perturb or (s.gen and s.fraction < 1))

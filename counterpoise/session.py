@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_scratch: dict[str, str] = {}
+_scratch: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -33,7 +33,8 @@ def spread(df: DataFrame, *key: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: the one the cluster names in ``spark.checkpoint.dir``.
 
-    A temporary folder is used only in local mode, where driver and tasks share one disk.
+    A temporary folder is used only in local mode, where driver and tasks share one disk; it
+    goes away with the Python process.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
@@ -44,8 +45,8 @@ def scratch_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _scratch:
-        _scratch[app] = tempfile.mkdtemp(prefix="counterpoise-")
-    return _scratch[app]
+        _scratch[app] = tempfile.TemporaryDirectory(prefix="counterpoise-")
+    return _scratch[app].name
 
 
 def spool(df: DataFrame, name: str = "table") -> DataFrame:

@@ -3,7 +3,8 @@
 The index holds the test items, not the corpus.  Every training text is cut into overlapping
 passages, and every passage is a query: all items above a score threshold are retrieved, with no
 top-k.  An item's weights are divided by the item's own total, so a score is the share of the
-item that the passage covers.  A passage is at least as long as the longest item and the next
+item that the passage covers.  Score bounds per block of items, added up over a passage, rule out
+most blocks; in the others WAND finds the items.  A passage is at least as long as the longest item and the next
 one starts half a passage later, so two neighbours together hold any verbatim item and one of
 them scores at least 0.5; the threshold lies below that.  Retrieved items are verified on the
 whole text: the share of question and answer words that stand in common five-word shingles.
@@ -20,8 +21,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -36,14 +39,18 @@ THRESHOLD = 0.4  # share of an item's weight that a passage must cover
 OVERLAP = 0.8  # share of an item's words that must stand in common shingles
 SHINGLE = 5
 PASSAGE = 64  # words, or the longest item if that is longer
-BLOCK = 16  # postings per block
+BLOCKS = 64  # blocks of items, each with its own score bounds
+CHUNK_STEPS = 4096  # half passages of one text that are bounded at once
+SLACK = 1e-4  # of sums of single-precision bounds
 INDEX_WORDS = 2_000_000  # words of items in one index
 
-_TERM = re.compile(r"\w+")
+# ASCII punctuation separates words; everything else, letters beyond ASCII too, is kept
+_LETTERS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
-def terms(text: str | None) -> list[str]:
-    return _TERM.findall(text.lower()) if text else []
+def terms(text: str | None) -> list[bytes]:
+    """Lower-cased words of letters and digits."""
+    return (text or "").lower().encode("utf-8", "replace").translate(_LETTERS).split()
 
 
 def question_words(text: str) -> int:
@@ -56,7 +63,11 @@ def question_words(text: str) -> int:
 
 
 class Index:
-    """Inverted index with impacts, per-term maxima and block maxima."""
+    """Inverted index with impacts, and their maxima per term and block of items.
+
+    Items are dealt to BLOCKS blocks of neighbouring numbers.  ``block_tops`` has one row per
+    term, row 0 for words that no item has.
+    """
 
     def __init__(self, items: list[tuple[int, str]]):
         kept = [(i, t, terms(t)) for i, t in items]
@@ -67,9 +78,11 @@ class Index:
         self.shingles = [_shingles(w) for w in self.words]
         self.passage = max([PASSAGE, *map(len, self.words)])
         n = len(kept)
+        self.block = max(1, math.ceil(n / BLOCKS))
         mean = sum(map(len, self.words)) / n if n else 1.0
         df = Counter(t for w in self.words for t in set(w))
-        lists: dict[str, list[tuple[int, float]]] = defaultdict(list)
+        self.number = {t: i + 1 for i, t in enumerate(sorted(df))}
+        lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for d, w in enumerate(self.words):
             own = {}
             for t, tf in Counter(w).items():
@@ -77,60 +90,48 @@ class Index:
                 own[t] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean))
             total = sum(own.values())
             for t, x in own.items():
-                lists[t].append((d, x / total))
+                lists[self.number[t]].append((d, x / total))
         self.docs = {t: [d for d, _ in p] for t, p in lists.items()}
         self.impacts = {t: [x for _, x in p] for t, p in lists.items()}
-        self.tops = {
-            t: [max(x[i : i + BLOCK]) for i in range(0, len(x), BLOCK)]
-            for t, x in self.impacts.items()
-        }
-        self.most = {t: max(x) for t, x in self.impacts.items()}
-
-    def above(self, query: set[str], least: float) -> dict[int, float]:
-        """All items that score ``least`` or more, by block-max WAND."""
-        slack = least - 1e-9
-        lists = [(self.docs[t], self.impacts[t], self.tops[t], self.most[t]) for t in query]
-        at = [0] * len(lists)
-        live = list(range(len(lists)))
+        self.block_tops = np.zeros((len(df) + 1, BLOCKS), np.float32)
+        for t, p in lists.items():
+            for d, x in p:
+                at = (t, d // self.block)
+                self.block_tops[at] = max(self.block_tops[at], x)
+
+    def above(self, query: set[int], block: int, least: float) -> dict[int, float]:
+        """All items of one block that score ``least`` or more, by WAND: lists stay sorted by
+        their next item, and the bounds of the first lists say which item can reach it."""
+        first, end = block * self.block, (block + 1) * self.block
+        lists = []
+        for t in query:
+            docs = self.docs[t]
+            a, b = bisect_left(docs, first), bisect_left(docs, end)
+            if a < b:
+                lists.append((docs[a:b], self.impacts[t][a:b], float(self.block_tops[t, block])))
+        at, live = [0] * len(lists), list(range(len(lists)))
         found: dict[int, float] = {}
         while live:
             live.sort(key=lambda k: lists[k][0][at[k]])
-            bound, pivot = 0.0, -1
-            for rank, k in enumerate(live):
-                bound += lists[k][3]
-                if bound >= slack:
-                    pivot = rank
+            bound, goal = 0.0, None
+            for k in live:
+                bound += lists[k][2]
+                if bound >= least:
+                    goal = lists[k][0][at[k]]
                     break
-            if pivot < 0:
+            if goal is None:
                 break
-            d = lists[live[pivot]][0][at[live[pivot]]]
-            while pivot + 1 < len(live) and lists[live[pivot + 1]][0][at[live[pivot + 1]]] == d:
-                pivot += 1
-            blocks, end = 0.0, None
-            for k in live[: pivot + 1]:
-                docs, _, tops, _ = lists[k]
-                b = _block_of(docs, at[k], d)
-                if b is not None:
-                    blocks += tops[b]
-                    last = docs[min((b + 1) * BLOCK, len(docs)) - 1]
-                    end = last if end is None else min(end, last)
-            if blocks >= slack:
-                score, goal = 0.0, d + 1
-                for k in live[: pivot + 1]:
-                    docs = lists[k][0]
-                    at[k] = _seek(docs, at[k], d)
-                    if at[k] < len(docs) and docs[at[k]] == d:
-                        score += lists[k][1][at[k]]
-                if score >= slack:
-                    found[d] = score
-            else:
-                after = live[pivot + 1 :]
-                goal = max(d, end if end is not None else d) + 1
-                if after:
-                    goal = min(goal, lists[after[0]][0][at[after[0]]])
-                goal = max(goal, d + 1)
-            for k in live[: pivot + 1]:
-                at[k] = _seek(lists[k][0], at[k], goal)
+            score = 0.0
+            for k in live:
+                docs = lists[k][0]
+                if docs[at[k]] > goal:
+                    break
+                at[k] = bisect_left(docs, goal, at[k])
+                if at[k] < len(docs) and docs[at[k]] == goal:
+                    score += lists[k][1][at[k]]
+                    at[k] += 1
+            if score >= least:
+                found[goal] = score
             live = [k for k in live if at[k] < len(lists[k][0])]
         return found
 
@@ -139,25 +140,29 @@ class Index:
         words = terms(text)
         if not words or not self.ids:
             return []
-        weight = self.most.get
-        bounds = np.array([weight(w, 0.0) for w in words])
+        number = np.fromiter(map(self.number.get, words, repeat(0)), np.int32, len(words))
         step = self.passage // 2
-        starts = np.arange(0, max(1, len(words) - self.passage + step), step)
-        run = np.concatenate([[0.0], np.cumsum(bounds)])
-        ends = np.minimum(starts + self.passage, len(words))
-        hot = starts[run[ends] - run[starts] >= THRESHOLD - 1e-9]
         best: dict[int, float] = {}
-        for s in hot.tolist():
-            query = {w for w in words[s : s + self.passage] if w in self.most}
-            if sum(map(self.most.__getitem__, query)) < THRESHOLD - 1e-9:
-                continue
-            for d, score in self.above(query, THRESHOLD).items():
-                best[d] = max(best.get(d, 0.0), score)
-        if not best:
-            return []
-        return self._verified(words, best)
-
-    def _verified(self, words: list[str], best: dict[int, float]):
+        for chunk in range(0, len(words), step * CHUNK_STEPS):
+            part = number[chunk : chunk + step * CHUNK_STEPS + self.passage]
+            known = np.flatnonzero(part)  # a word counts once per half passage
+            place = known // step * len(self.block_tops) + part[known]
+            place = np.unique(place)
+            halves = np.zeros((math.ceil(len(part) / step), BLOCKS), np.float32)
+            half, cuts = np.unique(place // len(self.block_tops), return_index=True)
+            if len(half):
+                tops = self.block_tops[place % len(self.block_tops)]
+                halves[half] = np.add.reduceat(tops, cuts, axis=0)
+            bounds = halves[:-1] + halves[1:] if len(halves) > 1 else halves
+            if self.passage % 2:
+                bounds = bounds + self.block_tops.max(axis=0)
+            for i, block in np.argwhere(bounds >= THRESHOLD - SLACK).tolist():
+                query = set(part[i * step : i * step + self.passage].tolist()) - {0}
+                for d, score in self.above(query, block, THRESHOLD - SLACK).items():
+                    best[d] = max(best.get(d, 0.0), score)
+        return self._verified(words, best) if best else []
+
+    def _verified(self, words: list[bytes], best: dict[int, float]):
         sizes = {min(SHINGLE, len(self.words[d])) for d in best}
         own = {k: set(zip(*[words[i:] for i in range(k)])) for k in sizes}
         out = []
@@ -175,27 +180,11 @@ class Index:
         return out
 
 
-def _shingles(words: list[str]) -> list[tuple[str, ...]]:
+def _shingles(words: list[bytes]) -> list[tuple[bytes, ...]]:
     k = min(SHINGLE, len(words))
     return list(zip(*[words[i:] for i in range(k)]))
 
 
-def _seek(docs: list[int], at: int, d: int) -> int:
-    while at < len(docs) and docs[at] < d:
-        at += 1
-    return at
-
-
-def _block_of(docs: list[int], at: int, d: int) -> int | None:
-    """Block that would hold document ``d``, looking from position ``at`` on."""
-    b = at // BLOCK
-    while b * BLOCK < len(docs):
-        if docs[min((b + 1) * BLOCK, len(docs)) - 1] >= d:
-            return b
-        b += 1
-    return None
-
-
 def indexes(items: DataFrame, key: str = "item_id", text: str = "text") -> list[Index]:
     """Indexes over all items, each of at most INDEX_WORDS words (or one item)."""
     rows = items.select(key, text).filter(F.col(text).isNotNull()).orderBy(key, text)

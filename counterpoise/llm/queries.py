@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from counterpoise.llm import decontaminate, mixing, quality, sharding, simhash, urlfilter, urltable
+from counterpoise.llm import (
+    decontaminate,
+    langid,
+    mixing,
+    quality,
+    repeats,
+    sharding,
+    simhash,
+    topk,
+    urlfilter,
+    urltable,
+)
 from counterpoise.llm.common import held_out, read, word_count
 from counterpoise.session import spool
 
@@ -97,3 +108,75 @@ def op7_simhash_components(spark, d):
     return found.select(
         "doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id"
     )
+
+
+@query
+def op3_top_inner_products(spark, d):
+    rows = read(spark, d, "embeddings").select(
+        "vec_id", topk.quantized(F.col("embedding")).alias("v")
+    )
+    return topk.top_inner_products(rows, rows.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
+@query
+def op8_language_id(spark, d):
+    docs = read(spark, d, "documents")
+    model = langid.fit(docs)
+    found = docs.select("doc_id", langid.predicted(model, F.col("text")).alias("p"))
+    return found.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "p.lang_pred",
+        "p.score",
+        (F.col("p.score") < model.threshold).alias("rejected"),
+    )
+
+
+@query
+def op6_remove_repeats(spark, d):
+    left = repeats.remove_repeats(read(spark, d, "documents"))
+    digest = F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    return left.select("doc_id", "n_words", "n_removed", digest)
+
+
+ORACLES["op6_remove_repeats"] = r"""
+WITH w AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+    FROM documents
+), win AS (
+    SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g
+    FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)
+), late AS (
+    SELECT doc_id, i
+    FROM win JOIN (SELECT g, min(doc_id) AS lo FROM win GROUP BY g) USING (g)
+    WHERE doc_id > lo
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM late
+), words AS (
+    SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w
+), kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n
+    FROM words ANTI JOIN gone USING (doc_id, p)
+    GROUP BY doc_id
+)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES["op3_top_inner_products"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id
+    WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank
+      FROM s)
+WHERE rank <= 5
+"""

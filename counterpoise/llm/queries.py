@@ -12,6 +12,7 @@ from counterpoise.llm import (
     repeats,
     sharding,
     simhash,
+    surrogates,
     topk,
     urlfilter,
     urltable,
@@ -180,3 +181,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
       FROM s)
 WHERE rank <= 5
 """
+
+
+@query
+def op2_surrogates(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    return surrogates.replace_entities(docs, key=b"example key, replace it")

@@ -72,7 +72,7 @@ KINDS = {
     "phone": r"(?<!\w)(?P<e>\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}"
     r"|\(\d{2,4}\) ?\d{3}[ .-]\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)",
     "ssn": r"(?<!\w)(?P<e>\d{3}-\d{2}-\d{4})(?!\w)",
-    "name": rf"(?<!\w)(?P<t>{_TITLE})\.?[ ](?P<e>{_CAPITAL}(?:[ -]{_CAPITAL})?)",
+    "name": rf"(?<!\w)(?P<t>{_TITLE})\.?[ ](?P<e>{_CAPITAL}(?:[ -]{_CAPITAL}){{0,2}})",
 }
 _PATTERNS = {k: re.compile(p) for k, p in KINDS.items()}
 _MAYBE = re.compile(rf"[\d@=:]|(?<!\w)(?:{_TITLE})\.? ")
@@ -213,8 +213,8 @@ def rendered(kind: str, surface: str, made: str) -> str:
         if len(words) == 1:
             return new[0].upper() if surface.isupper() else new[0].capitalize()
         first = new[0].upper() if words[0].isupper() else new[0].capitalize()
-        last = new[-1].upper() if words[2].isupper() else new[-1].capitalize()
-        return first + words[1] + last
+        last = new[-1].upper() if words[-1].isupper() else new[-1].capitalize()
+        return f"{first} {last}"
     return made
 
 

@@ -2,7 +2,7 @@
 
 Everything is a DataFrame transformation.  Typical use::
 
-    from counterpoise.sources.corpus import read_corpus
+    from counterpoise.sources.lines import read_corpus
     from counterpoise.operators.generate import Gen, Lexicons, generate
     from counterpoise.plans.specs import Spec
     from counterpoise.plans.training_sets import build_training_set

@@ -2,12 +2,12 @@
 
 A generator is described by a ``Gen``.  ``generate`` runs any number of them over one corpus:
 
-1. rows are hash-partitioned by id once, then exploded to tokens;
-2. one lookup join brings every lexicon value a token may need;
-3. tokens are collected per row, which needs no further exchange;
-4. each ``Gen`` becomes one array expression over the collected tokens.
+1. the lexicons become one small value, buckets of maps, that every task holds;
+2. each token is looked up where it stands, so a row never leaves its place and needs no id;
+3. each ``Gen`` becomes one array expression over the tokens.
 
-Blankout without vocabulary needs no lookup and stays inside the row from start to end.
+Lexicons above a checked number of bytes are joined instead: identical rows are counted once,
+exploded to tokens, joined, collected by all their columns, and repeated.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from counterpoise.functions.text import (
     stripped,
     tokens,
 )
-from counterpoise.operators.lookup import lookup_join
+from counterpoise.operators.lookup import fits_in_row, look_up, lookup_join, lookup_value
+from counterpoise.session import spool
 
 TWO_STAGE, SINGLE_PASS, ONE_WORD = "two_stage", "single_pass", "one_word"
 
@@ -136,8 +137,11 @@ def _atoms(gens: Sequence[Gen]) -> list[str]:
     return need
 
 
-def _atom(name: str, w: Column) -> Column:
-    """Value of one atom for a token; NULL means 'does not apply'."""
+def _atom(name: str, w: Column, value) -> Column:
+    """Value of one atom for a token; NULL means 'does not apply'.
+
+    ``value`` gives the lexicon value of a name for the token.
+    """
     if name == "strip_raw":
         return stripped(w)
     if name == "strip_low":
@@ -149,16 +153,16 @@ def _atom(name: str, w: Column) -> Column:
     if name == "protected":
         return F.when(is_protected(w), True)
     if name == "swap_low":
-        return F.col("l_antonym")
+        return value("l_antonym")
     if name == "swap_raw":
         # lexicon keys are lower case, so a raw hit is a hit on a word equal to its key
-        return F.when(w == F.col("lw"), F.col("l_antonym"))
+        return F.when(w == F.lower(w), value("l_antonym"))
     if name == "swap_senti":
-        return F.when(F.col("l_senti"), F.col("l_antonym"))
+        return F.when(value("l_senti"), value("l_antonym"))
     if name == "senti_raw":
-        return F.col("l_senti_raw")
+        return value("l_senti_raw")
     if name.startswith("similar_"):
-        return F.col("l_" + name)
+        return value("l_" + name)
     raise ValueError(name)
 
 
@@ -195,34 +199,64 @@ def with_tokens(df: DataFrame, gens: Sequence[Gen], lex: Lexicons) -> DataFrame:
     """Adds ``toks`` (pos, w, atoms...) and, per atom, how often and where it first occurs."""
     names = _atoms(gens)
     table = _word_table(gens, lex)
-    needs_senti = "senti_raw" in names
-    if table is None and not needs_senti:
-        toks = F.transform(
-            tokens("text"),
-            lambda w, i: F.struct(
-                i.alias("pos"), w.alias("w"), *[_atom(n, w).alias(n) for n in names]
-            ),
-        )
-        return df.withColumn("toks", toks)
+    if table is None and "senti_raw" not in names:
+        return df.withColumn("toks", _in_row_tokens(names, None))
 
-    carried = [c for c in df.columns if c != "text"]
-    tok = (
-        df.repartition("id")
-        .select(*carried, F.posexplode(tokens("text")).alias("pos", "w"))
-        .withColumn("lw", F.lower("w"))
-    )
+    tables: dict[str, DataFrame] = {}
     if table is not None:
-        tok = lookup_join(tok, table, "lw")
-    if needs_senti:
-        vocabulary = lex.senti.select(F.col("word").alias("w"), F.lit(True).alias("l_senti_raw"))
-        tok = lookup_join(tok, vocabulary, "w")
+        tables["lw"] = spool(table, "words")
+    if "senti_raw" in names:
+        words = lex.senti.select(F.col("word").alias("w"), F.lit(True).alias("l_senti_raw"))
+        tables["w"] = spool(words.distinct(), "vocabulary")
+    if not all(fits_in_row(t) for t in tables.values()):
+        return _joined_tokens(df, names, tables)
+
+    for key, t in tables.items():
+        df = df.withColumn(f"_{key}_table", lookup_value(t, key).scalar())
+
+    def find(w: Column, name: str) -> Column:
+        key = "w" if name == "l_senti_raw" else "lw"
+        word = w if key == "w" else F.lower(w)
+        return look_up(F.col(f"_{key}_table"), word)[name]
+
+    rows = df.withColumn("toks", _in_row_tokens(names, find))
+    rows = rows.drop(*[f"_{key}_table" for key in tables])
+    hits = {n: _with_atom(n) for n in names}
+    return rows.withColumns(
+        {f"n_{n}": F.size(h) for n, h in hits.items()}
+        | {f"at_{n}": F.get(h, F.lit(0))["pos"] for n, h in hits.items()}
+    )
+
+
+def _with_atom(name: str) -> Column:
+    return F.filter("toks", lambda t: t[name].isNotNull())
+
+
+def _in_row_tokens(names: Sequence[str], find) -> Column:
+    def token(w: Column, i: Column) -> Column:
+        atoms = [_atom(n, w, lambda name: find(w, name)).alias(n) for n in names]
+        return F.struct(i.alias("pos"), w.alias("w"), *atoms)
+
+    return F.transform(tokens("text"), token)
+
+
+def _joined_tokens(df: DataFrame, names: Sequence[str], tables: dict) -> DataFrame:
+    """The same by joins; a row is known by all its columns, identical rows share the work."""
+    columns = df.columns
+    once = df.groupBy(*columns).agg(F.count("*").alias("_same"))
+    tok = once.select("*", F.posexplode(tokens("text")).alias("pos", "w"))
+    tok = tok.withColumn("lw", F.lower("w"))
+    for key, t in tables.items():
+        tok = lookup_join(tok, t, key)
     w = F.col("w")
-    tok = tok.select(*carried, "pos", "w", *[_atom(n, w).alias(n) for n in names])
-    return tok.groupBy(*carried).agg(
+    tok = tok.select(*columns, "_same", "pos", "w", *[_atom(n, w, F.col).alias(n) for n in names])
+    rows = tok.groupBy(*columns, "_same").agg(
         F.sort_array(F.collect_list(F.struct("pos", "w", *names))).alias("toks"),
-        *[F.count(n).alias(f"n_{n}") for n in names],
+        *[F.count(n).cast("int").alias(f"n_{n}") for n in names],
         *[F.min(F.when(F.col(n).isNotNull(), F.col("pos"))).alias(f"at_{n}") for n in names],
     )
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_same")))
+    return rows.withColumn("_nth", again).drop("_same", "_nth")
 
 
 # ---------------------------------------------------------------- rewriting
@@ -389,11 +423,10 @@ def antonym_prefilter(corpus: DataFrame, antonyms: DataFrame) -> DataFrame:
     """Rows with at most one negation or lexicon word, unchanged, with both counts."""
     probe = antonym(0)
     rows = with_tokens(corpus, [probe], Lexicons(antonyms=antonyms))
-    text = F.array_join(F.transform("toks", lambda t: t["w"]), " ")
     return rows.filter(prefilter_keeps(F.col("n_negated"), F.col("n_swap_low"))).select(
         "id",
         "sentiment",
-        text.alias("text"),
+        "text",
         F.col("n_negated").alias("n_negations"),
         F.col("n_swap_low").alias("n_antonyms"),
     )

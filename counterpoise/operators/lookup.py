@@ -8,12 +8,14 @@ task, whatever share of all tokens it has.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from counterpoise.session import spool
 
 BROADCAST_ROWS = 1_000_000
+IN_ROW_BYTES = 16 << 20
+BUCKETS = 4096
 STEPS_PER_DOUBLING = 8
 
 
@@ -58,3 +60,37 @@ def lookup_join(
     in_head = rows.join(F.broadcast(head_table), key)
     in_tail = rows.join(F.broadcast(head), key, "left_anti").join(table, key, how)
     return in_head.unionByName(in_tail)
+
+
+# ---------------------------------------------------------------- lookups inside the row
+
+
+def fits_in_row(table: DataFrame, max_bytes: int | None = None) -> bool:
+    """Whether the text of ``table`` is small enough to be held by every task."""
+    limit = IN_ROW_BYTES if max_bytes is None else max_bytes
+    width = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in table.columns]
+    return (table.agg(F.sum(sum(width[1:], width[0]))).first()[0] or 0) <= limit
+
+
+def _bucket(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+
+
+def lookup_value(table: DataFrame, key: str) -> DataFrame:
+    """``table`` (unique on ``key``) as one value: an array of small maps, by hash of the key."""
+    values = F.struct(*[c for c in table.columns if c != key]).alias("v")
+    entries = table.select(_bucket(F.col(key)).alias("b"), F.struct(F.col(key).alias("k"), values).alias("e"))
+    filled = entries.groupBy("b").agg(F.collect_list("e").alias("e"))
+    every = table.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
+    parts = every.join(filled, "b", "left").agg(F.sort_array(F.collect_list(F.struct("b", "e"))))
+    return parts.toDF("parts").select(
+        F.transform(
+            "parts",
+            lambda p: F.map_from_entries(p["e"]),
+        )
+    )
+
+
+def look_up(value: Column, word: Column) -> Column:
+    """The struct that ``lookup_value`` holds for a word, or NULL."""
+    return F.element_at(F.get(value, _bucket(word)), word)

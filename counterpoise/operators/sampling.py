@@ -19,15 +19,20 @@ from counterpoise.functions.text import hash_below, label_of, order_key
 
 DIGITS = 3
 RANKED_ROWS = 1_000_000
+KEY_DIGITS = 32  # of an md5 in hexadecimal
 NOTHING, EVERYTHING = "", "~"  # below and above every hex digest
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Row counts of some groups and, for some of them, the key of the n-th row."""
+    """Row counts of some groups and, for some of them, the key of the n-th row.
+
+    ``ties``: where more rows have that key than are still wanted, how many of them are.
+    """
 
     counts: dict[str, int]
     keys: dict[str, str]
+    ties: dict[str, int]
 
 
 def find_limits(
@@ -63,11 +68,24 @@ def find_limits(
             keys[g] = EVERYTHING
         else:
             edges[g] = _edge([(r["_prefix"], r[g]) for r in table], n)
-    while edges and max(rows for _, _, rows in edges.values()) > RANKED_ROWS:
+    ties: dict[str, int] = {}
+    while edges:
+        # a slice of one whole key cannot be narrowed any more
+        for g, (prefix, rank, rows) in list(edges.items()):
+            if len(prefix) >= KEY_DIGITS:
+                keys[g] = prefix
+                if rank < rows:
+                    ties[g] = rank
+                del edges[g]
+        if not edges or max(rows for _, _, rows in edges.values()) <= RANKED_ROWS:
+            break
         edges = _refine(flagged, edges)
     if edges:
-        keys.update(_rank(flagged, edges))
-    return Limits(counts, keys)
+        for g, (edge_key, wanted, rows) in _rank(flagged, edges).items():
+            keys[g] = edge_key
+            if wanted < rows:
+                ties[g] = wanted
+    return Limits(counts, keys, ties)
 
 
 def _edge(per_prefix: list[tuple[str, int]], n: int) -> tuple[str, int, int]:
@@ -103,23 +121,35 @@ def _refine(flagged: DataFrame, edges: dict[str, tuple[str, int, int]]) -> dict:
     }
 
 
-def _rank(flagged: DataFrame, edges: Mapping[str, tuple[str, int, int]]) -> dict[str, str]:
+def _rank(flagged: DataFrame, edges: Mapping[str, tuple[str, int, int]]) -> dict:
+    """Per group the n-th key, how many of its rows are wanted, and how many there are."""
     ranks = F.create_map(*[F.lit(x) for g, e in edges.items() for x in (g, e[1])])
-    nth = F.row_number().over(Window.partitionBy("_g").orderBy("_key"))
+    same = _in_edges(flagged, edges).groupBy("_g", "_key").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_g").orderBy("_key"))
+    wanted = F.element_at(ranks, F.col("_g"))
     found = (
-        _in_edges(flagged, edges)
-        .withColumn("_nth", nth)
-        .filter(F.col("_nth") == F.element_at(ranks, F.col("_g")))
+        same.withColumn("_upto", upto)
+        .filter((F.col("_upto") >= wanted) & (F.col("_upto") - F.col("_n") < wanted))
+        .select("_g", "_key", (wanted - F.col("_upto") + F.col("_n")).alias("_wanted"), "_n")
         .collect()  # one row per group
     )
-    return {r["_g"]: r["_key"] for r in found}
+    return {r["_g"]: (r["_key"], r["_wanted"], r["_n"]) for r in found}
+
+
+def _upto(df: DataFrame, key: Column, found: Limits, group: str) -> DataFrame:
+    """The first rows of ``df`` up to a limit; of rows with the last key as many as are wanted."""
+    last = found.keys[group]
+    if group not in found.ties:
+        return df.filter(key <= last)
+    tied = df.filter(key == last).orderBy(*df.columns).limit(found.ties[group])
+    return df.filter(key < last).unionByName(tied)
 
 
 def first_n(df: DataFrame, n: int, *key: str, salt: str = "order") -> DataFrame:
-    """Exactly min(n, rows) rows of ``df``; ``key`` columns identify a row."""
+    """Exactly min(n, rows) rows of ``df``, in the random order of the ``key`` columns."""
     k = order_key(salt, *key)
     found = find_limits(df, k, {"rows": F.lit(True)}, {"rows": lambda c: n})
-    return df.filter(k <= found.keys["rows"])
+    return _upto(df, k, found, "rows")
 
 
 def first_fraction(df: DataFrame, fraction: float, *key: str, salt: str = "order") -> DataFrame:
@@ -128,7 +158,7 @@ def first_fraction(df: DataFrame, fraction: float, *key: str, salt: str = "order
     found = find_limits(
         df, k, {"rows": F.lit(True)}, {"rows": lambda c: int(c["rows"] * fraction)}
     )
-    return df.filter(k <= found.keys["rows"])
+    return _upto(df, k, found, "rows")
 
 
 def bernoulli(df: DataFrame, probability: float, *key: str, salt: str = "sample") -> DataFrame:
@@ -150,7 +180,7 @@ def undersample(df: DataFrame, *key: str, salt: str = "order") -> DataFrame:
     found = find_limits(
         df, k, {"major": major, "minor": ~major}, {"major": lambda c: c["minor"]}
     )
-    return df.filter(~major | (k <= found.keys["major"]))
+    return df.filter(~major).unionByName(_upto(df.filter(major), k, found, "major"))
 
 
 def minority_copies_sql(cap: int, major_n: int, minor_n: int, extra_key: str) -> str:
@@ -184,9 +214,8 @@ def oversample(df: DataFrame, cap: int, *key: str, salt: str = "order") -> DataF
 
 # ---------------------------------------------------------------- dataset profiles
 
-# Share of the minority class that is kept, and the cap on the majority class.
+# Fixed value: share of the minority class that is kept.
 MINORITY_SHARE = 0.2
-MAJORITY_CAP = 11_427
 
 
 def in_minority_sample(share: float = MINORITY_SHARE) -> Column:
@@ -195,36 +224,32 @@ def in_minority_sample(share: float = MINORITY_SHARE) -> Column:
     return (F.col("sentiment") == "positive") | kept
 
 
-def two_classes(corpus: DataFrame) -> DataFrame:
-    return corpus.filter(F.col("sentiment").isin("positive", "negative"))
-
-
 def prepare(
     corpus: DataFrame,
     profile: str,
     share: float = MINORITY_SHARE,
-    cap: int = MAJORITY_CAP,
+    cap: int | None = None,
 ) -> DataFrame:
     """Training rows of one dataset profile.
 
     sampled_minority  all positives, a random share of the negatives
     capped            the first ``cap`` positives, a random share of the negatives
-    asis              both classes unchanged
+    asis              every row, also of further classes, which count as the minority
     """
     if profile == "asis":
-        return two_classes(corpus)
+        return corpus
     if profile == "capped":
+        if cap is None:
+            raise ValueError("the capped profile needs a cap")
         corpus = capped_majority(corpus, cap)
     elif profile != "sampled_minority":
         raise ValueError(f"unknown profile {profile!r}")
     return corpus.filter(in_minority_sample(share))
 
 
-def capped_majority(corpus: DataFrame, cap: int = MAJORITY_CAP) -> DataFrame:
-    """All negatives and the first ``cap`` positives: the test side of the capped profile."""
+def capped_majority(corpus: DataFrame, cap: int) -> DataFrame:
+    """The first ``cap`` positives and all other rows: the test side of the capped profile."""
     k = order_key("cap", "id")
-    major = F.col("sentiment") == "positive"
+    major = F.coalesce(F.col("sentiment") == "positive", F.lit(False))
     found = find_limits(corpus, k, {"major": major}, {"major": lambda c: cap})
-    return corpus.filter(
-        (F.col("sentiment") == "negative") | (major & (k <= found.keys["major"]))
-    )
+    return corpus.filter(~major).unionByName(_upto(corpus.filter(major), k, found, "major"))

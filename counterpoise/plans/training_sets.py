@@ -19,7 +19,6 @@ from counterpoise.operators.sampling import (
     find_limits,
     in_minority_sample,
     minority_copies_sql,
-    two_classes,
 )
 from counterpoise.plans.specs import Spec
 from counterpoise.session import spool
@@ -54,7 +53,8 @@ def row_variants(
     ``key`` is the random order in which rows are taken when a set is cut or topped up.
     """
     flag = in_minority_sample() if in_sample is None else in_sample
-    rows = two_classes(corpus).select("id", "sentiment", "text", flag.alias("in_sample"))
+    flag = F.coalesce(flag, F.lit(False))
+    rows = corpus.select("id", "sentiment", "text", flag.alias("in_sample"))
     originals = rows.select(
         F.col("id").alias("src_id"),
         "in_sample",
@@ -200,7 +200,7 @@ def build_training_set(
 def _redrawn(corpus, spec, lex, in_sample, seed) -> DataFrame:
     once = build_training_set(corpus, spec, lex, in_sample, seed)
     gens = [Gen(**{**spec.gen.__dict__, "draw": i}) for i in range(spec.cap)]
-    draws = generate(two_classes(corpus), gens, lex, seed).select(
+    draws = generate(corpus, gens, lex, seed).select(
         "src_id", F.lit("blankout").alias("method"), (F.col("gen") + 1).alias("copy"),
         F.col("text").alias("drawn"),
     )

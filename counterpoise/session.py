@@ -10,15 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 _scratch: dict[str, tempfile.TemporaryDirectory] = {}
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Runtime settings the plans rely on; all of them can be overridden afterwards."""
-    spark.conf.set("spark.sql.adaptive.enabled", "true")
-    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    # Re-building a text from its tokens collects one small list per row.  The default of
-    # 128 groups per task would turn that into a sort of every token.
-    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "65536")
+_SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
     # Per-row work on texts is heavy for its bytes: keep all cores busy on small inputs too.
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Runtime settings the plans rely on, where the user has not chosen others."""
+    for name, value in _SETTINGS.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
     return spark
 
 

@@ -8,9 +8,8 @@ five_col   c0,c1,c2,text,label                    id, c0, c1, c2, text, label
 tsv4       c0 <TAB> sentiment <TAB> c2 <TAB> text id, c0, sentiment, c2, text
 =========  =====================================  =========================
 
-A comma inside the text ends it, as in any plain comma split.  ``id`` must be unique: the
-generators use it to put a text back together.  In the two wider layouts it is ``c0`` when
-that is a number and a hash of ``c0`` otherwise.
+A comma inside the text ends it, as in any plain comma split.  ``id`` is the first field when
+that is a number and a hash of it otherwise; it need not be unique.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ def _fields(layout: str) -> dict[str, Column]:
     if layout == "comma":
         parts = F.split(value, ",")
         return {
-            "id": F.get(parts, F.lit(0)).try_cast("bigint"),
+            "id": _row_id(F.get(parts, F.lit(0))),
             "sentiment": F.get(parts, F.lit(1)),
             "text": F.get(parts, F.lit(2)),
         }

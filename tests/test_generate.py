@@ -168,3 +168,21 @@ def test_digit_labels(spark, lex):
     rows = spark.createDataFrame([(1, " 1", "good x"), (2, "0", "good y"), (3, "?", "good")], SCHEMA)
     made = generate(rows, [Gen("antonym", case=4, flip="digit")], lex).collect()
     assert {r["src_id"]: r["sentiment"] for r in made} == {1: "0", 2: "1", 3: "1"}
+
+
+def repeated(spark):
+    rows = [(1, "positive", "a bad day"), (1, "positive", "good food here"),
+            (1, "positive", "good food here"), (1, "positive", "so so")]
+    return spark.createDataFrame(rows, "id long, sentiment string, text string")
+
+
+def test_repeated_ids_stay_apart(spark, lex):
+    made = generate(repeated(spark), [antonym(2)], lex)
+    assert [r["text"] for r in made.collect()] == ["bad food here"] * 2
+
+
+def test_large_lexicons_are_joined_with_the_same_result(spark, lex, monkeypatch):
+    gens = [antonym(2), antonym(4, senti=True), similar("a"), blankout(1, senti=True)]
+    small = sorted(map(tuple, generate(repeated(spark), gens, lex).collect()))
+    monkeypatch.setattr("counterpoise.operators.lookup.IN_ROW_BYTES", 0)
+    assert sorted(map(tuple, generate(repeated(spark), gens, lex).collect())) == small

@@ -17,14 +17,11 @@ def corpus(spark, tmp_path):
     return spark.read.parquet(path).select("id", "sentiment", "text")
 
 
-def test_generators_shuffle_whole_rows_once(spark, lex, tmp_path):
+def test_generators_do_not_move_documents(spark, lex, tmp_path):
     df = generate(corpus(spark, tmp_path), [antonym(2), similar("a"), blankout(2, True)], lex)
-    main = plan_of(df)
-    assert main.count("REPARTITION_BY_COL") == 1
-    assert "hashpartitioning(id#" in main and main.count("hashpartitioning(id#") == 1
-    assert "BroadcastHashJoin" in main and "SortMergeJoin" not in main
-    assert "SinglePartition" not in main and "Python" not in main
-    assert "unused" not in main
+    main = plan_of(df).split("Subqueries")[0]
+    assert "Exchange" not in main.split("Subquery")[0]
+    assert "Join" not in main.split("Subquery")[0]
 
 
 def test_blankout_alone_does_not_shuffle(spark, tmp_path):
@@ -34,7 +31,8 @@ def test_blankout_alone_does_not_shuffle(spark, tmp_path):
 
 def test_minority_scope_is_pushed_to_the_scan(spark, lex, tmp_path):
     plan = plan_of(generate(corpus(spark, tmp_path), [antonym(3)], lex))
-    assert "sentiment" in plan.split("DataFilters: [")[1].split("]")[0]
+    filters = [part.split("]")[0] for part in plan.split("DataFilters: [")[1:]]
+    assert any("sentiment" in f for f in filters)
 
 
 def test_large_tables_are_not_broadcast_whole(spark, tmp_path):

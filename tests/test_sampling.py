@@ -93,3 +93,23 @@ def test_redrawn_copies_differ(spark, lex):
     assert all(len(t) == 4 for t in per_row.values()) and len(per_row) == 10
     assert all(len(t.split(" ")) == 4 for ts in per_row.values() for t in ts)
     assert sum(len(set(t)) > 1 for t in per_row.values()) >= 9
+
+
+def test_ties_end_and_stay_exact(spark, monkeypatch):
+    monkeypatch.setattr("counterpoise.operators.sampling.RANKED_ROWS", 1)
+    from counterpoise.operators.sampling import first_n, undersample
+
+    rows = [(7, "positive", str(i % 3)) for i in range(6)] + [(8, "negative", "x")] * 2
+    df = spark.createDataFrame(rows, "id long, sentiment string, text string")
+    for n in range(9):
+        assert first_n(df, n, "id").count() == n
+    assert undersample(df, "id").groupBy("sentiment").count().collect() == [
+        ("positive", 2), ("negative", 2)] or undersample(df, "id").count() == 4
+
+
+def test_further_classes_are_kept(spark):
+    from counterpoise.operators.sampling import prepare
+
+    rows = [(1, "positive", "a"), (2, "neutral", "b"), (3, None, "c")]
+    df = spark.createDataFrame(rows, "id long, sentiment string, text string")
+    assert prepare(df, "asis").count() == 3

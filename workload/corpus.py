@@ -1,4 +1,4 @@
-"""Corpora: the text-file reader and an adapter for a document table with labels."""
+"""The test corpus: labelled sentences of the document table."""
 
 from __future__ import annotations
 
@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from counterpoise.session import spread
-from counterpoise.sources.lines import read_corpus  # noqa: F401  (public name)
 
-IDS_PER_DOCUMENT = 100_000
+# A text holds fewer than 2^31 characters, so sentence numbers never reach the next document.
+IDS_PER_DOCUMENT = 1 << 31
 
 
 def labelled_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:

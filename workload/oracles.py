@@ -10,7 +10,6 @@ from collections.abc import Sequence
 
 from counterpoise.functions.text import PROTECTED_WORDS
 from counterpoise.operators.generate import ANTONYM_CASES, Gen, antonym, blankout, similar
-from counterpoise.operators.sampling import MAJORITY_CAP
 from counterpoise.plans.specs import CAP_PLAIN, SIMILAR_LEXICONS, Spec
 from counterpoise.plans.suites import export_gens
 from workload import fixtures as X
@@ -34,7 +33,7 @@ def values(rows: Sequence[tuple]) -> str:
 
 CORPUS = r"""
 corpus AS (
-  SELECT doc_id * 100000 + nth AS id, sentiment, text
+  SELECT doc_id * 2147483648 + nth AS id, sentiment, text
   FROM (
     SELECT doc_id, nth, CASE WHEN quality = 1 THEN 'positive' ELSE 'negative' END AS sentiment,
            trim(regexp_replace(replace(replace(replace(t, ',', ' '), ' it ', ' NOT_'),
@@ -253,7 +252,7 @@ ORACLES["prepare_capped"] = C + f"""
 SELECT id, sentiment, text
 FROM (SELECT *, row_number() OVER (PARTITION BY sentiment ORDER BY md5('cap:' || id)) AS rn
       FROM corpus)
-WHERE CASE WHEN sentiment = 'positive' THEN rn <= {MAJORITY_CAP} ELSE {SAMPLED} END"""
+WHERE CASE WHEN sentiment = 'positive' THEN rn <= 5000 ELSE {SAMPLED} END"""
 ORACLES["class_counts"] = C + f"SELECT {LABEL} AS label, count(*) AS n FROM corpus GROUP BY 1"
 ORACLES["train_set_imbalanced"] = CT + f"""
 SELECT id, {LABEL} AS label, w AS term, count(*) AS tf FROM tok WHERE {SAMPLED} GROUP BY 1, 2, 3"""

@@ -18,10 +18,10 @@ from counterpoise.plans.crossval import fold_cells
 from counterpoise.plans.suites import augmented_sets, run_suite, suite_tables
 from counterpoise.plans.training_sets import build_training_set, training_set_rows
 from counterpoise.session import spool, tune
-from counterpoise.sources.corpus import labelled_sentences
 from counterpoise.sources.lexicons import antonym_lexicon, sentiment_vocabulary, similar_lexicon
 from counterpoise.sources.lines import parse_lines, to_lines
 from workload import fixtures as X
+from workload.corpus import labelled_sentences
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -115,9 +115,9 @@ def tokenize(spark, d):
     return corpus(spark, d).select("id", F.posexplode(tokens("text")).alias("pos", "term"))
 
 
-for _profile in ("sampled_minority", "capped", "asis"):
-    QUERIES[f"prepare_{_profile}"] = lambda spark, d, p=_profile: S.prepare(
-        corpus(tune(spark), d), p
+for _profile, _cap in (("sampled_minority", None), ("capped", X.CAP), ("asis", None)):
+    QUERIES[f"prepare_{_profile}"] = lambda spark, d, p=_profile, cap=_cap: S.prepare(
+        corpus(tune(spark), d), p, cap=cap
     )
 
 

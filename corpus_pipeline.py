@@ -10,8 +10,8 @@ Parquet and reads it again for the next stage.
 * mix: every document as often as the mix takes it, whole documents only.
 * shard: adds vslot and shard.
 
-Input columns named like an internal one are replaced while a stage works; every stage but the
-last returns exactly the columns of its input.
+Every stage but the last returns exactly the columns of its input, whatever their names; the last
+replaces columns named vslot or shard.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from counterpoise.llm import decontaminate, mixing, quality, sharding, simhash
-from counterpoise.llm.common import read, small_batches
+from counterpoise.llm.common import read, small_batches, word_count
 from counterpoise.session import spool
 
 ACCEPT = 0.7
@@ -43,12 +43,15 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.with_leaks(docs, read(spark, sf_dir, "benchmark"))
-    return found.filter(F.size("leaks") == 0).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    found = decontaminate.with_leaks(rows, read(spark, sf_dir, "benchmark"))
+    return found.filter(F.size("leaks") == 0).select("row.*")
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.materialise(mixing.mix(docs), docs.columns)
+    size = word_count(F.col("text")).alias("size")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", size)
+    return mixing.materialise(mixing.mix(rows, size="size"), ["row.*"])
 
 
 def stage_shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

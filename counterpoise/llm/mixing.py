@@ -3,9 +3,9 @@
 1. Documents are counted by exact token length per source; only these counts go further.
 2. Each source's word budget comes from the weights, capped at a multiple of what it holds;
    the excess is reshared by weight until no source is above its cap.
-3. Per source, whole repeats of every document come first.  The rest of the budget is spread
-   evenly over the lengths, then trimmed greedily, and the last few thousand words are fitted
-   exactly by a bounded-knapsack dynamic program over the lengths still available.
+3. Per source, whole repeats of every document come first.  A large rest of the budget is spread
+   evenly over the lengths, then filled greedily, and the last few thousand words are fitted by
+   a bounded-knapsack dynamic program over the lengths still available, as well as can be.
 4. Of each length, the documents with the smallest seeded hashes are taken, as many as the plan
    says.  Long lists of one length are cut into chunks by hash, so no task ranks all of them.
 
@@ -28,7 +28,10 @@ MAX_SOURCES = 1_000_000  # one row each on the driver
 DP_WORDS = 16_384  # budget that the dynamic program fits exactly
 CHUNK_ROWS = 100_000  # documents of one source and length that one task ranks
 
-PLAN = "mix_key string, size long, n long, base int, extra long, source_size long, target double"
+PLAN = (
+    "mix_key string, size long, mix_n long, mix_base int, mix_extra long, "
+    "source_size long, target double"
+)
 
 
 def targets(sizes: dict[str | None, int], weights=(3, 1, 2), share=1.5, cap=2.0) -> dict:
@@ -54,7 +57,8 @@ def fit_counts(lengths: list[int], counts: list[int], budget: float) -> list[int
     words = sum(a * c for a, c in zip(lengths, counts))
     if words <= 0 or budget <= 0:
         return [0] * len(lengths)
-    taken = [int(c * min(1.0, budget / words)) for c in counts]
+    share = min(1.0, budget / words) if budget > DP_WORDS else 0.0
+    taken = [int(c * share) for c in counts]
     rest = int(budget) - sum(a * k for a, k in zip(lengths, taken))
     long_first = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     moved = True
@@ -96,12 +100,12 @@ def _knapsack(lengths: list[int], free: list[int], budget: int) -> dict[int, int
 
 def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("size").reset_index(drop=True)
-    size, n = [int(x) for x in rows["size"]], [int(x) for x in rows["n"]]
+    size, n = [int(x) for x in rows["size"]], [int(x) for x in rows["mix_n"]]
     total, target = int(rows["source_size"][0]), float(rows["target"][0])
     base = int(target // total) if total else 0
-    rows["base"] = base
-    rows["extra"] = fit_counts(size, n, target - base * total)
-    return rows[["mix_key", "size", "n", "base", "extra", "source_size", "target"]]
+    rows["mix_base"] = base
+    rows["mix_extra"] = fit_counts(size, n, target - base * total)
+    return rows[["mix_key", "size", "mix_n", "mix_base", "mix_extra", "source_size", "target"]]
 
 
 def _key(source: Column) -> Column:
@@ -109,10 +113,10 @@ def _key(source: Column) -> Column:
 
 
 def mix_plan(sized: DataFrame, weights=(3, 1, 2), share=1.5, cap=2.0) -> DataFrame:
-    """Plan (mix_key, size, n, base, extra, source_size, target) for rows (mix_key, size)."""
+    """Plan (mix_key, size, mix_n, mix_base, mix_extra, source_size, target) for rows (mix_key, size)."""
     spark = sized.sparkSession
-    counts = spool(sized.groupBy("mix_key", "size").agg(F.count("*").alias("n")), "lengths")
-    by_source = counts.groupBy("mix_key").agg(F.sum(F.col("size") * F.col("n")).alias("words"))
+    counts = spool(sized.groupBy("mix_key", "size").agg(F.count("*").alias("mix_n")), "lengths")
+    by_source = counts.groupBy("mix_key").agg(F.sum(F.col("size") * F.col("mix_n")).alias("words"))
     found = by_source.limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -144,34 +148,34 @@ def mix(
     words = F.col(size) if size else word_count(F.col(text))
     sized = docs.withColumn("size", words).withColumn("mix_key", _key(F.col(source)))
     plan = mix_plan(sized.select("mix_key", "size"), weights, share, cap)
-    sized = sized.drop("n", "base", "extra", "source_size", "target", "copies", "mix_at", "chunk")
+    sized = sized.drop("source_size", "target", "copies")
     sized = sized.withColumn("mix_at", F.xxhash64(F.lit(seed), F.col(key)))
     rows = sized.join(plan, ["mix_key", "size"])
 
-    some = (F.col("extra") > 0) & (F.col("extra") < F.col("n"))
+    some = (F.col("mix_extra") > 0) & (F.col("mix_extra") < F.col("mix_n"))
     whole = rows.filter(~some).withColumn(
-        "copies", F.col("base") + F.when(F.col("extra") > 0, 1).otherwise(0)
+        "copies", F.col("mix_base") + F.when(F.col("mix_extra") > 0, 1).otherwise(0)
     )
-    chunks = F.ceil(F.col("n") / CHUNK_ROWS)
+    chunks = F.ceil(F.col("mix_n") / CHUNK_ROWS)
     place = F.pmod(F.xxhash64(F.col("mix_at"), F.lit("chunk")), chunks).cast("long")
-    part = rows.filter(some).withColumn("chunk", place)
+    part = rows.filter(some).withColumn("mix_chunk", place)
     narrow = sized.select("mix_key", "size", "mix_at").join(plan, ["mix_key", "size"])
     cells = (
         narrow.filter(some)
-        .withColumn("chunk", place)
-        .groupBy("mix_key", "size", "chunk")
-        .agg(F.count("*").alias("cell"))
+        .withColumn("mix_chunk", place)
+        .groupBy("mix_key", "size", "mix_chunk")
+        .agg(F.count("*").alias("mix_cell"))
     )
-    before = Window.partitionBy("mix_key", "size").orderBy("chunk")
-    cells = cells.withColumn("mix_before", F.sum("cell").over(before) - F.col("cell")).drop("cell")
-    order = Window.partitionBy("mix_key", "size", "chunk").orderBy("mix_at", key)
+    before = Window.partitionBy("mix_key", "size").orderBy("mix_chunk")
+    cells = cells.withColumn("mix_before", F.sum("mix_cell").over(before) - F.col("mix_cell")).drop("mix_cell")
+    order = Window.partitionBy("mix_key", "size", "mix_chunk").orderBy("mix_at", key)
     rank = F.col("mix_before") + F.row_number().over(order)
-    part = part.join(cells, ["mix_key", "size", "chunk"]).withColumn("mix_rank", rank)
+    part = part.join(cells, ["mix_key", "size", "mix_chunk"]).withColumn("mix_rank", rank)
     part = part.withColumn(
-        "copies", F.col("base") + F.when(F.col("mix_rank") <= F.col("extra"), 1).otherwise(0)
+        "copies", F.col("mix_base") + F.when(F.col("mix_rank") <= F.col("mix_extra"), 1).otherwise(0)
     )
-    both = whole.unionByName(part.drop("chunk", "mix_before", "mix_rank"))
-    return both.drop("mix_key", "mix_at", "n", "base", "extra")
+    both = whole.unionByName(part.drop("mix_chunk", "mix_before", "mix_rank"))
+    return both.drop("mix_key", "mix_at", "mix_n", "mix_base", "mix_extra")
 
 
 def materialise(mixed: DataFrame, columns: list[str]) -> DataFrame:

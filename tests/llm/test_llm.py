@@ -1,0 +1,553 @@
+"""The training-data operators against brute force, held-out accuracy and odd rows."""
+
+import os
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from counterpoise.llm import (
+    decontaminate,
+    langid,
+    mixing,
+    quality,
+    repeats,
+    sharding,
+    simhash,
+    surrogates,
+    topk,
+    urlfilter,
+    urltable,
+)
+from counterpoise.llm.components import components
+from counterpoise.llm.queries import ORACLES, QUERIES, URL_RULES
+
+DATA = "/root/testdata/sf0.001"
+needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
+LONG = "word%d " * 5000 % tuple(range(5000))
+# NULLs in every column, empty and long texts, repeated rows, and names that operators add
+ODD = [
+    (1, "a b c d", "en", "s", "x"), (1, "a b c d", "en", "s", "x"), (2, None, None, None, None),
+    (None, "a b c d", "en", "s", "x"), (None, None, None, None, None), (3, "", "en", "s", "x"),
+    (4, " \t\n", "fr", "t", "x"), (5, LONG, "en", "t", "x"), (6, LONG, "en", None, "x"),
+    (7, "1234 !!", None, "t", "x"), (8, "Mail a.b@c.de or A.B@C.de", "de", "s", "x"),
+]
+CLASHES = ["size", "target", "copies", "n", "vslot", "shard", "leaks", "n_entities", "pii_found"]
+SCHEMA = "doc_id long, text string, lang string, source string, size string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    df = spark.createDataFrame(ODD, SCHEMA)
+    return df.withColumns({c: F.lit("clash") for c in CLASHES})
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet").toPandas()
+
+
+def words(text):
+    return SPLIT.findall(text or "")
+
+
+# ---------------------------------------------------------------- mixing
+
+
+def test_targets_stop_at_the_cap_and_reshare():
+    got = mixing.targets({"a": 10, "b": 1000, None: 1000})
+    assert got["a"] == 20
+    left = 1.5 * 2010 - 20
+    assert got["b"] == pytest.approx(left / 3) and got[None] == 2000 or got[None] == pytest.approx(
+        left * 2 / 3)
+    assert sum(got.values()) == pytest.approx(1.5 * 2010)
+
+
+def test_knapsack_equals_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        lengths = sorted(set(rng.integers(1, 40, 5).tolist()))
+        counts = rng.integers(1, 4, len(lengths)).tolist()
+        budget = int(rng.integers(1, 120))
+        sums = {0}
+        for a, c in zip(lengths, counts):
+            sums = {s + a * k for s in sums for k in range(c + 1)}
+        used = mixing._knapsack(lengths, counts, budget)
+        assert sum(lengths[i] * k for i, k in used.items()) == max(s for s in sums if s <= budget)
+        assert all(k <= counts[i] for i, k in used.items())
+
+
+@needs_data
+def test_mix_meets_its_targets(spark, docs):
+    rows = QUERIES["op1_mix_to_weights"](spark, DATA).toPandas()
+    assert sorted(rows.doc_id) == sorted(docs.doc_id)
+    sizes = dict(zip(docs.doc_id, docs.text.map(lambda t: len(words(t)))))
+    assert all(sizes[i] == s for i, s in zip(rows.doc_id, rows["size"]))
+    assert (rows.taken <= 2 * rows["size"]).all()
+    for _, g in rows.groupby("source"):
+        total, target = int(g["size"].sum()), g.target.iloc[0]
+        sums = {total * int(target // total)}
+        for s in g["size"]:
+            sums |= {x + s for x in sums}
+        assert g.taken.sum() == max(x for x in sums if x <= target)
+    again = QUERIES["op1_mix_to_weights"](spark, DATA).toPandas()
+    assert dict(zip(rows.doc_id, rows.taken)) == dict(zip(again.doc_id, again.taken))
+
+
+def test_mix_odd_rows(odd, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK_ROWS", 1)
+    mixed = mixing.mix(odd)
+    assert mixed.count() == len(ODD)
+    assert set(odd.columns) <= set(mixed.columns)
+    assert mixing.materialise(mixed, odd.columns).columns == odd.columns
+    assert mixing.mix(odd.limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- surrogates
+
+
+def test_surrogates_keep_type_format_and_coreference(spark):
+    texts = [
+        "Mail a.b@c.de or A.B@C.de, card 4111 1111 1111 1111, call +1 (017) 555-7713.",
+        "a.b@c.de at 10.0.0.1; token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\"",
+        "Herr Müller met Mrs Anna Brown and г-н. Г-н Иван Петров",
+        None, "", "nothing here",
+    ]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)],
+                               "doc_id long, text string, kinds int")
+    got = {r["doc_id"]: r for r in surrogates.replace_entities(df, b"k").collect()}
+    assert got[3]["text"] is None and got[4]["text"] == "" and got[5]["text"] == "nothing here"
+    first = surrogates.find(got[0]["text"])
+    kinds = [k for _, _, k, _ in first]
+    assert kinds == ["email", "email", "card", "phone"]
+    assert first[0][3] == first[1][3] == surrogates.find(got[1]["text"])[0][3] != "a.b@c.de"
+    assert surrogates.luhn(first[2][3]) == 0
+    assert re.search(r"card \d{4} \d{4} \d{4} \d{4}, call \+\d \(\d{3}\) \d{3}-\d{4}", got[0]["text"])
+    assert re.search(r'token = "[0-9a-f]{40}"', got[1]["text"])
+    names = got[2]["text"]
+    assert re.search(r"^Herr [A-Z][a-z]+ met Mrs (\w+) [A-Z]", names)
+    assert names.split("Mrs ")[1].split()[0] in surrogates.GIVEN["latin", "f"].split()
+    assert re.search("[А-Я][а-я]+ [А-Я][а-я]+$", names) and "Петров" not in names
+
+
+def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
+    def few(key, kind, value, attempt):
+        return str((int(value) + attempt) % 7 if attempt < 9 else 100 + int(value))
+
+    monkeypatch.setattr(surrogates, "surrogate", few)
+    e = spark.createDataFrame([("ssn", str(i)) for i in (0, 7, 14, 3)], "kind string, value string")
+    made = [r["made"] for r in surrogates.surrogate_table(e, b"k").collect()]
+    assert len(set(made)) == 4 and not set(made) & {"0", "7", "14", "3"}
+
+
+def test_surrogates_odd_rows(odd):
+    got = surrogates.replace_entities(odd, b"k")
+    assert got.count() == len(ODD) and surrogates.replace_entities(odd.limit(0), b"k").count() == 0
+    assert got.filter("text like '%a.b@c.de%'").count() == 0
+
+
+# ---------------------------------------------------------------- top-k
+
+
+def brute_top(vectors, queries, k):
+    out = []
+    for q, v in queries:
+        scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in vectors if i != q)
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
+    return sorted(out)
+
+
+def test_top_inner_products_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(topk, "ROUND", 2)
+    monkeypatch.setattr(topk, "RANGE_ROWS", 40)
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(0, 20, 6) * (1 + i % 5)).astype(int).tolist()) for i in range(200)]
+    rows += [(200 + i, rows[i][1]) for i in range(20)]  # ties
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = topk.top_inner_products(df, df.filter("vec_id % 10 = 0"), 5).collect()
+    want = brute_top(rows, [r for r in rows if r[0] % 10 == 0], 5)
+    assert sorted(map(tuple, got)) == want
+
+
+def test_top_inner_products_odd_rows(spark):
+    rows = [(0, [1.0, 2.0]), (50, [1.0, None]), (100, None), (None, [1.0, 1.0]), (3, [float("nan")]),
+            (4, [float("inf"), 0.0]), (5, [0.5, 0.5]), (6, []), (150, [0.25])]
+    df = spark.createDataFrame(rows, "vec_id long, e array<float>")
+    df = df.select("vec_id", topk.quantized(F.col("e")).alias("v"))
+    got = topk.top_inner_products(df, df.filter("vec_id % 50 = 0"), 5).collect()
+    assert sorted(map(tuple, got)) == [
+        (0, 1, 5, 98304), (0, 2, 150, 16384), (150, 1, 0, 16384), (150, 2, 5, 8192)]
+    assert topk.top_inner_products(df.limit(0), df.limit(0), 5).count() == 0
+
+
+# ---------------------------------------------------------------- decontamination
+
+
+def test_wand_finds_all_items_above_the_threshold():
+    rng = np.random.default_rng(1)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choice(vocabulary, rng.integers(5, 60)))) for i in range(150)]
+    index = decontaminate.Index(items)
+    for _ in range(60):
+        query = {index.number[t] for t in rng.choice(vocabulary, 60) if t.encode() in index.number
+                 for t in [t.encode()]}
+        want = defaultdict(float)
+        for t in query:
+            for d, x in zip(index.docs[t], index.impacts[t]):
+                want[d] += x
+        want = {d for d, s in want.items() if s >= 0.25}
+        got = set()
+        for block in range(decontaminate.BLOCKS):
+            got |= set(index.above(query, block, 0.25))
+        assert got == want
+
+
+@needs_data
+def test_leaks_equal_brute_force(spark, docs):
+    items = spark.read.parquet(f"{DATA}/benchmark.parquet").toPandas()
+    got = {(r["doc_id"], r["item_id"]) for r in QUERIES["op4_benchmark_leaks"](spark, DATA).collect()}
+    want = set()
+    for d, text in zip(docs.doc_id, docs.text):
+        own = decontaminate.terms(text)
+        grams = set(zip(*[own[i:] for i in range(5)]))
+        for i, item in zip(items.item_id, items.text):
+            w = decontaminate.terms(item)
+            cover = np.zeros(len(w), bool)
+            for j, g in enumerate(zip(*[w[j:] for j in range(5)])):
+                if g in grams:
+                    cover[j : j + 5] = True
+            if cover.mean() >= 0.8:
+                want.add((d, i))
+    assert got == want and want
+
+
+def test_edited_leaks_and_odd_rows(spark, odd):
+    item = "who was the first person to climb the tall mountain in the north? it was a farmer"
+    leak = "Some text before. " + item.replace("tall", "high").upper() + " and some text after"
+    items = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "a b")],
+                                  "item_id long, text string")
+    texts = spark.createDataFrame([(1, leak), (2, "clean text"), (3, None)],
+                                  "doc_id long, text string")
+    found = decontaminate.leaks(texts, items).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in found] == [(1, 1)]
+    assert decontaminate.with_leaks(odd, items).count() == len(ODD)
+    assert decontaminate.leaks(texts, items.limit(0)).count() == 0
+    assert decontaminate.leaks(texts.limit(0), items).count() == 0
+
+
+# ---------------------------------------------------------------- quality
+
+
+def test_pooled_is_isotonic_and_keeps_the_mean():
+    v, w = np.array([0.1, 0.5, 0.3, 0.2, 0.9]), np.array([1, 2, 3, 4, 5])
+    got = quality.pooled(v, w)
+    assert (np.diff(got) >= 0).all() and (got * w).sum() == pytest.approx((v * w).sum())
+
+
+@needs_data
+def test_quality_holds_out(spark):
+    d = "/root/testdata/sf0.01"
+    rows = QUERIES["op5_quality_scores"](spark, d).toPandas()
+    labels = spark.read.parquet(f"{d}/labels.parquet").toPandas()
+    assert rows.score.between(0, 1).all()
+    want = [zlib.crc32(str(i).encode()) % 4 == 2 for i in rows.doc_id]
+    assert rows.held_out.tolist() == want
+    both = rows[rows.held_out].merge(labels, on="doc_id")
+    assert (both.predicted == both.quality).mean() > 0.95
+
+
+def test_quality_odd_rows(spark, odd):
+    table = quality.stats_table(odd)
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.fit(table, none).score(np.zeros((2, quality.STATS))).tolist() == [1.0, 1.0]
+    few = spark.createDataFrame([(1, 1), (1, None), (None, 0), (3, 0), (5, 1), (7, 9)],
+                                "doc_id long, quality int")
+    model = quality.fit(table, few)
+    scored = odd.withColumn("score", quality.quality_score(model, F.col("text")))
+    assert scored.filter("score between 0 and 1").count() == len(ODD)
+    assert quality.fit(quality.stats_table(odd.limit(0)), few).knots.size == 0
+
+
+# ---------------------------------------------------------------- repeats
+
+
+@needs_data
+def test_repeats_equal_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS FROM '{DATA}/documents.parquet'")
+    want = con.sql(ORACLES["op6_remove_repeats"])
+    got = QUERIES["op6_remove_repeats"](spark, DATA).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
+def brute_repeats(rows):
+    first = {}
+    for i, t in rows:
+        w = words(t)
+        for j in range(len(w) - 12):
+            g = tuple(w[j : j + 13])
+            if i is not None:
+                first[g] = min(first.get(g, i), i)
+    out = []
+    for i, t in rows:
+        w = words(t)
+        gone = set()
+        for j in range(len(w) - 12):
+            if i is not None and first[tuple(w[j : j + 13])] < i:
+                gone |= set(range(j, j + 13))
+        out.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return sorted(out, key=repr)
+
+
+def test_repeats_in_low_variety_texts(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(120):
+        n = int(rng.integers(5, 60))
+        kind = i % 4
+        w = rng.choice(["a", "b"] if kind else ["a", "b", "c", "d"], n).tolist()
+        if kind == 2:
+            w = ["a"] * n + w[:3] + ["b"] * (n // 2)
+        if kind == 3 and rows:
+            other = words(rows[int(rng.integers(len(rows)))][1])
+            w = w[:7] + other[3:40] + w[7:]
+        rows.append((None if i % 31 == 30 else i // 2 if i % 5 == 0 else i, " ".join(w)))
+    rows += [(1, None), (2, ""), (3, LONG), (400, "x " + LONG), (400, LONG + "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = repeats.remove_repeats(df.withColumn("name", F.lit(1)).withColumn("key", F.lit(2)))
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_repeats(rows)
+    assert repeats.remove_repeats(df.limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- SimHash
+
+
+def brute_fingerprint(text):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    w = words(low)
+    if not w:
+        return 0
+    grams = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))]
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+
+def test_every_pair_within_the_radius_shares_a_mask():
+    masks = [m & (2**64 - 1) for m in simhash.masks()]
+    for a in range(0, 64):
+        for b in range(a, 64):
+            for c in range(b, 64, 7):
+                x = (1 << a) | (1 << b) | (1 << c)
+                assert any(not x & m for m in masks)
+
+
+@needs_data
+def test_components_equal_brute_force(spark, docs, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 2)
+    got = QUERIES["op7_simhash_components"](spark, DATA).toPandas().sort_values("doc_id")
+    prints = [brute_fingerprint(t) for t in docs.sort_values("doc_id").text]
+    assert got.fingerprint.tolist() == [f"{p:016x}" for p in prints]
+    assert got.component_id.tolist() == brute_components(sorted(docs.doc_id), prints)
+
+
+def brute_components(ids, prints):
+    root = list(range(len(ids)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(ids)):
+        for j in range(i):
+            if bin(prints[i] ^ prints[j]).count("1") <= 3:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [ids[find(i)] for i in range(len(ids))]
+
+
+def test_dense_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 8)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**62, 6)
+    prints = sorted({int(b) ^ sum(1 << int(k) for k in rng.integers(0, 62, rng.integers(0, 5)))
+                     for b in base for _ in range(40)})
+    df = spark.createDataFrame([(p,) for p in prints], "fp long")
+    found = {r["node"]: r["root"] for r in components(simhash.fingerprint_links(df)).collect()}
+    assert [found.get(p, p) for p in prints] == brute_components(prints, prints)
+
+
+def test_simhash_odd_rows(odd):
+    got = simhash.near_duplicates(odd).collect()
+    assert len(got) == len(ODD)
+    by_id = {r["doc_id"]: r for r in got}
+    assert by_id[2]["fp"] == by_id[3]["fp"] == by_id[4]["fp"] == 0
+    assert by_id[3]["component_id"] == by_id[4]["component_id"] == 2
+    assert by_id[6]["component_id"] == 5
+    assert simhash.near_duplicates(odd.limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- languages
+
+
+@needs_data
+def test_languages_hold_out(spark):
+    d = "/root/testdata/sf0.01"
+    rows = QUERIES["op8_language_id"](spark, d).toPandas()
+    docs = spark.read.parquet(f"{d}/documents.parquet").toPandas()
+    both = rows.merge(docs, on="doc_id")
+    assert (both[both.held_out].lang_pred == both[both.held_out].lang).mean() > 0.95
+    assert rows.score.between(0, 1).all()
+
+
+def test_languages_odd_rows(odd, monkeypatch):
+    monkeypatch.setattr(langid, "CHUNK", 100)
+    whole = [np.sort(np.concatenate([*langid.subwords(LONG)]))]
+    monkeypatch.setattr(langid, "CHUNK", 1 << 18)
+    whole += [np.sort(np.concatenate([*langid.subwords(LONG)]))]
+    assert (whole[0] == whole[1]).all()
+    model = langid.fit(odd)
+    got = odd.select("text", langid.predicted(model, F.col("text")).alias("p")).collect()
+    for r in got:
+        letters = r["text"] is not None and any(c.isalpha() for c in r["text"])
+        assert (r["p"]["lang_pred"] == "und") == (not letters)
+    nothing = langid.fit(odd.limit(0))
+    assert nothing.predict("some text") == ("und", 0.0)
+
+
+# ---------------------------------------------------------------- sharding
+
+
+@needs_data
+def test_shards(spark, docs):
+    got = QUERIES["op9_virtual_slots"](spark, DATA).toPandas().sort_values("doc_id")
+    raw = [t.encode() for t in docs.sort_values("doc_id").text]
+    assert got["size"].tolist() == [len(b) + 1 for b in raw]
+    assert got.text_crc32.tolist() == [zlib.crc32(b) for b in raw]
+    assert set(got["shard"]) == set(range(8)) and got.grown_shard.isna().all()
+    for _, g in got.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+    loads = got.groupby("shard")["size"].sum()
+    assert loads.max() - loads.min() <= got["size"].max()
+    moved = got[got.next_shard != got["shard"]]
+    assert (moved.next_shard == 8).all() and len(moved)
+
+
+def test_shards_odd_rows(spark, odd, tmp_path):
+    text = F.col("text")
+    sized = odd.select("doc_id", sharding.text_size(text).alias("size"),
+                       sharding.virtual_slot(F.col("doc_id"), text, 64).alias("vslot"))
+    first = sharding.first_map(sharding.slot_bytes(sized, 64), 3)
+    assert first.count() == 64
+    placed = sharding.places(sized, first, ["doc_id", "size"]).collect()
+    assert len(placed) == len(ODD)
+    for s in range(3):
+        own = sorted(r["slot"] for r in placed if r["shard"] == s)
+        assert own == list(range(len(own)))
+    sharding.write_map(first, f"{tmp_path}/map")
+    sharding.write_map(sharding.grown_map(first, 3), f"{tmp_path}/map")
+    assert sharding.read_map(spark, f"{tmp_path}/map").first()["version"] == 2
+    assert sharding.read_map(spark, f"{tmp_path}/map", 1).count() == 64
+    assert sharding.assign(odd, first, slots=64).count() == len(ODD)
+    empty = sharding.first_map(sharding.slot_bytes(sized.limit(0), 64), 3)
+    assert sharding.places(sized.limit(0), empty, ["doc_id"]).count() == 0
+
+
+# ---------------------------------------------------------------- urls
+
+
+def brute_rule(url):
+    host, path = "", ""
+    m = re.search(r"://([^/?#]*)([^?#]*)", url or "")
+    if m:
+        host = re.sub("[A-Z]", lambda c: c[0].lower(), m[1])
+        path = m[2]
+    best = None
+    for r in URL_RULES:
+        name, slash, rest = r.text.partition("/")
+        if (host == name or host.endswith("." + name)) and path.startswith(slash + rest):
+            if best is None or len(r.text) > len(best.text):
+                best = r
+    return host, path, best
+
+
+def test_url_rules_equal_brute_force(spark):
+    urls = ["http://a.EXAMPLE.com/en/1?x", "https://www.example.com/en/2", "http://example.com",
+            "http://x.www.example.com/en/", "http://b.net/es/1#f", "http://b.net/ES/1", "net/fr/1",
+            None, "", "http://badexample.com/en/", "http://com/", "ftp://Q.org?a=://b.com/", "://",
+            "http://example.com:80/en/", "http://c.net/fr/", "http://c.net/fr/"]
+    df = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)],
+                               "page_id long, url string, host string")
+    labelled = spark.createDataFrame(urltable.rows(), "url string, verdict string")
+    rows = urlfilter.filter_urls(df, URL_RULES, labelled).orderBy("page_id").collect()
+    assert len(rows) == len(urls)
+    for r, u in zip(rows, urls):
+        host, path, rule = brute_rule(u)
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule and rule.text)
+        assert r["verdict"] == (rule.verdict if rule else r["verdict"])
+        assert r["verdict"] in ("allow", "block")
+    none = urlfilter.filter_urls(df, [], labelled.limit(0))
+    assert {r["verdict"] for r in none.collect()} == {"allow"}
+    assert urlfilter.filter_urls(df.limit(0), URL_RULES, labelled).count() == 0
+
+
+def test_url_model_tells_unseen_hosts(spark):
+    urls = ["http://casino-bonus.org/en/1", "http://cheap-pills-now.net/de/", "http://bakery.org/",
+            "http://thother.example.org/en/12"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    labelled = spark.createDataFrame(urltable.rows(), "url string, verdict string")
+    got = {r["url"]: r["verdict"] for r in urlfilter.filter_urls(df, [], labelled).collect()}
+    assert [got[u] for u in urls] == ["block", "block", "allow", "allow"]
+
+
+# ---------------------------------------------------------------- pipeline
+
+
+@needs_data
+def test_pipeline_stage_by_stage(spark, docs):
+    import corpus_pipeline as P
+
+    table = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("shard", F.lit("clash"))
+    kept = P.stage_quality(spark, table, DATA)
+    scores = {r["doc_id"]: r["predicted"] for r in QUERIES["op5_quality_scores"](spark, DATA).collect()}
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, p in scores.items() if p)
+    unique = P.stage_near_duplicates(spark, table, DATA)
+    prints = [brute_fingerprint(t) for t in docs.text]
+    want = brute_components(docs.doc_id.tolist(), prints)
+    assert sorted(r["doc_id"] for r in unique.collect()) == sorted(set(want))
+    leaked = {r["doc_id"] for r in QUERIES["op4_benchmark_leaks"](spark, DATA).collect()}
+    clean = P.stage_decontaminate(spark, table, DATA)
+    assert {r["doc_id"] for r in clean.collect()} == set(docs.doc_id) - leaked
+    mixed = P.stage_mix(spark, table, DATA)
+    taken = QUERIES["op1_mix_to_weights"](spark, DATA).toPandas()
+    want = {i: t // s for i, s, t in zip(taken.doc_id, taken["size"], taken.taken) if t}
+    assert Counter(r["doc_id"] for r in mixed.collect()) == Counter(want)
+    for stage in (kept, unique, clean, mixed):
+        assert stage.columns == table.columns
+    sharded = P.stage_shard(spark, table, DATA)
+    assert sharded.count() == len(docs) and {"vslot", "shard"} <= set(sharded.columns)
+    assert P.run(spark, DATA).count() > 0
+
+
+def test_pipeline_odd_rows(spark, odd, tmp_path):
+    import corpus_pipeline as P
+
+    spark.createDataFrame([(1, 1), (None, 0)], "doc_id long, quality int").write.parquet(
+        f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "a b c d"), (2, None)], "item_id long, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet")
+    for table in (odd, odd.limit(0)):
+        docs = table
+        for _, stage in P.STAGES:
+            docs = stage(spark, docs, str(tmp_path))
+            docs.count()
+
+

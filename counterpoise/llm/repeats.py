@@ -215,7 +215,9 @@ def covered(size: int, positions) -> np.ndarray:
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(key, body, pos): windows to remove from ``docs(key, text, body)``."""
     anchors = docs.select("key", "text").mapInPandas(_anchors, "name long, key long")
-    anchors = anchors.repartition("name")  # dealt once, read for the limits and for the hits
+    # dealt once, read for the limits and for the hits: with the filters that the joins ask for,
+    # both readings are the same exchange
+    anchors = anchors.filter("name is not null and key is not null").repartition("name")
     limits = anchors.groupBy("name").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
     flag = F.when(F.col("key") > F.col("lo"), MAY_GO).otherwise(0) + F.when(
         F.col("key") < F.col("hi"), MAY_BE_FIRST

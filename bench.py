@@ -40,6 +40,9 @@ HEADLINES = [
     "augmented_export",
     "suite_imbalance",
     "suite_similar_fair",
+    "suite_blankout_bias",
+    "suite_bias_other",
+    "suite_svm",
 ]
 
 

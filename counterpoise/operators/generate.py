@@ -91,11 +91,15 @@ def blankout(k: int, senti: bool = False, minority: bool = False, **kw) -> Gen:
 
 @dataclass(frozen=True)
 class Lexicons:
-    """antonyms(word, repl), similar(name, word, repl), senti(word); any may be missing."""
+    """antonyms(word, repl), similar(name, word, repl), senti(word); any may be missing.
+
+    max_bytes  lexicons of up to this size are looked up inside the row, larger ones are joined
+    """
 
     antonyms: DataFrame | None = None
     similar: DataFrame | None = None
     senti: DataFrame | None = None
+    max_bytes: int | None = None
 
 
 # ---------------------------------------------------------------- token values
@@ -208,7 +212,7 @@ def with_tokens(df: DataFrame, gens: Sequence[Gen], lex: Lexicons) -> DataFrame:
     if "senti_raw" in names:
         words = lex.senti.select(F.col("word").alias("w"), F.lit(True).alias("l_senti_raw"))
         tables["w"] = spool(words.distinct(), "vocabulary")
-    if not all(fits_in_row(t) for t in tables.values()):
+    if not all(fits_in_row(t, lex.max_bytes) for t in tables.values()):
         return _joined_tokens(df, names, tables)
 
     for key, t in tables.items():

@@ -6,6 +6,9 @@ import os
 import duckdb
 import pytest
 
+from counterpoise.functions import text
+from counterpoise.operators import generate, sampling
+from counterpoise.plans import specs, suites
 from workload.oracles import ORACLES
 from workload.queries import QUERIES, SUITES
 
@@ -25,6 +28,25 @@ def db():
     return con
 
 
+def test_fixed_values():
+    """Written out once more: cases, protected words, limits and the sets of the export."""
+    modes = ["two_stage", "two_stage", "single_pass", "single_pass", "one_word", "one_word"]
+    cases = {i: (mode, i % 2 == 1, i < 2) for i, mode in enumerate(modes)}
+    assert generate.ANTONYM_CASES == cases
+    assert text.PROTECTED_WORDS == ["dont", "havent", "cant", "cannot", "arent", "aint"]
+    assert sampling.MINORITY_SHARE == 0.2
+    caps = (specs.CAP_PLAIN, specs.CAP_BLANKOUT_MINORITY, specs.CAP_BLANKOUT_BOTH)
+    assert caps == (10, 4, 7)
+    assert (specs.CAP_ANTONYM, specs.CAP_SIMILAR) == (5, 4)
+    names = ("news", "tweets", "news_senti", "tweets_senti")
+    assert specs.SIMILAR_LEXICONS == names
+    assert suites.export_gens() == {
+        "antonym": generate.Gen("antonym", case=4, prefilter=False),
+        **{f"similar_{n}": generate.Gen("similar", lexicon=n) for n in names},
+        "blankout": generate.Gen("blankout", k=1, protect=False),
+    }
+
+
 def normal(rows, columns):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
 

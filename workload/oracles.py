@@ -1,22 +1,34 @@
 """The registered queries once more, as SQL for a second engine.
 
 Written in relational form (one row per token, windows, joins) and independent of the Spark
-plans, which work on arrays.  Scenario specifications and fixed word lists are shared data.
+plans, which work on arrays.  Scenario specifications are shared data; fixed values stand here
+once more, so that a wrong one in the library shows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from counterpoise.functions.text import PROTECTED_WORDS
-from counterpoise.operators.generate import ANTONYM_CASES, Gen, antonym, blankout, similar
-from counterpoise.plans.specs import CAP_PLAIN, SIMILAR_LEXICONS, Spec
-from counterpoise.plans.suites import export_gens
+from counterpoise.operators.generate import Gen, antonym, blankout, similar
+from counterpoise.plans.specs import Spec, imbalance_family, similar_family
 from workload import fixtures as X
-from workload.queries import ANTONYM_NAMES, SETS, SIMILAR_NAMES, SUITES
+from workload.queries import ANTONYM_NAMES, REDRAWN, SETS, SIMILAR_NAMES, SUITES
 
 ORACLES: dict[str, str] = {}
 
+# Fixed values.
+ANTONYM_MODES = {
+    0: "two_stage",
+    1: "two_stage",
+    2: "single_pass",
+    3: "single_pass",
+    4: "one_word",
+    5: "one_word",
+}
+PROTECTED = ["dont", "havent", "cant", "cannot", "arent", "aint"]
+PLAIN_CAP = 10
+LEXICONS = ("news", "tweets", "news_senti", "tweets_senti")
+
 
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
@@ -54,6 +66,7 @@ sim AS (SELECT * FROM {values(X.SIMILARS)} t(name, word, repl)),
 senti AS (SELECT * FROM {values([(w,) for w in X.SENTI])} t(word))"""
 LABEL = "CASE WHEN sentiment = 'positive' THEN 0 ELSE 1 END"
 FOLD = "CAST(('0x' || substr(md5('fold:' || {0}), 1, 8))::BIGINT % 10 AS INTEGER)"
+TRAIN_FOLD, TEST_FOLD = FOLD.replace("fold:", "train:"), FOLD.replace("fold:", "test:")
 
 
 def with_(*ctes: str) -> str:
@@ -64,7 +77,7 @@ def with_(*ctes: str) -> str:
 
 
 def antonym_sql(g: Gen) -> str:
-    mode = ANTONYM_CASES[g.case][0]
+    mode = ANTONYM_MODES[g.case]
     cut = "left(w, length(w) - 3)"
     if g.case == 0:
         strip = f"CASE WHEN ends_with(lower(w), 'not') THEN {cut} END"
@@ -148,11 +161,12 @@ def blankout_sql(g: Gen) -> str:
     ok = []
     if g.protect:
         ok.append("NOT (starts_with(w, 'NOT') OR starts_with(w, 'not') OR ends_with(w, 'not'))")
-        ok.append("w NOT IN (" + ", ".join(q(p) for p in PROTECTED_WORDS) + ")")
+        ok.append("w NOT IN (" + ", ".join(q(p) for p in PROTECTED) + ")")
     if g.senti:
         ok.append("w NOT IN (SELECT word FROM senti)")
     status = "trim(sentiment)" if g.flip == "digit" else "sentiment"
     scope = "AND sentiment <> 'positive'" if g.minority else ""
+    salt = f"blank/{g.draw}" if g.draw else "blank"
     return f"""
 SELECT * FROM (
   SELECT id AS src_id, 'blankout' AS method, {status} AS sentiment,
@@ -161,7 +175,7 @@ SELECT * FROM (
   FROM (
     SELECT *, count(*) OVER (PARTITION BY id) AS n_words,
            ok AND row_number() OVER (PARTITION BY id, ok ORDER BY h) <= {g.k} AS dropped
-    FROM (SELECT *, {" AND ".join(ok) or "TRUE"} AS ok, md5('blank:' || id || ':' || pos) AS h
+    FROM (SELECT *, {" AND ".join(ok) or "TRUE"} AS ok, md5('{salt}:' || id || ':' || pos) AS h
           FROM tok))
   WHERE n_words - {g.k} >= {g.min_left} {scope}
   GROUP BY id, sentiment
@@ -185,11 +199,32 @@ for _name, _case in ANTONYM_NAMES.items():
     ORACLES[f"antonym_{_name}_senti"] = made_sql(antonym(_case, senti=True))
 for _name, (_words, _minority) in SIMILAR_NAMES.items():
     ORACLES[f"similar_{_name}"] = made_sql(similar("news", _words, _minority))
-ORACLES["antonym_export"] = made_sql(antonym(4))
-ORACLES["similar_export"] = made_sql(similar("news"))
 ORACLES["blankout"] = made_sql(blankout(X.K))
 ORACLES["blankout_senti"] = made_sql(blankout(X.K, senti=True))
-ORACLES["blankout_export"] = made_sql(blankout(1, protect=False))
+
+for _name, _gen in (
+    ("antonym", antonym(4)), ("similar", similar("news")), ("blankout", blankout(1, protect=False))
+):
+    ORACLES[f"{_name}_export"] = with_(*GEN_BASE) + (
+        f"SELECT src_id || ',' || sentiment || ',' || text AS value FROM ({gen_sql(_gen)})"
+    )
+
+# every two neighbouring words as a lexicon line, the last line of a word wins
+DERIVED = """
+derived AS (
+  SELECT word, repl FROM (
+    SELECT lower(w) AS word, lower(after) AS repl,
+           row_number() OVER (PARTITION BY lower(w) ORDER BY id DESC, pos DESC) AS rn
+    FROM (SELECT *, lead(w) OVER (PARTITION BY id ORDER BY pos) AS after FROM tok)
+    WHERE after IS NOT NULL)
+  WHERE rn = 1)"""
+LARGE_BASE = (
+    CORPUS, TOK, DERIVED, "ant AS (SELECT * FROM derived)",
+    "sim AS (SELECT 'news' AS name, * FROM derived)",
+)
+for _path in ("large", "joined"):
+    ORACLES[f"antonym_all_both_{_path}_lexicon"] = with_(*LARGE_BASE) + gen_sql(antonym(2))
+    ORACLES[f"similar_all_both_{_path}_lexicon"] = with_(*LARGE_BASE) + gen_sql(similar("news"))
 ORACLES["blankout_sweep"] = with_(*GEN_BASE) + "\nUNION ALL\n".join(
     f"SELECT *, {k} AS k FROM ({gen_sql(blankout(k))})" for k in range(2, 6)
 )
@@ -197,10 +232,15 @@ _TSV = "SELECT src_id, sentiment, text, n_changed FROM ("
 ORACLES["antonym_tsv"] = (
     with_(*GEN_BASE) + _TSV + gen_sql(Gen("antonym", case=1, prefilter=False)) + ")"
 )
+_MADE_FROM = "JOIN corpus c ON c.id = m.src_id"
+ORACLES["antonym_tsv_repeated_ids"] = (
+    with_(*GEN_BASE) + "SELECT c.sentiment AS c0, m.sentiment, m.text, m.n_changed FROM ("
+    + gen_sql(Gen("antonym", case=1, prefilter=False)) + f") m {_MADE_FROM}"
+)
 ORACLES["similar_tsv"] = with_(*GEN_BASE) + _TSV + gen_sql(similar("news")) + ")"
 
 
-def five_sql(g: Gen) -> str:
+def five_sql(g: Gen, c0="CAST(m.src_id AS VARCHAR)", c1="c.sentiment") -> str:
     """Label digits instead of class names; c0..c2 come from the source row."""
     g = Gen(**{**g.__dict__, "flip": "digit"})
     digits = "digits AS (SELECT id, CASE WHEN sentiment = 'positive' THEN '0' ELSE '1' END"
@@ -208,7 +248,7 @@ def five_sql(g: Gen) -> str:
     digits += " AS sentiment, text FROM corpus)"
     return (
         with_(CORPUS, digits, tok, WORDS)
-        + f"""SELECT CAST(m.src_id AS VARCHAR) AS c0, c.sentiment AS c1, 'Q' AS c2, m.text,
+        + f"""SELECT {c0} AS c0, {c1} AS c1, 'Q' AS c2, m.text,
        m.sentiment AS label
 FROM ({gen_sql(g)}) m JOIN corpus c ON c.id = m.src_id"""
     )
@@ -216,6 +256,9 @@ FROM ({gen_sql(g)}) m JOIN corpus c ON c.id = m.src_id"""
 
 ORACLES["antonym_five_col"] = five_sql(antonym(4))
 ORACLES["similar_five_col"] = five_sql(similar("news"))
+ORACLES["similar_five_col_repeated_ids"] = five_sql(
+    similar("news"), "c.sentiment", "CAST(m.src_id AS VARCHAR)"
+)
 ORACLES["blankout_five_col"] = five_sql(blankout(1, protect=False))
 
 # ---------------------------------------------------------------- sources, projections
@@ -223,17 +266,11 @@ ORACLES["blankout_five_col"] = five_sql(blankout(1, protect=False))
 C = with_(CORPUS)
 CT = with_(CORPUS, TOK)
 ORACLES["corpus_scan"] = C + "SELECT id, sentiment, split_part(text, ',', 1) AS text FROM corpus"
-ORACLES["lexicon_antonym"] = C + """
-SELECT 'antonyms' AS name, word, arg_max(repl, id) AS repl
-FROM (SELECT id, lower(split_part(text, ' ', 1)) AS word, lower(split_part(text, ' ', -1)) AS repl
-      FROM corpus)
-GROUP BY word"""
-ORACLES["lexicon_similar"] = C + """
-SELECT 'derived' AS name, word, arg_max(repl, id) AS repl
-FROM (SELECT id, lower(split_part(text, ' ', 1)) AS word, lower(split_part(text, ' ', 2)) AS repl
-      FROM corpus WHERE len(string_split(text, ' ')) >= 3)
-GROUP BY word"""
-ORACLES["senti_vocab"] = CT + """
+for _name in ("antonyms", "derived"):
+    ORACLES["lexicon_antonym" if _name == "antonyms" else "lexicon_similar"] = (
+        with_(CORPUS, TOK, DERIVED) + f"SELECT {q(_name)} AS name, word, repl FROM derived"
+    )
+VOCABULARY = """
 SELECT DISTINCT term AS word FROM (
   SELECT term, tag, sum(score / rank) AS total
   FROM (SELECT term, tag, rank, arg_max(score, id) AS score
@@ -242,6 +279,10 @@ SELECT DISTINCT term AS word FROM (
         GROUP BY term, tag, rank)
   GROUP BY term, tag)
 WHERE round(total, 9) <> 0"""
+ORACLES["senti_vocab"] = CT + VOCABULARY
+ORACLES["blankout_senti_vocab"] = with_(
+    CORPUS, TOK, f"senti AS MATERIALIZED ({VOCABULARY})"
+) + gen_sql(blankout(X.K, senti=True))
 ORACLES["label_encode"] = C + f"SELECT id, CAST({LABEL} AS DOUBLE) AS label FROM corpus"
 ORACLES["class_split"] = C + "SELECT * FROM corpus WHERE sentiment = 'negative'"
 ORACLES["tokenize"] = CT + "SELECT id, CAST(pos AS INTEGER) AS pos, w AS term FROM tok"
@@ -280,13 +321,27 @@ SELECT id, sentiment, text FROM ({_ORDERED}) WHERE label = 1 OR rn <= n1"""
 ORACLES["oversample"] = C + f"""
 SELECT id, sentiment, text, CAST(unnest(generate_series(1, n)) AS INTEGER) AS copy
 FROM (SELECT *, CASE WHEN label = 0 THEN 1
-                     ELSE least({CAP_PLAIN}, n0 // n1 + CASE WHEN rn <= n0 % n1 THEN 1 ELSE 0 END)
+                     ELSE least({PLAIN_CAP}, n0 // n1 + CASE WHEN rn <= n0 % n1 THEN 1 ELSE 0 END)
                 END AS n
       FROM ({_ORDERED}))"""
 ORACLES["sample_exact_n"] = C + f"""
 SELECT id, sentiment, text FROM
   (SELECT *, row_number() OVER (ORDER BY md5('order:' || id), id) AS rn FROM corpus)
 WHERE rn <= {X.SAMPLE_N}"""
+_BY_DOCUMENT = "documents_as_ids AS (SELECT id // 2147483648 AS id, sentiment, text FROM corpus)"
+_TIED = with_(CORPUS, _BY_DOCUMENT)
+ORACLES["sample_exact_n_repeated_ids"] = _TIED + f"""
+SELECT id, sentiment, text FROM
+  (SELECT *, row_number() OVER (ORDER BY md5('order:' || id), id, sentiment, text) AS rn
+   FROM documents_as_ids)
+WHERE rn <= {X.SAMPLE_N}"""
+ORACLES["undersample_repeated_ids"] = _TIED + f"""
+SELECT id, sentiment, text FROM (
+  SELECT *, count(*) FILTER (label = 1) OVER () AS n1,
+         row_number() OVER (PARTITION BY label ORDER BY md5('order:' || id), id, sentiment, text)
+           AS rn
+  FROM (SELECT *, {LABEL} AS label FROM documents_as_ids))
+WHERE label = 1 OR rn <= n1"""
 ORACLES["sample_fraction"] = C + f"""
 SELECT * FROM corpus
 WHERE ('0x' || substr(md5('sample:' || id), 1, 8))::BIGINT < round({X.SAMPLE_SHARE} * 4294967296)"""
@@ -295,7 +350,9 @@ ORACLES["kfold_assign"] = C + f"SELECT id, {FOLD.format('id')} AS fold FROM corp
 # ---------------------------------------------------------------- training sets
 
 
-def set_ctes(specs: Sequence[Spec]) -> list[str]:
+def set_ctes(
+    specs: Sequence[Spec], base: Sequence[str] = GEN_BASE, sampled: str = SAMPLED
+) -> list[str]:
     """weighted(s, src_id, gen, method, label, text, w, test): all members with their copies."""
     gens: list[Gen] = []
     for s in specs:
@@ -315,13 +372,13 @@ def set_ctes(specs: Sequence[Spec]) -> list[str]:
         for i, g in enumerate(gens)
     )
     return [
-        *GEN_BASE,
+        *base,
         f"\nspecs AS (SELECT * FROM {values(spec_rows)} t({names}))",
         f"\nmade AS MATERIALIZED (SELECT -1 AS gen, id AS src_id, 'original' AS method, "
         f"{LABEL} AS label, text FROM corpus{made})",
         f"""
 variants AS MATERIALIZED (
-  SELECT made.*, {SAMPLED} AS in_sample, md5('order:' || src_id || ':' || method) AS o
+  SELECT made.*, {sampled} AS in_sample, md5('order:' || src_id || ':' || method) AS o
   FROM made JOIN (SELECT id, sentiment FROM corpus) c ON c.id = made.src_id)""",
         """
 members AS (
@@ -364,6 +421,16 @@ SELECT {_scenario}src_id, method, CAST(unnest(generate_series(1, w)) AS INTEGER)
        label, text
 FROM weighted WHERE w > 0"""
 
+_DRAWS = "\nUNION ALL\n".join(
+    f"SELECT {i + 1} AS copy, src_id, text FROM ("
+    + gen_sql(blankout(X.K, draw=i)) + ")" for i in range(REDRAWN.cap)
+)
+ORACLES["set_blankout_both_over_redraw"] = with_(*set_ctes([REDRAWN]), f"draws AS ({_DRAWS})") + """
+SELECT e.src_id, method, e.copy, label, coalesce(d.text, e.text) AS text
+FROM (SELECT src_id, method, CAST(unnest(generate_series(1, w)) AS INTEGER) AS copy, label, text
+      FROM weighted WHERE w > 0) e
+LEFT JOIN draws d ON method = 'blankout' AND e.src_id = d.src_id AND e.copy = d.copy"""
+
 # ---------------------------------------------------------------- classifiers
 
 V = 1_500_000
@@ -495,8 +562,20 @@ ORACLES["metrics_weighted"] = P_ + "SELECT " + ", ".join(
 # ---------------------------------------------------------------- cross-validation, suites
 
 
-def cv_ctes(specs: Sequence[Spec], classifier: str) -> list[str]:
-    """cells(s, fold, tp, fp, fn, tn) over weighted rows, folds by source row."""
+def cv_ctes(
+    specs: Sequence[Spec], classifier: str, independent: bool = False, **base
+) -> list[str]:
+    """cells(s, fold, tp, fp, fn, tn) over weighted rows, folds by source row.
+
+    ``independent``: folds per copy, other ones for training and for testing; originals only
+    are tested then.
+    """
+    copy, train_w, train_fold = "1", "w", FOLD.format("src_id")
+    test_fold = train_fold
+    if independent:
+        row = "src_id || ':' || method || ':' || copy"
+        copy, train_w, train_fold = "unnest(generate_series(1, w))", "1", TRAIN_FOLD.format(row)
+        test_fold = TEST_FOLD.format("src_id || ':original:1'")
     if classifier == "nb":
         margin = """
          sum(tf * (ln(coalesce(a1, 0) - coalesce(f1, 0) + 1)
@@ -510,7 +589,7 @@ def cv_ctes(specs: Sequence[Spec], classifier: str) -> list[str]:
          sum(tf * ((coalesce(a1, 0) - coalesce(f1, 0)) - (coalesce(a0, 0) - coalesce(f0, 0))))"""
         rule = "CASE WHEN m > 0 THEN 1 ELSE 0 END"
     return [
-        *set_ctes(specs),
+        *set_ctes(specs, **base),
         """
 vterm AS MATERIALIZED (
   SELECT gen, src_id, term, count(*) AS tf
@@ -518,13 +597,13 @@ vterm AS MATERIALIZED (
   GROUP BY 1, 2, 3)""",
         f"""
 train AS MATERIALIZED (
-  SELECT s, gen, src_id, label, w, len(string_split(text, ' ')) AS len,
-         {FOLD.format("src_id")} AS fold
-  FROM weighted WHERE w > 0)""",
+  SELECT s, gen, src_id, label, {train_w} AS w, len(string_split(text, ' ')) AS len,
+         {train_fold} AS fold
+  FROM (SELECT *, {copy} AS copy FROM weighted WHERE w > 0))""",
         f"""
 test AS MATERIALIZED (
   SELECT s, gen, src_id, label, len(string_split(text, ' ')) AS len, 1 AS n,
-         {FOLD.format("src_id")} AS fold
+         {test_fold} AS fold
   FROM variants CROSS JOIN specs WHERE test = 'original' AND gen = -1
   UNION ALL
   SELECT s, gen, src_id, label, len(string_split(text, ' ')), w, {FOLD.format("src_id")}
@@ -567,9 +646,9 @@ per_fold AS (SELECT s, fold, tp, fp, fn, tn, {METRICS} FROM cells)""",
 AVERAGED = ("f1_at_0", "f1_at_1", "aupr", "auroc")
 
 
-def suite_sql(specs: Sequence[Spec], classifier: str) -> str:
+def suite_sql(specs: Sequence[Spec], classifier: str, **how) -> str:
     averages = ", ".join(f"round(avg({m}), 6) AS {m}" for m in AVERAGED)
-    return with_(*cv_ctes(specs, classifier)) + f"""
+    return with_(*cv_ctes(specs, classifier, **how)) + f"""
 SELECT scenario, n_label_0, n_label_1, {", ".join(AVERAGED)}
 FROM specs
 JOIN (SELECT s, CAST(coalesce(sum(w) FILTER (label = 0), 0) AS BIGINT) AS n_label_0,
@@ -581,9 +660,26 @@ JOIN (SELECT s, {averages} FROM per_fold GROUP BY s) USING (s)"""
 for _name, (_specs, _classifier) in SUITES.items():
     ORACLES[_name] = suite_sql(_specs, _classifier)
 
+CAPPED_BASE = (
+    CORPUS.replace("corpus AS", "uncapped AS", 1),
+    f"""
+corpus AS (
+  SELECT id, sentiment, text
+  FROM (SELECT *, row_number() OVER (PARTITION BY sentiment ORDER BY md5('cap:' || id)) AS rn
+        FROM uncapped)
+  WHERE sentiment <> 'positive' OR rn <= {X.CAP})""",
+    TOK,
+    WORDS,
+)
+ORACLES["suite_similar_fair_capped"] = suite_sql(similar_family(), "nb", base=CAPPED_BASE)
+ORACLES["suite_similar_fair_asis"] = suite_sql(similar_family(), "nb", sampled="TRUE")
+ORACLES["suite_imbalance_independent"] = suite_sql(imbalance_family(), "nb", independent=True)
+
 _PLAIN = [Spec("plain", None, base="full")]
-for _classifier in ("nb", "svm1"):
-    ORACLES[f"cv_{_classifier}"] = with_(*cv_ctes(_PLAIN, _classifier)) + (
+for _name, _classifier, _apart in (
+    ("cv_nb", "nb", False), ("cv_nb_independent", "nb", True), ("cv_svm1", "svm1", False)
+):
+    ORACLES[_name] = with_(*cv_ctes(_PLAIN, _classifier, _apart)) + (
         "SELECT fold, tp, fp, fn, tn, "
         + ", ".join(f"round({m}, 6) AS {m}" for m in AVERAGED)
         + " FROM per_fold"
@@ -591,7 +687,11 @@ for _classifier in ("nb", "svm1"):
 
 # ---------------------------------------------------------------- export
 
-_EXPORT = export_gens(SIMILAR_LEXICONS)
+_EXPORT = {
+    "antonym": antonym(4),
+    **{f"similar_{name}": similar(name) for name in LEXICONS},
+    "blankout": blankout(1, protect=False),
+}
 ORACLES["augmented_export"] = with_(*GEN_BASE) + "\nUNION ALL\n".join(
     f"""SELECT {q(name)} AS dataset, id AS src_id, 'original' AS method, sentiment, text FROM corpus
 UNION ALL

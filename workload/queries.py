@@ -15,13 +15,19 @@ from counterpoise.operators import model as B
 from counterpoise.operators import sampling as S
 from counterpoise.plans import specs as P
 from counterpoise.plans.crossval import fold_cells
-from counterpoise.plans.suites import augmented_sets, run_suite, suite_tables
+from counterpoise.plans.suites import (
+    BY_SOURCE,
+    INDEPENDENT,
+    augmented_sets,
+    run_suite,
+    suite_tables,
+)
 from counterpoise.plans.training_sets import build_training_set, training_set_rows
 from counterpoise.session import spool, tune
 from counterpoise.sources.lexicons import antonym_lexicon, sentiment_vocabulary, similar_lexicon
 from counterpoise.sources.lines import parse_lines, to_lines
 from workload import fixtures as X
-from workload.corpus import labelled_sentences
+from workload.corpus import IDS_PER_DOCUMENT, labelled_sentences
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,25 +63,36 @@ def corpus_scan(spark, d):
     return parse_lines(to_lines(corpus(spark, d), "id", "sentiment", "text"))
 
 
-def _word(i: int):
-    return F.get(tokens("text"), F.lit(i))
+def _neighbours(spark, d) -> DataFrame:
+    """(word, next, line_no) for every two neighbouring words of all sentences."""
+    words = tokens("text")
+    two = F.arrays_zip(words.alias("word"), F.slice(words, 2, F.size(words)).alias("next"))
+    pairs = corpus(spark, d).select("id", F.posexplode(two).alias("nth", "two"))
+    return pairs.select(
+        F.col("two.word"), F.col("two.next"), F.struct("id", "nth").alias("line_no")
+    ).filter(F.col("next").isNotNull())
+
+
+def _derived_antonyms(spark, d) -> DataFrame:
+    line = F.concat_ws(",", "word", "next", F.lit("ignored"))
+    return antonym_lexicon(_neighbours(spark, d).select(line.alias("value"), "line_no"))
+
+
+def _derived_similar(spark, d, name: str) -> DataFrame:
+    line = F.concat_ws("\t", "word", F.concat_ws(",", "next", F.lit("second")))
+    return similar_lexicon(_neighbours(spark, d).select(line.alias("value"), "line_no"), name)
 
 
 @query("lexicon_antonym")
 def lexicon_antonym(spark, d):
-    """Lexicon lines made of the first and the last word of every sentence."""
-    line = F.concat_ws(",", _word(0), F.element_at(tokens("text"), -1), F.lit("ignored"))
-    lines = corpus(spark, d).select(line.alias("value"), F.col("id").alias("line_no"))
-    return antonym_lexicon(lines)
+    """Lexicon lines made of every two neighbouring words."""
+    return _derived_antonyms(spark, d)
 
 
 @query("lexicon_similar")
 def lexicon_similar(spark, d):
-    """Lexicon lines made of the first three words of every sentence."""
-    long_enough = corpus(spark, d).filter(F.size(tokens("text")) >= 3)
-    line = F.concat_ws("\t", _word(0), F.concat_ws(",", _word(1), _word(2)))
-    lines = long_enough.select(line.alias("value"), F.col("id").alias("line_no"))
-    return similar_lexicon(lines, "derived")
+    """Lexicon lines made of every two neighbouring words."""
+    return _derived_similar(spark, d, "derived")
 
 
 @query("senti_vocab")
@@ -179,11 +196,51 @@ for _name, _case in ANTONYM_NAMES.items():
     QUERIES[f"antonym_{_name}_senti"] = _made(G.antonym(_case, senti=True))
 for _name, (_words, _minority) in SIMILAR_NAMES.items():
     QUERIES[f"similar_{_name}"] = _made(G.similar("news", _words, _minority))
-QUERIES["antonym_export"] = _made(G.antonym(4))
-QUERIES["similar_export"] = _made(G.similar("news"))
 QUERIES["blankout"] = _made(G.blankout(X.K))
 QUERIES["blankout_senti"] = _made(G.blankout(X.K, senti=True))
-QUERIES["blankout_export"] = _made(G.blankout(1, protect=False))
+
+
+def _exported(gen: G.Gen) -> Query:
+    """Generated rows as the text lines of the exported sets."""
+
+    def run(spark, d):
+        spark = tune(spark)
+        made = G.generate(corpus(spark, d), [gen], lexicons(spark))
+        return to_lines(made, "src_id", "sentiment", "text")
+
+    return run
+
+
+QUERIES["antonym_export"] = _exported(G.antonym(4))
+QUERIES["similar_export"] = _exported(G.similar("news"))
+QUERIES["blankout_export"] = _exported(G.blankout(1, protect=False))
+
+
+def _made_large(gen: G.Gen, max_bytes: int | None = None) -> Query:
+    """Generators over a lexicon derived from the whole corpus; one byte forces the joins."""
+
+    def run(spark, d):
+        spark = tune(spark)
+        lex = G.Lexicons(
+            antonyms=_derived_antonyms(spark, d) if gen.kind == "antonym" else None,
+            similar=_derived_similar(spark, d, gen.lexicon) if gen.kind == "similar" else None,
+            max_bytes=max_bytes,
+        )
+        return G.generate(corpus(spark, d), [gen], lex).drop("gen")
+
+    return run
+
+
+for _path, _bytes in (("large", None), ("joined", 1)):
+    QUERIES[f"antonym_all_both_{_path}_lexicon"] = _made_large(G.antonym(2), _bytes)
+    QUERIES[f"similar_all_both_{_path}_lexicon"] = _made_large(G.similar("news"), _bytes)
+
+
+@query("blankout_senti_vocab")
+def blankout_senti_vocab(spark, d):
+    """Keeps every word of the vocabulary that the corpus itself gives."""
+    lex = G.Lexicons(senti=QUERIES["senti_vocab"](spark, d))
+    return G.generate(corpus(spark, d), [G.blankout(X.K, senti=True)], lex).drop("gen")
 
 
 @query("blankout_sweep")
@@ -194,16 +251,16 @@ def blankout_sweep(spark, d):
     return made.withColumn("k", F.col("gen") + 2).drop("gen")
 
 
-def _tsv(spark, d) -> DataFrame:
+def _tsv(spark, d, c0="id") -> DataFrame:
     rows = corpus(spark, d).withColumn("c2", F.lit("x"))
-    return parse_lines(to_lines(rows, "id", "sentiment", "c2", "text", sep="\t"), "tsv4")
+    return parse_lines(to_lines(rows, c0, "sentiment", "c2", "text", sep="\t"), "tsv4")
 
 
-def _five(spark, d) -> DataFrame:
+def _five(spark, d, c0="id", c1="sentiment") -> DataFrame:
     rows = corpus(spark, d).select(
         "id", "sentiment", F.lit("Q").alias("c2"), "text", label_of("sentiment").alias("label")
     )
-    parsed = parse_lines(to_lines(rows, "id", "sentiment", "c2", "text", "label"), "five_col")
+    parsed = parse_lines(to_lines(rows, c0, c1, "c2", "text", "label"), "five_col")
     return parsed.withColumnRenamed("label", "sentiment")
 
 
@@ -214,6 +271,14 @@ def antonym_tsv(spark, d):
     return made.select("src_id", "sentiment", "text", "n_changed")
 
 
+@query("antonym_tsv_repeated_ids")
+def antonym_tsv_repeated_ids(spark, d):
+    """The class stands where the id should be, so very many lines share it."""
+    gen = G.Gen("antonym", case=1, prefilter=False)
+    made = G.generate(_tsv(spark, d, "sentiment"), [gen], lexicons(spark))
+    return made.select("c0", "sentiment", "text", "n_changed")
+
+
 @query("similar_tsv")
 def similar_tsv(spark, d):
     gen = replace(G.similar("news"), flip="keep")
@@ -221,10 +286,10 @@ def similar_tsv(spark, d):
     return made.select("src_id", "sentiment", "text", "n_changed")
 
 
-def _made_five(gen: G.Gen) -> Query:
+def _made_five(gen: G.Gen, c0="id", c1="sentiment") -> Query:
     def run(spark, d):
         spark = tune(spark)
-        made = G.generate(_five(spark, d), [replace(gen, flip="digit")], lexicons(spark))
+        made = G.generate(_five(spark, d, c0, c1), [replace(gen, flip="digit")], lexicons(spark))
         return made.select("c0", "c1", "c2", "text", F.col("sentiment").alias("label"))
 
     return run
@@ -232,6 +297,7 @@ def _made_five(gen: G.Gen) -> Query:
 
 QUERIES["antonym_five_col"] = _made_five(G.antonym(4))
 QUERIES["similar_five_col"] = _made_five(G.similar("news"))
+QUERIES["similar_five_col_repeated_ids"] = _made_five(G.similar("news"), "sentiment", "id")
 QUERIES["blankout_five_col"] = _made_five(G.blankout(1, protect=False))
 
 
@@ -253,6 +319,21 @@ def sample_exact_n(spark, d):
     return S.first_n(corpus(spark, d), X.SAMPLE_N, "id")
 
 
+def _by_document(spark, d) -> DataFrame:
+    """The corpus with the number of the document as id of all its sentences."""
+    return corpus(spark, d).withColumn("id", F.floor(F.col("id") / IDS_PER_DOCUMENT))
+
+
+@query("sample_exact_n_repeated_ids")
+def sample_exact_n_repeated_ids(spark, d):
+    return S.first_n(_by_document(spark, d), X.SAMPLE_N, "id")
+
+
+@query("undersample_repeated_ids")
+def undersample_repeated_ids(spark, d):
+    return S.undersample(_by_document(spark, d), "id")
+
+
 @query("sample_fraction")
 def sample_fraction(spark, d):
     return S.bernoulli(corpus(spark, d), X.SAMPLE_SHARE, "id")
@@ -301,6 +382,14 @@ for _name, _specs in SETS.items():
     QUERIES[_name] = _set_query(_specs)
 
 
+REDRAWN = P.with_blankout(X.K, False, False, "over")
+
+
+@query("set_blankout_both_over_redraw")
+def set_blankout_both_over_redraw(spark, d):
+    return build_training_set(corpus(spark, d), REDRAWN, lexicons(spark), redraw=True)
+
+
 # ---------------------------------------------------------------- classifiers
 
 
@@ -364,14 +453,14 @@ def denoise_with_original(spark, d):
     return _rounded(B.denoise(_generated(spark, d), _labelled(spark, d)))
 
 
-def _cv(classifier: str) -> Query:
+def _cv(classifier: str, folds: str = BY_SOURCE) -> Query:
     spec = replace(P.plain(), base="full")
 
     def run(spark, d):
         spark = tune(spark)
-        rows = suite_tables(corpus(spark, d), [spec], G.Lexicons())
+        rows = suite_tables(corpus(spark, d), [spec], G.Lexicons(), folds=folds)
         stats = spool(B.training_stats(rows.select("fold", "label", "text", "w")))
-        test = rows.select("src_id", "fold", "label", "text", "tw")
+        test = rows.select("src_id", F.col("test_fold").alias("fold"), "label", "text", "tw")
         scored = B.score(stats, test, ["src_id"], 1, classifier)
         cells = fold_cells(scored, [spec.scenario])
         return _round_metrics(
@@ -389,6 +478,7 @@ def _round_metrics(df: DataFrame, *names: str) -> DataFrame:
 
 
 QUERIES["cv_nb"] = _cv(B.NAIVE_BAYES)
+QUERIES["cv_nb_independent"] = _cv(B.NAIVE_BAYES, INDEPENDENT)
 QUERIES["cv_svm1"] = _cv(B.SVM_ONE_STEP)
 
 
@@ -467,16 +557,26 @@ SUITES: dict[str, tuple[list[P.Spec], str]] = {
 }
 
 
-def _suite_query(specs: list[P.Spec], classifier: str) -> Query:
+def _suite_query(specs, classifier, cap=None, whole=False, folds=BY_SOURCE) -> Query:
     def run(spark, d):
         spark = tune(spark)
-        return _round_metrics(run_suite(corpus(spark, d), specs, lexicons(spark), classifier))
+        rows = corpus(spark, d)
+        how = {"folds": folds, "in_sample": F.lit(True) if whole else None}
+        if cap is not None:
+            rows = S.capped_majority(rows, cap)
+        return _round_metrics(run_suite(rows, specs, lexicons(spark), classifier, **how))
 
     return run
 
 
 for _name, (_specs, _classifier) in SUITES.items():
     QUERIES[_name] = _suite_query(_specs, _classifier)
+# the headline suite on the other two profiles, and folds drawn apart
+QUERIES["suite_similar_fair_capped"] = _suite_query(P.similar_family(), B.NAIVE_BAYES, X.CAP)
+QUERIES["suite_similar_fair_asis"] = _suite_query(P.similar_family(), B.NAIVE_BAYES, whole=True)
+QUERIES["suite_imbalance_independent"] = _suite_query(
+    P.imbalance_family(), B.NAIVE_BAYES, folds=INDEPENDENT
+)
 
 
 @query("augmented_export")

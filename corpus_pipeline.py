@@ -30,10 +30,7 @@ SHARDS = 8
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     model = quality.fit(quality.stats_table(docs), read(spark, sf_dir, "labels"))
-    score = quality.quality_score(model, F.col("text"))
-    return docs.withColumn("pipeline_score", score).filter(
-        F.col("pipeline_score") >= ACCEPT
-    ).select(*docs.columns)
+    return docs.filter(quality.quality_score(model, F.col("text")) >= ACCEPT)
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -190,17 +190,22 @@ def class_constants(stats: DataFrame, n: int, folds: int, features: int) -> Data
 
 
 def _model_size(stats: DataFrame, n: int) -> tuple[int, int]:
-    """(rows of the weight table, how many of its rows fit the broadcast budget)."""
+    """(rows of the weight table, how many rows may be broadcast).
+
+    The whole table is measured by the folds its terms occur in.  If that is too much, only
+    frequent terms are sent, and these are taken to occur in as many folds as any term does.
+    """
     size = (
         stats.filter(F.col("term").isNotNull())
         .groupBy("term")
-        .agg(F.size(F.collect_set("fold")).alias("folds"))
-        .agg(F.count("*").alias("terms"), F.sum("folds").alias("folds"))
+        .agg(F.count_distinct("fold").alias("folds"))
+        .agg(F.count("*").alias("terms"), F.sum("folds").alias("all"), F.max("folds").alias("most"))
         .first()
     )
-    terms = size["terms"]
-    per_row = 64 + (1 + (size["folds"] or 0) / max(1, terms)) * (8 * n + 32)
-    return terms, max(1, int(BROADCAST_MB * 2**20 / per_row))
+    terms, budget, vector = size["terms"], BROADCAST_MB << 20, 8 * n + 32
+    if terms * (64 + vector) + (size["all"] or 0) * vector <= budget:
+        return terms, terms
+    return terms, max(1, budget // (64 + (1 + size["most"]) * vector))
 
 
 def score(
@@ -214,24 +219,36 @@ def score(
 ) -> DataFrame:
     """(key..., fold, label, s, tw, margin, prediction) of the rows tested in scenario ``s``.
 
-    A row of fold f is scored by the models of all training rows outside fold f.
+    A row of fold f is scored by the models of all training rows outside fold f.  Keys need not
+    be unique: rows are told apart by their texts too, and identical rows are scored once and
+    repeated.
     """
     rows, max_rows = _model_size(stats, n)
     carried = [*key, "fold", "label", "tw"]
-    tok = test.repartition(*key).select(
-        *carried, F.size(tokens("text")).alias("_len"), F.explode(tokens("text")).alias("term")
+    row = [*key, "fold", "label", "_text", "_same", "_len"]
+    once = (
+        test.withColumn("_text", F.xxhash64("text"))
+        .repartition(*key, "_text")
+        .groupBy(*carried, "_text", "text")
+        .agg(F.count("*").alias("_same"))
+    )
+    words = tokens("text")
+    tok = once.select(
+        *carried, "_text", "_same", F.size(words).alias("_len"), F.explode(words).alias("term")
     )
     weights = term_weights(stats, n, classifier)
     matched = lookup_join(tok, weights, "term", "left", max_rows, rows)
     none = F.array_repeat(F.lit(0.0), n)
     v = F.coalesce(F.try_element_at("by_fold", F.col("fold")), F.col("base"), none)
     per_word = matched.select(
-        *key, "fold", "label", "_len", F.posexplode(F.arrays_zip(v.alias("v"), "tw")).alias("s", "x")
-    ).select(*key, "fold", "label", "_len", "s", F.col("x.tw").alias("tw"), F.col("x.v").alias("v"))
+        *row, F.posexplode(F.arrays_zip(v.alias("v"), "tw")).alias("s", "x")
+    ).select(*row, "s", F.col("x.tw").alias("tw"), F.col("x.v").alias("v"))
     summed = (
         per_word.filter(F.col("tw") > 0)
-        .groupBy(*key, "fold", "label", "_len", "s", "tw")
+        .groupBy(*row, "s", "tw")
         .agg(F.sum("v").alias("margin"))
+        .withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_same"))))
+        .drop("_text", "_same", "_nth")
     )
     m = F.col("margin")
     if classifier == SVM_ONE_STEP:
@@ -259,7 +276,7 @@ def fit_predict(
     classifier: str = NAIVE_BAYES,
     features: int = FEATURES,
 ) -> DataFrame:
-    """(key, label, margin, prediction): one training set, one test set with unique ``key``."""
+    """(key, label, margin, prediction): one training set, one test set."""
     once = F.array(F.lit(1).cast("short"))
     stats = training_stats(train.select(F.lit(0).alias("fold"), "label", "text", once.alias("w")))
     tested = test.select(key, F.lit(1).alias("fold"), "label", "text", once.alias("tw"))

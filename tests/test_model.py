@@ -153,3 +153,12 @@ def test_suite_with_independent_folds(spark, labelled, lex):
         over = rows["blankout_k2_minority_senti_over"]
         assert over["n_label_1"] == min(120 - n, 4 * 2 * n)
         assert all(0 <= r["aupr"] <= 1 for r in rows.values())
+
+
+def test_rows_that_share_a_key_are_scored_apart(spark):
+    train = spark.createDataFrame([(0, "a b"), (1, "c d")], "label int, text string")
+    test = spark.createDataFrame(
+        [(1, 0, "a a"), (1, 1, "c c"), (1, 1, "c c"), (2, 1, "d")], "id int, label int, text string"
+    )
+    found = B.fit_predict(train, test, "id").select("id", "label", "prediction").collect()
+    assert sorted(map(tuple, found)) == [(1, 0, 0), (1, 1, 1), (1, 1, 1), (2, 1, 1)]

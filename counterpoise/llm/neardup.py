@@ -1,0 +1,225 @@
+"""Groups of near-duplicates: covering LSH finds the candidates, the words decide.
+
+Two texts are linked if their SimHash fingerprints are within the radius of ``simhash``, or if they
+share at least SIMILARITY of their five-word shingles (Jaccard).  A changed word changes five
+shingles but only one word, so candidates for the second kind come from a fingerprint over the
+distinct words, which moves far less, with a covering family of masks: of the pairs within
+WORD_RADIUS bits none is missed, and each of them is verified.  Similar texts whose word
+fingerprints lie further apart are not linked; README has the share.
+
+1. Texts that are equal word by word (A-Z lower-cased) are one class, so copies never meet.
+2. Every class enters one bucket per mask.  Buckets of one are dropped by their count; larger ones
+   are cut into chunks by hash, and chunk meets chunk.  A pair belongs to the first mask on which
+   it agrees, and only classes with such a partner go on, as members of the meeting.
+3. The shingles of members are made once per class, and each meeting verifies its pairs exactly.
+   It returns a spanning forest of the links it finds, never all pairs.
+
+A meeting holds about two CHUNKs of classes at most.  Classes are told apart by 64 bits.
+
+Defined results: NULL, empty and blank texts are one class; a text under five words is one shingle;
+each row is judged by its own text, also where rows or ids repeat; rows with a NULL id are
+grouped, and a group of NULL ids only has a NULL id; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from counterpoise.llm.common import small_batches
+from counterpoise.llm.components import components
+from counterpoise.llm.simhash import fingerprint, fingerprint_links, majority, masks, shingle_hashes
+from counterpoise.session import spool
+
+SIMILARITY = 0.8
+SHINGLE = 5
+WORD_RADIUS = 6
+CHUNK = 128  # classes of one bucket that meet another chunk at once
+
+MEETING = ["mask", "bucket", "i", "j"]
+MEMBERS = "mask int, bucket long, i long, j long, body long, w long, own long"
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _words(text) -> list[bytes]:
+    return (text if isinstance(text, str) else "").encode("utf-8", "replace").lower().split()
+
+
+def text_class(text) -> int:
+    """The same for texts that are equal word by word."""
+    return _signed(xxhash.xxh64_intdigest(b" ".join(_words(text)), 7))
+
+
+def word_fingerprint(text) -> int:
+    """Majority of the hashes of the distinct words."""
+    own = set(_words(text))
+    return majority(np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in own), np.uint64, len(own)))
+
+
+def prints(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, body, fp, w): class, shingle and word fingerprint of every row."""
+
+    @F.pandas_udf("body long, fp long, w long")
+    def run(s: pd.Series) -> pd.DataFrame:
+        rows = [
+            (text_class(t), fingerprint(t if isinstance(t, str) else None), word_fingerprint(t))
+            for t in s
+        ]
+        return pd.DataFrame(rows, columns=["body", "fp", "w"])
+
+    return docs.select(F.col(key).alias("key"), run(F.col(text)).alias("p")).select("key", "p.*")
+
+
+def first_mask(x: np.ndarray, family: np.ndarray) -> np.ndarray:
+    """Number of the first mask that shows no bit of x; len(family) if all show some."""
+    out, left = np.full(len(x), len(family)), np.arange(len(x))
+    for v, m in enumerate(family):
+        hit = (x[left] & m) == 0
+        out[left[hit]] = v
+        left = left[~hit]
+        if not len(left):
+            break
+    return out
+
+
+def partners(w: np.ndarray, own: np.ndarray, mask: int, across: bool, family: np.ndarray):
+    """Pairs (a, b), a < b, within the radius that belong to the meeting."""
+    x = w.view(np.uint64)
+    near = np.triu(np.bitwise_count(x[:, None] ^ x[None, :]) <= WORD_RADIUS, 1)
+    if across:
+        near &= own[:, None] != own[None, :]
+    a, b = np.nonzero(near)
+    mine = first_mask(w[a] ^ w[b], family) == mask
+    return a[mine], b[mine]
+
+
+def similar(s: np.ndarray, t: np.ndarray) -> bool:
+    """Jaccard similarity of two sets of shingles."""
+    if min(len(s), len(t)) < SIMILARITY * max(len(s), len(t)):
+        return False
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return both >= SIMILARITY * (len(s) + len(t) - both)
+
+
+def forest(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Verified links among the pairs (a, b); pairs that are already connected are skipped."""
+    root = list(range(len(sets)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out = []
+    for i, j in zip(a.tolist(), b.tolist()):
+        x, y = top(i), top(j)
+        if x != y and similar(sets[i], sets[j]):
+            root[y] = x
+            out.append((i, j))
+    return out
+
+
+def _columns(entries):
+    return [np.array([e[c] for e in entries], np.int64) for c in ("body", "w", "own")]
+
+
+def meetings(classes: DataFrame) -> DataFrame:
+    """The members of all meetings of classes(body, w): those that have a partner there."""
+    family = masks(WORD_RADIUS)
+    shown = F.transform(
+        F.array(*[F.lit(m) for m in family]), lambda m: F.col("w").bitwiseAND(m)
+    )
+    keyed = classes.select("body", "w", F.posexplode(shown).alias("mask", "shown")).select(
+        "mask", F.xxhash64("mask", "shown").alias("bucket"), "body", "w"
+    )
+    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    sizes = spool(sizes.select("bucket", F.ceil(F.col("n") / CHUNK).alias("chunks")), "buckets")
+    own = F.pmod(F.xxhash64("body"), F.col("chunks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    met = keyed.join(sizes, "bucket").withColumn("own", own).withColumn("other", other)
+    grouped = (
+        met.withColumn("i", F.least("own", "other"))
+        .withColumn("j", F.greatest("own", "other"))
+        .groupBy(*MEETING)
+        .agg(F.collect_list(F.struct("body", "w", "own")).alias("es"))
+        .filter(F.size("es") > 1)
+    )
+    known = np.array(family, np.int64)
+
+    def choose(batches):
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                body, w, own = _columns(r.es)
+                a, b = partners(w, own, r.mask, r.i != r.j, known)
+                some = np.unique(np.concatenate([a, b]))
+                if len(some):
+                    place = {c: getattr(r, c) for c in MEETING}
+                    yield pd.DataFrame({**place, "body": body[some], "w": w[some], "own": own[some]})
+
+    return grouped.mapInPandas(choose, MEMBERS)
+
+
+def similar_links(docs: DataFrame, classes: DataFrame, key: str, text: str) -> DataFrame:
+    """Links (a, b) between the classes(body, w, low) of ``docs``, with the same components as all
+    verified pairs."""
+    members = spool(meetings(classes.select("body", "w")), "members")
+    wanted = members.select("body").distinct().join(classes.select("body", "low"), "body")
+    wanted = spool(wanted, "wanted")
+
+    @F.pandas_udf("seen long, shingles binary")
+    def shingled(s: pd.Series) -> pd.DataFrame:
+        sets = [np.unique(shingle_hashes(t if isinstance(t, str) else None, SHINGLE)) for t in s]
+        return pd.DataFrame(
+            {"seen": [text_class(t) for t in s], "shingles": [x.tobytes() for x in sets]}
+        )
+
+    # one row per class where ids are unique; rows that only share an id with it are told apart
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = rows.join(wanted, F.col("key").eqNullSafe(F.col("low")))
+    sets = rows.select("body", shingled("text").alias("s")).filter("s.seen = body")
+    sets = spool(sets.groupBy("body").agg(F.min("s.shingles").alias("shingles")), "shingles")
+    entry = F.struct("body", "w", "own", "shingles")
+    grouped = members.join(sets, "body").groupBy(*MEETING).agg(F.collect_list(entry).alias("es"))
+    known = np.array(masks(WORD_RADIUS), np.int64)
+
+    def verify(batches):
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                body, w, own = _columns(r.es)
+                pairs = partners(w, own, r.mask, r.i != r.j, known)
+                shingles = [np.frombuffer(e["shingles"], np.uint64) for e in r.es]
+                links = np.array(forest(shingles, *pairs), np.int64).reshape(-1, 2)
+                yield pd.DataFrame({"a": body[links[:, 0]], "b": body[links[:, 1]]})
+
+    return grouped.mapInPandas(verify, "a long, b long")
+
+
+def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, component_id) for every row of ``docs``; the smallest key of a group names it."""
+    small_batches(docs.sparkSession)
+    rows = spool(prints(docs, key, text), "prints")
+    classes = rows.groupBy("body").agg(
+        F.min("fp").alias("fp"), F.min("w").alias("w"), F.min("key").alias("low")
+    )
+    classes = spool(classes, "classes")
+    per_print = spool(classes.groupBy("fp").agg(F.min("body").alias("first")), "distinct")
+    equal = classes.join(per_print, "fp").select(F.col("body").alias("a"), F.col("first").alias("b"))
+    close = (
+        fingerprint_links(per_print.select("fp"))
+        .join(per_print.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a")
+        .join(per_print.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+        .select(F.col("x").alias("a"), F.col("y").alias("b"))
+    )
+    links = equal.filter("a <> b").union(close).union(similar_links(docs, classes, key, text))
+    roots = components(links).withColumnRenamed("node", "body")
+    grouped = classes.join(roots, "body", "left").withColumn("root", F.coalesce("root", "body"))
+    best = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = spool(grouped.join(best, "root").select("body", "component_id"), "named")
+    return rows.join(named, "body").select(F.col("key").alias(key), "component_id")

@@ -51,9 +51,8 @@ def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """Bit i is set if it is set in over half of the shingle hashes; as a signed long."""
-    h = shingle_hashes(text, size)
+def majority(h: np.ndarray) -> int:
+    """Bit i is set if it is set in over half of the hashes; as a signed long."""
     if not len(h):
         return 0
     votes = np.zeros(BITS, np.int64)
@@ -65,6 +64,11 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(on.view("<i8")[0])
 
 
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    """Majority of the shingle hashes."""
+    return majority(shingle_hashes(text, size))
+
+
 def fingerprints(text: Column, size: int = SHINGLE) -> Column:
     @F.pandas_udf("long")
     def run(s: pd.Series) -> pd.Series:
@@ -74,9 +78,16 @@ def fingerprints(text: Column, size: int = SHINGLE) -> Column:
 
 
 def masks(radius: int = RADIUS) -> list[int]:
-    """The masks of a covering family, as signed longs."""
+    """The masks of a covering family, as signed longs.
+
+    Where there are more vectors than positions, those of odd weight are used: for radius 6 these
+    are just 64, and every mask shows half of the positions or all of them.
+    """
+    if not 0 <= radius <= 6:
+        raise ValueError("radius must be 0 to 6")
     width = (1 << (radius + 1)) - 1
-    carried = [1 + i % width for i in range(BITS)]
+    vectors = [v for v in range(1, width + 1) if width <= BITS or v.bit_count() % 2]
+    carried = [vectors[i % len(vectors)] for i in range(BITS)]
     out = []
     for v in range(1, width + 1):
         m = sum(1 << i for i, c in enumerate(carried) if bin(c & v).count("1") % 2)

@@ -1,20 +1,21 @@
-"""Groups of near-duplicates: covering LSH finds the candidates, the words decide.
+"""Groups of near-duplicates: an exact prefix-filter join finds the candidates, the words decide.
 
 Two texts are linked if their SimHash fingerprints are within the radius of ``simhash``, or if they
-share at least SIMILARITY of their five-word shingles (Jaccard).  A changed word changes five
-shingles but only one word, so candidates for the second kind come from a fingerprint over the
-distinct words, which moves far less, with a covering family of masks: of the pairs within
-WORD_RADIUS bits none is missed, and each of them is verified.  Similar texts whose word
-fingerprints lie further apart are not linked; README has the share.
+share at least SIMILARITY of their five-word shingles (Jaccard).  No such pair is missed.
 
 1. Texts that are equal word by word (A-Z lower-cased) are one class, so copies never meet.
-2. Every class enters one bucket per mask.  Buckets of one are dropped by their count; larger ones
-   are cut into chunks by hash, and chunk meets chunk.  A pair belongs to the first mask on which
-   it agrees, and only classes with such a partner go on, as members of the meeting.
-3. The shingles of members are made once per class, and each meeting verifies its pairs exactly.
-   It returns a spanning forest of the links it finds, never all pairs.
-
-A meeting holds about two CHUNKs of classes at most.  Classes are told apart by 64 bits.
+2. The shingles of a class are put in one order for all: rare ones first, as far as they are known
+   to repeat, then by hash.  Of n shingles only the first n - ceil(SIMILARITY * n) + 1 are sent
+   out: two similar classes share one of them.  A bucket is the classes that sent one shingle.
+3. Every class of a bucket is compared with one hub of it.  These links and those of the
+   fingerprints give first components; after that only classes of different components meet.
+4. Their buckets are cut into chunks by hash, and chunk meets chunk.  A pair must pass the length
+   and the position filter, which never reject a similar pair at its first common shingle; then
+   the whole sets of shingles are compared.  A meeting returns a spanning forest, never all pairs.
+
+A meeting holds about two CHUNKs of classes at most.  Classes and shingles are told apart by 64
+bits.  The counts of frequent shingles only shape the order, so they decide how many candidates
+there are, never which pairs are found.
 
 Defined results: NULL, empty and blank texts are one class; a text under five words is one shingle;
 each row is judged by its own text, also where rows or ids repeat; rows with a NULL id are
@@ -23,6 +24,8 @@ grouped, and a group of NULL ids only has a NULL id; an empty table gives no row
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -31,17 +34,18 @@ from pyspark.sql import functions as F
 
 from counterpoise.llm.common import small_batches
 from counterpoise.llm.components import components
-from counterpoise.llm.simhash import fingerprint, fingerprint_links, majority, masks, shingle_hashes
+from counterpoise.llm.simhash import fingerprint, fingerprint_links, shingle_hashes
 from counterpoise.session import spool
 
 SIMILARITY = 0.8
 SHINGLE = 5
-WORD_RADIUS = 6
 CHUNK = 128  # classes of one bucket that meet another chunk at once
+SLAB = 1 << 22  # shingles of one task that are counted together
+LISTED = 1 << 18  # frequent shingles that every task knows
+SLACK = 1e-9
 
-MEETING = ["mask", "bucket", "i", "j"]
-MEMBERS = "mask int, bucket long, i long, j long, body long, w long, own long"
-
+MEETING = ["bucket", "i", "j"]
+ENTRY = "body long, size int, place int, own long, comp long"
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
@@ -56,24 +60,18 @@ def text_class(text) -> int:
     return _signed(xxhash.xxh64_intdigest(b" ".join(_words(text)), 7))
 
 
-def word_fingerprint(text) -> int:
-    """Majority of the hashes of the distinct words."""
-    own = set(_words(text))
-    return majority(np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in own), np.uint64, len(own)))
-
-
 def prints(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, body, fp, w): class, shingle and word fingerprint of every row."""
+    """(key, exact, body, fp): hash of the text, class and fingerprint of every row."""
 
-    @F.pandas_udf("body long, fp long, w long")
+    @F.pandas_udf("body long, fp long")
     def run(s: pd.Series) -> pd.DataFrame:
-        rows = [
-            (text_class(t), fingerprint(t if isinstance(t, str) else None), word_fingerprint(t))
-            for t in s
-        ]
-        return pd.DataFrame(rows, columns=["body", "fp", "w"])
+        rows = [(text_class(t), fingerprint(t if isinstance(t, str) else None)) for t in s]
+        return pd.DataFrame(rows, columns=["body", "fp"])
 
-    return docs.select(F.col(key).alias("key"), run(F.col(text)).alias("p")).select("key", "p.*")
+    rows = docs.select(
+        F.col(key).alias("key"), F.xxhash64(text).alias("exact"), run(F.col(text)).alias("p")
+    )
+    return rows.select("key", "exact", "p.*")
 
 
 def first_mask(x: np.ndarray, family: np.ndarray) -> np.ndarray:
@@ -88,15 +86,93 @@ def first_mask(x: np.ndarray, family: np.ndarray) -> np.ndarray:
     return out
 
 
-def partners(w: np.ndarray, own: np.ndarray, mask: int, across: bool, family: np.ndarray):
-    """Pairs (a, b), a < b, within the radius that belong to the meeting."""
-    x = w.view(np.uint64)
-    near = np.triu(np.bitwise_count(x[:, None] ^ x[None, :]) <= WORD_RADIUS, 1)
+def shingle_set(text) -> np.ndarray:
+    return np.unique(shingle_hashes(text if isinstance(text, str) else None, SHINGLE))
+
+
+def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of texts(body, text) that repeat within a task, sorted, and their counts; at most
+    LISTED of them, the most frequent."""
+
+    def repeated(sets):
+        found, n = np.unique(np.concatenate(sets), return_counts=True)
+        more = n > 1
+        return pd.DataFrame({"x": found[more].view(np.int64), "n": n[more].astype(np.int64)})
+
+    def count(batches):
+        sets, held = [], 0
+        for batch in batches:
+            for t in batch["text"]:
+                sets.append(shingle_set(t))
+                held += len(sets[-1])
+                if held >= SLAB:
+                    yield repeated(sets)
+                    sets, held = [], 0
+        if sets:
+            yield repeated(sets)
+
+    counts = texts.select("text").mapInPandas(count, "x long, n long")
+    counts = spool(counts.groupBy("x").agg(F.sum("n").alias("n")), "frequent")
+    level = F.floor(F.log2("n") * 8).cast("int")
+    levels = counts.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect()
+    least, left = None, LISTED
+    for r in sorted(levels, key=lambda r: -r["level"]):
+        left -= r["rows"]
+        if left < 0:
+            break
+        least = r["level"]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    rows = counts.filter(level >= least).toPandas()
+    x, n = rows["x"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+    order = np.argsort(x)
+    return x[order], n[order]
+
+
+def prefix(own: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles of a sorted set that are sent out, in the common order."""
+    often = np.zeros(len(own), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        often = np.where(known[at] == own, counts[at], 0)
+    out = len(own) - math.ceil(SIMILARITY * len(own) - SLACK) + 1
+    return own[np.lexsort((own, often))][: out if len(own) else 0]
+
+
+def prefixes(texts: DataFrame) -> DataFrame:
+    """(bucket, body, size, place): the shingles that every class of texts(body, text) sends out,
+    where another class sends the same."""
+    known, counts = frequent(texts)
+
+    def send(batches):
+        for batch in batches:
+            out = []
+            for body, text in zip(batch["body"], batch["text"]):
+                own = shingle_set(text)
+                sent = prefix(own, known, counts)
+                out.append((sent, np.full(len(sent), body), np.full(len(sent), len(own))))
+            if out:
+                place = np.concatenate([np.arange(len(x)) for x, _, _ in out])
+                sent, body, size = (np.concatenate(c) for c in zip(*out))
+                yield pd.DataFrame(
+                    {"bucket": sent.view(np.int64), "body": body, "size": size, "place": place}
+                )
+
+    sent = texts.mapInPandas(send, "bucket long, body long, size int, place int")
+    sent = spool(sent, "prefixes")
+    shared = sent.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    return spool(sent.join(shared, "bucket"), "shared")
+
+
+def partners(size, place, own, comp, across: bool):
+    """Pairs (a, b), a < b, of a meeting that can be similar and are of different components."""
+    n, rest = size.astype(float), (size - place).astype(float)
+    least = SIMILARITY / (1 + SIMILARITY) * (n[:, None] + n[None, :]) - SLACK
+    near = np.minimum(rest[:, None], rest[None, :]) >= least
+    near &= comp[:, None] != comp[None, :]
     if across:
         near &= own[:, None] != own[None, :]
-    a, b = np.nonzero(near)
-    mine = first_mask(w[a] ^ w[b], family) == mask
-    return a[mine], b[mine]
+    return np.nonzero(np.triu(near, 1))
 
 
 def similar(s: np.ndarray, t: np.ndarray) -> bool:
@@ -127,87 +203,127 @@ def forest(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> list[tuple[i
 
 
 def _columns(entries):
-    return [np.array([e[c] for e in entries], np.int64) for c in ("body", "w", "own")]
+    names = ("body", "size", "place", "own", "comp")
+    return [np.array([e[c] for e in entries], np.int64) for c in names]
 
 
-def meetings(classes: DataFrame) -> DataFrame:
-    """The members of all meetings of classes(body, w): those that have a partner there."""
-    family = masks(WORD_RADIUS)
-    shown = F.transform(
-        F.array(*[F.lit(m) for m in family]), lambda m: F.col("w").bitwiseAND(m)
-    )
-    keyed = classes.select("body", "w", F.posexplode(shown).alias("mask", "shown")).select(
-        "mask", F.xxhash64("mask", "shown").alias("bucket"), "body", "w"
-    )
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    sizes = spool(sizes.select("bucket", F.ceil(F.col("n") / CHUNK).alias("chunks")), "buckets")
-    own = F.pmod(F.xxhash64("body"), F.col("chunks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
-    met = keyed.join(sizes, "bucket").withColumn("own", own).withColumn("other", other)
-    grouped = (
-        met.withColumn("i", F.least("own", "other"))
-        .withColumn("j", F.greatest("own", "other"))
-        .groupBy(*MEETING)
-        .agg(F.collect_list(F.struct("body", "w", "own")).alias("es"))
-        .filter(F.size("es") > 1)
-    )
-    known = np.array(family, np.int64)
+def verified(entries: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) among entries(bucket, i, j, body, size, place, own, comp): in every meeting
+    (bucket, i, j) a spanning forest of the similar pairs of different components."""
+    entry = [c.split()[0] for c in ENTRY.split(", ")]
+
+    def grouped(rows: DataFrame, *more: str) -> DataFrame:
+        es = F.collect_list(F.struct(*entry, *more)).alias("es")
+        return rows.groupBy(*MEETING).agg(es).filter(F.size("es") > 1)
 
     def choose(batches):
         for batch in batches:
             for r in batch.itertuples(index=False):
-                body, w, own = _columns(r.es)
-                a, b = partners(w, own, r.mask, r.i != r.j, known)
-                some = np.unique(np.concatenate([a, b]))
+                columns = _columns(r.es)
+                some = np.unique(np.concatenate(partners(*columns[1:], r.i != r.j)))
                 if len(some):
                     place = {c: getattr(r, c) for c in MEETING}
-                    yield pd.DataFrame({**place, "body": body[some], "w": w[some], "own": own[some]})
-
-    return grouped.mapInPandas(choose, MEMBERS)
-
-
-def similar_links(docs: DataFrame, classes: DataFrame, key: str, text: str) -> DataFrame:
-    """Links (a, b) between the classes(body, w, low) of ``docs``, with the same components as all
-    verified pairs."""
-    members = spool(meetings(classes.select("body", "w")), "members")
-    wanted = members.select("body").distinct().join(classes.select("body", "low"), "body")
-    wanted = spool(wanted, "wanted")
-
-    @F.pandas_udf("seen long, shingles binary")
-    def shingled(s: pd.Series) -> pd.DataFrame:
-        sets = [np.unique(shingle_hashes(t if isinstance(t, str) else None, SHINGLE)) for t in s]
-        return pd.DataFrame(
-            {"seen": [text_class(t) for t in s], "shingles": [x.tobytes() for x in sets]}
-        )
-
-    # one row per class where ids are unique; rows that only share an id with it are told apart
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    rows = rows.join(wanted, F.col("key").eqNullSafe(F.col("low")))
-    sets = rows.select("body", shingled("text").alias("s")).filter("s.seen = body")
-    sets = spool(sets.groupBy("body").agg(F.min("s.shingles").alias("shingles")), "shingles")
-    entry = F.struct("body", "w", "own", "shingles")
-    grouped = members.join(sets, "body").groupBy(*MEETING).agg(F.collect_list(entry).alias("es"))
-    known = np.array(masks(WORD_RADIUS), np.int64)
+                    yield pd.DataFrame({**place, **{c: x[some] for c, x in zip(entry, columns)}})
+
+    members = grouped(entries).mapInPandas(choose, "bucket long, i long, j long, " + ENTRY)
+    members = spool(members, "members")
+
+    @F.pandas_udf("binary")
+    def shingled(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: shingle_set(t).tobytes())
+
+    wanted = members.select("body").distinct()
+    sets = spool(texts.join(wanted, "body").select("body", shingled("text").alias("shingles")), "shingles")
 
     def verify(batches):
         for batch in batches:
             for r in batch.itertuples(index=False):
-                body, w, own = _columns(r.es)
-                pairs = partners(w, own, r.mask, r.i != r.j, known)
+                body, *columns = _columns(r.es)
                 shingles = [np.frombuffer(e["shingles"], np.uint64) for e in r.es]
+                pairs = partners(*columns, r.i != r.j)
                 links = np.array(forest(shingles, *pairs), np.int64).reshape(-1, 2)
                 yield pd.DataFrame({"a": body[links[:, 0]], "b": body[links[:, 1]]})
 
-    return grouped.mapInPandas(verify, "a long, b long")
+    met = grouped(members.join(sets, "body"), "shingles")
+    return spool(met.mapInPandas(verify, "a long, b long"), "similar")
+
+
+def hub_meetings(sent: DataFrame) -> DataFrame:
+    """Entries that let every class of a bucket meet the hub of the bucket, chunk by chunk."""
+    turn = F.xxhash64("bucket", "body")
+    hub = F.min_by(F.struct("body", "size", "place"), turn).alias("hub")
+    hubs = sent.groupBy("bucket").agg(hub, F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    hubs = spool(hubs, "hubs")
+    rest = sent.join(hubs, "bucket").filter(F.col("body") != F.col("hub.body"))
+    rest = rest.withColumn("i", F.pmod(turn, F.col("chunks"))).withColumn("own", F.lit(1))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("i")
+    first = hubs.select("bucket", "hub.*", each).withColumn("own", F.lit(0))
+    names = ["bucket", "i", "body", "size", "place", "own"]
+    both = rest.select(*names).union(first.select(*names))
+    # only the hub meets the others: j differs from i, and own tells them apart
+    return both.withColumn("j", F.lit(-1).cast("long")).withColumn("comp", F.col("body"))
+
+
+def cross_meetings(sent: DataFrame, roots: DataFrame) -> DataFrame:
+    """Entries that let the classes of a bucket meet that are of different components so far.
+
+    The largest component of a bucket has chunks of its own, which do not meet each other.
+    """
+    known = sent.join(roots.withColumnRenamed("node", "body"), "body", "left")
+    known = known.withColumn("comp", F.coalesce("root", "body")).drop("root")
+    per_comp = known.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    buckets = per_comp.groupBy("bucket").agg(
+        F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("comps")
+    )
+    cut = buckets.filter("comps > 1").select(
+        "bucket",
+        F.col("top.comp").alias("major"),
+        F.ceil((F.col("n") - F.col("top.n")) / CHUNK).alias("minors"),
+        F.ceil(F.col("top.n") / CHUNK).alias("majors"),
+    )
+    met = known.join(spool(cut, "cut"), "bucket")
+    at, major = F.xxhash64("body"), F.col("comp") == F.col("major")
+    own = F.when(major, F.col("minors") + F.pmod(at, F.col("majors"))).otherwise(
+        F.pmod(at, F.col("minors"))
+    )
+    last = F.col("minors") - 1 + F.when(major, 0).otherwise(F.col("majors"))
+    met = met.withColumn("own", own)
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    i, j = F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    return met.select("bucket", i, j, "body", "size", "place", "own", "comp")
+
+
+def similar_links(texts: DataFrame, links: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes texts(body, text) that have, together with ``links``, the
+    same components as ``links`` and all similar pairs."""
+    sent = prefixes(texts)
+    near = verified(hub_meetings(sent), texts)
+    roots = components(links.union(near))
+    return near.union(verified(cross_meetings(sent, roots), texts))
+
+
+def one_text(docs: DataFrame, classes: DataFrame, key: str, text: str) -> DataFrame:
+    """(body, text): one text of each of classes(body, low, exact, n)."""
+    rows = docs.select(
+        F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.col(text).alias("text")
+    )
+    # the hash keeps rows apart that only share an id, NULL ones included
+    same = (F.col("hash") == F.col("exact")) & F.col("key").eqNullSafe(F.col("low"))
+    found = rows.join(classes.select("body", "low", "exact", "n"), same)
+    found = spool(found.select("body", "text", "n"), "texts")
+    # rows that repeat id and text are one again
+    again = found.filter("n > 1").groupBy("body").agg(F.min("text").alias("text"))
+    return found.filter("n = 1").select("body", "text").union(spool(again, "repeated"))
 
 
 def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, component_id) for every row of ``docs``; the smallest key of a group names it."""
     small_batches(docs.sparkSession)
     rows = spool(prints(docs, key, text), "prints")
-    classes = rows.groupBy("body").agg(
-        F.min("fp").alias("fp"), F.min("w").alias("w"), F.min("key").alias("low")
-    )
+    kinds = rows.groupBy("body", "key", "exact").agg(F.min("fp").alias("fp"), F.count("*").alias("n"))
+    named_first = F.struct(F.col("key").isNull(), "key", "exact", "n")
+    classes = kinds.groupBy("body").agg(F.min("fp").alias("fp"), F.min(named_first).alias("low"))
+    classes = classes.select("body", "fp", F.col("low.key").alias("low"), "low.exact", "low.n")
     classes = spool(classes, "classes")
     per_print = spool(classes.groupBy("fp").agg(F.min("body").alias("first")), "distinct")
     equal = classes.join(per_print, "fp").select(F.col("body").alias("a"), F.col("first").alias("b"))
@@ -217,7 +333,8 @@ def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -
         .join(per_print.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
         .select(F.col("x").alias("a"), F.col("y").alias("b"))
     )
-    links = equal.filter("a <> b").union(close).union(similar_links(docs, classes, key, text))
+    links = spool(equal.filter("a <> b").union(close), "close")
+    links = links.union(similar_links(one_text(docs, classes, key, text), links))
     roots = components(links).withColumnRenamed("node", "body")
     grouped = classes.join(roots, "body", "left").withColumn("root", F.coalesce("root", "body"))
     best = grouped.groupBy("root").agg(F.min("low").alias("component_id"))

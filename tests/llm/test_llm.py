@@ -467,6 +467,50 @@ def test_groups_equal_brute_force(spark, monkeypatch, chunk):
     assert len(set(want)) < len(set(brute_components(ids, [brute_fingerprint(t) for t in texts])))
 
 
+def test_similar_texts_with_distant_words_are_linked(spark):
+    rng = np.random.default_rng(17)
+    pairs = []
+    while len(pairs) < 6:  # 1 word in 50 differs: similar, yet outside both radii
+        base = [f"v{i}" for i in rng.integers(0, 5000, 100)]
+        new = list(base)
+        new[30], new[60] = "x" + base[30], "y" + base[60]
+        a, b = " ".join(base), " ".join(new)
+        far = (brute_word_print(a) ^ brute_word_print(b)).bit_count() > 6
+        if far and (brute_fingerprint(a) ^ brute_fingerprint(b)).bit_count() > 3:
+            pairs += [(a, b)]
+    rows = [(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)]
+    # rows of one id and of none are told apart by their text
+    rows += [(50, "one text of this id"), (50, pairs[0][0]), (None, pairs[1][1]), (None, "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neardup.duplicate_groups(df).collect()
+    want = [(2 * (i // 2), i) for i in range(12)] + [(50, 50), (0, 50), (2, None), (None, None)]
+    order = lambda p: tuple(-1 if x is None else x for x in p)
+    assert sorted([(r["component_id"], r["doc_id"]) for r in got], key=order) == sorted(want, key=order)
+
+
+@pytest.mark.parametrize("listed", [0, 1 << 18])
+def test_frequent_shingles_only_shape_the_order(spark, monkeypatch, listed):
+    monkeypatch.setattr(neardup, "LISTED", listed)
+    monkeypatch.setattr(neardup, "CHUNK", 4)
+    rng = np.random.default_rng(5)
+    line = " ".join(f"common{i}" for i in range(40))
+    texts = []
+    for _ in range(40):  # a common line in all; some texts are similar only because of it
+        texts.append(line + " " + " ".join(f"o{i}" for i in rng.integers(0, 9000, rng.integers(1, 20))))
+    rows = list(enumerate(texts))
+    own = [words(t) for t in texts]
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in own]
+    df = spark.createDataFrame(rows, "body long, text string")
+    none = spark.createDataFrame([], "a long, b long")
+    found = components(neardup.similar_links(df, none)).collect()
+    got = {r["node"]: r["root"] for r in found}
+    links = [(i, j) for i in range(40) for j in range(i)
+             if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])]
+    want = {r["node"]: r["root"] for r in components(
+        spark.createDataFrame(links, "a long, b long")).collect()}
+    assert links and got == want
+
+
 def test_groups_of_odd_rows(odd):
     got = neardup.duplicate_groups(odd).collect()
     assert len(got) == len(ODD)

@@ -1,14 +1,18 @@
 """Personal data: keyed surrogates of the same type, gender, script and format.
 
 1. Entities (mail addresses, phone, card and bank numbers, IP addresses, secrets, titled names) are
-   found in whole texts and reduced to a normal form, so that spellings of one entity agree.
+   found in whole texts, with every other capitalised mention of a titled name's words in the same
+   text, and reduced to a normal form, so that spellings of one entity agree.
 2. Every distinct entity gets a surrogate from an HMAC of type, normal form and attempt number:
    digits become digits, letters become letters of the same script and case, card numbers keep
-   their check digit valid, addresses stay addresses, names come from lists that match the title's
-   gender and the script.
+   their check digit valid, addresses stay addresses.  Names are replaced word by word, whatever
+   their title: 'Dr Berg', 'Frau Berg' and 'Anna Berg' share a word, and its surrogate.  A word
+   seen as a given name gets one of its script and of the gender of its titles, if they agree.
+   Initials are replaced by a keyed permutation of the alphabet; particles stay.
 3. Surrogates are checked over all entities: one that equals another surrogate or a real entity of
    its type is drawn again with the next attempt, until all are distinct.  The same entity has the
    same surrogate everywhere, different entities never share one.
+   Words of names are one type.
 4. Texts are rewritten with the entities they hold; the format of each spelling is kept.
 
 Texts without entities are passed on as they are and not shuffled.  Entities are made distinct
@@ -25,9 +29,11 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from bisect import bisect_right
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from counterpoise.llm.common import small_batches
@@ -59,7 +65,11 @@ SYLLABLES = {
 }
 _TITLE = "|".join(sorted((re.escape(t) for s in TITLES.values() for t in s.split()), key=len)[::-1])
 _GENDER = {t: g for g, s in TITLES.items() for t in s.split()}
-_CAPITAL = r"[^\W\d_a-zà-öø-ÿа-яά-ώ][^\W\d_]+"
+_UPPER = r"[^\W\d_a-zà-öø-ÿа-яά-ώ]"
+_WORD = rf"(?:(?:{_UPPER}|[dl])['’])?{_UPPER}[^\W\d_]+"
+_PARTICLE = "(?:von|van|der|den|de|del|della|di|da|dos|du|la|le|zu|zur|zum|ten|ter|bin|ibn|al|el|y)"
+_SURNAME = rf"(?:{_PARTICLE}[ ]){{0,3}}{_WORD}(?:-{_WORD})*"
+_NAME = rf"(?:{_UPPER}\.[ ]?|{_UPPER}[ ])*{_SURNAME}(?:(?:[ ]{_UPPER}\.?)*[ ]{_SURNAME}){{0,2}}"
 
 # Tried in this order; the group named e is the entity.
 KINDS = {
@@ -72,9 +82,11 @@ KINDS = {
     "phone": r"(?<!\w)(?P<e>\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}"
     r"|\(\d{2,4}\) ?\d{3}[ .-]\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)",
     "ssn": r"(?<!\w)(?P<e>\d{3}-\d{2}-\d{4})(?!\w)",
-    "name": rf"(?<!\w)(?P<t>{_TITLE})\.?[ ](?P<e>{_CAPITAL}(?:[ -]{_CAPITAL}){{0,2}})",
+    "name": rf"(?<!\w)(?P<t>{_TITLE})\.?[ ](?P<e>{_NAME})",
 }
 _PATTERNS = {k: re.compile(p) for k, p in KINDS.items()}
+_NAME_WORD = re.compile(rf"(?<!\w){_WORD}")
+_NAME_PART = re.compile(rf"(?<!\w)(?:{_WORD}|{_UPPER}(?!\w))")
 _MAYBE = re.compile(rf"[\d@=:]|(?<!\w)(?:{_TITLE})\.? ")
 
 
@@ -83,15 +95,52 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
     if not text or not _MAYBE.search(text):
         return []
     taken: list[tuple[int, int, str, str]] = []
+    known: set[str] = set()
     for kind, pattern in _PATTERNS.items():
-        for m in pattern.finditer(text):
-            a, b = m.span("e")
-            if all(b <= x or a >= y for x, y, _, _ in taken):
-                gender = _GENDER[m["t"]] if kind == "name" else ""
-                taken.append((a, b, kind + gender, normal(kind, m["e"])))
+        new = [(*m.span("e"), kind, normal(kind, m["e"])) for m in pattern.finditer(text)]
+        new = _free(new, taken)
+        if kind == "name":
+            known = {normal(kind, w) for a, b, _, _ in new for w in _NAME_WORD.findall(text[a:b])}
+        taken = sorted(taken + new)
+    if known:
+        words = [m.span() for m in _NAME_WORD.finditer(text) if normal("name", m[0]) in known]
+        words = _free([(a, b, "name", "") for a, b in words], taken)
+        spans: list[list[int]] = []
+        for a, b, _, _ in words:  # words that follow each other are one mention
+            if spans and (text[spans[-1][1] : a] in (" ", "-") or _JOINT.fullmatch(text[spans[-1][1] : a])):
+                spans[-1][1] = b
+            else:
+                spans.append([a, b])
+        taken += _free([(a, b, "name", normal("name", text[a:b])) for a, b in spans], taken)
     return sorted(taken)
 
 
+_JOINT = re.compile(rf"(?:[ ]{_UPPER}\.?)+[ ]")
+
+
+def _free(new: list, taken: list) -> list:
+    """Those of new that overlap none of taken, which is in order."""
+    starts = [x for x, _, _, _ in taken]
+
+    def free(a, b):
+        at = bisect_right(starts, a)
+        return (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or b <= starts[at])
+
+    return [e for e in new if free(e[0], e[1])]
+
+
+def name_words(text: str, a: int, b: int) -> list[tuple[str, str]]:
+    """(kind, word) of a name in the text: the kind of a given name ends in the title's gender."""
+    title = _TITLE_BEFORE.search(text[max(0, a - 40) : a])
+    words = list(_NAME_WORD.finditer(text[a:b]))
+    last = max(text.rfind(" ", a, b) + 1 - a, 0)
+    gender = _GENDER[title[1]] if title else ""
+    return [("name" + (gender if m.start() < last else ""), normal("name", m[0])) for m in words]
+
+
+_TITLE_BEFORE = re.compile(rf"(?<!\w)({_TITLE})\.?[ ]$")
+
+
 def normal(kind: str, surface: str) -> str:
     if kind in ("card", "phone", "ssn"):
         return re.sub(r"\D", "", surface)
@@ -178,23 +227,47 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         country = 1 if len(value) > 10 else 0
         return value[:country] + _same_format(value[country:], draw)
     if kind.startswith("name"):
-        return _name(kind[-1], value, draw, attempt)
+        return _name(kind[4:], value, draw, attempt)
     return _same_format(value, draw)
 
 
 def _name(gender: str, value: str, draw: _Stream, attempt: int) -> str:
+    """One word of a name; ``gender`` is empty unless the word is a given name."""
     script = "latin"
     if re.search("[а-яё]", value):
         script = "cyrillic"
     elif re.search("[α-ωά-ώ]", value):
         script = "greek"
     parts = SYLLABLES[script].split()
-    words = re.split("[ -]", value)
-    surname = "".join(parts[draw.below(len(parts))] for _ in range(3 + attempt))
-    if len(words) == 1:
-        return surname
-    given = GIVEN[script, gender].split()
-    return f"{given[draw.below(len(given))].lower()} {surname}"
+    given = GIVEN[script, gender].split() if gender else []
+    more = 3 + attempt
+    if given:  # the lists are short: later attempts make longer names of them
+        more = attempt if attempt > 1 else 0
+    start = given[draw.below(len(given))].lower() if given else ""
+    return start + "".join(parts[draw.below(len(parts))] for _ in range(more))
+
+
+@lru_cache(16)
+def initials(key: bytes) -> dict[str, str]:
+    """A permutation of the letters of every alphabet."""
+    out = {}
+    for pool in _POOLS:
+        draw, left = _Stream(key, "initials", pool), list(pool)
+        for c in pool:
+            out[c] = left.pop(draw.below(len(left)))
+    return out
+
+
+def rendered_name(key: bytes, surface: str, made: dict[tuple[str, str], str]) -> str:
+    letters = initials(key)
+
+    def one(m: re.Match) -> str:
+        if len(m[0]) == 1:
+            return letters.get(m[0].lower(), m[0].lower()).upper()
+        new = made["name", normal("name", m[0])]
+        return new.upper() if m[0].isupper() else new.capitalize()
+
+    return _NAME_PART.sub(one, surface)
 
 
 def rendered(kind: str, surface: str, made: str) -> str:
@@ -207,43 +280,35 @@ def rendered(kind: str, surface: str, made: str) -> str:
         return "".join(c if c == " " else next(left) for c in surface)
     if kind == "email":
         return "".join(m.upper() if c.isupper() else m for c, m in zip(surface, made))
-    if kind.startswith("name"):
-        words = re.split("([ -])", surface)
-        new = made.split(" ")
-        if len(words) == 1:
-            return new[0].upper() if surface.isupper() else new[0].capitalize()
-        first = new[0].upper() if words[0].isupper() else new[0].capitalize()
-        last = new[-1].upper() if words[-1].isupper() else new[-1].capitalize()
-        return f"{first} {last}"
     return made
 
 
 def surrogate_table(entities: DataFrame, key: bytes) -> DataFrame:
-    """(kind, value, made) for distinct (kind, value), free of collisions."""
+    """(kind, value, made) for distinct (kind, value), free of collisions; kinds of names are
+    checked together and become one."""
 
     def drawn(attempt: int):
         @F.pandas_udf("string")
         def run(kind: pd.Series, value: pd.Series) -> pd.Series:
             return pd.Series([surrogate(key, k, v, attempt) for k, v in zip(kind, value)])
 
-        return run("kind", "value")
+        return run("how", "value")
 
-    todo = entities
-    real = entities.select("kind", F.col("value").alias("made"))
+    kind = F.when(F.col("kind").startswith("name"), "name").otherwise(F.col("kind"))
+    todo = entities.select(kind.alias("kind"), F.col("kind").alias("how"), "value")
+    real = todo.select("kind", F.col("value").alias("made"))
     done = None
     for attempt in range(MAX_ROUNDS):
-        made = todo.withColumn("made", drawn(attempt))
+        made = spool(todo.withColumn("made", drawn(attempt)), "drawn")
         used = real if done is None else real.union(done.select("kind", "made"))
-        first = Window.partitionBy("kind", "made").orderBy("value")
         clash = used.distinct().withColumn("clash", F.lit(True))
-        judged = made.withColumn("nth", F.row_number().over(first)).join(
-            clash, ["kind", "made"], "left"
-        )
-        judged = spool(judged, "surrogates")
-        fine = F.col("clash").isNull() & (F.col("nth") == 1)
+        first = made.groupBy("kind", "made").agg(F.min("value").alias("first"))
+        first = first.join(clash, ["kind", "made"], "left")
+        judged = spool(made.join(first, ["kind", "made"]), "surrogates")
+        fine = F.col("clash").isNull() & (F.col("first") == F.col("value"))
         good = judged.filter(fine).select("kind", "value", "made")
         done = good if done is None else done.union(good)
-        todo = judged.filter(~fine).select("kind", "value")
+        todo = judged.filter(~fine).select("kind", "how", "value")
         if todo.isEmpty():
             return done
     raise RuntimeError("too many entities of one format to keep their surrogates distinct")
@@ -253,12 +318,19 @@ def replace_entities(docs: DataFrame, key: bytes, text: str = "text") -> DataFra
     """``docs`` with the text rewritten, and n_entities, n_distinct and kinds added."""
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("array<struct<kind:string,value:string>>")
-    def entities(s: pd.Series) -> pd.Series:
-        def one(t):
-            return [{"kind": k, "value": v} for _, _, k, v in find(t if isinstance(t, str) else None)]
+    # found: every mention; keys: what needs a surrogate, names word by word
+    pair = "array<struct<kind:string,value:string>>"
 
-        return s.map(one)
+    @F.pandas_udf(f"found {pair}, keys {pair}")
+    def entities(s: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in s:
+            found = find(t if isinstance(t, str) else None)
+            keys = {}
+            for a, b, k, v in found:
+                keys |= dict.fromkeys(name_words(t, a, b) if k == "name" else [(k, v)])
+            out.append([[{"kind": k, "value": v} for k, v in e] for e in ([e[2:] for e in found], keys)])
+        return pd.DataFrame(out, columns=["found", "keys"])
 
     @F.pandas_udf("string")
     def rewrite(s: pd.Series, known: pd.Series) -> pd.Series:
@@ -267,18 +339,32 @@ def replace_entities(docs: DataFrame, key: bytes, text: str = "text") -> DataFra
             made = {(p["kind"], p["value"]): p["made"] for p in pairs}
             at, parts = 0, []
             for a, b, kind, value in find(t):
-                parts += [t[at:a], rendered(kind, t[a:b], made[kind, value])]
+                if kind == "name":
+                    new = rendered_name(key, t[a:b], made)
+                else:
+                    new = rendered(kind, t[a:b], made[kind, value])
+                parts += [t[at:a], new]
                 at = b
             out.append("".join([*parts, t[at:]]))
         return pd.Series(out)
 
-    added = ["pii_found", "pii_text", "pii_known", "n_entities", "n_distinct", "kinds"]
+    added = ["pii_found", "pii_keys", "pii_text", "pii_known", "n_entities", "n_distinct", "kinds"]
     found = docs.drop(*added).withColumn("pii_found", entities(F.col(text)))
+    found = found.withColumn("pii_keys", F.col("pii_found.keys"))
+    found = found.withColumn("pii_found", F.col("pii_found.found"))
     have, free = found.filter(F.size("pii_found") > 0), found.filter(F.size("pii_found") == 0)
-    have = have.withColumn("pii_text", F.xxhash64(text))
-    seen = have.select("pii_text", F.explode(F.array_distinct("pii_found")).alias("e"))
+    have, free = have.withColumn("pii_text", F.xxhash64(text)), free.drop("pii_keys")
+    seen = have.select("pii_text", F.explode("pii_keys").alias("e"))
     seen = spool(seen.select("pii_text", "e.kind", "e.value").distinct(), "entities")
-    table = surrogate_table(seen.select("kind", "value").distinct(), key)
+    # a word of names is a given name if it was one anywhere, of a gender if its titles agree
+    kind = F.when(F.col("kind").startswith("name"), "name").otherwise(F.col("kind"))
+    gender = F.when(F.col("kind").startswith("name"), F.substring("kind", 5, 1))
+    sure = F.collect_set(F.when(gender.isin("m", "f"), gender)).alias("sure")
+    per_word = seen.groupBy(kind.alias("kind"), "value").agg(sure, F.max(gender).alias("any"))
+    how = F.when(F.size("sure") == 1, F.col("sure")[0]).when(F.col("any") != "", "n").otherwise("")
+    wanted = per_word.select(F.concat("kind", how).alias("kind"), "value")
+    seen = seen.select("pii_text", kind.alias("kind"), "value").distinct()
+    table = surrogate_table(spool(wanted, "wanted"), key)
     per_text = (
         seen.join(table, ["kind", "value"])
         .groupBy("pii_text")

@@ -137,6 +137,34 @@ def test_surrogates_keep_type_format_and_coreference(spark):
     assert re.search("[А-Я][а-я]+ [А-Я][а-я]+$", names) and "Петров" not in names
 
 
+def test_names_keep_coreference_whatever_their_form(spark):
+    texts = [
+        "Dr. J. Smith and Mr O'Brien met Mr. John F. Kennedy. Then Kennedy and O'Brien left.",
+        "Mrs Anna Berg wrote. Berg later said: Anna Berg's house. Dr Anna Berg agreed.",
+        "Dr Berg met Frau Berg and Herr von der Leyen-Stern.",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sorted(surrogates.replace_entities(df, b"k").collect())
+    got = [r["text"] for r in rows]
+    for name in "Smith Brien John Kennedy Anna Berg Leyen Stern".split():
+        assert not any(name in t for t in got)
+    x, y, z = got
+    o, k = re.search(r"Mr (\w+) met", x)[1], re.search(r"Mr\. \w+ [A-Z]\. (\w+)\.", x)[1]
+    assert re.match(r"Dr\. [A-Z]\. [A-Z]\w+ and", x) and x.endswith(f"Then {k} and {o} left.")
+    given, berg = re.match(r"Mrs (\w+) (\w+) wrote", y).groups()
+    assert given in surrogates.GIVEN["latin", "f"].split()
+    assert y == f"Mrs {given} {berg} wrote. {berg} later said: {given} {berg}'s house. Dr {given} {berg} agreed."
+    assert re.fullmatch(rf"Dr {berg} met Frau {berg} and Herr von der [A-Z]\w+-[A-Z]\w+\.", z)
+    assert [r["n_entities"] for r in rows] == [5, 4, 3]
+
+
+def test_surrogates_of_all_names_are_distinct(spark):
+    e = [("name" + g, f"{g}word{i}") for g in ("", "m", "f", "n") for i in range(600)]
+    table = surrogates.surrogate_table(spark.createDataFrame(e, "kind string, value string"), b"k")
+    made = [r["made"] for r in table.collect()]
+    assert len(made) == len(set(made)) == len(e)
+
+
 def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
     def few(key, kind, value, attempt):
         return str((int(value) + attempt) % 7 if attempt < 9 else 100 + int(value))

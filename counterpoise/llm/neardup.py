@@ -249,19 +249,27 @@ def verified(entries: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def hub_meetings(sent: DataFrame) -> DataFrame:
-    """Entries that let every class of a bucket meet the hub of the bucket, chunk by chunk."""
-    turn = F.xxhash64("bucket", "body")
-    hub = F.min_by(F.struct("body", "size", "place"), turn).alias("hub")
-    hubs = sent.groupBy("bucket").agg(hub, F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    hubs = spool(hubs, "hubs")
-    rest = sent.join(hubs, "bucket").filter(F.col("body") != F.col("hub.body"))
-    rest = rest.withColumn("i", F.pmod(turn, F.col("chunks"))).withColumn("own", F.lit(1))
+    """Entries that let every class of a bucket meet the hub of the bucket, once for all buckets
+    of one hub, chunk by chunk."""
+    # by the hash alone, so that the buckets of one group mostly have the same hub
+    one = F.min(F.struct(F.xxhash64("body"), "body", "size", "place")).alias("hub")
+    met = sent.join(sent.groupBy("bucket").agg(one), "bucket").filter("body <> hub.body")
+    rest = F.least(F.col("size") - F.col("place"), F.col("hub.size") - F.col("hub.place"))
+    least = SIMILARITY / (1 + SIMILARITY) * (F.col("size") + F.col("hub.size")) - SLACK
+    pairs = met.filter(rest >= least).select(
+        F.col("hub.body").alias("bucket"), F.col("hub.size").alias("hub_size"), "body", "size"
+    )
+    pairs = spool(pairs.distinct(), "hub-pairs")
+    hubs = pairs.groupBy("bucket", "hub_size").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    turn = F.pmod(F.xxhash64("body"), F.col("chunks")).alias("i")
+    others = pairs.join(hubs.select("bucket", "chunks"), "bucket")
+    others = others.select("bucket", turn, "body", "size", F.lit(1).alias("own"))
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("i")
-    first = hubs.select("bucket", "hub.*", each).withColumn("own", F.lit(0))
-    names = ["bucket", "i", "body", "size", "place", "own"]
-    both = rest.select(*names).union(first.select(*names))
+    size, own = F.col("hub_size").alias("size"), F.lit(0).alias("own")
+    first = hubs.select("bucket", each, F.col("bucket").alias("body"), size, own)
     # only the hub meets the others: j differs from i, and own tells them apart
-    return both.withColumn("j", F.lit(-1).cast("long")).withColumn("comp", F.col("body"))
+    both = others.union(first).withColumn("j", F.lit(-1).cast("long"))
+    return both.withColumn("place", F.lit(0)).withColumn("comp", F.col("body"))
 
 
 def cross_meetings(sent: DataFrame, roots: DataFrame) -> DataFrame:

@@ -78,16 +78,11 @@ def fingerprints(text: Column, size: int = SHINGLE) -> Column:
 
 
 def masks(radius: int = RADIUS) -> list[int]:
-    """The masks of a covering family, as signed longs.
-
-    Where there are more vectors than positions, those of odd weight are used: for radius 6 these
-    are just 64, and every mask shows half of the positions or all of them.
-    """
-    if not 0 <= radius <= 6:
-        raise ValueError("radius must be 0 to 6")
+    """The masks of a covering family, as signed longs."""
+    if not 0 <= radius <= 5:
+        raise ValueError("radius must be 0 to 5")
     width = (1 << (radius + 1)) - 1
-    vectors = [v for v in range(1, width + 1) if width <= BITS or v.bit_count() % 2]
-    carried = [vectors[i % len(vectors)] for i in range(BITS)]
+    carried = [i % width + 1 for i in range(BITS)]
     out = []
     for v in range(1, width + 1):
         m = sum(1 << i for i, c in enumerate(carried) if bin(c & v).count("1") % 2)
@@ -152,6 +147,26 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.union(stars)
 
 
+def _grouped(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, component_id, low, n, best): per fingerprint of ``prints(key, fp)`` its component.
+
+    low and n: smallest key of the fingerprint and the rows that have both; best: the fingerprint
+    of the component that holds its smallest key.
+    """
+    kinds = prints.groupBy("fp", "key").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("key").isNull(), "key", "n")).alias("low")
+    per_print = spool(kinds.groupBy("fp").agg(first).select("fp", "low.key", "low.n"), "distinct")
+    roots = components(fingerprint_links(per_print.select("fp"), radius))
+    grouped = per_print.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
+        "root", F.coalesce("root", "fp")
+    )
+    best = grouped.groupBy("root").agg(F.min(F.struct(F.col("key").isNull(), "key", "fp")).alias("b"))
+    named = grouped.join(best, "root")
+    return named.select(
+        "fp", F.col("b.key").alias("component_id"), F.col("key").alias("low"), "n", F.col("b.fp").alias("best")
+    )
+
+
 def near_duplicates(
     docs: DataFrame, key="doc_id", text="text", size: int = SHINGLE, radius: int = RADIUS
 ) -> DataFrame:
@@ -160,15 +175,32 @@ def near_duplicates(
     prints = spool(
         docs.select(F.col(key).alias("key"), fingerprints(F.col(text), size).alias("fp")), "prints"
     )
-    per_print = spool(prints.groupBy("fp").agg(F.min("key").alias("low")), "distinct")
-    roots = components(fingerprint_links(per_print.select("fp"), radius))
-    grouped = per_print.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp")
-    )
-    best = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = spool(grouped.join(best, "root").select("fp", "component_id"), "named")
+    named = spool(_grouped(prints, radius).select("fp", "component_id"), "named")
     return prints.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
+def one_per_group(
+    docs: DataFrame, key="doc_id", text="text", size: int = SHINGLE, radius: int = RADIUS
+) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of every component one row stays, with the
+    smallest key, a NULL key after all others.
+
+    Each row is judged by its own text, so repeated and NULL keys are told apart by fingerprint;
+    of rows that share both, the one with the smallest hash over all columns stays.  Columns are
+    those of ``docs``, whatever their names.
+    """
+    small_batches(docs.sparkSession)
+    made = docs.select(F.struct("*").alias("row"), fingerprints(F.col(text), size).alias("fp"))
+    rows = spool(made, "printed")
+    prints = rows.select(F.col("row")[key].alias("key"), "fp")
+    kept = _grouped(prints, radius).filter("fp = best").select(F.col("fp").alias("best"), "low", "n")
+    kept = spool(kept, "kept")
+    same = (F.col("fp") == F.col("best")) & F.col("row")[key].eqNullSafe(F.col("low"))
+    once = rows.join(kept.filter("n = 1"), same).select("row")
+    order = F.xxhash64(F.to_json("row"))
+    again = rows.join(kept.filter("n > 1"), same).groupBy("fp").agg(F.min_by("row", order).alias("row"))
+    return once.union(again.select("row")).select("row.*")
+
+
 def hex_print(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

@@ -15,7 +15,6 @@ from counterpoise.llm import (
     decontaminate,
     langid,
     mixing,
-    neardup,
     quality,
     repeats,
     sharding,
@@ -424,128 +423,26 @@ def test_simhash_odd_rows(odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
-# ---------------------------------------------------------------- groups of near-duplicates
-
-
-def brute_word_print(text):
-    h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in set(words(ascii_low(text)))]
-    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
-
-
-def ascii_low(text):
-    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
-
-
-def brute_groups(ids, texts):
-    """Smallest id of the component, by all pairs; ids must not be NULL."""
-    low = [ascii_low(t) for t in texts]
-    own = [words(t) for t in low]
-    prints, by_word = [brute_fingerprint(t) for t in texts], [brute_word_print(t) for t in texts]
-    grams = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in own]
-    root = list(range(len(ids)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(ids)):
-        for j in range(i):
-            near = (prints[i] ^ prints[j]).bit_count() <= 3
-            if not near and (by_word[i] ^ by_word[j]).bit_count() <= 6:
-                both, all_ = len(grams[i] & grams[j]), len(grams[i] | grams[j])
-                near = both >= 0.8 * all_
-            if near:
-                a, b = find(i), find(j)
-                root[a if ids[a] > ids[b] else b] = min(a, b, key=lambda k: ids[k])
-    return [ids[find(i)] for i in range(len(ids))]
-
-
-def test_word_masks_cover_their_radius():
-    masks = np.array(simhash.masks(6), np.int64)
-    shown = [(m & (2**64 - 1)).bit_count() for m in masks.tolist()]
-    assert sorted(shown) == [32] * 126 + [64]
-    rng = np.random.default_rng(8)
-    for bits in range(7):
-        x = [sum(1 << int(b) for b in rng.choice(63, bits, replace=False)) for _ in range(300)]
-        assert (neardup.first_mask(np.array(x, np.int64), masks) < len(masks)).all()
-
-
-@pytest.mark.parametrize("chunk", [3, 128])
-def test_groups_equal_brute_force(spark, monkeypatch, chunk):
-    monkeypatch.setattr(neardup, "CHUNK", chunk)
-    rng = np.random.default_rng(9)
-    vocabulary = [f"w{i}" for i in range(2000)]
-    texts = []
-    for _ in range(12):
-        base = rng.choice(vocabulary, rng.integers(60, 200)).tolist()
-        for _ in range(int(rng.integers(1, 9))):  # chains of edits, and edits of one base
-            new = list(base)
-            for at in rng.integers(0, len(new), rng.integers(0, 5)):
-                new[at] = str(rng.choice(vocabulary))
-            texts.append(" ".join(new))
-            base = new if rng.random() < 0.5 else base
-    texts += [texts[0].upper(), texts[1].replace(" ", "\t"), "a b", "A  b", "a c", "", None, " "]
-    ids = rng.permutation(len(texts)).tolist()
-    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in neardup.duplicate_groups(df).collect()}
-    want = brute_groups(ids, texts)
-    assert [got[i] for i in ids] == want
-    # the words find links that the fingerprints alone miss
-    assert len(set(want)) < len(set(brute_components(ids, [brute_fingerprint(t) for t in texts])))
-
-
-def test_similar_texts_with_distant_words_are_linked(spark):
-    rng = np.random.default_rng(17)
-    pairs = []
-    while len(pairs) < 6:  # 1 word in 50 differs: similar, yet outside both radii
-        base = [f"v{i}" for i in rng.integers(0, 5000, 100)]
-        new = list(base)
-        new[30], new[60] = "x" + base[30], "y" + base[60]
-        a, b = " ".join(base), " ".join(new)
-        far = (brute_word_print(a) ^ brute_word_print(b)).bit_count() > 6
-        if far and (brute_fingerprint(a) ^ brute_fingerprint(b)).bit_count() > 3:
-            pairs += [(a, b)]
-    rows = [(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)]
-    # rows of one id and of none are told apart by their text
-    rows += [(50, "one text of this id"), (50, pairs[0][0]), (None, pairs[1][1]), (None, "none")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = neardup.duplicate_groups(df).collect()
-    want = [(2 * (i // 2), i) for i in range(12)] + [(50, 50), (0, 50), (2, None), (None, None)]
-    order = lambda p: tuple(-1 if x is None else x for x in p)
-    assert sorted([(r["component_id"], r["doc_id"]) for r in got], key=order) == sorted(want, key=order)
-
-
-@pytest.mark.parametrize("listed", [0, 1 << 18])
-def test_frequent_shingles_only_shape_the_order(spark, monkeypatch, listed):
-    monkeypatch.setattr(neardup, "LISTED", listed)
-    monkeypatch.setattr(neardup, "CHUNK", 4)
-    rng = np.random.default_rng(5)
-    line = " ".join(f"common{i}" for i in range(40))
-    texts = []
-    for _ in range(40):  # a common line in all; some texts are similar only because of it
-        texts.append(line + " " + " ".join(f"o{i}" for i in rng.integers(0, 9000, rng.integers(1, 20))))
-    rows = list(enumerate(texts))
-    own = [words(t) for t in texts]
-    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in own]
-    df = spark.createDataFrame(rows, "body long, text string")
-    none = spark.createDataFrame([], "a long, b long")
-    found = components(neardup.similar_links(df, none)).collect()
-    got = {r["node"]: r["root"] for r in found}
-    links = [(i, j) for i in range(40) for j in range(i)
-             if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])]
-    want = {r["node"]: r["root"] for r in components(
-        spark.createDataFrame(links, "a long, b long")).collect()}
-    assert links and got == want
-
-
-def test_groups_of_odd_rows(odd):
-    got = neardup.duplicate_groups(odd).collect()
-    assert len(got) == len(ODD)
-    named = {r["doc_id"]: r["component_id"] for r in got}
-    assert named[3] == named[4] == named[2] == 2 and named[6] == 5 and named[1] == 1
-    assert sorted(r["component_id"] for r in got if r["doc_id"] is None) == [1, 2]
-    assert neardup.duplicate_groups(odd.limit(0)).count() == 0
+def test_one_row_of_every_group_stays(spark):
+    rng = np.random.default_rng(7)
+    base = [" ".join(f"w{i}" for i in rng.integers(0, 400, 300)) for _ in range(8)]
+    rows = []
+    for i, t in enumerate(base):
+        for j in range(int(rng.integers(1, 5))):
+            near = t.replace(" w7 ", " x ", j)
+            rows.append((int(rng.integers(0, 30)), near, f"{i}/{j}"))
+    rows += [rows[0], rows[0], (None, rows[3][1], "n"), (None, "alone", "n"), (None, "alone", "m")]
+    rows += [(rows[0][0], "another text of this id", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    got = [tuple(r) for r in simhash.one_per_group(df).collect()]
+    prints = [brute_fingerprint(t) for _, t, _ in rows]
+    group = brute_components(list(range(len(rows))), prints)
+    by_row = dict(zip(rows, group))
+    assert sorted(by_row[r] for r in got) == sorted(set(group))
+    for r in got:
+        same = [x for x in rows if by_row[x] == by_row[r]]
+        assert r[0] == min((x[0] for x in same if x[0] is not None), default=None)
+    assert simhash.one_per_group(df.limit(0)).columns == df.columns
 
 
 # ---------------------------------------------------------------- languages
@@ -673,7 +570,7 @@ def test_pipeline_stage_by_stage(spark, docs):
     scores = {r["doc_id"]: r["predicted"] for r in QUERIES["op5_quality_scores"](spark, DATA).collect()}
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, p in scores.items() if p)
     unique = P.stage_near_duplicates(spark, table, DATA)
-    want = brute_groups(docs.doc_id.tolist(), docs.text.tolist())
+    want = brute_components(docs.doc_id.tolist(), [brute_fingerprint(t) for t in docs.text])
     assert sorted(r["doc_id"] for r in unique.collect()) == sorted(set(want))
     leaked = {r["doc_id"] for r in QUERIES["op4_benchmark_leaks"](spark, DATA).collect()}
     clean = P.stage_decontaminate(spark, table, DATA)

@@ -4,9 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes e
 Parquet and reads it again for the next stage.
 
 * quality: documents with a calibrated score under 0.7 go; a NULL id is never a labelled row.
-* near_duplicates: texts are linked by op7's fingerprints or by 0.8 of their five-word shingles;
-  of every component the smallest doc_id stays; rows with a NULL doc_id stay, an id goes if any
-  of its rows copies a smaller id.
+* near_duplicates: SimHash fingerprints of three-word shingles are linked at 3 or fewer differing
+  bits; of every component one row stays, with the smallest doc_id, NULL after all others.
 * decontaminate: documents with a verified test item go.
 * mix: every document as often as the mix takes it, whole documents only.
 * shard: adds vslot and shard.
@@ -20,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterpoise.llm import decontaminate, mixing, neardup, quality, sharding
+from counterpoise.llm import decontaminate, mixing, quality, sharding, simhash
 from counterpoise.llm.common import read, small_batches, word_count
 from counterpoise.session import spool
 
@@ -35,9 +34,7 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    grouped = neardup.duplicate_groups(docs)
-    copies = grouped.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    return simhash.one_per_group(docs)
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

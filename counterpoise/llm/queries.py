@@ -16,6 +16,7 @@ from counterpoise.llm import (
     topk,
     urlfilter,
     urltable,
+    vectorcodes,
 )
 from counterpoise.llm.common import held_out, read, word_count
 from counterpoise.session import spool
@@ -187,3 +188,59 @@ WHERE rank <= 5
 def op2_surrogates(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "text")
     return surrogates.replace_entities(docs, key=b"example key, replace it")
+
+
+@query
+def op13_vector_codes(spark, d):
+    return vectorcodes.vector_codes(read(spark, d, "embeddings"))
+
+
+def _assigned(books: str) -> str:
+    """Every part with its nearest entry, ties to the lower one."""
+    return f"""
+    SELECT vec_id, label, part, x, arg_min(entry, (d, entry)) AS entry, min(d) AS d
+    FROM (SELECT p.*, b.entry,
+                 list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, b.c)
+                 + list_inner_product(b.c, b.c) AS d
+          FROM parts p JOIN {books} b ON p.part = b.part)
+    GROUP BY ALL"""
+
+
+def _replaced(assigned: str, books: str) -> str:
+    return f"""
+    SELECT b.part, b.entry, coalesce(m.c, b.c) AS c
+    FROM {books} b LEFT JOIN (
+        SELECT part, entry, list(floor(s / n) ORDER BY i) AS c
+        FROM (SELECT part, entry, i, sum(x[i]) AS s, count(*) AS n
+              FROM {assigned}, range(1, 5) r(i) GROUP BY ALL)
+        GROUP BY ALL) m ON b.part = m.part AND b.entry = m.entry"""
+
+
+# for 64 dimensions; the whole numbers are exact in doubles
+ORACLES["op13_vector_codes"] = f"""
+WITH v AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+    FROM embeddings
+    WHERE embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+    SELECT vec_id, label, part, e[4 * part + 1 : 4 * part + 4] AS x FROM v, range(16) r(part)
+), c0 AS MATERIALIZED (
+    SELECT part, entry, x AS c
+    FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry FROM parts)
+    WHERE entry < 64
+), a1 AS MATERIALIZED ({_assigned("c0")}
+), c1 AS MATERIALIZED ({_replaced("a1", "c0")}
+), a2 AS MATERIALIZED ({_assigned("c1")}
+), c2 AS MATERIALIZED ({_replaced("a2", "c1")}
+), a3 AS MATERIALIZED ({_assigned("c2")}
+), coded AS (
+    SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code,
+           sum(d)::BIGINT AS error
+    FROM a3 GROUP BY ALL
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(c[i]::BIGINT::VARCHAR, ',' ORDER BY part, entry, i))
+        FROM c2, range(1, 5) r(i)) AS codebooks_sha256, label
+FROM coded
+"""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from counterpoise.llm import (
     decontaminate,
+    divergence,
     langid,
     mixing,
     quality,
@@ -244,3 +245,51 @@ SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS labe
         FROM c2, range(1, 5) r(i)) AS codebooks_sha256, label
 FROM coded
 """
+
+
+@query
+def op12_source_divergence(spark, d):
+    return divergence.divergence(read(spark, d, "documents"))
+
+
+ORACLES["op12_source_divergence"] = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                        'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+    FROM documents
+), tf AS MATERIALIZED (
+    SELECT i, lang, source, w, count(*) AS n
+    FROM (SELECT i, lang, source, unnest(ws) AS w FROM d) GROUP BY ALL
+), kept AS (
+    SELECT lang, w FROM tf GROUP BY lang, w HAVING count(*) >= 30
+), grp AS (
+    SELECT DISTINCT lang, source FROM d
+), held AS (
+    SELECT g.lang, g.source, k.w, coalesce(c.n, 0)::HUGEINT AS n
+    FROM grp g JOIN kept k USING (lang)
+    LEFT JOIN (SELECT lang, source, w, sum(n) AS n FROM tf GROUP BY ALL) c USING (lang, source, w)
+), share AS MATERIALIZED (
+    SELECT lang, source, w, n,
+           1 + (1000000000 * (n + 5)) // (sum(n) OVER g + 5 * count(*) OVER g) AS p
+    FROM held WINDOW g AS (PARTITION BY lang, source)
+), whole AS (
+    SELECT lang, w, 1 + (1000000000 * (n + 5)) // (sum(n) OVER g + 5 * count(*) OVER g) AS q
+    FROM (SELECT lang, w, sum(n) AS n FROM share GROUP BY ALL) WINDOW g AS (PARTITION BY lang)
+), found AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(v.value, 0) AS value
+    FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN (
+        SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value
+        FROM share x JOIN share y ON x.lang = y.lang AND x.w = y.w GROUP BY ALL
+    ) v ON v.lang = a.lang AND v.source = a.source AND v.item = b.source
+    UNION ALL
+    SELECT s.lang, s.source, 'term', s.w, p - q
+    FROM share s JOIN whole USING (lang, w) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part
+                                   ORDER BY value DESC, item)::INTEGER AS rank FROM found)
+WHERE part = 'pair' OR rank <= 50
+"""

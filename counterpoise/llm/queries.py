@@ -9,6 +9,7 @@ from counterpoise.llm import (
     divergence,
     langid,
     mixing,
+    ngramlm,
     quality,
     repeats,
     sharding,
@@ -293,3 +294,10 @@ FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part
                                    ORDER BY value DESC, item)::INTEGER AS rank FROM found)
 WHERE part = 'pair' OR rank <= 50
 """
+
+
+@query
+def op11_ngram_scores(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
+    return ngramlm.train_and_score(docs, fold != 0).scores

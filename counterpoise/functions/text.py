@@ -37,6 +37,12 @@ def order_key(salt: str, *parts: Column | str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(salt), *[c.cast("string") for c in cols]))
 
 
+def content_key(*columns: str) -> Column:
+    """Hex digest over whole rows: orders rows that share all other keys, the same in any engine."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in columns]
+    return F.md5(F.concat_ws("\u0001", *parts))
+
+
 def hash_below(key: Column, probability: float) -> Column:
     """True for about ``probability`` of all keys."""
     if probability >= 1:

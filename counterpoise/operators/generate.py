@@ -13,7 +13,7 @@ exploded to tokens, joined, collected by all their columns, and repeated.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +58,8 @@ class Gen:
     protect   blankout: keep negations
     min_left  blankout: words that must remain
     minority  keep only rows whose resulting label is 1
+    draw      blankout: number of the random draw
+    draws     blankout: further draws that come along in the column ``drawn``
     """
 
     kind: str
@@ -73,6 +75,7 @@ class Gen:
     prefix_raw: bool = False
     flip: str = "name"
     draw: int = 0
+    draws: int = 0
 
 
 def antonym(case: int, senti: bool = False, **kw) -> Gen:
@@ -350,6 +353,17 @@ def _blankout_text(g: Gen) -> tuple[Column, Column]:
     return F.when(long_enough & (n > 0), text), n
 
 
+def _draws(g: Gen) -> list[Gen]:
+    return [replace(g, draw=g.draw + i) for i in range(g.draws + 1)] if g.kind == "blankout" else [g]
+
+
+def _drawn(g: Gen) -> Column:
+    """Texts of the further draws, each the first text if it would be empty."""
+    texts = [_blankout_text(d)[0] for d in _draws(g)]
+    more = [F.coalesce(F.nullif(t, F.lit("")), texts[0]) for t in texts[1:]]
+    return F.array(*more) if more else F.array().cast("array<string>")
+
+
 def _new_sentiment(g: Gen) -> Column:
     s = F.col("sentiment")
     if g.kind == "antonym":
@@ -379,13 +393,17 @@ def generate(
     """Pseudo-instances of ``corpus(id, sentiment, text, ...)``.
 
     Result: src_id, gen (index into ``gens``), method, sentiment, text, n_changed, and any
-    further columns of the corpus.  A generator yields at most one row per source row.
+    further columns of the corpus; ``drawn`` if a generator asks for further draws.  A generator
+    yields at most one row per source row.
     """
     wanted = F.lit(False)
     for g in gens:
         wanted = wanted | _source_filter(g)
     rows = with_tokens(corpus.filter(wanted), gens, lex)
-    orders = {_eligible_name(g): _eligible(g, seed) for g in gens if g.kind == "blankout"}
+    drawn = any(g.draws for g in gens)
+    orders = {
+        _eligible_name(d): _eligible(d, seed) for g in gens if g.kind == "blankout" for d in _draws(g)
+    }
     if orders:
         rows = rows.withColumns(orders)
 
@@ -400,6 +418,7 @@ def generate(
                 _new_sentiment(g).alias("sentiment"),
                 F.when(_source_filter(g), text).alias("text"),
                 changed.cast("int").alias("n_changed"),
+                *([_drawn(g).alias("drawn")] if drawn else []),
             )
         )
     others = [c for c in corpus.columns if c not in ("id", "sentiment", "text")]

@@ -8,7 +8,7 @@ count per scenario in an array, every scenario.
 Inputs
     train(fold, label, text, w)        w: copies per scenario
     test(key, fold, label, text, tw)   tw: test rows per scenario; key identifies the row
-Both classifiers are linear, so a test row needs one sum over its tokens per scenario.  Test
+Both classifiers are linear, so a test row needs one vector of sums over its tokens.  Test
 rows are partitioned by key while they are whole texts; with a broadcast model nothing else is
 moved.  Terms are used as they are,
 with the vocabulary size of the hashed feature space; ``term_counts`` and ``hashed_features``
@@ -34,6 +34,7 @@ SMOOTHING = 1.0
 NAIVE_BAYES, SVM_ONE_STEP = "nb", "svm1"
 MARGIN_DIGITS = 9
 BROADCAST_MB = 256  # for the weight table
+SALTS = 64  # tasks that identical test rows may be spread over
 
 
 def term_counts(df: DataFrame, *key: str) -> DataFrame:
@@ -148,7 +149,7 @@ def term_weights(stats: DataFrame, n: int, classifier: str) -> DataFrame:
 
 
 def class_constants(stats: DataFrame, n: int, folds: int, features: int) -> DataFrame:
-    """(fold, s, docs0, docs1, prior, per_word): one row per test fold and scenario."""
+    """(fold, docs0, docs1, prior, per_word): one row per test fold, vectors over scenarios."""
     entries = F.collect_list(F.struct("fold", "label", "docs", "terms"))
     totals = class_totals(stats, n).agg(entries.alias("e"))  # two entries per fold
     zeros = F.array_repeat(F.lit(0).cast("bigint"), n)
@@ -159,28 +160,17 @@ def class_constants(stats: DataFrame, n: int, folds: int, features: int) -> Data
             others, zeros, lambda acc, e: F.zip_with(acc, e[field], lambda a, b: a + b)
         )
 
-    per_fold = totals.select(
-        "e", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold")
-    ).select(
-        "fold",
-        F.posexplode(
-            F.arrays_zip(
-                left("docs", 0).alias("docs0"),
-                left("docs", 1).alias("docs1"),
-                left("terms", 0).alias("terms0"),
-                left("terms", 1).alias("terms1"),
-            )
-        ).alias("s", "c"),
-    )
-
     def log_ratio(over: str, under: str, added: float) -> Column:
-        return F.log(F.col(f"c.{over}") + added) - F.log(F.col(f"c.{under}") + added)
+        return F.zip_with(over, under, lambda a, b: F.log(a + added) - F.log(b + added))
 
+    per_fold = totals.select("e", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
     return per_fold.select(
         "fold",
-        "s",
-        "c.docs0",
-        "c.docs1",
+        *[left(f, c).alias(f"{f}{c}") for f in ("docs", "terms") for c in (0, 1)],
+    ).select(
+        "fold",
+        "docs0",
+        "docs1",
         log_ratio("docs1", "docs0", SMOOTHING).alias("prior"),
         log_ratio("terms0", "terms1", SMOOTHING * features).alias("per_word"),
     )
@@ -208,7 +198,7 @@ def _model_size(stats: DataFrame, n: int) -> tuple[int, int]:
     return terms, max(1, budget // (64 + (1 + size["most"]) * vector))
 
 
-def score(
+def margins(
     stats: DataFrame,
     test: DataFrame,
     key: Sequence[str],
@@ -217,58 +207,80 @@ def score(
     folds: int = 10,
     features: int = FEATURES,
 ) -> DataFrame:
-    """(key..., fold, label, s, tw, margin, prediction) of the rows tested in scenario ``s``.
+    """(key..., fold, label, tw, same, m, prediction): distinct test rows, vectors over scenarios.
 
     A row of fold f is scored by the models of all training rows outside fold f.  Keys need not
-    be unique: rows are told apart by their texts too, and identical rows are scored once and
-    repeated.
+    be unique: rows are told apart by their texts too, and ``same`` counts identical ones.  A row
+    that repeats very often is split by the partition it comes from, so it never meets whole.
+
+    Each token adds its vector of weights to one row of sums; tokens are not multiplied by the
+    scenarios.
     """
     rows, max_rows = _model_size(stats, n)
     carried = [*key, "fold", "label", "tw"]
-    row = [*key, "fold", "label", "_text", "_same", "_len"]
+    place = [*key, "_text", "_salt"]
     once = (
         test.withColumn("_text", F.xxhash64("text"))
-        .repartition(*key, "_text")
-        .groupBy(*carried, "_text", "text")
+        .withColumn("_salt", F.spark_partition_id() % SALTS)
+        .repartition(*place)
+        .groupBy(*carried, "_text", "_salt", "text")
         .agg(F.count("*").alias("_same"))
     )
     words = tokens("text")
-    tok = once.select(
-        *carried, "_text", "_same", F.size(words).alias("_len"), F.explode(words).alias("term")
-    )
+    row = [*carried, "_text", "_salt", "_same", "_len"]
+    tok = once.withColumn("_len", F.size(words)).select(*row, F.explode(words).alias("term"))
     weights = term_weights(stats, n, classifier)
     matched = lookup_join(tok, weights, "term", "left", max_rows, rows)
     none = F.array_repeat(F.lit(0.0), n)
     v = F.coalesce(F.try_element_at("by_fold", F.col("fold")), F.col("base"), none)
-    per_word = matched.select(
-        *row, F.posexplode(F.arrays_zip(v.alias("v"), "tw")).alias("s", "x")
-    ).select(*row, "s", F.col("x.tw").alias("tw"), F.col("x.v").alias("v"))
     summed = (
-        per_word.filter(F.col("tw") > 0)
-        .groupBy(*row, "s", "tw")
-        .agg(F.sum("v").alias("margin"))
-        .withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_same"))))
-        .drop("_text", "_same", "_nth")
+        matched.select(*row, v.alias("v"))
+        .groupBy(*row)
+        .agg(*[F.sum(F.col("v")[s]).alias(f"_m{s}") for s in range(n)])
+        .select(*row, F.array(*[f"_m{s}" for s in range(n)]).alias("m"))
     )
-    m = F.col("margin")
     if classifier == SVM_ONE_STEP:
         # integers divided by the number of rows: the sign needs no division
-        return summed.drop("_len").withColumn("prediction", (m > 0).cast("int"))
-    constants = class_constants(stats, n, folds, features)  # folds x scenarios rows
-    full = F.round(m + F.col("prior") + F.col("_len") * F.col("per_word"), MARGIN_DIGITS)
+        made = summed.withColumn("prediction", F.transform("m", lambda m: (m > 0).cast("int")))
+        return made.select(*carried, F.col("_same").alias("same"), "m", "prediction")
+    constants = class_constants(stats, n, folds, features)  # one row per fold
+    full = F.transform(
+        F.arrays_zip("m", "prior", "per_word"),
+        lambda x: F.round(x["m"] + x["prior"] + F.col("_len") * x["per_word"], MARGIN_DIGITS),
+    )
     # a class without training rows is never predicted
-    prediction = (
-        F.when(F.col("docs1") == 0, 0)
-        .when(F.col("docs0") == 0, 1)
-        .otherwise((m > 0).cast("int"))
+    predicted = F.transform(
+        F.arrays_zip("m", "docs0", "docs1"),
+        lambda x: F.when(x["docs1"] == 0, 0).when(x["docs0"] == 0, 1).otherwise(
+            (x["m"] > 0).cast("int")
+        ),
     )
-    return (
-        summed.join(F.broadcast(constants), ["fold", "s"], "left")
-        .withColumn("margin", full)
-        .select(*key, "fold", "label", "s", "tw", "margin", prediction.alias("prediction"))
+    joined = summed.join(F.broadcast(constants), "fold", "left").withColumn("m", full)
+    return joined.withColumn("prediction", predicted).select(
+        *carried, F.col("_same").alias("same"), "m", "prediction"
     )
 
 
+def score(
+    stats: DataFrame,
+    test: DataFrame,
+    key: Sequence[str],
+    n: int,
+    classifier: str = NAIVE_BAYES,
+    folds: int = 10,
+    features: int = FEATURES,
+) -> DataFrame:
+    """(key..., fold, label, s, tw, margin, prediction) of the rows tested in scenario ``s``:
+    ``margins``, one row per test row and scenario."""
+    wide = margins(stats, test, key, n, classifier, folds, features)
+    nth = F.explode(F.sequence(F.lit(1).cast("long"), F.col("same"))).alias("_nth")
+    each = wide.select(*key, "fold", "label", "tw", "m", "prediction", nth)
+    values = F.posexplode(F.arrays_zip("tw", F.col("m").alias("margin"), "prediction")).alias("s", "x")
+    return each.select(*key, "fold", "label", values).select(
+        *key, "fold", "label", "s", "x.tw", "x.margin", "x.prediction"
+    ).filter(F.col("tw") > 0)
+
+
 def fit_predict(
     train: DataFrame,
     test: DataFrame,

@@ -5,6 +5,10 @@ depend on partitions.  The n-th key is found without sorting the data: keys are
 3-digit prefix, a running sum over those at most 4,096 counts names the prefix that holds the
 n-th key, and the search goes on with three more digits inside that slice until it is small
 enough to be ranked by one task.  The sample itself is then a plain filter.
+
+Where more rows have the n-th key than are still wanted, the same search goes on among them with
+a second key, a hash of their content.  Rows that share that too are equal; they are counted,
+not ranked, and as many of them are kept as are wanted.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from counterpoise.functions.text import hash_below, label_of, order_key
+from counterpoise.functions.text import content_key, hash_below, label_of, order_key
 
 DIGITS = 3
 RANKED_ROWS = 1_000_000
@@ -27,12 +31,45 @@ NOTHING, EVERYTHING = "", "~"  # below and above every hex digest
 class Limits:
     """Row counts of some groups and, for some of them, the key of the n-th row.
 
-    ``ties``: where more rows have that key than are still wanted, how many of them are.
+    ties   where more rows have that key than are wanted: the second key of the n-th row
+    rest   where more rows have both than are wanted: how many of these equal rows are
     """
 
     counts: dict[str, int]
     keys: dict[str, str]
-    ties: dict[str, int]
+    ties: dict[str, str]
+    rest: dict[str, int]
+
+    def within(self, group: str, key: str = "_key", tie: str = "_tie", nth: str = "_nth") -> str:
+        """Being among the first n rows of a group, as SQL over the given expressions.
+
+        ``nth`` numbers equal rows from 1; it is used only where ``rest`` says so.
+        """
+        last = self.keys[group]
+        if group not in self.ties:
+            return f"({key} <= '{last}')"
+        then = f"{tie} <= '{self.ties[group]}'"
+        if group in self.rest:
+            equal = f"{tie} = '{self.ties[group]}' AND {nth} <= {self.rest[group]}"
+            then = f"({tie} < '{self.ties[group]}' OR ({equal}))"
+        return f"({key} < '{last}' OR ({key} = '{last}' AND {then}))"
+
+    def equal_rows(self, key: str = "_key", tie: str = "_tie") -> str | None:
+        """The rows that have to be numbered, as SQL, or None."""
+        some = [f"({key} = '{self.keys[g]}' AND {tie} = '{self.ties[g]}')" for g in self.rest]
+        return " OR ".join(sorted(set(some))) or None
+
+
+def number_equal(df: DataFrame, some: str | None, name: str = "_nth") -> DataFrame:
+    """Adds ``name``: the rows where ``some`` holds are numbered among rows equal in all columns,
+    all others have 1.  Equal rows are counted before they meet."""
+    one = F.lit(1).cast("long").alias(name)
+    if some is None:
+        return df.select("*", one)
+    cut = F.coalesce(F.expr(some), F.lit(False))
+    equal = df.filter(cut).groupBy(*df.columns).agg(F.count("*").alias("_same"))
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_same"))).alias(name)
+    return df.filter(~cut).select("*", one).unionByName(equal.select(*df.columns, again))
 
 
 def find_limits(
@@ -40,12 +77,26 @@ def find_limits(
     key: Column,
     groups: Mapping[str, Column],
     take: Mapping[str, Callable[[dict[str, int]], int]],
+    tie: Column | None = None,
+    tied: DataFrame | None = None,
 ) -> Limits:
     """Counts ``groups`` (boolean columns) and locates the last key among the first n rows.
 
-    ``take`` maps a group to a function of all counts giving its n.  Only one small row per
-    group reaches the driver.
+    ``take`` maps a group to a function of all counts giving its n.  ``tie`` is the second key, of
+    the rows of ``tied`` if they are not in ``df``.  Only one small row per group reaches the driver.
     """
+    counts, keys, wanted = _search(df, key, groups, take)
+    if not wanted or tie is None:
+        return Limits(counts, keys, {}, {})
+    rows = df if tied is None else tied
+    rows = rows.withColumn("_first", key).filter(F.col("_first").isin(sorted({keys[g] for g in wanted})))
+    among = {g: groups[g] & (F.col("_first") == keys[g]) for g in wanted}
+    _, ties, rest = _search(rows, tie, among, {g: (lambda c, n=n: n) for g, n in wanted.items()})
+    return Limits(counts, keys, ties, rest)
+
+
+def _search(df, key, groups, take) -> tuple[dict[str, int], dict[str, str], dict[str, int]]:
+    """(counts, last keys, how many rows of the last key are wanted where it has more)."""
     names = list(groups)
     flagged = df.select(key.alias("_key"), *[groups[g].cast("tinyint").alias(g) for g in names])
     # rows in the same groups are counted together; there are only a few combinations
@@ -85,7 +136,7 @@ def find_limits(
             keys[g] = edge_key
             if wanted < rows:
                 ties[g] = wanted
-    return Limits(counts, keys, ties)
+    return counts, keys, ties
 
 
 def _edge(per_prefix: list[tuple[str, int]], n: int) -> tuple[str, int, int]:
@@ -136,29 +187,34 @@ def _rank(flagged: DataFrame, edges: Mapping[str, tuple[str, int, int]]) -> dict
     return {r["_g"]: (r["_key"], r["_wanted"], r["_n"]) for r in found}
 
 
-def _upto(df: DataFrame, key: Column, found: Limits, group: str) -> DataFrame:
-    """The first rows of ``df`` up to a limit; of rows with the last key as many as are wanted."""
-    last = found.keys[group]
-    if group not in found.ties:
-        return df.filter(key <= last)
-    tied = df.filter(key == last).orderBy(*df.columns).limit(found.ties[group])
-    return df.filter(key < last).unionByName(tied)
+def _upto(df: DataFrame, key: Column, found: Limits, group: str, scope: Column | None = None):
+    """The first rows of ``df`` up to a limit; rows outside of ``scope`` are kept."""
+    rows = _with_keys(df, key, found)
+    first = F.expr(found.within(group))
+    return rows.filter(first if scope is None else ~scope | first).select(*df.columns)
 
 
-def first_n(df: DataFrame, n: int, *key: str, salt: str = "order") -> DataFrame:
-    """Exactly min(n, rows) rows of ``df``, in the random order of the ``key`` columns."""
+def _with_keys(df: DataFrame, key: Column, found: Limits) -> DataFrame:
+    tie = content_key(*df.columns)
+    keyed = df.withColumn("_key", key).withColumn("_tie", tie)
+    return number_equal(keyed, found.equal_rows()) if found.rest else keyed
+
+
+def _first(df: DataFrame, key: tuple[str, ...], salt: str, take) -> DataFrame:
     k = order_key(salt, *key)
-    found = find_limits(df, k, {"rows": F.lit(True)}, {"rows": lambda c: n})
+    tie = content_key(*df.columns)
+    found = find_limits(df, k, {"rows": F.lit(True)}, {"rows": take}, tie)
     return _upto(df, k, found, "rows")
 
 
+def first_n(df: DataFrame, n: int, *key: str, salt: str = "order") -> DataFrame:
+    """Exactly min(n, rows) rows of ``df``, in the random order of the ``key`` columns."""
+    return _first(df, key, salt, lambda c: n)
+
+
 def first_fraction(df: DataFrame, fraction: float, *key: str, salt: str = "order") -> DataFrame:
     """The first floor(rows * fraction) rows."""
-    k = order_key(salt, *key)
-    found = find_limits(
-        df, k, {"rows": F.lit(True)}, {"rows": lambda c: int(c["rows"] * fraction)}
-    )
-    return _upto(df, k, found, "rows")
+    return _first(df, key, salt, lambda c: int(c["rows"] * fraction))
 
 
 def bernoulli(df: DataFrame, probability: float, *key: str, salt: str = "sample") -> DataFrame:
@@ -175,41 +231,42 @@ def copies(count: Column) -> Column:
 
 def undersample(df: DataFrame, *key: str, salt: str = "order") -> DataFrame:
     """All rows of label 1 and as many of label 0, from ``df(sentiment, ...)``."""
-    k = order_key(salt, *key)
+    k, tie = order_key(salt, *key), content_key(*df.columns)
     major = label_of("sentiment") == 0
-    found = find_limits(
-        df, k, {"major": major, "minor": ~major}, {"major": lambda c: c["minor"]}
-    )
-    return df.filter(~major).unionByName(_upto(df.filter(major), k, found, "major"))
+    groups = {"major": major, "minor": ~major}
+    found = find_limits(df, k, groups, {"major": lambda c: c["minor"]}, tie)
+    return _upto(df, k, found, "major", major)
 
 
-def minority_copies_sql(cap: int, major_n: int, minor_n: int, extra_key: str) -> str:
-    """Copies of a minority row with column ``key``, so that the minority reaches the majority.
+def minority_copies_sql(cap: int, major_n: int, minor_n: int, extra: str) -> str:
+    """Copies of a minority row, so that the minority reaches the majority.
 
-    At most ``cap``; the rows up to ``extra_key`` take one more than the others.
+    At most ``cap``; the rows where ``extra`` holds take one more than the others.
     """
     if minor_n == 0:
         return "1"
     if major_n >= cap * minor_n:
         return str(cap)
     base = major_n // minor_n
-    return f"CASE WHEN key <= '{extra_key}' THEN {base + 1} ELSE {base} END"
+    return f"CASE WHEN {extra} THEN {base + 1} ELSE {base} END"
 
 
 def oversample(df: DataFrame, cap: int, *key: str, salt: str = "order") -> DataFrame:
     """Repeats rows of label 1 (column ``copy``) up to the number of label 0, ``cap`` at most."""
-    k = order_key(salt, *key)
+    k, tie = order_key(salt, *key), content_key(*df.columns)
     minor = label_of("sentiment") == 1
     found = find_limits(
         df,
         k,
         {"major": ~minor, "minor": minor},
         {"minor": lambda c: c["major"] % c["minor"] if c["minor"] else 0},
+        tie,
     )
     c = found.counts
-    repeat = minority_copies_sql(cap, c["major"], c["minor"], found.keys["minor"])
+    repeat = minority_copies_sql(cap, c["major"], c["minor"], found.within("minor"))
     n = F.when(minor, F.expr(repeat)).otherwise(F.lit(1))
-    return df.withColumn("key", k).withColumn("copy", F.explode(copies(n))).drop("key")
+    rows = _with_keys(df, k, found)
+    return rows.withColumn("_n", n).select(*df.columns, F.explode(copies(F.col("_n"))).alias("copy"))
 
 
 # ---------------------------------------------------------------- dataset profiles
@@ -251,5 +308,6 @@ def capped_majority(corpus: DataFrame, cap: int) -> DataFrame:
     """The first ``cap`` positives and all other rows: the test side of the capped profile."""
     k = order_key("cap", "id")
     major = F.coalesce(F.col("sentiment") == "positive", F.lit(False))
-    found = find_limits(corpus, k, {"major": major}, {"major": lambda c: cap})
-    return corpus.filter(~major).unionByName(_upto(corpus.filter(major), k, found, "major"))
+    tie = content_key(*corpus.columns)
+    found = find_limits(corpus, k, {"major": major}, {"major": lambda c: cap}, tie)
+    return _upto(corpus, k, found, "major", major)

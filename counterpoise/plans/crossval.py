@@ -12,7 +12,7 @@ from counterpoise.operators.model import (
     FEATURES,
     NAIVE_BAYES,
     class_totals,
-    score,
+    margins,
     training_stats,
 )
 from counterpoise.session import spool
@@ -21,23 +21,31 @@ FOLDS = 10
 
 
 def fold_cells(scored: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(scenario, fold, tp, fp, fn, tn) of ``scored(s, fold, label, tw, prediction)``."""
-    p, y = F.col("prediction"), F.col("label")
+    """(scenario, fold, tp, fp, fn, tn) of ``scored(fold, label, tw, same, prediction)``, with
+    vectors over scenarios.
 
-    def cell(predicted: int, label: int) -> Column:
-        hit = (p == predicted) & (y == label)
-        return F.sum(F.when(hit, F.col("tw").cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-
-    return (
-        scored.groupBy("s", "fold")
-        .agg(
-            cell(1, 1).alias("tp"),
-            cell(1, 0).alias("fp"),
-            cell(0, 1).alias("fn"),
-            cell(0, 0).alias("tn"),
-        )
-        .select(_name(names).alias("scenario"), "fold", "tp", "fp", "fn", "tn")
+    Rows that are tested equally often in all scenarios are counted together; there are only a
+    few such patterns, so scenarios are told apart after all rows are counted.
+    """
+    n = len(names)
+    p, same = F.col("prediction"), F.col("same")
+    hits = [F.sum(F.when(p[s] == 1, same).otherwise(0)).alias(f"_h{s}") for s in range(n)]
+    alike = scored.groupBy("fold", "label", "tw").agg(F.sum("same").alias("_n"), *hits)
+    zipped = F.arrays_zip("tw", F.array(*[f"_h{s}" for s in range(n)]).alias("h"))
+    each = alike.select("fold", "label", "_n", F.posexplode(zipped).alias("s", "x"))
+    weight = F.col("x.tw").cast("bigint")
+    ones, zeros = weight * F.col("x.h"), weight * (F.col("_n") - F.col("x.h"))
+
+    def cell(count: Column, label: int) -> Column:
+        return F.sum(F.when(F.col("label") == label, count).otherwise(F.lit(0).cast("bigint")))
+
+    cells = each.filter(weight > 0).groupBy("s", "fold").agg(
+        cell(ones, 1).alias("tp"),
+        cell(ones, 0).alias("fp"),
+        cell(zeros, 1).alias("fn"),
+        cell(zeros, 0).alias("tn"),
     )
+    return cells.select(_name(names).alias("scenario"), "fold", "tp", "fp", "fn", "tn")
 
 
 def _name(names: Sequence[str]) -> Column:
@@ -70,7 +78,7 @@ def cross_validate(
     """
     n = len(names)
     stats = spool(training_stats(train), "stats")
-    scored = score(stats, test, key, n, classifier, folds, features)
+    scored = margins(stats, test, key, n, classifier, folds, features)
     metrics = average_over_folds(fold_cells(scored, names))
 
     docs = class_totals(stats, n).select("label", F.posexplode("docs").alias("s", "docs"))

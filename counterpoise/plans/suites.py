@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from counterpoise.functions.text import fold_of
 from counterpoise.operators.generate import Gen, Lexicons, antonym, blankout, generate, similar
 from counterpoise.operators.model import FEATURES, NAIVE_BAYES
-from counterpoise.operators.sampling import copies
 from counterpoise.plans.crossval import FOLDS, cross_validate
 from counterpoise.plans.specs import SIMILAR_LEXICONS, Spec
-from counterpoise.plans.training_sets import ORIGINAL, in_any_set, weighted_variants
+from counterpoise.plans.training_sets import (
+    ORIGINAL,
+    in_any_set,
+    one_row_per_copy,
+    row_variants,
+    weighted_variants,
+)
 
 SCENARIOS_PER_PASS = 64
 BY_SOURCE, INDEPENDENT = "by_source", "independent"
@@ -43,33 +48,55 @@ def suite_tables(
     in_sample: Column | None = None,
     folds: str = BY_SOURCE,
     seed: str = "blank",
-) -> DataFrame:
-    """Row variants with train and test fold and the weights ``w`` (train) and ``tw`` (test).
+    redraw: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """(train, test): train(fold, label, text, w) and test(src_id, gen, copy, fold, label, text, tw).
 
     by_source    everything made of one source row shares its fold, so no test row has a
                  relative in the training set
     independent  training and test folds are drawn separately, per copy
+    redraw       copies of a blankout row drop other words each
+
+    Nothing is written but the keys that limits need; both tables make their texts when they are
+    read.  Where only originals are tested, the test side makes none.
     """
-    rows = weighted_variants(corpus, specs, lex, in_sample, seed, reuse=True)
-    rows = rows.withColumn("tw", _test_weights(specs, F.col("w")))
-    if folds == BY_SOURCE:
-        fold = fold_of("src_id", folds=FOLDS)
-        return rows.withColumn("fold", fold).withColumn("test_fold", fold)
-    if folds != INDEPENDENT:
+    if folds not in (BY_SOURCE, INDEPENDENT):
         raise ValueError(f"unknown fold rule {folds!r}")
-    # one row per copy: copy c belongs to the scenarios with at least c copies
-    most = F.greatest(F.array_max("w"), F.array_max("tw"))
-    rows = rows.withColumn("copy", F.explode(copies(most.cast("int"))))
-
-    def present(a: str) -> Column:
-        return F.transform(a, lambda n: (n >= F.col("copy")).cast("short"))
-
-    return (
-        rows.withColumn("w", present("w"))
-        .withColumn("tw", present("tw"))
-        .withColumn("fold", fold_of("src_id", "method", "copy", folds=FOLDS, salt="train"))
-        .withColumn("test_fold", fold_of("src_id", "method", "copy", folds=FOLDS, salt="test"))
+    rows = weighted_variants(corpus, specs, lex, in_sample, seed, redraw)
+    if redraw:
+        rows = rows.withColumn("tw", _first_copy(specs, F.col("w")))
+    else:
+        rows = rows.withColumn("tw", _test_weights(specs, F.col("w")))
+        if folds == INDEPENDENT:
+            rows = one_row_per_copy(rows, F.greatest(F.array_max("w"), F.array_max("tw")), "tw")
+        else:
+            rows = rows.withColumn("copy", F.lit(1))
+    tested = rows
+    if all(s.test == "original" for s in specs):
+        originals = row_variants(corpus, [], Lexicons(), in_sample, seed)
+        once = F.array(*[F.lit(1).cast("short")] * len(specs))
+        tested = originals.withColumn("tw", once).withColumn("copy", F.lit(1))
+
+    def fold(salt: str) -> Column:
+        if folds == BY_SOURCE:
+            return fold_of("src_id", folds=FOLDS)
+        return fold_of("src_id", "method", "copy", folds=FOLDS, salt=salt)
+
+    train = rows.filter(in_any_set("w")).select(fold("train").alias("fold"), "label", "text", "w")
+    test = tested.filter(in_any_set("tw")).select(
+        "src_id", "gen", "copy", fold("test").alias("fold"), "label", "text", "tw"
     )
+    return train, test
+
+
+def _first_copy(specs: Sequence[Spec], w: Column) -> Column:
+    """Test weights where every row is one copy; of an original one copy is tested."""
+    tested = _test_weights(specs, w)
+    first = F.col("copy") == 1
+    return F.array(*[
+        F.when(first, tested[i]).otherwise(F.lit(0).cast("short")) if s.test == "original" else tested[i]
+        for i, s in enumerate(specs)
+    ])
 
 
 def run_suite(
@@ -81,27 +108,21 @@ def run_suite(
     folds: str = BY_SOURCE,
     seed: str = "blank",
     features: int = FEATURES,
+    redraw: bool = False,
 ) -> DataFrame:
     """One row per scenario: size of its training set per class and its averaged metrics."""
     result = None
     for start in range(0, len(specs), SCENARIOS_PER_PASS):
         part = specs[start : start + SCENARIOS_PER_PASS]
-        one = _run_pass(corpus, part, lex, classifier, in_sample, folds, seed, features)
+        train, test = suite_tables(corpus, part, lex, in_sample, folds, seed, redraw)
+        names = [s.scenario for s in part]
+        one = cross_validate(
+            train, test, ["src_id", "gen", "copy"], names, classifier, FOLDS, features
+        )
         result = one if result is None else result.unionByName(one)
     return result
 
 
-def _run_pass(corpus, specs, lex, classifier, in_sample, folds, seed, features) -> DataFrame:
-    rows = suite_tables(corpus, specs, lex, in_sample, folds, seed)
-    key = ["src_id", "gen"] + (["copy"] if folds == INDEPENDENT else [])
-    train = rows.filter(in_any_set("w")).select("fold", "label", "text", "w")
-    test = rows.filter(in_any_set("tw")).select(
-        *key, F.col("test_fold").alias("fold"), "label", "text", "tw"
-    )
-    names = [s.scenario for s in specs]
-    return cross_validate(train, test, key, names, classifier, FOLDS, features)
-
-
 # ---------------------------------------------------------------- export
 
 

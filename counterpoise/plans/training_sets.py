@@ -3,11 +3,15 @@
 All scenarios share one table of row variants (the originals and everything any generator
 made of them).  A scenario is a vector component: how many copies of the variant its training
 set holds.  So texts are generated, hashed and tokenised once, not once per scenario.
+
+Limits (where a set is cut or topped up) need the keys of the variants only; these are written
+once, without texts.  The texts are made again in the pass that uses them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,15 +19,19 @@ from pyspark.sql import functions as F
 from counterpoise.functions.text import label_of, order_key
 from counterpoise.operators.generate import Gen, Lexicons, generate
 from counterpoise.operators.sampling import (
+    Limits,
     copies,
     find_limits,
     in_minority_sample,
     minority_copies_sql,
+    number_equal,
 )
 from counterpoise.plans.specs import Spec
 from counterpoise.session import spool
 
 ORIGINAL = -1
+# Second key of a variant: its content.
+TIE = "md5(concat_ws('\u0001', cast(label as string), text))"
 
 
 def _distinct_gens(specs: Sequence[Spec]) -> list[Gen]:
@@ -36,25 +44,25 @@ def _distinct_gens(specs: Sequence[Spec]) -> list[Gen]:
 
 def _both(g: Gen) -> Gen:
     """Generator without its class scope; similar words and blankout then serve both scopes."""
-    if g.kind == "antonym":
-        return g
-    return Gen(**{**g.__dict__, "minority": False})
+    return g if g.kind == "antonym" else replace(g, minority=False)
 
 
 def row_variants(
     corpus: DataFrame,
     gens: Sequence[Gen],
-    lex: Lexicons,
+    lex: Lexicons = Lexicons(),
     in_sample: Column | None = None,
     seed: str = "blank",
 ) -> DataFrame:
-    """(src_id, in_sample, gen, method, label, key, text): originals (gen -1), generated rows.
+    """(src_id, in_sample, gen, method, label, text, key): originals (gen -1), generated rows.
 
-    ``key`` is the random order in which rows are taken when a set is cut or topped up.
+    ``key`` is the random order in which rows are taken when a set is cut or topped up; ``drawn``
+    comes along if a generator asks for further draws.
     """
     flag = in_minority_sample() if in_sample is None else in_sample
     flag = F.coalesce(flag, F.lit(False))
     rows = corpus.select("id", "sentiment", "text", flag.alias("in_sample"))
+    drawn = ["drawn"] if any(g.draws for g in gens) else []
     originals = rows.select(
         F.col("id").alias("src_id"),
         "in_sample",
@@ -62,11 +70,13 @@ def row_variants(
         F.lit("original").alias("method"),
         label_of("sentiment").alias("label"),
         "text",
+        *[F.array().cast("array<string>").alias(c) for c in drawn],
     )
     variants = originals
     if gens:
+        label = label_of("sentiment").alias("label")
         made = generate(rows, gens, lex, seed).select(
-            "src_id", "in_sample", "gen", "method", label_of("sentiment").alias("label"), "text"
+            "src_id", "in_sample", "gen", "method", label, "text", *drawn
         )
         variants = originals.unionByName(made)
     return variants.withColumn("key", order_key("order", "src_id", "method"))
@@ -83,14 +93,29 @@ def _membership(s: Spec, gens: Sequence[Gen]) -> tuple[str, str]:
 
 
 def copy_counts(
-    variants: DataFrame, specs: Sequence[Spec], gens: Sequence[Gen]
-) -> list[Column]:
-    """Per scenario, how often a variant occurs in its training set.
+    keys: DataFrame, variants: DataFrame, specs: Sequence[Spec], gens: Sequence[Gen]
+) -> tuple[list[Column], str | None]:
+    """Per scenario, how often a variant occurs in its training set, as expressions over
+    ``variants`` with ``nth``; and the rows that ``nth`` must number, as SQL.
 
-    Conditions are put together as SQL text: with dozens of scenarios that is much quicker
-    than building thousands of Column objects one call at a time.
+    ``keys`` holds what limits need of the variants.  Conditions are put together as SQL text: with
+    dozens of scenarios that is much quicker than building thousands of Column objects.
     """
     members = [_membership(s, gens) for s in specs]
+    numbered: list[str] = []
+
+    def limits(groups: dict[str, str], take: dict) -> Limits:
+        rows = number_equal(variants, " OR ".join(numbered) or None, "nth")
+        # conditions that name texts or numbers cannot be asked of the keys alone
+        source = rows if any("text" in c for c in groups.values()) else keys
+        conditions = {g: F.expr(c) for g, c in groups.items()}
+        found = find_limits(source, F.col("key"), conditions, take, F.expr(TIE), rows)
+        equal = found.equal_rows("key", TIE)
+        numbered.extend([equal] if equal else [])
+        return found
+
+    def within(found: Limits, group: str) -> str:
+        return found.within(group, "key", TIE, "nth")
 
     # 1. a fraction of the generated rows
     groups = {f"m{i}": members[i][1] for i, s in enumerate(specs) if s.gen and s.fraction < 1}
@@ -98,9 +123,9 @@ def copy_counts(
         take = {
             g: (lambda c, g=g: int(c[g] * specs[int(g[1:])].fraction)) for g in groups
         }
-        keys = _limits(variants, groups, take).keys
+        found = limits(groups, take)
         members = [
-            (o, f"({m} AND key <= '{keys[f'm{i}']}')" if f"m{i}" in keys else m)
+            (o, f"({m} AND {within(found, f'm{i}')})" if f"m{i}" in groups else m)
             for i, (o, m) in enumerate(members)
         ]
 
@@ -118,33 +143,27 @@ def copy_counts(
                 take[f"a{i}"] = lambda c, i=i: c[f"b{i}"]
             else:
                 take[f"b{i}"] = lambda c, i=i: c[f"a{i}"] % c[f"b{i}"] if c[f"b{i}"] else 0
-    found = _limits(variants, groups, take) if groups else None
+    found = limits(groups, take) if groups else None
 
     counts = []
     for i, s in enumerate(specs):
         original, made = members[i]
         inside, copies_of_minor = f"({original} OR {made})", "1"
         if s.perturb:
-            o, g = found.keys[f"o{i}"], found.keys[f"g{i}"]
-            last = f"CASE WHEN gen = {ORIGINAL} THEN '{o}' ELSE '{g}' END"
-            inside += f" AND (label = 1 OR key <= {last})"
+            first = f"CASE WHEN gen = {ORIGINAL} THEN {within(found, f'o{i}')} ELSE {within(found, f'g{i}')} END"
+            inside += f" AND (label = 1 OR {first})"
         elif s.rebalance == "under":
-            inside += f" AND (label = 1 OR key <= '{found.keys[f'a{i}']}')"
+            inside += f" AND (label = 1 OR {within(found, f'a{i}')})"
         elif s.rebalance == "over":
             copies_of_minor = minority_copies_sql(
-                s.cap, found.counts[f"a{i}"], found.counts[f"b{i}"], found.keys[f"b{i}"]
+                s.cap, found.counts[f"a{i}"], found.counts[f"b{i}"], within(found, f"b{i}")
             )
         counts.append(
             F.expr(
                 f"CASE WHEN NOT ({inside}) THEN 0 WHEN label = 1 THEN {copies_of_minor} ELSE 1 END"
             )
         )
-    return counts
-
-
-def _limits(variants: DataFrame, groups: dict[str, str], take: dict):
-    conditions = {g: F.expr(c) for g, c in groups.items()}
-    return find_limits(variants, F.col("key"), conditions, take)
+    return counts, " OR ".join(numbered) or None
 
 
 def is_sampled(s: Spec) -> bool:
@@ -158,19 +177,44 @@ def weighted_variants(
     lex: Lexicons = Lexicons(),
     in_sample: Column | None = None,
     seed: str = "blank",
-    reuse: bool = False,
+    redraw: bool = False,
 ) -> DataFrame:
     """Row variants with ``w``: per scenario (in the order of ``specs``) the number of copies.
 
-    The variants are written once if they are needed several times: when a set is cut or
-    topped up, and when the caller will ``reuse`` the result.
+    ``redraw``: a variant stands for one copy (column ``copy``), and the copies of a blankout row
+    drop other words each.
     """
     gens = _distinct_gens(specs)
-    variants = row_variants(corpus, gens, lex, in_sample, seed)
-    if reuse or any(is_sampled(s) for s in specs):
-        variants = spool(variants, "variants")
-    counts = copy_counts(variants, specs, gens)
-    return variants.withColumn("w", F.array(*[c.cast("short") for c in counts]))
+    made = gens
+    if redraw:
+        most = {g: max(s.cap for s in specs if s.gen and _both(s.gen) == g) for g in gens}
+        made = [replace(g, draws=most[g] - 1) if g.kind == "blankout" else g for g in gens]
+    variants = row_variants(corpus, made, lex, in_sample, seed)
+    if any(is_sampled(s) for s in specs):
+        keys = spool(variants.select("gen", "in_sample", "label", "key"), "keys")
+        counts, equal = copy_counts(keys, variants, specs, gens)
+        variants = number_equal(variants, equal, "nth")
+    else:
+        counts, _ = copy_counts(variants, variants, specs, gens)
+    rows = variants.withColumn("w", F.array(*[c.cast("short") for c in counts])).drop("nth")
+    if not redraw:
+        return rows
+    # the first copy stays even where no set holds the row: it may be tested
+    rows = one_row_per_copy(rows, F.greatest(F.array_max("w"), F.lit(1)))
+    if "drawn" not in rows.columns:
+        return rows
+    other = F.get("drawn", F.col("copy") - 2)
+    return rows.withColumn("text", F.coalesce(other, "text")).drop("drawn")
+
+
+def one_row_per_copy(rows: DataFrame, most: Column, *vectors: str) -> DataFrame:
+    """One row per copy: copy c belongs to the scenarios with at least c copies."""
+    rows = rows.withColumn("copy", F.explode(copies(most.cast("int"))))
+
+    def present(a: str) -> Column:
+        return F.transform(a, lambda n: (n >= F.col("copy")).cast("short"))
+
+    return rows.withColumns({c: present(c) for c in ("w", *vectors)})
 
 
 def in_any_set(w: Column | str = "w") -> Column:
@@ -189,24 +233,7 @@ def build_training_set(
 
     ``redraw``: every copy of a blankout row drops other words.
     """
-    if redraw and spec.gen is not None and spec.gen.kind == "blankout":
-        return _redrawn(corpus, spec, lex, in_sample, seed)
-    rows = weighted_variants(corpus, [spec], lex, in_sample, seed)
-    return rows.withColumn("copy", F.explode(copies(F.col("w")[0].cast("int")))).select(
-        "src_id", "method", "copy", "label", "text"
-    )
-
-
-def _redrawn(corpus, spec, lex, in_sample, seed) -> DataFrame:
-    once = build_training_set(corpus, spec, lex, in_sample, seed)
-    gens = [Gen(**{**spec.gen.__dict__, "draw": i}) for i in range(spec.cap)]
-    draws = generate(corpus, gens, lex, seed).select(
-        "src_id", F.lit("blankout").alias("method"), (F.col("gen") + 1).alias("copy"),
-        F.col("text").alias("drawn"),
-    )
-    return once.join(draws, ["src_id", "method", "copy"], "left").select(
-        "src_id", "method", "copy", "label", F.coalesce("drawn", "text").alias("text")
-    )
+    return training_set_rows(corpus, [spec], lex, in_sample, seed, redraw).drop("scenario")
 
 
 def training_set_rows(
@@ -215,18 +242,18 @@ def training_set_rows(
     lex: Lexicons = Lexicons(),
     in_sample: Column | None = None,
     seed: str = "blank",
+    redraw: bool = False,
 ) -> DataFrame:
     """Several training sets as rows (scenario, src_id, method, copy, label, text)."""
-    rows = weighted_variants(corpus, specs, lex, in_sample, seed)
-    per_set = rows.select(
-        "src_id", "method", "label", "text", F.posexplode("w").alias("s", "n")
-    ).filter(F.col("n") > 0)
+    rows = weighted_variants(corpus, specs, lex, in_sample, seed, redraw)
+    columns = ["src_id", "method", "label", "text", *(["copy"] if redraw else [])]
+    per_set = rows.select(*columns, F.posexplode("w").alias("s", "n")).filter(F.col("n") > 0)
     names = F.array(*[F.lit(s.scenario) for s in specs])
     return per_set.select(
         F.element_at(names, F.col("s") + 1).alias("scenario"),
         "src_id",
         "method",
-        F.explode(copies(F.col("n").cast("int"))).alias("copy"),
+        "copy" if redraw else F.explode(copies(F.col("n").cast("int"))).alias("copy"),
         "label",
         "text",
     )

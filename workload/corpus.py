@@ -11,22 +11,25 @@ from counterpoise.session import spread
 IDS_PER_DOCUMENT = 1 << 31
 
 
-def labelled_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labelled_sentences(spark: SparkSession, sf_dir: str, third: bool = False) -> DataFrame:
     """(id, sentiment, text): the sentences of ``documents`` with the class of their ``labels``.
 
     Commas become spaces, as in a comma-separated corpus.  The documents hold no negated
-    words, so two frequent words are turned into them.
+    words, so two frequent words are turned into them.  ``third``: toxic documents are a class of
+    their own, ``neutral``.
     """
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    two = F.when(F.col("quality") == 1, "positive").otherwise("negative")
+    named = F.when(F.col("toxic") == 1, "neutral").otherwise(two) if third else two
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", named.alias("sentiment"))
     sentences = spread(documents, "doc_id").join(labels, "doc_id").select(
-        "doc_id", "quality", F.posexplode(F.split("text", "[.\n]")).alias("nth", "t")
+        "doc_id", "sentiment", F.posexplode(F.split("text", "[.\n]")).alias("nth", "t")
     )
     text = F.replace("t", F.lit(","), F.lit(" "))
     text = F.replace(text, F.lit(" it "), F.lit(" NOT_"))
     text = F.replace(text, F.lit(" are "), F.lit(" arenot "))
     return sentences.select(
         (F.col("doc_id") * IDS_PER_DOCUMENT + F.col("nth")).alias("id"),
-        F.when(F.col("quality") == 1, "positive").otherwise("negative").alias("sentiment"),
+        "sentiment",
         F.btrim(F.regexp_replace(text, "[ \t\r\n]+", " ")).alias("text"),
     ).filter(F.col("text") != "")

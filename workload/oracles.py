@@ -12,7 +12,16 @@ from collections.abc import Sequence
 from counterpoise.operators.generate import Gen, antonym, blankout, similar
 from counterpoise.plans.specs import Spec, imbalance_family, similar_family
 from workload import fixtures as X
-from workload.queries import ANTONYM_NAMES, REDRAWN, SETS, SIMILAR_NAMES, SUITES
+from workload.queries import (
+    ANTONYM_NAMES,
+    REDRAWN,
+    REDRAWN_SUITE,
+    SETS,
+    SIMILAR_NAMES,
+    SUITES,
+    THIRD_SET,
+    TIED_SETS,
+)
 
 ORACLES: dict[str, str] = {}
 
@@ -43,18 +52,26 @@ def values(rows: Sequence[tuple]) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows) + ")"
 
 
-CORPUS = r"""
+def corpus_sql(sentiment: str) -> str:
+    return rf"""
 corpus AS (
   SELECT doc_id * 2147483648 + nth AS id, sentiment, text
   FROM (
-    SELECT doc_id, nth, CASE WHEN quality = 1 THEN 'positive' ELSE 'negative' END AS sentiment,
+    SELECT doc_id, nth, sentiment,
            trim(regexp_replace(replace(replace(replace(t, ',', ' '), ' it ', ' NOT_'),
                                ' are ', ' arenot '), '[ \t\r\n]+', ' ', 'g')) AS text
-    FROM (SELECT doc_id, quality, unnest(parts) AS t, generate_subscripts(parts, 1) - 1 AS nth
-          FROM (SELECT doc_id, quality, regexp_split_to_array(text, '[.\n]') AS parts
+    FROM (SELECT doc_id, sentiment, unnest(parts) AS t, generate_subscripts(parts, 1) - 1 AS nth
+          FROM (SELECT doc_id, {sentiment} AS sentiment,
+                       regexp_split_to_array(text, '[.\n]') AS parts
                 FROM documents JOIN labels USING (doc_id))))
   WHERE text <> ''
 )"""
+
+
+CORPUS = corpus_sql("CASE WHEN quality = 1 THEN 'positive' ELSE 'negative' END")
+THIRD_CORPUS = corpus_sql(
+    "CASE WHEN toxic = 1 THEN 'neutral' WHEN quality = 1 THEN 'positive' ELSE 'negative' END"
+)
 TOK = """
 tok AS (
   SELECT id, sentiment, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos
@@ -330,18 +347,28 @@ SELECT id, sentiment, text FROM
 WHERE rn <= {X.SAMPLE_N}"""
 _BY_DOCUMENT = "documents_as_ids AS (SELECT id // 2147483648 AS id, sentiment, text FROM corpus)"
 _TIED = with_(CORPUS, _BY_DOCUMENT)
+_CONTENT = "md5(concat_ws(chr(1), CAST(id AS VARCHAR), sentiment, text))"
 ORACLES["sample_exact_n_repeated_ids"] = _TIED + f"""
 SELECT id, sentiment, text FROM
-  (SELECT *, row_number() OVER (ORDER BY md5('order:' || id), id, sentiment, text) AS rn
+  (SELECT *, row_number() OVER (ORDER BY md5('order:' || id), {_CONTENT}) AS rn
    FROM documents_as_ids)
 WHERE rn <= {X.SAMPLE_N}"""
 ORACLES["undersample_repeated_ids"] = _TIED + f"""
 SELECT id, sentiment, text FROM (
   SELECT *, count(*) FILTER (label = 1) OVER () AS n1,
-         row_number() OVER (PARTITION BY label ORDER BY md5('order:' || id), id, sentiment, text)
-           AS rn
+         row_number() OVER (PARTITION BY label ORDER BY md5('order:' || id), {_CONTENT}) AS rn
   FROM (SELECT *, {LABEL} AS label FROM documents_as_ids))
 WHERE label = 1 OR rn <= n1"""
+ORACLES["oversample_repeated_ids"] = _TIED + f"""
+SELECT id, sentiment, text, CAST(unnest(generate_series(1, n)) AS INTEGER) AS copy
+FROM (SELECT *, CASE WHEN label = 0 THEN 1
+                     ELSE least({PLAIN_CAP}, n0 // n1 + CASE WHEN rn <= n0 % n1 THEN 1 ELSE 0 END)
+                END AS n
+      FROM (SELECT *, count(*) FILTER (label = 0) OVER () AS n0,
+                   count(*) FILTER (label = 1) OVER () AS n1,
+                   row_number() OVER (PARTITION BY label
+                                      ORDER BY md5('order:' || id), {_CONTENT}) AS rn
+            FROM (SELECT *, {LABEL} AS label FROM documents_as_ids)))"""
 ORACLES["sample_fraction"] = C + f"""
 SELECT * FROM corpus
 WHERE ('0x' || substr(md5('sample:' || id), 1, 8))::BIGINT < round({X.SAMPLE_SHARE} * 4294967296)"""
@@ -351,9 +378,13 @@ ORACLES["kfold_assign"] = C + f"SELECT id, {FOLD.format('id')} AS fold FROM corp
 
 
 def set_ctes(
-    specs: Sequence[Spec], base: Sequence[str] = GEN_BASE, sampled: str = SAMPLED
+    specs: Sequence[Spec], base: Sequence[str] = GEN_BASE, sampled: str = SAMPLED,
+    ident: str = "src_id",
 ) -> list[str]:
-    """weighted(s, src_id, gen, method, label, text, w, test): all members with their copies."""
+    """weighted(s, src_id, gen, method, label, text, w, test): all members with their copies.
+
+    ``ident``: the id that the order goes by, which rows may share.
+    """
     gens: list[Gen] = []
     for s in specs:
         if s.gen and _scopeless(s.gen) not in gens:
@@ -378,7 +409,8 @@ def set_ctes(
         f"{LABEL} AS label, text FROM corpus{made})",
         f"""
 variants AS MATERIALIZED (
-  SELECT made.*, {sampled} AS in_sample, md5('order:' || src_id || ':' || method) AS o
+  SELECT made.*, {sampled} AS in_sample, md5('order:' || {ident} || ':' || method) AS o,
+         md5(concat_ws(chr(1), CAST(label AS VARCHAR), text)) AS tie
   FROM made JOIN (SELECT id, sentiment FROM corpus) c ON c.id = made.src_id)""",
         """
 members AS (
@@ -387,13 +419,13 @@ members AS (
         """
 taken AS (
   SELECT * EXCLUDE (nth, n_made) FROM (
-    SELECT *, row_number() OVER (PARTITION BY s, gen = -1 ORDER BY o) AS nth,
+    SELECT *, row_number() OVER (PARTITION BY s, gen = -1 ORDER BY o, tie) AS nth,
            count(*) OVER (PARTITION BY s, gen = -1) AS n_made FROM members)
   WHERE gen = -1 OR fraction >= 1 OR nth <= floor(n_made * fraction))""",
         """
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY s, label ORDER BY o) AS rn,
-         row_number() OVER (PARTITION BY s, label, gen = -1 ORDER BY o) AS rg,
+  SELECT *, row_number() OVER (PARTITION BY s, label ORDER BY o, tie) AS rn,
+         row_number() OVER (PARTITION BY s, label, gen = -1 ORDER BY o, tie) AS rg,
          count(*) FILTER (label = 0) OVER (PARTITION BY s) AS n0,
          count(*) FILTER (label = 1) OVER (PARTITION BY s) AS n1,
          count(*) FILTER (label = 0 AND gen = -1) OVER (PARTITION BY s) AS o0
@@ -421,6 +453,20 @@ SELECT {_scenario}src_id, method, CAST(unnest(generate_series(1, w)) AS INTEGER)
        label, text
 FROM weighted WHERE w > 0"""
 
+_DOCUMENT = "src_id // 2147483648"
+for _name, _specs in TIED_SETS.items():
+    _by_id = set_ctes(_specs, sampled=SAMPLED.replace("|| id)", "|| id // 2147483648)"), ident=_DOCUMENT)
+    ORACLES[_name] = with_(*_by_id) + f"""
+SELECT scenario, {_DOCUMENT} AS src_id, method,
+       CAST(unnest(generate_series(1, w)) AS INTEGER) AS copy, label, text
+FROM weighted WHERE w > 0"""
+
+THIRD_BASE = (THIRD_CORPUS, TOK, WORDS)
+ORACLES["prepare_third_class"] = with_(THIRD_CORPUS) + "SELECT * FROM corpus"
+ORACLES["set_third_class"] = with_(*set_ctes([THIRD_SET], THIRD_BASE, "TRUE")) + """
+SELECT src_id, method, CAST(unnest(generate_series(1, w)) AS INTEGER) AS copy, label, text
+FROM weighted WHERE w > 0"""
+
 _DRAWS = "\nUNION ALL\n".join(
     f"SELECT {i + 1} AS copy, src_id, text FROM ("
     + gen_sql(blankout(X.K, draw=i)) + ")" for i in range(REDRAWN.cap)
@@ -562,20 +608,46 @@ ORACLES["metrics_weighted"] = P_ + "SELECT " + ", ".join(
 # ---------------------------------------------------------------- cross-validation, suites
 
 
+def draws_sql(specs: Sequence[Spec]) -> str:
+    """draws(gen, src_id, copy, text): other random words for every copy of a blankout row."""
+    gens: list[Gen] = []
+    for s in specs:
+        if s.gen and _scopeless(s.gen) not in gens:
+            gens.append(_scopeless(s.gen))
+    parts = [
+        f"SELECT {i} AS gen, {d + 1} AS copy, src_id, text FROM ("
+        + gen_sql(Gen(**{**g.__dict__, "draw": d})) + ")"
+        for i, g in enumerate(gens) if g.kind == "blankout"
+        for d in range(max(s.cap for s in specs if s.gen and _scopeless(s.gen) == g))
+    ]
+    return "\nUNION ALL\n".join(parts)
+
+
 def cv_ctes(
-    specs: Sequence[Spec], classifier: str, independent: bool = False, **base
+    specs: Sequence[Spec], classifier: str, independent: bool = False, redraw: bool = False, **base
 ) -> list[str]:
     """cells(s, fold, tp, fp, fn, tn) over weighted rows, folds by source row.
 
     ``independent``: folds per copy, other ones for training and for testing; originals only
-    are tested then.
+    are tested then.  ``redraw``: copies of a blankout row have texts of their own.
     """
     copy, train_w, train_fold = "1", "w", FOLD.format("src_id")
-    test_fold = train_fold
+    test_fold, drawn = train_fold, "1"
     if independent:
         row = "src_id || ':' || method || ':' || copy"
-        copy, train_w, train_fold = "unnest(generate_series(1, w))", "1", TRAIN_FOLD.format(row)
+        train_fold = TRAIN_FOLD.format(row)
         test_fold = TEST_FOLD.format("src_id || ':original:1'")
+    if independent or redraw:
+        copy, train_w = "unnest(generate_series(1, w))", "1"
+    texts = "SELECT gen, src_id, 1 AS drawn, text FROM variants"
+    draws: list[str] = []
+    if redraw:
+        drawn = "copy"
+        draws = [f"draws AS MATERIALIZED ({draws_sql(specs)})"]
+        texts = f"""
+  SELECT v.gen, v.src_id, c.drawn, coalesce(d.text, v.text) AS text
+  FROM variants v CROSS JOIN (SELECT range AS drawn FROM range(1, 11)) c
+       LEFT JOIN draws d ON v.gen = d.gen AND v.src_id = d.src_id AND c.drawn = d.copy"""
     if classifier == "nb":
         margin = """
          sum(tf * (ln(coalesce(a1, 0) - coalesce(f1, 0) + 1)
@@ -590,29 +662,38 @@ def cv_ctes(
         rule = "CASE WHEN m > 0 THEN 1 ELSE 0 END"
     return [
         *set_ctes(specs, **base),
+        *draws,
+        f"""
+texts AS MATERIALIZED ({texts})""",
         """
 vterm AS MATERIALIZED (
-  SELECT gen, src_id, term, count(*) AS tf
-  FROM (SELECT gen, src_id, unnest(string_split(text, ' ')) AS term FROM variants)
-  GROUP BY 1, 2, 3)""",
+  SELECT gen, src_id, drawn, term, count(*) AS tf
+  FROM (SELECT gen, src_id, drawn, unnest(string_split(text, ' ')) AS term FROM texts)
+  GROUP BY 1, 2, 3, 4)""",
+        """
+vlen AS MATERIALIZED (
+  SELECT gen, src_id, drawn, len(string_split(text, ' ')) AS len FROM texts)""",
         f"""
 train AS MATERIALIZED (
-  SELECT s, gen, src_id, label, {train_w} AS w, len(string_split(text, ' ')) AS len,
-         {train_fold} AS fold
-  FROM (SELECT *, {copy} AS copy FROM weighted WHERE w > 0))""",
+  SELECT s, gen, src_id, drawn, label, w, len, fold
+  FROM (SELECT s, gen, src_id, {drawn} AS drawn, label, {train_w} AS w, {train_fold} AS fold
+        FROM (SELECT *, {copy} AS copy FROM weighted WHERE w > 0))
+       JOIN vlen USING (gen, src_id, drawn))""",
         f"""
 test AS MATERIALIZED (
-  SELECT s, gen, src_id, label, len(string_split(text, ' ')) AS len, 1 AS n,
-         {test_fold} AS fold
-  FROM variants CROSS JOIN specs WHERE test = 'original' AND gen = -1
-  UNION ALL
-  SELECT s, gen, src_id, label, len(string_split(text, ' ')), w, {FOLD.format("src_id")}
-  FROM weighted WHERE w > 0 AND (test = 'augmented' OR (test = 'generated' AND gen <> -1)))""",
+  SELECT s, gen, src_id, drawn, copy, label, len, n, fold FROM (
+    SELECT s, gen, src_id, 1 AS drawn, 1 AS copy, label, 1 AS n, {test_fold} AS fold
+    FROM variants CROSS JOIN specs WHERE test = 'original' AND gen = -1
+    UNION ALL
+    SELECT s, gen, src_id, {drawn}, copy, label, {train_w}, {FOLD.format("src_id")}
+    FROM (SELECT *, {copy} AS copy FROM weighted WHERE w > 0)
+    WHERE test = 'augmented' OR (test = 'generated' AND gen <> -1))
+  JOIN vlen USING (gen, src_id, drawn))""",
         """
 tcount AS MATERIALIZED (
   SELECT s, fold, term, coalesce(sum(w * tf) FILTER (label = 0), 0) AS f0,
          coalesce(sum(w * tf) FILTER (label = 1), 0) AS f1
-  FROM train JOIN vterm USING (gen, src_id) GROUP BY 1, 2, 3)""",
+  FROM train JOIN vterm USING (gen, src_id, drawn) GROUP BY 1, 2, 3)""",
         """
 tall AS MATERIALIZED (
   SELECT s, term, sum(f0) AS a0, sum(f1) AS a1 FROM tcount GROUP BY 1, 2)""",
@@ -627,8 +708,8 @@ classes AS (
   GROUP BY 1, 2)""",
         f"""
 margins AS (
-  SELECT s, gen, src_id, fold, label, len, n, {margin} AS m
-  FROM test JOIN vterm USING (gen, src_id)
+  SELECT s, gen, src_id, drawn, copy, fold, label, len, n, {margin} AS m
+  FROM test JOIN vterm USING (gen, src_id, drawn)
        LEFT JOIN tall USING (s, term) LEFT JOIN tcount USING (s, fold, term)
   GROUP BY ALL)""",
         f"""
@@ -675,6 +756,11 @@ ORACLES["suite_similar_fair_capped"] = suite_sql(similar_family(), "nb", base=CA
 ORACLES["suite_similar_fair_asis"] = suite_sql(similar_family(), "nb", sampled="TRUE")
 ORACLES["suite_imbalance_independent"] = suite_sql(imbalance_family(), "nb", independent=True)
 
+ORACLES["suite_blankout_redraw"] = suite_sql(REDRAWN_SUITE, "nb", redraw=True)
+ORACLES["suite_third_class"] = suite_sql(
+    [*imbalance_family(), THIRD_SET], "nb", base=THIRD_BASE, sampled="TRUE"
+)
+
 _PLAIN = [Spec("plain", None, base="full")]
 for _name, _classifier, _apart in (
     ("cv_nb", "nb", False), ("cv_nb_independent", "nb", True), ("cv_svm1", "svm1", False)

@@ -334,6 +334,11 @@ def undersample_repeated_ids(spark, d):
     return S.undersample(_by_document(spark, d), "id")
 
 
+@query("oversample_repeated_ids")
+def oversample_repeated_ids(spark, d):
+    return S.oversample(_by_document(spark, d), P.CAP_PLAIN, "id")
+
+
 @query("sample_fraction")
 def sample_fraction(spark, d):
     return S.bernoulli(corpus(spark, d), X.SAMPLE_SHARE, "id")
@@ -382,6 +387,41 @@ for _name, _specs in SETS.items():
     QUERIES[_name] = _set_query(_specs)
 
 
+# the same where very many rows share an id, and with it their place in the order
+TIED_SETS = {
+    "set_antonym_over_repeated_ids": [P.with_antonyms(case, False, "over") for case in (2, 3)],
+    "set_antonym_perturbed_repeated_ids": P.perturbed_family(),
+    "similar_fraction_repeated_ids": [P.with_similars("news", "all", False, None, X.FRACTION)],
+    "set_similar_under_repeated_ids": [P.with_similars("news", "all", True, "under", X.FRACTION)],
+}
+
+
+def _tied_set_query(specs: list[P.Spec]) -> Query:
+    def run(spark, d):
+        spark = tune(spark)
+        return training_set_rows(_by_document(spark, d), specs, lexicons(spark))
+
+    return run
+
+
+for _name, _specs in TIED_SETS.items():
+    QUERIES[_name] = _tied_set_query(_specs)
+
+# toxic documents as a third class, everything as it is
+THIRD_SET = P.with_similars("news", "all", True, "under")
+
+
+@query("prepare_third_class")
+def prepare_third_class(spark, d):
+    return S.prepare(corpus(spark, d, third=True), "asis")
+
+
+@query("set_third_class")
+def set_third_class(spark, d):
+    rows = corpus(spark, d, third=True)
+    return build_training_set(rows, THIRD_SET, lexicons(spark), in_sample=F.lit(True))
+
+
 REDRAWN = P.with_blankout(X.K, False, False, "over")
 
 
@@ -458,10 +498,9 @@ def _cv(classifier: str, folds: str = BY_SOURCE) -> Query:
 
     def run(spark, d):
         spark = tune(spark)
-        rows = suite_tables(corpus(spark, d), [spec], G.Lexicons(), folds=folds)
-        stats = spool(B.training_stats(rows.select("fold", "label", "text", "w")))
-        test = rows.select("src_id", F.col("test_fold").alias("fold"), "label", "text", "tw")
-        scored = B.score(stats, test, ["src_id"], 1, classifier)
+        train, test = suite_tables(corpus(spark, d), [spec], G.Lexicons(), folds=folds)
+        stats = spool(B.training_stats(train))
+        scored = B.margins(stats, test, ["src_id"], 1, classifier)
         cells = fold_cells(scored, [spec.scenario])
         return _round_metrics(
             cells.join(M.binary_metrics(cells).select("fold", *METRICS), "fold")
@@ -557,11 +596,13 @@ SUITES: dict[str, tuple[list[P.Spec], str]] = {
 }
 
 
-def _suite_query(specs, classifier, cap=None, whole=False, folds=BY_SOURCE) -> Query:
+def _suite_query(
+    specs, classifier, cap=None, whole=False, folds=BY_SOURCE, redraw=False, third=False
+) -> Query:
     def run(spark, d):
         spark = tune(spark)
-        rows = corpus(spark, d)
-        how = {"folds": folds, "in_sample": F.lit(True) if whole else None}
+        rows = corpus(spark, d, third=third)
+        how = {"folds": folds, "in_sample": F.lit(True) if whole else None, "redraw": redraw}
         if cap is not None:
             rows = S.capped_majority(rows, cap)
         return _round_metrics(run_suite(rows, specs, lexicons(spark), classifier, **how))
@@ -577,6 +618,13 @@ QUERIES["suite_similar_fair_asis"] = _suite_query(P.similar_family(), B.NAIVE_BA
 QUERIES["suite_imbalance_independent"] = _suite_query(
     P.imbalance_family(), B.NAIVE_BAYES, folds=INDEPENDENT
 )
+REDRAWN_SUITE = P.blankout_family((X.K,), (False,)) + P.on_own_folds(
+    [s for s in P.blankout_family((X.K,), (True,)) if s.rebalance == "over"]
+)
+QUERIES["suite_blankout_redraw"] = _suite_query(REDRAWN_SUITE, B.NAIVE_BAYES, redraw=True)
+QUERIES["suite_third_class"] = _suite_query(
+    P.imbalance_family() + [THIRD_SET], B.NAIVE_BAYES, whole=True, third=True
+)
 
 
 @query("augmented_export")

@@ -22,6 +22,7 @@ named columns are read, so clashing further columns do no harm.
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ from counterpoise.llm.common import small_batches
 from counterpoise.session import spool
 
 # Fixed value: a term is a run of ASCII letters and any non-ASCII characters.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+TERM = rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DOCUMENTS = 30
 TOP = 50
 ONE = 1_000_000_000  # probabilities are 1 + floor of so many parts
@@ -46,25 +47,25 @@ COUNTED_TERMS = 1 << 19  # terms of one task that are counted together
 BLOCK_SLOTS = 1 << 10
 TILE = 128  # sources of one tile
 
-_LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _FIND = re.compile(TERM).findall
 _U = np.uint64
 # Odd multipliers that spread bits.
 _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9)
 
 
-def terms(text: str) -> list[str]:
-    return _FIND(text.translate(_LOW))
+def terms(text: str) -> list[bytes]:
+    """Terms as UTF-8: bytes.lower() knows A-Z only, and no byte of another character is ASCII."""
+    return _FIND(text.encode("utf-8", "replace").lower())
 
 
 def language_seed(lang: str) -> int:
     return xxhash.xxh32_intdigest(lang.encode("utf-8", "replace"))
 
 
-def names(found: list[str], lang: str) -> np.ndarray:
+def names(found: list[bytes], lang: str) -> np.ndarray:
     """64-bit hashes of terms within a language."""
     seed, digest = language_seed(lang), xxhash.xxh64_intdigest
-    return np.fromiter((digest(t.encode("utf-8", "replace"), seed) for t in found), _U, len(found))
+    return np.fromiter((digest(t, seed) for t in found), _U, len(found))
 
 
 # ---------------------------------------------------------------- minimal perfect hashing
@@ -122,7 +123,7 @@ class PerfectHash:
 class Shard:
     """Some kept terms of one language: perfect hash, terms in slot order, number of the first."""
 
-    def __init__(self, lang: str, found: list[str], first: int = 0):
+    def __init__(self, lang: str, found: list[bytes], first: int = 0):
         self.lang, self.first = lang, first
         h = names(found, lang)
         self.hash = PerfectHash(h)
@@ -145,7 +146,7 @@ def document_counts(docs: DataFrame) -> DataFrame:
     """(lang, term, n): documents of each language that hold the term, for docs(lang, text)."""
 
     def count(batches):
-        seen: dict[str, dict[str, int]] = {}
+        seen: defaultdict[str, Counter] = defaultdict(Counter)
 
         def flush():
             for lang, counts in seen.items():
@@ -160,9 +161,7 @@ def document_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts = seen.setdefault(lang, {})
-                for t in set(terms(text)):
-                    counts[t] = counts.get(t, 0) + 1
+                seen[lang].update(set(terms(text)))
                 if sum(map(len, seen.values())) > COUNTED_TERMS:
                     yield from flush()
         yield from flush()
@@ -179,11 +178,11 @@ def built_shards(kept: DataFrame) -> DataFrame:
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         lang = rows["lang"].iloc[0]
-        one = Shard(lang, rows["term"].tolist())
-        held = sum(len(t.encode("utf-8", "replace")) for t in one.stored) + 64 * len(one.stored)
+        one = Shard(lang, [t.encode() for t in rows["term"]])
+        held = sum(map(len, one.stored)) + 64 * len(one.stored)
         return pd.DataFrame(
             [{"lang": lang, "shard": rows["shard"].iloc[0], "n": len(rows), "bytes": held,
-              "terms": one.stored.tolist()}]
+              "terms": [t.decode() for t in one.stored]}]
         )
 
     shape = "lang string, shard int, n long, bytes long, terms array<string>"
@@ -197,19 +196,16 @@ def recount(docs: DataFrame, shards: dict[str, list[Shard]]) -> DataFrame:
 
     def count(batches):
         held: dict[tuple[str, str], list[np.ndarray]] = {}
-        waiting: dict[tuple[str, str], list[str]] = {}
+        waiting: defaultdict[tuple[str, str], Counter] = defaultdict(Counter)
         used = words = 0
 
         def enter():
             nonlocal used
-            for group, found in waiting.items():
+            for group, tally in waiting.items():
                 own = sent.value.get(group[0], [])
                 if group not in held:
                     held[group] = [np.zeros(s.hash.n, np.int64) for s in own]
                     used += 8 * sum(s.hash.n for s in own)
-                tally: dict[str, int] = {}
-                for t in found:
-                    tally[t] = tally.get(t, 0) + 1
                 words = np.empty(len(tally), object)
                 words[:] = list(tally)
                 n = np.fromiter(tally.values(), np.int64, len(tally))
@@ -240,7 +236,7 @@ def recount(docs: DataFrame, shards: dict[str, list[Shard]]) -> DataFrame:
             for lang, source, text in zip(*columns):
                 if lang in sent.value:
                     found = terms(text)
-                    waiting.setdefault((lang, source), []).extend(found)
+                    waiting[lang, source].update(found)
                     words += len(found)
                 if words > COUNTED_TERMS:
                     enter()
@@ -268,7 +264,7 @@ def _rounds(built: DataFrame):
             group, held = {}, 0
         same = (F.col("lang") == r["lang"]) & (F.col("shard") == r["shard"])
         found = built.filter(same).select("terms").first()["terms"]
-        one = Shard(r["lang"], found, firsts.get(r["lang"], 0))
+        one = Shard(r["lang"], [t.encode() for t in found], firsts.get(r["lang"], 0))
         firsts[r["lang"]] = one.first + r["n"]
         group.setdefault(r["lang"], []).append(one)
         held += r["bytes"]

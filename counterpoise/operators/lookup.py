@@ -14,18 +14,35 @@ from pyspark.sql import functions as F
 from counterpoise.session import spool
 
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 256 << 20
 IN_ROW_BYTES = 16 << 20
 BUCKETS = 4096
 STEPS_PER_DOUBLING = 8
 
 
-def fits_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    return table.limit(max_rows + 1).count() <= max_rows
+def text_bytes(table: DataFrame) -> Column:
+    """Bytes of a row of ``table`` as text."""
+    width = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in table.columns]
+    return sum(width[1:], width[0])
+
+
+def fits_broadcast(
+    table: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> bool:
+    """Whether a table is small enough to be sent to every task, by rows and by bytes."""
+    first = table.limit(max_rows + 1)
+    size = first.agg(F.count("*").alias("rows"), F.sum(text_bytes(table)).alias("bytes")).first()
+    return size["rows"] <= max_rows and (size["bytes"] or 0) + 64 * size["rows"] <= max_bytes
 
 
 def frequent_keys(rows: DataFrame, key: str, max_rows: int) -> DataFrame:
     """The most frequent keys of ``rows``, at most ``max_rows`` of them."""
     counts = spool(rows.groupBy(key).agg(F.count("*").alias("_n")), "frequency")
+    return most_frequent(counts, key, max_rows)
+
+
+def most_frequent(counts: DataFrame, key: str, max_rows: int) -> DataFrame:
+    """The keys with the largest counts ``counts(key, _n)``, at most ``max_rows`` of them."""
     step = F.floor(F.log2("_n") * STEPS_PER_DOUBLING).cast("int").alias("_step")
     # a few hundred rows: one per step of the logarithmic scale
     steps = counts.groupBy(step).agg(F.count("*").alias("keys")).collect()
@@ -45,15 +62,18 @@ def lookup_join(
     how: str = "left",
     max_rows: int = BROADCAST_ROWS,
     table_rows: int | None = None,
+    head: DataFrame | None = None,
 ) -> DataFrame:
     """``rows`` left or inner joined with ``table`` (unique on ``key``).
 
-    ``table_rows``: number of rows of ``table``, if the caller has counted them already.
+    ``table_rows``: number of rows of ``table``, if the caller has counted them already, and their
+    bytes with it; ``head``: the frequent keys, at most ``max_rows``, if the caller knows them.
     """
     fits = fits_broadcast(table, max_rows) if table_rows is None else table_rows <= max_rows
     if fits:
         return rows.join(F.broadcast(table), key, how)
-    head = frequent_keys(rows, key, max_rows)
+    if head is None:
+        head = frequent_keys(rows, key, max_rows)
     head_table = table.join(F.broadcast(head), key, "left_semi")
     if how == "left":
         head_table = head.join(F.broadcast(head_table), key, "left")
@@ -68,8 +88,7 @@ def lookup_join(
 def fits_in_row(table: DataFrame, max_bytes: int | None = None) -> bool:
     """Whether the text of ``table`` is small enough to be held by every task."""
     limit = IN_ROW_BYTES if max_bytes is None else max_bytes
-    width = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in table.columns]
-    return (table.agg(F.sum(sum(width[1:], width[0]))).first()[0] or 0) <= limit
+    return (table.agg(F.sum(text_bytes(table))).first()[0] or 0) <= limit
 
 
 def _bucket(word: Column) -> Column:

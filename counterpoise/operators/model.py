@@ -20,11 +20,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import HashingTF
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from counterpoise.functions.text import tokens
-from counterpoise.operators.lookup import lookup_join
+from counterpoise.operators.lookup import lookup_join, most_frequent
 from counterpoise.session import spool
 
 # Buckets of the hashed feature space and the additive smoothing.
@@ -87,65 +87,49 @@ def class_totals(stats: DataFrame, n: int) -> DataFrame:
 
 
 def term_weights(stats: DataFrame, n: int, classifier: str) -> DataFrame:
-    """(term, base, by_fold): contribution of one occurrence of a term towards label 1.
+    """(term, by_fold): contribution of one occurrence of a term towards label 1.
 
-    Vectors over scenarios: from all folds, and leaving one fold out.  ``by_fold`` only lists
-    the folds the term occurs in; leaving out another one changes nothing.  Rows are moved
-    while they are narrow, once by term for both aggregations, and the list collected per term
-    has one entry per fold and class, however frequent the term is.
+    Vectors over scenarios, leaving one fold out each.  ``by_fold`` only lists the folds the term
+    occurs in; leaving out another one changes nothing, so fold -1 stands for all of these.  Rows
+    are moved once, by term, while they are narrow; a term has one row per fold, however frequent
+    it is.
     """
-    zeros = F.array_repeat(F.lit(0).cast("bigint"), n)
     w, c = F.col("w"), F.col("c")
+
+    def counted(label: int, s: int) -> Column:
+        return F.sum(F.when(F.col("label") == label, w[s] * c).otherwise(0)).alias(f"n{label}_{s}")
+
+    names = [f"n{label}_{s}" for label in (0, 1) for s in range(n)]
     per_fold = (
         stats.filter(F.col("term").isNotNull())
         .repartition("term")
-        .groupBy("term", "fold", "label")
-        .agg(*[F.sum(w[s] * c).alias(f"n{s}") for s in range(n)])
-        .select("term", "fold", "label", F.array(*[f"n{s}" for s in range(n)]).alias("n"))
+        .groupBy("term", "fold")
+        .agg(*[counted(label, s) for label in (0, 1) for s in range(n)])
     )
-    per_term = per_fold.groupBy("term").agg(
-        F.collect_list(F.struct("fold", "label", "n")).alias("e")
+    of_term = Window.partitionBy("term")
+    total = per_fold.select(
+        "term",
+        "fold",
+        *names,
+        *[F.sum(c).over(of_term).alias(f"t{c}") for c in names],
+        F.row_number().over(of_term.orderBy("fold")).alias("nth"),
     )
 
-    def total(label: int) -> Column:
-        return F.aggregate(
-            F.filter("e", lambda e: e["label"] == label),
-            zeros,
-            lambda acc, e: F.zip_with(acc, e["n"], lambda a, b: a + b),
-        )
-
-    def of_fold(label: int, fold: Column) -> Column:
-        hit = F.filter("e", lambda e: (e["label"] == label) & (e["fold"] == fold))
-        return F.coalesce(F.get(hit, F.lit(0))["n"], zeros)
-
     def weight(n0: Column, n1: Column) -> Column:
         if classifier == SVM_ONE_STEP:
-            return F.zip_with(n0, n1, lambda a, b: (b - a).cast("double"))
-        return F.zip_with(n0, n1, lambda a, b: F.log(b + SMOOTHING) - F.log(a + SMOOTHING))
+            return (n1 - n0).cast("double")
+        return F.log(n1 + SMOOTHING) - F.log(n0 + SMOOTHING)
 
-    def minus(total: str, own: Column) -> Column:
-        return F.zip_with(F.col(total), own, lambda a, b: a - b)
-
-    summed = per_term.select(
-        "term",
-        total(0).alias("n0"),
-        total(1).alias("n1"),
-        F.transform(
-            F.array_distinct(F.transform("e", lambda e: e["fold"])),
-            lambda f: F.struct(
-                f.alias("fold"), of_fold(0, f).alias("n0"), of_fold(1, f).alias("n1")
-            ),
-        ).alias("own"),
-    )
-    by_fold = F.map_from_entries(
-        F.transform(
-            "own",
-            lambda f: F.struct(f["fold"], weight(minus("n0", f["n0"]), minus("n1", f["n1"]))),
-        )
-    )
-    return summed.select(
-        "term", weight(F.col("n0"), F.col("n1")).alias("base"), by_fold.alias("by_fold")
-    )
+    every = F.array(*[weight(F.col(f"tn0_{s}"), F.col(f"tn1_{s}")) for s in range(n)])
+    left = F.array(*[
+        weight(F.col(f"tn0_{s}") - F.col(f"n0_{s}"), F.col(f"tn1_{s}") - F.col(f"n1_{s}"))
+        for s in range(n)
+    ])
+    own = F.struct("fold", left.alias("v"))
+    first = F.struct(F.lit(-1).alias("fold"), every.alias("v"))
+    entries = F.when(F.col("nth") == 1, F.array(first, own)).otherwise(F.array(own))
+    listed = total.select("term", F.explode(entries).alias("e"))
+    return listed.groupBy("term").agg(F.map_from_entries(F.collect_list("e")).alias("by_fold"))
 
 
 def class_constants(stats: DataFrame, n: int, folds: int, features: int) -> DataFrame:
@@ -198,6 +182,12 @@ def _model_size(stats: DataFrame, n: int) -> tuple[int, int]:
     return terms, max(1, budget // (64 + (1 + size["most"]) * vector))
 
 
+def _frequent_terms(stats: DataFrame, max_rows: int) -> DataFrame:
+    """(term) of the terms that are most frequent in training, at most ``max_rows``."""
+    seen = stats.filter(F.col("term").isNotNull()).groupBy("term").agg(F.sum("c").alias("_n"))
+    return most_frequent(spool(seen, "frequency"), "term", max_rows)
+
+
 def margins(
     stats: DataFrame,
     test: DataFrame,
@@ -230,9 +220,13 @@ def margins(
     row = [*carried, "_text", "_salt", "_same", "_len"]
     tok = once.withColumn("_len", F.size(words)).select(*row, F.explode(words).alias("term"))
     weights = term_weights(stats, n, classifier)
-    matched = lookup_join(tok, weights, "term", "left", max_rows, rows)
+    head = None if rows <= max_rows else _frequent_terms(stats, max_rows)
+    matched = lookup_join(tok, weights, "term", "left", max_rows, rows, head)
     none = F.array_repeat(F.lit(0.0), n)
-    v = F.coalesce(F.try_element_at("by_fold", F.col("fold")), F.col("base"), none)
+    by_fold = F.col("by_fold")
+    v = F.coalesce(
+        F.try_element_at(by_fold, F.col("fold")), F.try_element_at(by_fold, F.lit(-1)), none
+    )
     summed = (
         matched.select(*row, v.alias("v"))
         .groupBy(*row)

@@ -13,7 +13,7 @@ not ranked, and as many of them are kept as are wanted.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -187,6 +187,67 @@ def _rank(flagged: DataFrame, edges: Mapping[str, tuple[str, int, int]]) -> dict
     return {r["_g"]: (r["_key"], r["_wanted"], r["_n"]) for r in found}
 
 
+def locate(
+    rows: DataFrame,
+    by: Sequence[str],
+    key: str,
+    groups: Mapping[str, Callable],
+    take: Mapping[str, Callable[[dict[str, int]], int]],
+) -> tuple[dict[str, int], dict[str, tuple[str, int, int]]]:
+    """For many groups that are made of the few kinds of rows in the columns ``by``.
+
+    Returns the rows of every group, and for those in ``take`` the key of their n-th row, its
+    rank among the rows of that key, and how many these are.  ``groups`` maps a name to a
+    condition on a row of ``by``; keys are hex digests.  However many groups there are, a pass counts rows
+    by kind and prefix, two digits more each time, in the slices that hold an n-th row; it ends
+    where a slice is one key.
+    """
+    digits, slices, counts = 2, {}, {}
+    out: dict[str, tuple[str, int, int]] = {}
+    while True:
+        inner = rows
+        if slices:
+            some = sorted({prefix for prefix, _ in slices.values()})
+            inner = rows.filter(F.substring(key, 1, digits - 2).isin(some))
+        found = (
+            inner.groupBy(*by, F.substring(key, 1, digits).alias("_prefix"))
+            .agg(F.count("*").alias("_n"), F.min(key).alias("_low"), F.max(key).alias("_high"))
+            .collect()  # at most 256 rows per slice and kind
+        )
+        kinds: dict[tuple, dict] = {}
+        for r in found:
+            kind = kinds.setdefault(tuple(r[c] for c in by), {"row": r, "slices": {}})
+            kind["slices"].setdefault(r["_prefix"][:-2], []).append(r)
+        own = {g: [k for k in kinds.values() if f(k["row"])] for g, f in groups.items()}
+        if not slices:
+            for g, ks in own.items():
+                counts[g] = sum(r["_n"] for k in ks for rs in k["slices"].values() for r in rs)
+            for g, f in take.items():
+                n = f(counts)
+                if n <= 0:
+                    out[g] = (NOTHING, 0, 0)
+                elif n >= counts[g]:
+                    out[g] = (EVERYTHING, 0, 0)
+                else:
+                    slices[g] = ("", n)
+        for g, (prefix, rank) in list(slices.items()):
+            table: dict[str, list] = {}
+            for k in own[g]:
+                for r in k["slices"].get(prefix, []):
+                    n, low, high = table.get(r["_prefix"], (0, r["_low"], r["_high"]))
+                    table[r["_prefix"]] = (n + r["_n"], min(low, r["_low"]), max(high, r["_high"]))
+            longer, left, _ = _edge([(p, v[0]) for p, v in table.items()], rank)
+            n, low, high = table[longer]
+            if low == high:
+                out[g] = (low, left, n)
+                del slices[g]
+            else:
+                slices[g] = (longer, left)
+        if not slices:
+            return counts, out
+        digits += 2
+
+
 def _upto(df: DataFrame, key: Column, found: Limits, group: str, scope: Column | None = None):
     """The first rows of ``df`` up to a limit; rows outside of ``scope`` are kept."""
     rows = _with_keys(df, key, found)

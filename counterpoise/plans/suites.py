@@ -14,31 +14,30 @@ from counterpoise.plans.crossval import FOLDS, cross_validate
 from counterpoise.plans.specs import SIMILAR_LEXICONS, Spec
 from counterpoise.plans.training_sets import (
     ORIGINAL,
+    Cell,
     in_any_set,
     one_row_per_copy,
     row_variants,
     weighted_variants,
 )
 
-SCENARIOS_PER_PASS = 64
+SCENARIOS_PER_PASS = 48
 BY_SOURCE, INDEPENDENT = "by_source", "independent"
 
 
-def _test_weights(specs: Sequence[Spec], w: Column) -> Column:
-    """How often a row variant is tested, per scenario."""
-    original, made = F.col("gen") == ORIGINAL, F.col("gen") != ORIGINAL
-    out = []
-    for i, s in enumerate(specs):
-        if s.test == "original":
-            n = F.when(original, 1).otherwise(0)
-        elif s.test == "augmented":
-            n = w[i]
-        elif s.test == "generated":
-            n = F.when(made, w[i]).otherwise(0)
-        else:
+def _test_weights(specs: Sequence[Spec]):
+    """How often the rows of a cell with copies ``w`` are tested, per scenario."""
+    for s in specs:
+        if s.test not in ("original", "augmented", "generated"):
             raise ValueError(f"unknown test side {s.test!r}")
-        out.append(n.cast("short"))
-    return F.array(*out)
+
+    def tested(cell: Cell, w: list[int]) -> list[int]:
+        original = cell.gen == ORIGINAL
+        by_side = {"original": lambda n: int(original), "augmented": lambda n: n,
+                   "generated": lambda n: 0 if original else n}
+        return [by_side[s.test](n) for s, n in zip(specs, w)]
+
+    return tested
 
 
 def suite_tables(
@@ -62,15 +61,13 @@ def suite_tables(
     """
     if folds not in (BY_SOURCE, INDEPENDENT):
         raise ValueError(f"unknown fold rule {folds!r}")
-    rows = weighted_variants(corpus, specs, lex, in_sample, seed, redraw)
+    rows = weighted_variants(corpus, specs, lex, in_sample, seed, redraw, _test_weights(specs))
     if redraw:
-        rows = rows.withColumn("tw", _first_copy(specs, F.col("w")))
+        rows = rows.withColumn("tw", _of_one_copy(specs))
+    elif folds == INDEPENDENT:
+        rows = one_row_per_copy(rows, F.greatest(F.array_max("w"), F.array_max("tw")), "tw")
     else:
-        rows = rows.withColumn("tw", _test_weights(specs, F.col("w")))
-        if folds == INDEPENDENT:
-            rows = one_row_per_copy(rows, F.greatest(F.array_max("w"), F.array_max("tw")), "tw")
-        else:
-            rows = rows.withColumn("copy", F.lit(1))
+        rows = rows.withColumn("copy", F.lit(1))
     tested = rows
     if all(s.test == "original" for s in specs):
         originals = row_variants(corpus, [], Lexicons(), in_sample, seed)
@@ -89,14 +86,15 @@ def suite_tables(
     return train, test
 
 
-def _first_copy(specs: Sequence[Spec], w: Column) -> Column:
-    """Test weights where every row is one copy; of an original one copy is tested."""
-    tested = _test_weights(specs, w)
-    first = F.col("copy") == 1
-    return F.array(*[
-        F.when(first, tested[i]).otherwise(F.lit(0).cast("short")) if s.test == "original" else tested[i]
-        for i, s in enumerate(specs)
-    ])
+def _of_one_copy(specs: Sequence[Spec]) -> Column:
+    """Test weights where every row is one copy: it is tested as often as it is a training row, and
+    of an original one copy is tested."""
+    originals = F.array(*[F.lit(s.test == "original") for s in specs])
+    return F.transform(
+        F.arrays_zip("tw", "w", originals.alias("o")),
+        lambda x: F.when(x["o"], F.when(F.col("copy") == 1, x["tw"]).otherwise(0))
+        .when(x["tw"] > 0, x["w"]).otherwise(0).cast("short"),
+    )
 
 
 def run_suite(

@@ -4,34 +4,34 @@ All scenarios share one table of row variants (the originals and everything any
 made of them).  A scenario is a vector component: how many copies of the variant its training
 set holds.  So texts are generated, hashed and tokenised once, not once per scenario.
 
-Limits (where a set is cut or topped up) need the keys of the variants only; these are written
-once, without texts.  The texts are made again in the pass that uses them.
+A cell is the rows of one generator, sample flag and label.  Within a cell the vector changes only
+at limits, where some set is cut or topped up, so a small table of limits and vectors per cell
+(``set_plan``) says everything about any number of scenarios.  To find the limits, the keys of the
+variants are written once, without texts, and counted by cell and ever longer prefixes.  The
+texts are made again in the pass that uses them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import replace
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from counterpoise.functions.text import label_of, order_key
 from counterpoise.operators.generate import Gen, Lexicons, generate
-from counterpoise.operators.sampling import (
-    Limits,
-    copies,
-    find_limits,
-    in_minority_sample,
-    minority_copies_sql,
-    number_equal,
-)
+from counterpoise.operators.sampling import copies, in_minority_sample, locate, number_equal
 from counterpoise.plans.specs import Spec
 from counterpoise.session import spool
 
 ORIGINAL = -1
+CELL = ["gen", "in_sample", "label"]
 # Second key of a variant: its content.
 TIE = "md5(concat_ws('\u0001', cast(label as string), text))"
+NOTHING, EVERYTHING = "", "~"  # below and above all keys
+JUST_BELOW = "}"
+NTH_DIGITS = 16
 
 
 def _distinct_gens(specs: Sequence[Spec]) -> list[Gen]:
@@ -82,88 +82,177 @@ def row_variants(
     return variants.withColumn("key", order_key("order", "src_id", "method"))
 
 
-def _membership(s: Spec, gens: Sequence[Gen]) -> tuple[str, str]:
-    """(is an original of the set, is a generated row of the set) before any sampling, as SQL."""
-    base = "" if s.base == "full" else " AND in_sample"
-    original = f"(gen = {ORIGINAL}{base})"
-    if s.gen is None:
-        return original, "false"
-    scope = " AND label = 1" if s.gen.minority else ""
-    return original, f"(gen = {gens.index(_both(s.gen))}{base}{scope})"
+@dataclass(frozen=True)
+class Cell:
+    """Rows that all conditions of a scenario treat alike; ``part`` counts the fraction limits
+    below their keys."""
 
+    gen: int
+    in_sample: bool
+    label: int
+    part: int = 0
 
-def copy_counts(
-    keys: DataFrame, variants: DataFrame, specs: Sequence[Spec], gens: Sequence[Gen]
-) -> tuple[list[Column], str | None]:
-    """Per scenario, how often a variant occurs in its training set, as expressions over
-    ``variants`` with ``nth``; and the rows that ``nth`` must number, as SQL.
 
-    ``keys`` holds what limits need of the variants.  Conditions are put together as SQL text: with
-    dozens of scenarios that is much quicker than building thousands of Column objects.
+def _is_original(s: Spec, c: Cell) -> bool:
+    return c.gen == ORIGINAL and (s.base == "full" or c.in_sample)
+
+
+def _is_made(s: Spec, gens: Sequence[Gen], c: Cell) -> bool:
+    """A generated row of the scenario before any sampling."""
+    if s.gen is None or c.gen != gens.index(_both(s.gen)):
+        return False
+    return (s.base == "full" or c.in_sample) and (c.label == 1 or not s.gen.minority)
+
+
+class SetPlan:
+    """How often the rows of every cell occur in each scenario, by the limits of their keys.
+
+    A row's place is its key; where a limit falls among rows that share a key, it goes on with
+    their second key and with the number of equal rows.
     """
-    members = [_membership(s, gens) for s in specs]
-    numbered: list[str] = []
-
-    def limits(groups: dict[str, str], take: dict) -> Limits:
-        rows = number_equal(variants, " OR ".join(numbered) or None, "nth")
-        # conditions that name texts or numbers cannot be asked of the keys alone
-        source = rows if any("text" in c for c in groups.values()) else keys
-        conditions = {g: F.expr(c) for g, c in groups.items()}
-        found = find_limits(source, F.col("key"), conditions, take, F.expr(TIE), rows)
-        equal = found.equal_rows("key", TIE)
-        numbered.extend([equal] if equal else [])
-        return found
-
-    def within(found: Limits, group: str) -> str:
-        return found.within(group, "key", TIE, "nth")
-
-    # 1. a fraction of the generated rows
-    groups = {f"m{i}": members[i][1] for i, s in enumerate(specs) if s.gen and s.fraction < 1}
-    if groups:
-        take = {
-            g: (lambda c, g=g: int(c[g] * specs[int(g[1:])].fraction)) for g in groups
+
+    def __init__(self, specs: Sequence[Spec], gens: Sequence[Gen], variants: DataFrame, keys=None):
+        self.specs, self.gens = specs, gens
+        self.tied: set[str] = set()
+        self.equal: set[tuple[str, str]] = set()
+        self.fractions: dict[int, str] = {}  # scenario -> limit
+        self.parts: list[str] = []  # the different ones, ascending
+        self.limits: dict[str, str] = {}
+        self.counts: dict[str, int] = {}
+        self.variants = variants
+        if keys is None:
+            return
+        some = {
+            f"m{i}": (lambda c, s=s: _is_made(s, gens, c), lambda n, s=s, i=i: int(n[f"m{i}"] * s.fraction))
+            for i, s in enumerate(specs) if s.gen and s.fraction < 1
         }
-        found = limits(groups, take)
-        members = [
-            (o, f"({m} AND {within(found, f'm{i}')})" if f"m{i}" in groups else m)
-            for i, (o, m) in enumerate(members)
-        ]
-
-    # 2. rebalancing
-    groups, take = {}, {}
-    for i, s in enumerate(specs):
-        original, made = members[i]
+        if some:
+            self._find(keys, some)
+            self.fractions = {i: self.limits[f"m{i}"] for i in range(len(specs)) if f"m{i}" in some}
+            self.parts = sorted(set(self.fractions.values()))
+            if self.tied:
+                keys = self.placed(variants).select(*CELL, "key", "place")
+        groups: dict = {}
+        for i, s in enumerate(specs):
+            groups |= self._groups(i, s)
+        if groups:
+            self._find(keys, groups)
+
+    def _inside(self, i: int, c: Cell) -> tuple[bool, bool]:
+        """(is an original, is a generated row) of scenario i, after its fraction is taken."""
+        s = self.specs[i]
+        made = _is_made(s, self.gens, c)
+        if i in self.fractions:
+            made = made and c.part <= self.parts.index(self.fractions[i])
+        return _is_original(s, c), made
+
+    def _groups(self, i: int, s: Spec) -> dict:
+        """Groups with their condition on a cell and the number of rows to take, or None."""
+
+        def of(label: int, *which: int):
+            return lambda c: c.label == label and any(self._inside(i, c)[w] for w in which)
+
+        a, b = f"a{i}", f"b{i}"
         if s.perturb:
-            groups[f"o{i}"], groups[f"g{i}"] = f"{original} AND label = 0", f"{made} AND label = 0"
-            take[f"o{i}"] = take[f"g{i}"] = lambda c, i=i: c[f"o{i}"] // 2
-        elif s.rebalance:
-            both = f"({original} OR {made})"
-            groups[f"a{i}"], groups[f"b{i}"] = f"{both} AND label = 0", f"{both} AND label = 1"
-            if s.rebalance == "under":
-                take[f"a{i}"] = lambda c, i=i: c[f"b{i}"]
+            return {
+                f"o{i}": (of(0, 0), lambda n: n[f"o{i}"] // 2),
+                f"g{i}": (of(0, 1), lambda n: n[f"o{i}"] // 2),
+            }
+        if s.rebalance == "under":
+            return {a: (of(0, 0, 1), lambda n: n[b]), b: (of(1, 0, 1), None)}
+        if s.rebalance == "over":
+            return {a: (of(0, 0, 1), None), b: (of(1, 0, 1), lambda n: n[a] % n[b] if n[b] else 0)}
+        return {}
+
+    def _find(self, keys: DataFrame, groups: dict[str, tuple[Callable, Callable | None]]) -> None:
+        rows, by = keys, [*CELL]
+        if self.fractions:
+            place = F.col("place") if "place" in keys.columns else F.col("key")
+            below = F.filter(F.array(*[F.lit(p) for p in self.parts]), lambda e: e < place)
+            rows, by = keys.withColumn("part", F.size(below)), [*CELL, "part"]
+        cell = lambda r: Cell(r["gen"], r["in_sample"], r["label"], r["part"] if "part" in by else 0)
+        inside = {g: (lambda r, f=f: f(cell(r))) for g, (f, _) in groups.items()}
+        wanted = {g: n for g, (_, n) in groups.items() if n is not None}
+        counts, found = locate(rows, by, "key", inside, wanted)
+        self.counts |= counts
+        tied = {g: (k, rank) for g, (k, rank, n) in found.items() if rank < n}
+        self.limits |= {g: k + EVERYTHING if k not in (NOTHING, EVERYTHING) else k for g, (k, _, _) in found.items()}
+        if not tied:
+            return
+        # the same among the rows that share a key, which are read with their texts
+        self.tied |= {k for k, _ in tied.values()}
+        again = self.placed(self.variants).filter(F.col("key").isin(sorted(self.tied)))
+        if self.fractions:
+            below = F.filter(F.array(*[F.lit(p) for p in self.parts]), lambda e: e < F.col("place"))
+            again = again.withColumn("part", F.size(below))
+        again = again.withColumn("tie", F.expr(TIE))
+        same = {g: (lambda r, g=g, k=k: r["key"] == k and inside[g](r)) for g, (k, _) in tied.items()}
+        ranks = {g: (lambda n, rank=rank: rank) for g, (_, rank) in tied.items()}
+        # a tied group that is wanted whole below its key never comes here, so ranks are within it
+        _, second = locate(again, [*by, "key"], "tie", same, ranks)
+        for g, (tie, rank, n) in second.items():
+            key = tied[g][0]
+            if rank < n:
+                self.equal.add((key, tie))
+                self.limits[g] = f"{key}{tie}{rank:0{NTH_DIGITS}d}{EVERYTHING}"
             else:
-                take[f"b{i}"] = lambda c, i=i: c[f"a{i}"] % c[f"b{i}"] if c[f"b{i}"] else 0
-    found = limits(groups, take) if groups else None
-
-    counts = []
-    for i, s in enumerate(specs):
-        original, made = members[i]
-        inside, copies_of_minor = f"({original} OR {made})", "1"
-        if s.perturb:
-            first = f"CASE WHEN gen = {ORIGINAL} THEN {within(found, f'o{i}')} ELSE {within(found, f'g{i}')} END"
-            inside += f" AND (label = 1 OR {first})"
-        elif s.rebalance == "under":
-            inside += f" AND (label = 1 OR {within(found, f'a{i}')})"
-        elif s.rebalance == "over":
-            copies_of_minor = minority_copies_sql(
-                s.cap, found.counts[f"a{i}"], found.counts[f"b{i}"], within(found, f"b{i}")
-            )
-        counts.append(
-            F.expr(
-                f"CASE WHEN NOT ({inside}) THEN 0 WHEN label = 1 THEN {copies_of_minor} ELSE 1 END"
-            )
-        )
-    return counts, " OR ".join(numbered) or None
+                self.limits[g] = f"{key}{tie}{EVERYTHING}"
+
+    def copies_of(self, c: Cell, place: str) -> list[int]:
+        """Copies of a row of a cell at a place, per scenario."""
+        out = []
+        for i, s in enumerate(self.specs):
+            original, made = self._inside(i, c)
+            n = int(original or made)
+            if n and s.perturb and c.label == 0:
+                n = int(place < self.limits[f"o{i}" if original else f"g{i}"])
+            elif n and s.rebalance == "under" and c.label == 0:
+                n = int(place < self.limits[f"a{i}"])
+            elif n and s.rebalance == "over" and c.label == 1:
+                major, minor = self.counts[f"a{i}"], self.counts[f"b{i}"]
+                n = min(s.cap, major // minor + int(place < self.limits[f"b{i}"]))
+            out.append(n)
+        return out
+
+    def placed(self, variants: DataFrame) -> DataFrame:
+        """Adds ``place``: the key, continued where limits fall among rows of one key."""
+        if not self.tied:
+            return variants.withColumn("place", F.col("key"))
+        equal = [f"(key = '{k}' AND {TIE} = '{t}')" for k, t in sorted(self.equal)]
+        rows = number_equal(variants, " OR ".join(equal) or None, "nth")
+        nth = F.lpad(F.col("nth").cast("string"), NTH_DIGITS, "0")
+        full = F.concat("key", F.expr(TIE), nth)
+        place = F.when(F.col("key").isin(sorted(self.tied)), full).otherwise(F.col("key"))
+        return rows.withColumn("place", place).drop("nth")
+
+    def weighted(self, variants: DataFrame, tested: Callable | None = None) -> DataFrame:
+        """Adds ``w``: copies per scenario; with ``tested(cell, w)`` also ``tw``: how often tested."""
+        edges = sorted({e for e in self.limits.values() if e not in (NOTHING, EVERYTHING)})
+        edges = sorted({*edges, *(e for e in self.fractions.values() if e not in (NOTHING, EVERYTHING))})
+        rows = []
+        for gen in range(ORIGINAL, len(self.gens)):
+            for in_sample in (False, True):
+                for label in (0, 1):
+                    cuts, ws = [], []
+                    for place in [*edges, EVERYTHING]:
+                        at = place[:-1] + JUST_BELOW  # above all limits before this one
+                        part = sum(p < at for p in self.parts)
+                        w = self.copies_of(Cell(gen, in_sample, label, part), at)
+                        if ws and ws[-1] == w:
+                            cuts[-1] = place
+                        else:
+                            cuts.append(place)
+                            ws.append(w)
+                    cell = Cell(gen, in_sample, label)
+                    tws = [tested(cell, w) if tested else [] for w in ws]
+                    rows.append((gen, in_sample, label, cuts[:-1], ws, tws))
+        vector = "array<array<smallint>>"
+        shape = f"gen int, in_sample boolean, label int, cuts array<string>, ws {vector}, tws {vector}"
+        table = variants.sparkSession.createDataFrame(rows, shape)  # four rows per generator
+        joined = self.placed(variants).join(F.broadcast(table), CELL)
+        at = F.size(F.filter("cuts", lambda e: e < F.col("place")))
+        more = {"w": F.get("ws", at)} | ({"tw": F.get("tws", at)} if tested else {})
+        return joined.withColumns(more).drop("cuts", "ws", "tws", "place")
 
 
 def is_sampled(s: Spec) -> bool:
@@ -178,8 +267,10 @@ def weighted_variants(
     in_sample: Column | None = None,
     seed: str = "blank",
     redraw: bool = False,
+    tested: Callable | None = None,
 ) -> DataFrame:
-    """Row variants with ``w``: per scenario (in the order of ``specs``) the number of copies.
+    """Row variants with ``w``: per scenario (in the order of ``specs``) the number of copies, and
+    with ``tested`` also ``tw``, see ``SetPlan.weighted``.
 
     ``redraw``: a variant stands for one copy (column ``copy``), and the copies of a blankout row
     drop other words each.
@@ -190,13 +281,8 @@ def weighted_variants(
         most = {g: max(s.cap for s in specs if s.gen and _both(s.gen) == g) for g in gens}
         made = [replace(g, draws=most[g] - 1) if g.kind == "blankout" else g for g in gens]
     variants = row_variants(corpus, made, lex, in_sample, seed)
-    if any(is_sampled(s) for s in specs):
-        keys = spool(variants.select("gen", "in_sample", "label", "key"), "keys")
-        counts, equal = copy_counts(keys, variants, specs, gens)
-        variants = number_equal(variants, equal, "nth")
-    else:
-        counts, _ = copy_counts(variants, variants, specs, gens)
-    rows = variants.withColumn("w", F.array(*[c.cast("short") for c in counts])).drop("nth")
+    keys = spool(variants.select(*CELL, "key"), "keys") if any(map(is_sampled, specs)) else None
+    rows = SetPlan(specs, gens, variants, keys).weighted(variants, tested)
     if not redraw:
         return rows
     # the first copy stays even where no set holds the row: it may be tested

@@ -1,7 +1,7 @@
 """Bag-of-words classifiers as aggregations, for any number of training sets at once.
 
 Multinomial Naive Bayes and a linear SVM after one gradient step from zero both depend on
-per-class term counts only.  Term counts add up, so the model that leaves out fold f is
+per-class term counts only (further steps are in ``svm``).  Term counts add up, so the model that leaves out fold f is
 (all folds) - (fold f): one pass over the training tokens serves every fold, and, with one
 count per scenario in an array, every scenario.
 
@@ -10,9 +10,9 @@ Inputs
     test(key, fold, label, text, tw)   tw: test rows per scenario; key identifies the row
 Both classifiers are linear, so a test row needs one vector of sums over its tokens.  Test
 rows are partitioned by key while they are whole texts; with a broadcast model nothing else is
-moved.  Terms are used as they are,
-with the vocabulary size of the hashed feature space; ``term_counts`` and ``hashed_features``
-show the two forms side by side.
+moved.  Terms are used as they are, with the vocabulary size of the hashed feature space, or, with
+``hashed`` buckets, as the buckets of the ml library's hashing, so that terms collide as they do
+there.
 """
 
 from __future__ import annotations
@@ -53,22 +53,38 @@ def hashed_features(df: DataFrame, features: int = FEATURES) -> DataFrame:
     return hashing.transform(with_words).drop("_words")
 
 
+def exploded(df: DataFrame, *columns: str, hashed: int | None = None) -> DataFrame:
+    """(columns..., term, tf): the terms of every text, or its buckets with their counts."""
+    if hashed is None:
+        return df.select(*columns, F.explode(tokens("text")).alias("term"), F.lit(1).alias("tf"))
+    vector = F.unwrap_udt("features")
+    entries = F.arrays_zip(vector["indices"].alias("term"), vector["values"].cast("array<int>").alias("tf"))
+    made = hashed_features(df, hashed).select(*columns, F.explode(entries).alias("e"))
+    return made.select(*columns, "e.term", "e.tf")
+
+
 # ---------------------------------------------------------------- training
 
 
-def training_stats(train: DataFrame) -> DataFrame:
+def training_stats(train: DataFrame, hashed: int | None = None) -> DataFrame:
     """(term, fold, label, w, c): all a model needs, from one pass over the texts.
 
     Rows with the same copy vector ``w`` are counted together (``c``); there are only a few
     different vectors, so the table is little wider than plain term counts.  The NULL term
     counts the rows themselves.
     """
-    terms = F.array_append(tokens("text"), F.lit(None).cast("string"))
-    return (
-        train.select("fold", "label", "w", F.explode(terms).alias("term"))
-        .groupBy("term", "fold", "label", "w")
-        .agg(F.count("*").alias("c"))
-    )
+    by = ["fold", "label", "w"]
+    if hashed is None:
+        terms = F.array_append(tokens("text"), F.lit(None).cast("string"))
+        found = train.select(*by, F.explode(terms).alias("term"))
+        return found.groupBy("term", *by).agg(F.count("*").alias("c"))
+    # a bucket below zero stands for the row until the counts are made
+    vector = F.unwrap_udt("features")
+    entries = F.arrays_zip(vector["indices"].alias("term"), vector["values"].cast("array<int>").alias("tf"))
+    row = F.struct(F.lit(-1).alias("term"), F.lit(1).alias("tf"))
+    found = hashed_features(train, hashed).select(*by, F.explode(F.array_append(entries, row)).alias("e"))
+    counted = found.groupBy("e.term", *by).agg(F.sum("e.tf").alias("c"))
+    return counted.withColumn("term", F.when(F.col("term") >= 0, F.col("term")))
 
 
 def class_totals(stats: DataFrame, n: int) -> DataFrame:
@@ -196,6 +212,8 @@ def margins(
     classifier: str = NAIVE_BAYES,
     folds: int = 10,
     features: int = FEATURES,
+    hashed: int | None = None,
+    weights: DataFrame | None = None,
 ) -> DataFrame:
     """(key..., fold, label, tw, same, m, prediction): distinct test rows, vectors over scenarios.
 
@@ -204,7 +222,7 @@ def margins(
     that repeats very often is split by the partition it comes from, so it never meets whole.
 
     Each token adds its vector of weights to one row of sums; tokens are not multiplied by the
-    scenarios.
+    scenarios.  ``weights(term, by_fold)`` may come from elsewhere, as from ``svm``.
     """
     rows, max_rows = _model_size(stats, n)
     carried = [*key, "fold", "label", "tw"]
@@ -216,10 +234,10 @@ def margins(
         .groupBy(*carried, "_text", "_salt", "text")
         .agg(F.count("*").alias("_same"))
     )
-    words = tokens("text")
     row = [*carried, "_text", "_salt", "_same", "_len"]
-    tok = once.withColumn("_len", F.size(words)).select(*row, F.explode(words).alias("term"))
-    weights = term_weights(stats, n, classifier)
+    tok = exploded(once.withColumn("_len", F.size(tokens("text"))), *row, hashed=hashed)
+    if weights is None:
+        weights = term_weights(stats, n, classifier)
     head = None if rows <= max_rows else _frequent_terms(stats, max_rows)
     matched = lookup_join(tok, weights, "term", "left", max_rows, rows, head)
     none = F.array_repeat(F.lit(0.0), n)
@@ -228,13 +246,13 @@ def margins(
         F.try_element_at(by_fold, F.col("fold")), F.try_element_at(by_fold, F.lit(-1)), none
     )
     summed = (
-        matched.select(*row, v.alias("v"))
+        matched.select(*row, v.alias("v"), "tf")
         .groupBy(*row)
-        .agg(*[F.sum(F.col("v")[s]).alias(f"_m{s}") for s in range(n)])
+        .agg(*[F.sum(F.col("v")[s] * F.col("tf")).alias(f"_m{s}") for s in range(n)])
         .select(*row, F.array(*[f"_m{s}" for s in range(n)]).alias("m"))
     )
-    if classifier == SVM_ONE_STEP:
-        # integers divided by the number of rows: the sign needs no division
+    if classifier != NAIVE_BAYES:
+        # after one step: integers divided by the number of rows: the sign needs no division
         made = summed.withColumn("prediction", F.transform("m", lambda m: (m > 0).cast("int")))
         return made.select(*carried, F.col("_same").alias("same"), "m", "prediction")
     constants = class_constants(stats, n, folds, features)  # one row per fold
@@ -263,10 +281,11 @@ def score(
     classifier: str = NAIVE_BAYES,
     folds: int = 10,
     features: int = FEATURES,
+    hashed: int | None = None,
 ) -> DataFrame:
     """(key..., fold, label, s, tw, margin, prediction) of the rows tested in scenario ``s``:
     ``margins``, one row per test row and scenario."""
-    wide = margins(stats, test, key, n, classifier, folds, features)
+    wide = margins(stats, test, key, n, classifier, folds, features, hashed)
     nth = F.explode(F.sequence(F.lit(1).cast("long"), F.col("same"))).alias("_nth")
     each = wide.select(*key, "fold", "label", "tw", "m", "prediction", nth)
     values = F.posexplode(F.arrays_zip("tw", F.col("m").alias("margin"), "prediction")).alias("s", "x")
@@ -281,12 +300,14 @@ def fit_predict(
     key: str,
     classifier: str = NAIVE_BAYES,
     features: int = FEATURES,
+    hashed: int | None = None,
 ) -> DataFrame:
     """(key, label, margin, prediction): one training set, one test set."""
     once = F.array(F.lit(1).cast("short"))
-    stats = training_stats(train.select(F.lit(0).alias("fold"), "label", "text", once.alias("w")))
+    rows = train.select(F.lit(0).alias("fold"), "label", "text", once.alias("w"))
+    stats, features = training_stats(rows, hashed), hashed or features
     tested = test.select(key, F.lit(1).alias("fold"), "label", "text", once.alias("tw"))
-    scored = score(spool(stats, "stats"), tested, [key], 1, classifier, 2, features)
+    scored = score(spool(stats, "stats"), tested, [key], 1, classifier, 2, features, hashed)
     return scored.select(key, "label", "margin", "prediction")
 
 

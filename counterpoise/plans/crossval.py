@@ -15,6 +15,7 @@ from counterpoise.operators.model import (
     margins,
     training_stats,
 )
+from counterpoise.operators.svm import SVM, svm_weights
 from counterpoise.session import spool
 
 FOLDS = 10
@@ -70,15 +71,21 @@ def cross_validate(
     classifier: str = NAIVE_BAYES,
     folds: int = FOLDS,
     features: int = FEATURES,
+    hashed: int | None = None,
+    iterations: int = 1,
 ) -> DataFrame:
     """One row per scenario: training rows per class and the averaged metrics.
 
     ``train(fold, label, text, w)`` and ``test(key, fold, label, text, tw)``: rows of fold f
-    are scored by the model of all training rows outside fold f.
+    are scored by the model of all training rows outside fold f.  ``hashed``: buckets instead of
+    terms; ``iterations``: gradient steps of the ``svm`` classifier.
     """
     n = len(names)
-    stats = spool(training_stats(train), "stats")
-    scored = margins(stats, test, key, n, classifier, folds, features)
+    stats = spool(training_stats(train, hashed), "stats")
+    weights = svm_weights(train, n, folds, iterations, hashed=hashed) if classifier == SVM else None
+    scored = margins(
+        stats, test, key, n, classifier, folds, hashed or features, hashed, weights
+    )
     metrics = average_over_folds(fold_cells(scored, names))
 
     docs = class_totals(stats, n).select("label", F.posexplode("docs").alias("s", "docs"))

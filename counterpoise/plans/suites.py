@@ -107,6 +107,8 @@ def run_suite(
     seed: str = "blank",
     features: int = FEATURES,
     redraw: bool = False,
+    hashed: int | None = None,
+    iterations: int = 1,
 ) -> DataFrame:
     """One row per scenario: size of its training set per class and its averaged metrics."""
     result = None
@@ -115,7 +117,8 @@ def run_suite(
         train, test = suite_tables(corpus, part, lex, in_sample, folds, seed, redraw)
         names = [s.scenario for s in part]
         one = cross_validate(
-            train, test, ["src_id", "gen", "copy"], names, classifier, FOLDS, features
+            train, test, ["src_id", "gen", "copy"], names, classifier, FOLDS, features, hashed,
+            iterations,
         )
         result = one if result is None else result.unionByName(one)
     return result

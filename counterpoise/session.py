@@ -63,3 +63,21 @@ def spool(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
+    """``df`` written once to the shared scratch area in buckets of ``column``: joins and groups
+    by it do not move the rows any more.
+
+    The catalog holds the table only until it is known to the returned plan.
+    """
+    spark = df.sparkSession
+    name = f"counterpoise_{uuid.uuid4().hex}"
+    least = spark.sparkContext.defaultParallelism
+    n = min(100_000, max(least, df.rdd.getNumPartitions() if buckets is None else buckets))
+    path = f"{scratch_dir(spark)}/{name}"
+    df.write.format("parquet").bucketBy(n, column).option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # noqa: B018  resolves the plan
+    spark.sql(f"DROP TABLE {name}")
+    return table

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from counterpoise.operators import metrics as M
 from counterpoise.operators import model as B
 from counterpoise.operators.lookup import frequent_keys, lookup_join
+from counterpoise.operators.svm import svm_model, svm_weights
 from counterpoise.plans import specs as P
 from counterpoise.plans.suites import run_suite
 
@@ -63,6 +64,60 @@ def test_one_step_svm_equals_mllib(spark, labelled):
     assert got == {r["id"]: model.predict(vector(r["text"])) for r in rows}
 
 
+@pytest.mark.parametrize("iterations", [1, 5, 20])
+def test_svm_steps_equal_mllib(spark, labelled, iterations):
+    from pyspark.mllib.classification import SVMWithSGD
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.regression import LabeledPoint
+
+    rows = labelled.collect()
+    index = {w: i for i, w in enumerate(sorted({w for r in rows for w in r["text"].split()}))}
+
+    def vector(text):
+        v = [0.0] * len(index)
+        for w in text.split():
+            v[index[w]] += 1
+        return Vectors.dense(v)
+
+    def library(chosen):
+        points = [LabeledPoint(r["label"], vector(r["text"])) for r in chosen]
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            model = SVMWithSGD.train(spark.sparkContext.parallelize(points, 2), iterations)
+        return dict(zip(index, model.weights.tolist()))
+
+    want = library(rows)
+    got = {r["term"]: r["weight"] for r in svm_model(labelled, iterations).collect()}
+    assert {w: got.get(w, 0.0) for w in index} == pytest.approx(want, abs=1e-6)
+    # two folds and two scenarios at once, the second with every positive row twice
+    fold = F.col("id") % 2
+    twice = F.array(F.lit(1), F.col("label") + 1).cast("array<short>")
+    train = labelled.select(fold.cast("int").alias("fold"), "label", "text", twice.alias("w"))
+    found = {r["term"]: r["by_fold"] for r in svm_weights(train, 2, 2, iterations).collect()}
+    for f in (0, 1):
+        kept = [r for r in rows if r["id"] % 2 != f]
+        for s, chosen in enumerate((kept, kept + [r for r in kept if r["label"] == 1])):
+            want = library(chosen)
+            assert {w: found[w][f][s] for w in index} == pytest.approx(want, abs=1e-6)
+
+
+def test_hashed_folds_equal_ml(spark, labelled):
+    fold = F.col("id") % 3
+    once = F.array(F.lit(1).cast("short"))
+    rows = labelled.select("id", fold.cast("int").alias("fold"), "label", "text")
+    for buckets in (16, 1000):
+        stats = B.training_stats(rows.withColumn("w", once), hashed=buckets)
+        test = rows.withColumn("tw", once)
+        scored = B.score(stats, test, ["id"], 1, B.NAIVE_BAYES, 3, buckets, buckets).collect()
+        vectors = B.hashed_features(rows, buckets).withColumn("label", F.col("label").cast("double"))
+        want = {}
+        for f in range(3):
+            model = NaiveBayes(smoothing=1.0).fit(vectors.filter(F.col("fold") != f))
+            found = model.transform(vectors.filter(F.col("fold") == f))
+            want |= {r["id"]: int(r["prediction"]) for r in found.collect()}
+        assert {r["id"]: r["prediction"] for r in scored} == want
+
+
 def test_one_class_only(spark):
     train = spark.createDataFrame([(1, "a b"), (1, "c")], "label int, text string")
     test = spark.createDataFrame([(1, 0, "zz"), (2, 1, "a")], "id long, label int, text string")

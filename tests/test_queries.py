@@ -16,8 +16,12 @@ DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 
 
+# hashed as the ml library does, which SQL cannot; see test_model
+WITHOUT_SQL = {"cv_nb_hashed"}
+
+
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) - WITHOUT_SQL == set(ORACLES)
 
 
 @pytest.fixture(scope="module")
@@ -58,7 +62,7 @@ def normal(rows, columns):
     return sorted((tuple(cell(r[i]) for i in order) for r in rows), key=repr)
 
 
-SAMPLE = [q for q in QUERIES if q not in SUITES] + ["suite_imbalance"]
+SAMPLE = [q for q in QUERIES if q not in SUITES and q not in WITHOUT_SQL] + ["suite_imbalance"]
 
 
 @pytest.mark.parametrize("name", SAMPLE)

@@ -28,6 +28,8 @@ SAMPLE_N = 1234
 SAMPLE_SHARE = 0.35
 FRACTION = 0.5
 HOLDOUT_FOLD = 0
+SVM_STEPS = 3
+BUCKETS = 1000
 
 # Bound of the majority class in the capped profile; low enough to bite from 10,000 sentences on.
 CAP = 5_000

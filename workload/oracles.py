@@ -527,6 +527,39 @@ SELECT id, any_value(label) AS label,
 FROM ltok JOIN (SELECT term, sum(CASE WHEN label = 1 THEN 1 ELSE -1 END) AS s
                 FROM ltok GROUP BY term) USING (term)
 GROUP BY id"""
+
+
+def svm_steps(left_out: str = "") -> list[str]:
+    """w1, w2, w3: weights after one to three steps; of every fold that is left out, if asked."""
+    f, by = (("f.fold AS f, ", "f, ") if left_out else ("", ""))
+    folds = " CROSS JOIN (SELECT CAST(range AS INTEGER) AS fold FROM range(10)) f" if left_out else ""
+    where = f"WHERE {left_out}" if left_out else ""
+    on = "USING (f, term)" if left_out else "USING (term)"
+    n = "USING (f)" if left_out else "ON TRUE"
+    out = [
+        "bag AS MATERIALIZED (SELECT id, CASE WHEN label = 1 THEN 1 ELSE -1 END AS y, fold, term, "
+        "count(*) AS tf FROM ltok GROUP BY ALL)",
+        f"sized AS MATERIALIZED (SELECT {f}count(DISTINCT id) AS n FROM bag{folds} {where} GROUP BY ALL)",
+        f"""
+w1 AS MATERIALIZED (
+  SELECT {by}term, g * 1.0::DOUBLE / n AS w
+  FROM (SELECT {f}term, sum(y * tf) AS g FROM bag{folds} {where} GROUP BY ALL) JOIN sized {n})""",
+    ]
+    for t in (2, 3):
+        out.append(f"""
+g{t} AS MATERIALIZED (
+  SELECT {by}term, sum(y * tf) AS g
+  FROM bag JOIN (SELECT {by}id FROM bag JOIN w{t - 1} USING (term) GROUP BY {by}id
+                 HAVING any_value(y) * sum(tf * w) < 1) USING (id)
+  {where.replace("f.fold", "f")} GROUP BY ALL)""")
+        out.append(f"""
+w{t} AS MATERIALIZED (
+  SELECT {by}term, w * (1 - 0.01::DOUBLE / sqrt({t})) + coalesce(g, 0) / sqrt({t}) / n AS w
+  FROM w{t - 1} LEFT JOIN g{t} {on} JOIN sized {n})""")
+    return out
+
+
+ORACLES["svm3_model"] = with_(CORPUS, TOK, LTOK, *svm_steps()) + "SELECT term, round(w, 9) AS weight FROM w3"
 _MADE = f"""
 made AS (SELECT src_id, {LABEL} AS label, text FROM ({gen_sql(antonym(2))})),
 mtok AS (SELECT src_id, label, unnest(string_split(text, ' ')) AS term FROM made),
@@ -771,6 +804,19 @@ for _name, _classifier, _apart in (
         + " FROM per_fold"
     )
 
+ORACLES["cv_svm3"] = with_(CORPUS, TOK, LTOK, *svm_steps("bag.fold <> f.fold"), f"""
+scored AS (
+  SELECT id, fold, any_value(label) AS label, coalesce(sum(w), 0) > 0 AS p
+  FROM ltok LEFT JOIN w3 ON w3.term = ltok.term AND w3.f = ltok.fold GROUP BY id, fold)""", f"""
+cells AS (
+  SELECT fold, {ZERO} FROM (
+    SELECT fold, {CELLS} FROM (SELECT fold, label, CAST(p AS INTEGER) AS prediction, 1 AS n FROM scored)
+    GROUP BY fold))""", f"per_fold AS (SELECT *, {METRICS} FROM cells)") + (
+    "SELECT fold, tp, fp, fn, tn, "
+    + ", ".join(f"round({m}, 6) AS {m}" for m in AVERAGED)
+    + " FROM per_fold"
+)
+
 # ---------------------------------------------------------------- export
 
 _EXPORT = {

@@ -13,8 +13,9 @@ from counterpoise.operators import generate as G
 from counterpoise.operators import metrics as M
 from counterpoise.operators import model as B
 from counterpoise.operators import sampling as S
+from counterpoise.operators.svm import SVM, svm_model, svm_weights
 from counterpoise.plans import specs as P
-from counterpoise.plans.crossval import fold_cells
+from counterpoise.plans.crossval import FOLDS, fold_cells
 from counterpoise.plans.suites import (
     BY_SOURCE,
     INDEPENDENT,
@@ -478,6 +479,12 @@ def svm1_predict(spark, d):
     return B.fit_predict(rows, rows, "id", B.SVM_ONE_STEP).select("id", "label", "prediction")
 
 
+@query("svm3_model")
+def svm3_model(spark, d):
+    weights = svm_model(_labelled(spark, d), X.SVM_STEPS)
+    return weights.select("term", F.round("weight", 9).alias("weight"))
+
+
 def _generated(spark, d) -> DataFrame:
     made = G.generate(corpus(spark, d), [G.antonym(2)], lexicons(spark))
     return made.select("src_id", label_of("sentiment").alias("label"), "text")
@@ -493,14 +500,17 @@ def denoise_with_original(spark, d):
     return _rounded(B.denoise(_generated(spark, d), _labelled(spark, d)))
 
 
-def _cv(classifier: str, folds: str = BY_SOURCE) -> Query:
+def _cv(classifier: str, folds: str = BY_SOURCE, hashed: int | None = None) -> Query:
     spec = replace(P.plain(), base="full")
 
     def run(spark, d):
         spark = tune(spark)
         train, test = suite_tables(corpus(spark, d), [spec], G.Lexicons(), folds=folds)
-        stats = spool(B.training_stats(train))
-        scored = B.margins(stats, test, ["src_id"], 1, classifier)
+        stats = spool(B.training_stats(train, hashed))
+        weights = svm_weights(train, 1, FOLDS, X.SVM_STEPS) if classifier == SVM else None
+        scored = B.margins(
+            stats, test, ["src_id"], 1, classifier, FOLDS, hashed or B.FEATURES, hashed, weights
+        )
         cells = fold_cells(scored, [spec.scenario])
         return _round_metrics(
             cells.join(M.binary_metrics(cells).select("fold", *METRICS), "fold")
@@ -519,6 +529,9 @@ def _round_metrics(df: DataFrame, *names: str) -> DataFrame:
 QUERIES["cv_nb"] = _cv(B.NAIVE_BAYES)
 QUERIES["cv_nb_independent"] = _cv(B.NAIVE_BAYES, INDEPENDENT)
 QUERIES["cv_svm1"] = _cv(B.SVM_ONE_STEP)
+QUERIES["cv_svm3"] = _cv(SVM)
+# few buckets, so that terms collide
+QUERIES["cv_nb_hashed"] = _cv(B.NAIVE_BAYES, hashed=X.BUCKETS)
 
 
 # ---------------------------------------------------------------- metrics

@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from counterpoise.functions.text import (
@@ -389,12 +389,18 @@ def generate(
     gens: Sequence[Gen],
     lex: Lexicons = Lexicons(),
     seed: str = "blank",
+    observation: Observation | None = None,
+    keep_empty: bool = False,
 ) -> DataFrame:
     """Pseudo-instances of ``corpus(id, sentiment, text, ...)``.
 
     Result: src_id, gen (index into ``gens``), method, sentiment, text, n_changed, and any
     further columns of the corpus; ``drawn`` if a generator asks for further draws.  A generator
     yields at most one row per source row.
+
+    Rewritten texts that are empty are left out.  ``observation`` gets their number per generator
+    (``dropped_empty_<gen>``), counted in the same pass; with ``keep_empty`` they come along, with
+    true in the column ``dropped``.
     """
     wanted = F.lit(False)
     for g in gens:
@@ -425,21 +431,26 @@ def generate(
     made = rows.select(
         F.col("id").alias("src_id"), *others, F.explode(F.array(*results)).alias("r")
     )
-    return made.select("src_id", *others, "r.*").filter(F.col("text") != "")
+    made = made.select("src_id", *others, "r.*").filter(F.col("text").isNotNull())
+    if observation is not None:
+        empty = F.col("text") == ""
+        counts = [
+            F.count_if(empty & (F.col("gen") == i)).alias(f"dropped_empty_{i}") for i in range(len(gens))
+        ]
+        made = made.observe(observation, *counts)
+    if keep_empty:
+        return made.withColumn("dropped", F.col("text") == "")
+    return made.filter(F.col("text") != "")
 
 
 def count_dropped_empty(
     corpus: DataFrame, gens: Sequence[Gen], lex: Lexicons = Lexicons()
 ) -> DataFrame:
-    """Per antonym generator, how many rewritten texts were empty and therefore left out."""
-    rows = with_tokens(corpus, gens, lex)
-    counts = []
-    for i, g in enumerate(gens):
-        text, _ = _antonym_text(g)
-        empty = _source_filter(g) & (text == "")
-        counts.append(F.struct(F.lit(i).alias("gen"), empty.alias("empty")))
-    one = rows.select(F.explode(F.array(*counts)).alias("r")).select("r.*")
-    return one.groupBy("gen").agg(F.count_if("empty").alias("dropped_empty"))
+    """(gen, dropped_empty): per generator, how many rewritten texts were empty."""
+    made = generate(corpus, gens, lex, keep_empty=True)
+    counted = made.groupBy("gen").agg(F.count_if("dropped").alias("dropped_empty"))
+    every = corpus.sparkSession.range(len(gens)).select(F.col("id").cast("int").alias("gen"))
+    return every.join(counted, "gen", "left").fillna(0, ["dropped_empty"])
 
 
 def antonym_prefilter(corpus: DataFrame, antonyms: DataFrame) -> DataFrame:
@@ -457,13 +468,11 @@ def antonym_prefilter(corpus: DataFrame, antonyms: DataFrame) -> DataFrame:
 
 def lexicon_coverage(corpus: DataFrame, antonyms: DataFrame) -> DataFrame:
     """How many negations and lexicon words each row has, as counts of rows per combination."""
-    toks = corpus.select("id", F.explode(tokens("text")).alias("w")).withColumn("lw", F.lower("w"))
-    hits = lookup_join(toks, antonyms.select(F.col("word").alias("lw"), "repl"), "lw")
-    per_row = hits.groupBy("id").agg(
-        F.count_if(is_negated(F.col("w"))).alias("n_negations"),
-        F.count("repl").alias("n_antonyms"),
-    )
-    return per_row.groupBy("n_negations", "n_antonyms").agg(F.count("*").alias("n_rows"))
+    rows = with_tokens(corpus, [antonym(0)], Lexicons(antonyms=antonyms))
+    return rows.groupBy(
+        F.col("n_negated").cast("long").alias("n_negations"),
+        F.col("n_swap_low").cast("long").alias("n_antonyms"),
+    ).agg(F.count("*").alias("n_rows"))
 
 
 def lexicon_hits(corpus: DataFrame, lexicon: DataFrame) -> DataFrame:

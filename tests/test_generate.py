@@ -186,3 +186,19 @@ def test_large_lexicons_are_joined_with_the_same_result(spark, lex, monkeypatch)
     small = sorted(map(tuple, generate(repeated(spark), gens, lex).collect()))
     monkeypatch.setattr("counterpoise.operators.lookup.IN_ROW_BYTES", 0)
     assert sorted(map(tuple, generate(repeated(spark), gens, lex).collect())) == small
+
+
+def test_empty_rewrites_are_counted_in_the_same_pass(spark, lex):
+    from pyspark.sql import Observation
+
+    rows = [(1, "positive", "NOT"), (2, "positive", "good day"), (3, "negative", "not"), (4, "negative", "x")]
+    corpus = spark.createDataFrame(rows, "id long, sentiment string, text string")
+    gens = [antonym(2), antonym(3)]
+    seen = Observation()
+    made = generate(corpus, gens, lex, observation=seen).collect()
+    assert {r["src_id"] for r in made} == {2}
+    assert seen.get == {"dropped_empty_0": 2, "dropped_empty_1": 1}
+    two_passes = {r["gen"]: r["dropped_empty"] for r in count_dropped_empty(corpus, gens, lex).collect()}
+    assert two_passes == {0: 2, 1: 1}
+    tagged = generate(corpus, gens, lex, keep_empty=True).collect()
+    assert sorted((r["gen"], r["src_id"]) for r in tagged if r["dropped"]) == [(0, 1), (0, 3), (1, 1)]

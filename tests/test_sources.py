@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from counterpoise.operators.generate import generate, antonym
 from counterpoise.plans.suites import augmented_sets
 from counterpoise.sources.lexicons import (
@@ -91,3 +93,57 @@ def test_sentiment_vocabulary(spark):
 def test_generators_read_parsed_lines(spark, lex):
     rows = parse_lines(lines(spark, "1,positive,so good  x "))
     assert generate(rows, [antonym(4)], lex).first()["text"] == "so bad  x"
+
+
+def test_malformed_lines_are_counted_in_one_pass(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    from counterpoise.sources.lines import tagged_lines
+
+    path = str(tmp_path / "lines")
+    rows = ["1,positive,a", "x", "2,negative", "3,negative,b,c", "", ",,", "4,positive,"]
+    spark.createDataFrame([(r,) for r in rows], "value string").write.text(path)
+    raw = spark.read.text(path)
+    seen = Observation()
+    parsed = parse_lines(raw, observation=seen)
+    assert str(parsed._jdf.queryExecution().optimizedPlan()).count("Relation") == 1
+    good = sorted(r["text"] for r in parsed.collect())
+    two_passes = malformed_lines(raw).count()
+    assert seen.get == {"lines": 7, "malformed": two_passes} and two_passes == 7 - len(good)
+    tagged = tagged_lines(raw).collect()
+    assert len(tagged) == 7
+    assert sorted(r["text"] for r in tagged if r["_corrupt_record"] is None) == good
+    assert good == sorted(r["text"] for r in parse_lines(raw).collect())
+
+
+def test_interrupted_writes_leave_the_former_data(spark, tmp_path):
+    from counterpoise.sources.lines import read_augmented
+
+    path = str(tmp_path / "out")
+
+    def sets(version, fail=""):
+        rows = [(d, i, "original", "positive", f"{version} {d} {i}") for d in "abc" for i in range(5)]
+        df = spark.createDataFrame(
+            rows, "dataset string, src_id long, method string, sentiment string, text string")
+        stop = F.raise_error(F.lit("lost")).cast("string")
+        return df.withColumn("text", F.when(F.col("dataset") == fail, stop).otherwise(F.col("text")))
+
+    def texts(*names):
+        return sorted({r["text"].split(" ")[0] + r["dataset"] for r in read_augmented(spark, path, *names).collect()})
+
+    with pytest.raises(ValueError):
+        read_augmented(spark, path)
+    first = write_augmented(sets("v1"), path)
+    with pytest.raises(Exception, match="lost"):
+        write_augmented(sets("v2", fail="b"), path, run="second")
+    assert texts() == ["v1a", "v1b", "v1c"]
+    # the unfinished run again, for two of the sets
+    assert write_augmented(sets("v2"), path, datasets=["b", "c"], run="second") == "second"
+    assert texts() == ["v1a", "v2b", "v2c"] and texts("b") == ["v2b"]
+    assert read_augmented(spark, path).count() == 15
+    with pytest.raises(ValueError):
+        write_augmented(sets("v3"), path, run=first)
+    with pytest.raises(ValueError):
+        read_augmented(spark, path, "nowhere")
+    plan = read_augmented(spark, path, "b")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "dataset" in plan.split("PartitionFilters: [")[1].split("]")[0]

@@ -242,6 +242,15 @@ LARGE_BASE = (
 for _path in ("large", "joined"):
     ORACLES[f"antonym_all_both_{_path}_lexicon"] = with_(*LARGE_BASE) + gen_sql(antonym(2))
     ORACLES[f"similar_all_both_{_path}_lexicon"] = with_(*LARGE_BASE) + gen_sql(similar("news"))
+_BARE = (
+    CORPUS.replace("corpus AS", "whole AS", 1),
+    "corpus AS (SELECT id, sentiment, CASE WHEN id % 3 = 0 THEN 'NOT' ELSE text END AS text FROM whole)",
+    TOK, WORDS,
+)
+ORACLES["antonym_with_dropped"] = with_(*_BARE) + (
+    "SELECT *, text = '' AS dropped FROM ("
+    + antonym_sql(antonym(2)).replace("WHERE text <> ''", "WHERE text IS NOT NULL") + ")"
+)
 ORACLES["blankout_sweep"] = with_(*GEN_BASE) + "\nUNION ALL\n".join(
     f"SELECT *, {k} AS k FROM ({gen_sql(blankout(k))})" for k in range(2, 6)
 )
@@ -283,6 +292,11 @@ ORACLES["blankout_five_col"] = five_sql(blankout(1, protect=False))
 C = with_(CORPUS)
 CT = with_(CORPUS, TOK)
 ORACLES["corpus_scan"] = C + "SELECT id, sentiment, split_part(text, ',', 1) AS text FROM corpus"
+ORACLES["corpus_scan_tagged"] = C + """
+SELECT CASE WHEN id % 7 <> 0 THEN id END AS id, CASE WHEN id % 7 <> 0 THEN sentiment END AS sentiment,
+       CASE WHEN id % 7 <> 0 THEN text END AS text,
+       CASE WHEN id % 7 = 0 THEN id || ',' || sentiment END AS _corrupt_record
+FROM corpus"""
 for _name in ("antonyms", "derived"):
     ORACLES["lexicon_antonym" if _name == "antonyms" else "lexicon_similar"] = (
         with_(CORPUS, TOK, DERIVED) + f"SELECT {q(_name)} AS name, word, repl FROM derived"
@@ -830,3 +844,6 @@ UNION ALL
 SELECT {q(name)}, src_id, method, sentiment, text FROM ({gen_sql(g)})"""
     for name, g in _EXPORT.items()
 )
+ORACLES["augmented_read_back"] = (
+    f"SELECT * FROM ({ORACLES['augmented_export']}) WHERE dataset IN ('antonym', 'similar_news')"
+)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -24,9 +25,15 @@ from counterpoise.plans.suites import (
     suite_tables,
 )
 from counterpoise.plans.training_sets import build_training_set, training_set_rows
-from counterpoise.session import spool, tune
+from counterpoise.session import scratch_dir, spool, tune
 from counterpoise.sources.lexicons import antonym_lexicon, sentiment_vocabulary, similar_lexicon
-from counterpoise.sources.lines import parse_lines, to_lines
+from counterpoise.sources.lines import (
+    parse_lines,
+    read_augmented,
+    tagged_lines,
+    to_lines,
+    write_augmented,
+)
 from workload import fixtures as X
 from workload.corpus import IDS_PER_DOCUMENT, labelled_sentences
 
@@ -64,6 +71,16 @@ def corpus_scan(spark, d):
     return parse_lines(to_lines(corpus(spark, d), "id", "sentiment", "text"))
 
 
+@query("corpus_scan_tagged")
+def corpus_scan_tagged(spark, d):
+    """Good and malformed lines of one pass: every seventh line lacks its text."""
+    rows = corpus(spark, d)
+    whole = F.concat_ws(",", F.col("id").cast("string"), "sentiment", "text")
+    cut = F.concat_ws(",", F.col("id").cast("string"), "sentiment")
+    line = F.when(F.col("id") % 7 == 0, cut).otherwise(whole)
+    return tagged_lines(rows.select(line.alias("value")))
+
+
 def _neighbours(spark, d) -> DataFrame:
     """(word, next, line_no) for every two neighbouring words of all sentences."""
     words = tokens("text")
@@ -244,6 +261,19 @@ def blankout_senti_vocab(spark, d):
     return G.generate(corpus(spark, d), [G.blankout(X.K, senti=True)], lex).drop("gen")
 
 
+def _bare(spark, d) -> DataFrame:
+    """Every third sentence is nothing but a negation, so that its rewrite is empty."""
+    text = F.when(F.col("id") % 3 == 0, "NOT").otherwise(F.col("text"))
+    return corpus(spark, d).withColumn("text", text)
+
+
+@query("antonym_with_dropped")
+def antonym_with_dropped(spark, d):
+    """Rewrites and those left out as empty, from one pass."""
+    made = G.generate(_bare(spark, d), [G.antonym(2)], lexicons(spark), keep_empty=True)
+    return made.drop("gen")
+
+
 @query("blankout_sweep")
 def blankout_sweep(spark, d):
     """k = 2..5 in one pass."""
@@ -643,3 +673,11 @@ QUERIES["suite_third_class"] = _suite_query(
 @query("augmented_export")
 def augmented_export(spark, d):
     return augmented_sets(corpus(spark, d), lexicons(spark))
+
+
+@query("augmented_read_back")
+def augmented_read_back(spark, d):
+    """Two of the exported sets, written with all others and read back alone."""
+    path = f"{scratch_dir(spark)}/export-{uuid.uuid4().hex}"
+    write_augmented(augmented_sets(corpus(spark, d), lexicons(spark)), path)
+    return read_augmented(spark, path, "antonym", "similar_news")

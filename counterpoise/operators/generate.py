@@ -6,8 +6,9 @@ A generator is described by a ``Gen``.  ``generate`` runs any number of them ove
 2. each token is looked up where it stands, so a row never leaves its place and needs no id;
 3. each ``Gen`` becomes one array expression over the tokens.
 
-Lexicons above a checked number of bytes are joined instead: identical rows are counted once,
-exploded to tokens, joined, collected by all their columns, and repeated.
+Lexicons above a checked number of bytes are joined instead.  A bit map of their words tells, inside
+the row, which tokens may be found; rows without one stay where they are, and of the others only
+those tokens are joined.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from counterpoise.functions.text import (
+    content_key,
     flipped,
     is_negated,
     is_protected,
@@ -27,7 +29,14 @@ from counterpoise.functions.text import (
     stripped,
     tokens,
 )
-from counterpoise.operators.lookup import fits_in_row, look_up, lookup_join, lookup_value
+from counterpoise.operators.lookup import (
+    bitmap_value,
+    fits_in_row,
+    look_up,
+    lookup_join,
+    lookup_value,
+    may_hold,
+)
 from counterpoise.session import spool
 
 TWO_STAGE, SINGLE_PASS, ONE_WORD = "two_stage", "single_pass", "one_word"
@@ -226,8 +235,11 @@ def with_tokens(df: DataFrame, gens: Sequence[Gen], lex: Lexicons) -> DataFrame:
         word = w if key == "w" else F.lower(w)
         return look_up(F.col(f"_{key}_table"), word)[name]
 
-    rows = df.withColumn("toks", _in_row_tokens(names, find))
-    rows = rows.drop(*[f"_{key}_table" for key in tables])
+    return _counted(df, names, find, [f"_{key}_table" for key in tables])
+
+
+def _counted(df: DataFrame, names: Sequence[str], find, helpers: Sequence[str]) -> DataFrame:
+    rows = df.withColumn("toks", _in_row_tokens(names, find)).drop(*helpers)
     hits = {n: _with_atom(n) for n in names}
     return rows.withColumns(
         {f"n_{n}": F.size(h) for n, h in hits.items()}
@@ -248,22 +260,44 @@ def _in_row_tokens(names: Sequence[str], find) -> Column:
 
 
 def _joined_tokens(df: DataFrame, names: Sequence[str], tables: dict) -> DataFrame:
-    """The same by joins; a row is known by all its columns, identical rows share the work."""
+    """The same by joins, for tables that are too large for the row."""
     columns = df.columns
-    once = df.groupBy(*columns).agg(F.count("*").alias("_same"))
-    tok = once.select("*", F.posexplode(tokens("text")).alias("pos", "w"))
-    tok = tok.withColumn("lw", F.lower("w"))
+    # rows that are equal share a key and the words found for it
+    parts = [df.withColumn("_row", content_key(*columns))]
     for key, t in tables.items():
-        tok = lookup_join(tok, t, key)
-    w = F.col("w")
-    tok = tok.select(*columns, "_same", "pos", "w", *[_atom(n, w, F.col).alias(n) for n in names])
-    rows = tok.groupBy(*columns, "_same").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "w", *names))).alias("toks"),
-        *[F.count(n).cast("int").alias(f"n_{n}") for n in names],
-        *[F.min(F.when(F.col(n).isNotNull(), F.col("pos"))).alias(f"at_{n}") for n in names],
-    )
-    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_same")))
-    return rows.withColumn("_nth", again).drop("_same", "_nth")
+        parts = [p for part in parts for p in _with_hits(part, t, key)]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+
+    def find(w: Column, name: str) -> Column:
+        key = "w" if name == "l_senti_raw" else "lw"
+        word = w if key == "w" else F.lower(w)
+        return F.try_element_at(F.col(f"_{key}_hits"), word)[name]
+
+    return _counted(rows, names, find, ["_row", *(f"_{key}_hits" for key in tables)])
+
+
+def _with_hits(df: DataFrame, table: DataFrame, key: str) -> list[DataFrame]:
+    """Two parts of ``df`` with ``_<key>_hits``, a map from words to the rows of ``table``: the rows
+    without any word that may be in the table, which are not moved, and the others."""
+    value, bits = bitmap_value(table, key)
+    words = tokens("text") if key == "w" else F.transform(tokens("text"), F.lower)
+    bitmap = F.col("_bitmap")
+    maybe = F.filter(words, lambda w: may_hold(bitmap, bits, w))
+    tried = df.withColumn("_bitmap", value.scalar()).withColumn(
+        "_maybe", F.coalesce(F.array_distinct(maybe), F.array().cast("array<string>"))
+    ).drop("_bitmap")
+    values = F.struct(*[c for c in table.columns if c != key])
+    entry = F.struct(F.col(key), values.alias("v"))
+    hits_name = f"_{key}_hits"
+    pairs = tried.select("_row", F.explode("_maybe").alias(key)).distinct()
+    found = lookup_join(pairs, table, key, "inner")
+    hits = found.groupBy("_row").agg(F.map_from_entries(F.collect_list(entry)).alias(hits_name))
+    kind = hits.schema[hits_name].dataType
+    still = tried.filter(F.size("_maybe") == 0).drop("_maybe").withColumn(hits_name, F.lit(None).cast(kind))
+    moved = tried.filter(F.size("_maybe") > 0).drop("_maybe").join(hits, "_row", "left")
+    return [still, moved.select(still.columns)]
 
 
 # ---------------------------------------------------------------- rewriting

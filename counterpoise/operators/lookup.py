@@ -113,3 +113,41 @@ def lookup_value(table: DataFrame, key: str) -> DataFrame:
 def look_up(value: Column, word: Column) -> Column:
     """The struct that ``lookup_value`` holds for a word, or NULL."""
     return F.element_at(F.get(value, _bucket(word)), word)
+
+
+# ---------------------------------------------------------------- lookups that may miss
+
+BITMAP_BITS = 1 << 27  # at most, 16 MB
+BITS_PER_KEY = 8
+
+
+def bitmap_value(table: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """The keys of ``table`` as one value, a bit map over their hashes, and its number of bits.
+
+    It never grows beyond BITMAP_BITS: more keys only mean more words that look like one.
+    """
+    keys = table.count()
+    bits = 64
+    while bits < min(BITMAP_BITS, keys * BITS_PER_KEY):
+        bits *= 2
+    bit = _bit(F.col(key), bits)
+    words = table.select(bit.alias("_b")).select(
+        F.shiftright("_b", 6).cast("int").alias("i"),
+        F.expr("shiftleft(1L, cast(_b & 63L as int))").alias("m"),
+    )
+    filled = words.groupBy("i").agg(F.bit_or("m").alias("m"))
+    every = table.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("i"))
+    parts = every.join(filled, "i", "left").fillna(0, ["m"])
+    value = parts.agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("parts"))
+    return value.select(F.transform("parts", lambda p: p["m"])), bits
+
+
+def _bit(word: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(bits).cast("bigint"))
+
+
+def may_hold(bitmap: Column, bits: int, word: Column) -> Column:
+    """False for words that are certainly no key of the bit map."""
+    bit = _bit(word, bits)
+    held = F.get(bitmap, F.shiftright(bit, 6).cast("int"))
+    return F.getbit(held, bit.bitwiseAND(F.lit(63).cast("bigint")).cast("int")) == 1

@@ -53,3 +53,38 @@ def test_suite_sizes():
     assert len(P.balanced_family()) == 12 and len(P.imbalance_family()) == 3
     names = [s.scenario for s in P.svm_suite()]
     assert len(names) == len(set(names)) == 104
+
+
+def test_rows_without_lexicon_words_are_not_moved(spark, tmp_path):
+    from counterpoise.operators.generate import Lexicons
+
+    path = str(tmp_path / "c")
+    spark.range(1000).selectExpr(
+        "id", "'positive' sentiment", "if(id % 50 = 0, 'good great w', 'plain words ' || id) text"
+    ).write.parquet(path)
+    words = spark.createDataFrame([("good", "bad"), ("hot", "cold")], "word string, repl string")
+    lex = Lexicons(antonyms=words, max_bytes=1)
+    made = generate(spark.read.parquet(path), [antonym(2)], lex)
+    assert made.count() == 20
+    lines = plan_of(made).splitlines()
+
+    def depth(line):
+        return len(line) - len(line.lstrip(" :+-"))
+
+    def below(at):
+        """The lines of the node at a line and its children, without subqueries."""
+        out, skip = [lines[at]], None
+        for line in lines[at + 1 :]:
+            if depth(line) <= depth(lines[at]):
+                break
+            skip = None if skip is not None and depth(line) <= skip else skip
+            if skip is None and "Subquery" in line.lstrip(" :+-")[:20]:
+                skip = depth(line)
+            if skip is None:
+                out.append(line)
+        return chr(10).join(out)
+
+    union = next(i for i, line in enumerate(lines) if line.lstrip(" :+-").startswith("Union"))
+    first = below(union + 1)
+    # the first child of the union reads and rewrites, and exchanges nothing
+    assert "parquet" in first and "Exchange" not in first and "Join" not in first

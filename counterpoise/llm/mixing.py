@@ -3,9 +3,12 @@
 1. Documents are counted by exact token length per source; only these counts go further.
 2. Each source's word budget comes from the weights, capped at a multiple of what it holds;
    the excess is reshared by weight until no source is above its cap.
-3. Per source, whole repeats of every document come first.  A large rest of the budget is spread
-   evenly over the lengths, then filled greedily, and the last few thousand words are fitted by
-   a bounded-knapsack dynamic program over the lengths still available, as well as can be.
+3. Per source, whole repeats of every document come first; the rest of the budget is fitted by a
+   bounded-knapsack dynamic program over the lengths.  Its cost is the budget times the steps over
+   the lengths; up to DP_BITS it runs over all documents, so the words taken are the closest sum.
+   A larger rest is first spread evenly over the lengths and filled up with long documents, and
+   the program fits the last words with what is left.  If that misses the budget, fewer documents
+   are fixed beforehand and the program is given more words, up to RETRIES times.
 4. Of each length, the documents with the smallest seeded hashes are taken, as many as the plan
    says.  Long lists of one length are cut into chunks by hash, so no task ranks all of them.
 
@@ -25,7 +28,9 @@ from counterpoise.llm.common import word_count
 from counterpoise.session import spool
 
 MAX_SOURCES = 1_000_000  # one row each on the driver
-DP_WORDS = 16_384  # budget that the dynamic program fits exactly
+DP_WORDS = 16_384  # words that the dynamic program fits at least
+DP_BITS = 1 << 29  # words times steps of one dynamic program, one bit each
+RETRIES = 2  # with four times the words each
 CHUNK_ROWS = 100_000  # documents of one source and length that one task ranks
 
 PLAN = (
@@ -52,28 +57,46 @@ def targets(sizes: dict[str | None, int], weights=(3, 1, 2), share=1.5, cap=2.0)
 
 
 def fit_counts(lengths: list[int], counts: list[int], budget: float) -> list[int]:
-    """How many documents of each length to take so that their words come closest to
-    ``budget`` without passing it; bounded by the counts."""
+    """How many documents of each length to take, bounded by the counts, without passing
+    ``budget``.
+
+    The words are the closest sum there is if budget and lengths are small enough for DP_BITS, or
+    if the budget is met exactly; else the closest one found.
+    """
     words = sum(a * c for a, c in zip(lengths, counts))
     if words <= 0 or budget <= 0:
         return [0] * len(lengths)
-    share = min(1.0, budget / words) if budget > DP_WORDS else 0.0
-    taken = [int(c * share) for c in counts]
-    rest = int(budget) - sum(a * k for a, k in zip(lengths, taken))
-    long_first = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    moved = True
-    while rest > DP_WORDS and moved:
-        moved = False
-        for i in long_first:
-            if rest <= DP_WORDS:
-                break
-            if 0 < lengths[i] <= rest and taken[i] < counts[i]:
-                taken[i] += 1
-                rest -= lengths[i]
-                moved = True
-    if 0 < rest <= DP_WORDS:
-        for i, k in _knapsack(lengths, [c - k for c, k in zip(counts, taken)], rest).items():
+    steps = sum(c.bit_length() for c in counts)
+    window = max(DP_WORDS, DP_BITS // steps)
+    best, least = None, None
+    for _ in range(1 + RETRIES):
+        taken = _prefilled(lengths, counts, int(min(budget, words)), words, window)
+        rest = int(budget) - sum(a * k for a, k in zip(lengths, taken))
+        free = [c - k for c, k in zip(counts, taken)]
+        for i, k in _knapsack(lengths, free, max(0, min(rest, window))).items():
             taken[i] += k
+        short = int(min(budget, words)) - sum(a * k for a, k in zip(lengths, taken))
+        if best is None or short < least:
+            best, least = taken, short
+        if least == 0 or window >= budget:
+            break
+        window *= 4
+    return best
+
+
+def _prefilled(lengths, counts, budget: int, words: int, window: int) -> list[int]:
+    """Documents that are fixed before the dynamic program fits the last ``window`` words."""
+    if budget <= window:
+        return [0] * len(lengths)
+    share = (budget - window) / words
+    taken = [int(c * share) for c in counts]
+    rest = budget - sum(a * k for a, k in zip(lengths, taken))
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        if rest <= window or lengths[i] <= 0:
+            break
+        k = min(counts[i] - taken[i], -(-(rest - window) // lengths[i]), rest // lengths[i])
+        taken[i] += k
+        rest -= lengths[i] * k
     return taken
 
 

@@ -16,8 +16,9 @@ Vectors are shuffled once, into blocks of a fixed number of rows; a task holds o
 and one of queries at a time, and a round's queries and bounds are limited by ROUND.
 
 Defined results: vectors that are NULL, empty or hold a NULL or non-finite component take no part;
-ids that are NULL take no part; vectors of unequal dimension are filled with zeros; scores must
-fit a long; equal scores go to the smaller id; repeated ids are separate candidates, except that a
+ids that are NULL take no part; vectors of unequal dimension are filled with zeros; all finite
+components take part, and one whose whole number, or a score, does not fit a long is an error;
+only the key and the vector are read, so clashing further columns do no harm; equal scores go to the smaller id; repeated ids are separate candidates, except that a
 query never meets rows of its own id; empty tables give no rows.
 """
 
@@ -38,16 +39,35 @@ ROUND = 64  # query blocks per round
 RANGE_ROWS = 65_536  # vectors of about one length that one task ranks
 HEAD = 0.25  # share of the coordinates that are multiplied before pruning
 SAFE = 2.0**53  # up to here sums of whole numbers in doubles are exact
+LONGEST = (1 << 63) - 1
 
 PACKED = "block int, n int, longest double, ids binary, vectors binary"
 HITS = "query_id long, vec_id long, score long"
 
 
 def quantized(vector: Column, scale: float = 256.0) -> Column:
-    """floor(scale * x) per component, NULL unless all components are finite numbers."""
+    """floor(scale * x) per component, NULL unless all components are finite numbers.
+
+    Finite components whose result does not fit a long are an error, never left out.
+    """
     x = F.transform(vector, lambda v: v.cast("double"))
-    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 2.0**31))
-    return F.when(fine & (F.size(x) > 0), F.transform(x, lambda v: F.floor(v * scale)))
+    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    fits = F.forall(x, lambda v: F.abs(v * scale) < 2.0**63)
+    whole = F.transform(x, lambda v: F.floor(v * scale))
+    large = F.raise_error(F.lit("a component is too large for whole numbers of 64 bits"))
+    made = F.when(fits, whole).otherwise(large.cast("array<bigint>"))
+    return F.when(fine & (F.size(x) > 0), made)
+
+
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of a and b as exact whole numbers."""
+    top = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * a.shape[1]
+    if top <= LONGEST and np.iinfo(np.int64).min not in (a.min(initial=0), b.min(initial=0)):
+        return np.einsum("ij,ij->i", a, b)
+    exact = (a.astype(object) * b.astype(object)).sum(axis=1)
+    if any(abs(x) > LONGEST for x in exact):
+        raise ValueError("a score does not fit a long")
+    return exact.astype(np.int64)
 
 
 def _matrix(rows, dim: int) -> np.ndarray:
@@ -122,7 +142,8 @@ def _kernel(asked, turn: np.ndarray, dim: int, k: int):
     def one(q_ids, qi, least, x_ids, xi, longest):
         q, x = qi.astype(float), xi.astype(float)
         q_len = np.linalg.norm(q, axis=1)
-        goal = least - (0.5 + 1e-9 * q_len * max(1.0, longest))
+        # the least scores are whole numbers; as doubles they are rounded down
+        goal = np.nextafter(least.astype(float), -np.inf) - (0.5 + 1e-9 * q_len * max(1.0, longest))
         keep = np.flatnonzero(q_len * longest >= goal)  # else the whole block is too short
         if not len(keep):
             return None
@@ -144,7 +165,7 @@ def _kernel(asked, turn: np.ndarray, dim: int, k: int):
         else:
             for s in range(0, len(a), 65_536):
                 cut = slice(s, s + 65_536)
-                scores[cut] = np.einsum("ij,ij->i", qi[a[cut]], xi[b[cut]])
+                scores[cut] = _products(qi[a[cut]], xi[b[cut]])
         good = scores >= least[a]
         a, b, scores = a[good], b[good], scores[good]
         best = _best(a, x_ids[b], scores, k)
@@ -205,7 +226,7 @@ def top_inner_products(
             (
                 np.frombuffer(r["ids"], np.int64),
                 np.frombuffer(r["vectors"], np.int64).reshape(-1, dim),
-                np.full(r["n"], -np.inf),
+                np.full(r["n"], -LONGEST),
             )
             for r in q_blocks.filter(F.col("block").between(start, start + ROUND - 1)).collect()
         ]
@@ -213,7 +234,7 @@ def top_inner_products(
         seeds = spool(_ranked(first, k), "seeds")
         kth = {r["query_id"]: r["score"] for r in seeds.filter(F.col("rank") == k).collect()}
         for q_ids, _, least in asked:
-            least[:] = [kth.get(int(q), -np.inf) for q in q_ids]
+            least[:] = [kth.get(int(q), -LONGEST) for q in q_ids]
         others = x_blocks.filter("block > 0").mapInPandas(_kernel(asked, turn, dim, k), HITS)
         hits = seeds.select("query_id", "vec_id", "score").union(others)
         parts.append(spool(_ranked(hits, k), "hits"))

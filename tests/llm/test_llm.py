@@ -83,6 +83,27 @@ def test_knapsack_equals_brute_force():
         assert all(k <= counts[i] for i, k in used.items())
 
 
+def test_few_long_documents_are_fitted_exactly(monkeypatch):
+    assert mixing.fit_counts([18_000, 20_000, 28_000], [1, 1, 1], 38_000) == [1, 1, 0]
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        lengths = sorted(set((rng.integers(1, 60, 6) * 1000).tolist()))
+        counts = rng.integers(1, 4, len(lengths)).tolist()
+        budget = int(rng.integers(1000, 400_000))
+        sums = {0}
+        for a, c in zip(lengths, counts):
+            sums = {s + a * k for s in sums for k in range(c + 1)}
+        taken = mixing.fit_counts(lengths, counts, budget)
+        assert sum(a * k for a, k in zip(lengths, taken)) == max(s for s in sums if s <= budget)
+        assert all(k <= c for k, c in zip(taken, counts))
+    # beyond the bound: many lengths, met exactly
+    monkeypatch.setattr(mixing, "DP_BITS", 1 << 20)
+    lengths = list(range(1, 3000))
+    for budget in (5_000_000, 44_000_001, 89_969_999):
+        taken = mixing.fit_counts(lengths, [20] * len(lengths), budget)
+        assert sum(a * k for a, k in zip(lengths, taken)) == budget and max(taken) <= 20
+
+
 @needs_data
 def test_mix_meets_its_targets(spark, docs):
     rows = QUERIES["op1_mix_to_weights"](spark, DATA).toPandas()
@@ -216,6 +237,22 @@ def test_top_inner_products_odd_rows(spark):
     assert topk.top_inner_products(df.limit(0), df.limit(0), 5).count() == 0
 
 
+def test_large_components_take_part(spark):
+    big = 2.0**31 + 5
+    rows = [(0, [2.5e9, 1.0]), (1, [big, -1.0]), (2, [big, -2.0]), (3, [big, 0.5]), (4, [-big, 0.0]),
+            (0, [2.5e9, 1.0]), (5, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, e array<double>").withColumn("v", F.lit("clash"))
+    made = df.select("vec_id", topk.quantized(F.col("e"), 1.0).alias("v"))
+    got = topk.top_inner_products(made, made.filter("vec_id < 3"), 2).collect()
+    whole = [(i, [int(np.floor(x)) for x in e]) for i, e in rows]
+    queries = [r for r in whole if r[0] in (1, 2)]
+    want = brute_top(whole, queries, 2)
+    assert sorted(tuple(r) for r in got if r["query_id"] > 0) == want
+    far = spark.createDataFrame([(1, [1e300])], "vec_id long, e array<double>")
+    with pytest.raises(Exception, match="too large"):
+        far.select(topk.quantized(F.col("e"))).collect()
+
+
 # ---------------------------------------------------------------- decontamination
 
 

@@ -174,15 +174,3 @@ class Trie:
             left, node = left[hit], at[hit]
         out[left] = node
         return out
-
-
-def quantised(values: np.ndarray, bins: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, codebook): bins of equal width, each with the mean of its values, so no value is off
-    by more than the width; exact where there are no more different values than bins."""
-    found, inverse, n = np.unique(values, return_inverse=True, return_counts=True)
-    if len(found) <= bins:
-        return inverse.astype(np.uint8), found.astype(float)
-    place = (found - found[0]) * (bins / (found[-1] - found[0]))
-    used, bin_of = np.unique(np.minimum(place.astype(np.int64), bins - 1), return_inverse=True)
-    weight = np.bincount(bin_of, n, len(used))
-    return bin_of[inverse].astype(np.uint8), np.bincount(bin_of, found * n, len(used)) / weight

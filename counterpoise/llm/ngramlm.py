@@ -14,7 +14,7 @@
 
 P(w | h) = (n(hw) + K * P(w | shorter h)) / (n(h) + K), down to the add-0.1 word probabilities;
 an n-gram that is not kept has n = 0, so the mass of dropped triples is not given to others.
-Probabilities that are kept are quantised to 256 values per shard.
+Probabilities that are kept are quantised to 255 steps of 1 / STEPS in log10.
 
 A shard holds the n-grams whose first word has one hash.  N-grams of a frequent first word are
 split over as many shards as its count asks for.  Slabs send distinct n-grams only, so a line that
@@ -29,7 +29,6 @@ table gives no rows.  The result has the named columns only.
 
 from __future__ import annotations
 
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,8 +43,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from counterpoise.llm.common import small_batches
-from counterpoise.llm.eliasfano import EliasFano, Trie, quantised
-from counterpoise.session import scratch_dir, spool
+from counterpoise.llm.eliasfano import Trie
+from counterpoise.session import bucketed, spool
 
 ORDER = 3
 SLAB = 1 << 21  # tokens
@@ -53,6 +52,7 @@ SHARD = 1 << 21  # tokens of the corpus for each shard
 SPLIT = 1 << 18  # occurrences of a first word that one shard takes
 MIN_COUNT = {2: 1, 3: 2}
 PRIOR = {2: 20.0, 3: 5.0}  # K, in occurrences
+STEPS = 25  # quantised probabilities per unit of log10
 ADDED = 0.1
 UNKNOWN, END, FIRST = 0, 1, 2  # word numbers
 SEED = 11
@@ -103,6 +103,15 @@ def unpacked(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def quantised(logp: np.ndarray) -> np.ndarray:
+    """Codes 1 to 255 of log probabilities; 0 stands for an n-gram that is not kept."""
+    return 1 + np.clip(np.rint(-STEPS * logp), 0, 254).astype(np.int64)
+
+
+def decoded(codes: np.ndarray) -> np.ndarray:
+    return (codes.astype(float) - 1) / -STEPS
+
+
 # ---------------------------------------------------------------- slabs
 
 
@@ -162,23 +171,7 @@ def slabs(docs: DataFrame) -> DataFrame:
         "slab long, keys array<string>, held binary, sizes binary, tokens binary, names binary, "
         "counts binary, n_tokens long, n_learned long, docs_learned long"
     )
-    return _bucketed(docs.mapInPandas(run, shape), "slab", 4 * docs.rdd.getNumPartitions())
-
-
-def _bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
-    """``df`` written to the shared scratch area in buckets; joins by ``column`` do not move it.
-
-    The catalog holds the table only until it is known to the returned plan.
-    """
-    spark = df.sparkSession
-    name = f"counterpoise_{uuid.uuid4().hex}"
-    buckets = min(100_000, max(buckets, spark.sparkContext.defaultParallelism))
-    path = f"{scratch_dir(spark)}/{name}"
-    df.write.format("parquet").bucketBy(buckets, column).option("path", path).saveAsTable(name)
-    table = spark.table(name)
-    table.schema  # noqa: B018  resolves the plan
-    spark.sql(f"DROP TABLE {name}")
-    return table
+    return bucketed(docs.mapInPandas(run, shape), "slab", 4 * docs.rdd.getNumPartitions())
 
 
 # ---------------------------------------------------------------- what a slab knows
@@ -283,10 +276,10 @@ class Slab:
         """Takes the answers in: counts and probabilities of the n-grams ending at each token."""
         n, found, logp = [], [], []
         for data in answers:
-            many, code, book = unpacked(data)
+            many, code = unpacked(data)
             n.append(many)
             found.append(code > 0)
-            logp.append(np.append(0.0, book)[code.astype(np.int64)])
+            logp.append(decoded(code))
         order = self.turns[0]
         per_gram = np.zeros((3, len(order)))
         for i, part in enumerate((n, found, logp)):
@@ -388,29 +381,27 @@ def _gram_level(k: int):
         kept = many >= MIN_COUNT[k]
         prior = PRIOR[k]
         p = (many[kept] + prior * 10.0 ** shorter[kept]) / (context[kept].astype(float) + prior)
-        codes, book = quantised(np.log10(p))
+        codes = quantised(np.log10(p))
         data = Trie.build(grams[kept])
         at = Trie(data).find(grams)
         code = np.zeros(len(grams), np.int64)
-        code[at >= 0] = codes[at[at >= 0]].astype(np.int64) + 1
-        level = packed(codes.astype(np.int64), book)
-        level = np.int64(len(data)).tobytes() + data + level
+        code[at >= 0] = codes[at[at >= 0]]
+        level = np.int64(len(data)).tobytes() + data + codes.astype(np.uint8).tobytes()
         out = [(_LEVEL, k, shard, level)]
         at = 0
         for slab, part in zip(rows["slab"], parts):
             own = where[at : at + len(part[0])]
-            out.append((slab, k, shard, packed(many[own], code[own], book)))
+            out.append((slab, k, shard, packed(many[own], code[own])))
             at += len(own)
         return pd.DataFrame(out, columns=["slab", "round", "shard", "data"])
 
     return run
 
 
-def open_level(data: bytes) -> tuple[Trie, np.ndarray, np.ndarray]:
-    """Trie, codes and codebook of a stored level; the trie is read where it lies."""
+def open_level(data: bytes) -> tuple[Trie, np.ndarray]:
+    """Trie and codes of a stored level, both read where they lie."""
     size = int(np.frombuffer(data, np.int64, 1)[0])
-    codes, book = unpacked(data[8 + size :])
-    return Trie(memoryview(data)[8 : 8 + size]), codes, book
+    return Trie(memoryview(data)[8 : 8 + size]), np.frombuffer(data, np.uint8, offset=8 + size)
 
 
 @dataclass(frozen=True)

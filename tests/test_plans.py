@@ -88,3 +88,22 @@ def test_rows_without_lexicon_words_are_not_moved(spark, tmp_path):
     first = below(union + 1)
     # the first child of the union reads and rewrites, and exchanges nothing
     assert "parquet" in first and "Exchange" not in first and "Join" not in first
+
+
+def test_suites_store_no_texts(spark, lex, monkeypatch):
+    from counterpoise.operators import generate as gen_module
+    from counterpoise.operators import model
+    from counterpoise.plans import crossval, training_sets
+    from counterpoise.plans.suites import run_suite
+
+    stored = []
+    for module in (gen_module, model, crossval, training_sets):
+        usual = module.spool
+        monkeypatch.setattr(
+            module, "spool", lambda df, *name, usual=usual: (stored.append(df.columns), usual(df, *name))[1]
+        )
+    rows = [(i, "positive" if i % 3 else "negative", f"good great day w{i} x y") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, sentiment string, text string")
+    specs = [P.with_blankout(2, True, False, "over", test="augmented"), P.with_antonyms(2, False, "under")]
+    assert run_suite(df, specs, lex).count() == 2
+    assert len(stored) >= 2 and not any("text" in columns for columns in stored)

@@ -113,3 +113,15 @@ def test_further_classes_are_kept(spark):
     rows = [(1, "positive", "a"), (2, "neutral", "b"), (3, None, "c")]
     df = spark.createDataFrame(rows, "id long, sentiment string, text string")
     assert prepare(df, "asis").count() == 3
+
+
+def test_sets_are_exact_where_all_rows_share_an_id(spark):
+    rows = [(1, "positive", f"p{i // 2}") for i in range(7)] + [(2, "negative", f"n{i}") for i in range(3)]
+    df = spark.createDataFrame(rows, "id long, sentiment string, text string")
+    under = build_training_set(df, P.plain("under"), in_sample=F.lit(True)).collect()
+    assert Counter(r["label"] for r in under) == {0: 3, 1: 3}
+    tied = [(1, "negative", "same")] * 5 + [(10 + i, "positive", f"p{i}") for i in range(7)]
+    df = spark.createDataFrame(tied, "id long, sentiment string, text string")
+    assert S.oversample(df, 10, "id").filter("sentiment = 'negative'").count() == 7
+    over = build_training_set(df, P.plain("over"), in_sample=F.lit(True)).collect()
+    assert Counter(r["label"] for r in over) == {0: 7, 1: 7}

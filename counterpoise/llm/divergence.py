@@ -28,6 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,9 +193,11 @@ def built_shards(kept: DataFrame) -> DataFrame:
 def recount(docs: DataFrame, shards: dict[str, list[Shard]]) -> DataFrame:
     """(lang, source, slot, n): how often each group of docs(lang, source, text) holds the terms of
     the given shards, which are sent to every task."""
-    sent = docs.sparkSession.sparkContext.broadcast(shards)
+    # by value, as all code of this package, so that executors need no copy of it
+    sent = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(shards))
 
     def count(batches):
+        by_lang = cloudpickle.loads(sent.value)
         held: dict[tuple[str, str], list[np.ndarray]] = {}
         waiting: defaultdict[tuple[str, str], Counter] = defaultdict(Counter)
         used = words = 0
@@ -202,7 +205,7 @@ def recount(docs: DataFrame, shards: dict[str, list[Shard]]) -> DataFrame:
         def enter():
             nonlocal used
             for group, tally in waiting.items():
-                own = sent.value.get(group[0], [])
+                own = by_lang.get(group[0], [])
                 if group not in held:
                     held[group] = [np.zeros(s.hash.n, np.int64) for s in own]
                     used += 8 * sum(s.hash.n for s in own)
@@ -218,7 +221,7 @@ def recount(docs: DataFrame, shards: dict[str, list[Shard]]) -> DataFrame:
         def flush():
             nonlocal used
             for (lang, source), dense in held.items():
-                for slots, s in zip(dense, sent.value.get(lang, [])):
+                for slots, s in zip(dense, by_lang.get(lang, [])):
                     some = np.flatnonzero(slots)
                     yield pa.RecordBatch.from_pydict(
                         {
@@ -234,7 +237,7 @@ def recount(docs: DataFrame, shards: dict[str, list[Shard]]) -> DataFrame:
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(3)]
             for lang, source, text in zip(*columns):
-                if lang in sent.value:
+                if lang in by_lang:
                     found = terms(text)
                     waiting[lang, source].update(found)
                     words += len(found)

@@ -1,8 +1,11 @@
 """Personal data: keyed surrogates of the same type, gender, script and format.
 
 1. Entities (mail addresses, phone, card and bank numbers, IP addresses, secrets, titled names) are
-   found in whole texts, with every other capitalised mention of a titled name's words in the same
-   text, and reduced to a normal form, so that spellings of one entity agree.
+   found in whole texts, with every other capitalised mention of a titled name's words and every
+   bare mention of a secret in the same text, and reduced to a normal form, so that spellings of
+   one entity agree.  Assigned secrets, long hexadecimal strings and tokens of well-known formats
+   are one type.  Titles count in any case, names with a capital.  A word of AMBIGUOUS without a
+   title is left alone where it opens a sentence.
 2. Every distinct entity gets a surrogate from an HMAC of type, normal form and attempt number:
    digits become digits, letters become letters of the same script and case, card numbers keep
    their check digit valid, addresses stay addresses.  Names are replaced word by word, whatever
@@ -12,11 +15,13 @@
 3. Surrogates are checked over all entities: one that equals another surrogate or a real entity of
    its type is drawn again with the next attempt, until all are distinct.  The same entity has the
    same surrogate everywhere, different entities never share one.
-   Words of names are one type.
+   Words of names are one type.  Bank numbers keep country and valid check digits, phone numbers
+   their country code.
 4. Texts are rewritten with the entities they hold; the format of each spelling is kept.
 
-Texts without entities are passed on as they are and not shuffled.  Entities are made distinct
-before anything is joined, and a text is joined by its hash, so copies share one entry.
+Texts are searched once: rows and what was found in them are written to the shared folder and
+read again.  Texts without entities are passed on as they are and not shuffled.  Entities are made
+distinct before anything is joined, and a text is joined by its hash, so copies share one entry.
 
 Defined results: a NULL text stays NULL, with 0 entities; rows are kept one by one, whatever their
 id; overlapping finds go to the type named first in KINDS; an empty table gives no rows.  Input
@@ -63,8 +68,16 @@ SYLLABLES = {
     "cyrillic": "ба бе ва гор да ен жа за ка лан лен мар ми нор пел ра рос са тор ха",
     "greek": "βα γε δα θε κα λα μα νε πα ρο σα τε φα χα",
 }
-_TITLE = "|".join(sorted((re.escape(t) for s in TITLES.values() for t in s.split()), key=len)[::-1])
-_GENDER = {t: g for g, s in TITLES.items() for t in s.split()}
+# Names that are also words which often open a sentence.
+AMBIGUOUS = set(
+    "will may mark bill grace hope joy faith rose dawn art frank grant chase pat rich young long "
+    "short brown black white green king price case wood stone hill june april august".split()
+)
+# Calling codes of one and of two digits; the others have three.
+CALLING = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+_TITLES = "|".join(sorted((re.escape(t) for s in TITLES.values() for t in s.split()), key=len)[::-1])
+_TITLE = f"(?i:{_TITLES})"
+_GENDER = {t.lower(): g for g, s in TITLES.items() for t in s.split()}
 _UPPER = r"[^\W\d_a-zà-öø-ÿа-яά-ώ]"
 _WORD = rf"(?:(?:{_UPPER}|[dl])['’])?{_UPPER}[^\W\d_]+"
 _PARTICLE = "(?:von|van|der|den|de|del|della|di|da|dos|du|la|le|zu|zur|zum|ten|ter|bin|ibn|al|el|y)"
@@ -74,6 +87,7 @@ _NAME = rf"(?:{_UPPER}\.[ ]?|{_UPPER}[ ])*{_SURNAME}(?:(?:[ ]{_UPPER}\.?)*[ ]{_S
 # Tried in this order; the group named e is the entity.
 KINDS = {
     "secret": r"(?i:token|secret|password|passwd|api[_-]?key|auth)\w*[\"']?\s*[=:]\s*[\"'](?P<e>[^\"'\s]{6,})",
+    "token": r"(?<!\w)(?P<e>AKIA[0-9A-Z]{16}|gh[pousr]_\w{36}|xox[abprs]-[\w-]{10,}|sk-[\w-]{20,})(?!\w)",
     "hex": r"(?<![\w])(?P<e>[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w)",
     "email": r"(?P<e>[\w+%-]+(?:\.[\w+%-]+)*@[\w-]+(?:\.[\w-]+)+)",
     "ip": r"(?<![\w.])(?P<e>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?!\w|\.\d)",
@@ -82,12 +96,14 @@ KINDS = {
     "phone": r"(?<!\w)(?P<e>\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}"
     r"|\(\d{2,4}\) ?\d{3}[ .-]\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)",
     "ssn": r"(?<!\w)(?P<e>\d{3}-\d{2}-\d{4})(?!\w)",
-    "name": rf"(?<!\w)(?P<t>{_TITLE})\.?[ ](?P<e>{_NAME})",
+    "name": rf"(?<!\w)(?<!\d )(?P<t>{_TITLE})\.?[ ](?P<e>{_NAME})",
 }
 _PATTERNS = {k: re.compile(p) for k, p in KINDS.items()}
 _NAME_WORD = re.compile(rf"(?<!\w){_WORD}")
 _NAME_PART = re.compile(rf"(?<!\w)(?:{_WORD}|{_UPPER}(?!\w))")
-_MAYBE = re.compile(rf"[\d@=:]|(?<!\w)(?:{_TITLE})\.? ")
+_MAYBE = re.compile(rf"[\d@=:]|(?<!\w){_TITLE}\.? |xox|sk-|AKIA|gh[pousr]_")
+_TYPES = {"token": "secret", "hex": "secret"}  # found in other ways, one type
+_OPENS = re.compile(r"(?:^|[.!?:;\n]['\"»”)]*\s+|\n)$")
 
 
 def find(text: str | None) -> list[tuple[int, int, str, str]]:
@@ -96,14 +112,22 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
         return []
     taken: list[tuple[int, int, str, str]] = []
     known: set[str] = set()
-    for kind, pattern in _PATTERNS.items():
+    for name, pattern in _PATTERNS.items():
+        kind = _TYPES.get(name, name)
         new = [(*m.span("e"), kind, normal(kind, m["e"])) for m in pattern.finditer(text)]
         new = _free(new, taken)
         if kind == "name":
             known = {normal(kind, w) for a, b, _, _ in new for w in _NAME_WORD.findall(text[a:b])}
         taken = sorted(taken + new)
+        if name == "hex":  # all secrets are known now
+            values = {v for _, _, k, v in taken if k == kind}
+            taken = sorted(taken + _free(_bare(text, values), taken)) if values else taken
     if known:
-        words = [m.span() for m in _NAME_WORD.finditer(text) if normal("name", m[0]) in known]
+        words = [
+            m.span()
+            for m in _NAME_WORD.finditer(text)
+            if normal("name", m[0]) in known and not _opening_word(text, m)
+        ]
         words = _free([(a, b, "name", "") for a, b in words], taken)
         spans: list[list[int]] = []
         for a, b, _, _ in words:  # words that follow each other are one mention
@@ -115,6 +139,20 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
     return sorted(taken)
 
 
+def _bare(text: str, values: set[str]) -> list[tuple[int, int, str, str]]:
+    """Mentions of known secrets."""
+    longest_first = sorted(values, key=lambda v: (-len(v), v))
+    pattern = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, longest_first))})(?!\w)")
+    return [(*m.span(), "secret", m[0]) for m in pattern.finditer(text)]
+
+
+def _opening_word(text: str, m: re.Match) -> bool:
+    """Whether a word of AMBIGUOUS opens a sentence and a word in small letters follows."""
+    if m[0].lower() not in AMBIGUOUS or not re.match(r"\s+(?:I\b|[^\W\dA-Z])", text[m.end() : m.end() + 8]):
+        return False
+    return bool(_OPENS.search(text[max(0, m.start() - 8) : m.start()]))
+
+
 _JOINT = re.compile(rf"(?:[ ]{_UPPER}\.?)+[ ]")
 
 
@@ -134,7 +172,7 @@ def name_words(text: str, a: int, b: int) -> list[tuple[str, str]]:
     title = _TITLE_BEFORE.search(text[max(0, a - 40) : a])
     words = list(_NAME_WORD.finditer(text[a:b]))
     last = max(text.rfind(" ", a, b) + 1 - a, 0)
-    gender = _GENDER[title[1]] if title else ""
+    gender = _GENDER.get(title[1].lower(), "n") if title else ""
     return [("name" + (gender if m.start() < last else ""), normal("name", m[0])) for m in words]
 
 
@@ -205,12 +243,18 @@ def luhn(digits: str) -> int:
     return (sum(odd) + sum(d - 9 if d > 9 else d for d in even)) % 10
 
 
+def iban_rest(value: str) -> int:
+    """1 for valid check digits."""
+    moved = value[4:] + value[:4]
+    return int("".join(str(int(c, 36)) for c in moved)) % 97
+
+
 def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     """Normal form of the replacement; depends on its arguments only."""
     draw = _Stream(key, kind, value, str(attempt))
     if kind == "ip":
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
-    if kind == "hex" or kind == "secret" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value):
+    if kind == "secret" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value):
         return _same_format(value, draw, hexadecimal=True)
     if kind == "email":
         name, _, domain = value.rpartition("@")
@@ -222,9 +266,14 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
             made = made[:-1] + str((int(made[-1]) - luhn(made)) % 10)
         return made
     if kind == "iban":
-        return value[:2] + _same_format(value[2:], draw)
+        made = _same_format(value[4:], draw)
+        if iban_rest(value) != 1:  # not valid either
+            return value[:2] + _same_format(value[2:4], draw) + made
+        return f"{value[:2]}{98 - iban_rest(value[:2] + '00' + made):02d}{made}"
     if kind == "phone":
-        country = 1 if len(value) > 10 else 0
+        country = 0  # the code stands in front of numbers longer than a national one
+        if len(value) > 10:
+            country = next((n for n in (1, 2) if value[:n] in CALLING), 3)
         return value[:country] + _same_format(value[country:], draw)
     if kind.startswith("name"):
         return _name(kind[4:], value, draw, attempt)
@@ -319,9 +368,10 @@ def replace_entities(docs: DataFrame, key: bytes, text: str = "text") -> DataFra
     small_batches(docs.sparkSession)
 
     # found: every mention; keys: what needs a surrogate, names word by word
+    span = "array<struct<first:int,end:int,kind:string,value:string>>"
     pair = "array<struct<kind:string,value:string>>"
 
-    @F.pandas_udf(f"found {pair}, keys {pair}")
+    @F.pandas_udf(f"found {span}, keys {pair}")
     def entities(s: pd.Series) -> pd.DataFrame:
         out = []
         for t in s:
@@ -329,31 +379,40 @@ def replace_entities(docs: DataFrame, key: bytes, text: str = "text") -> DataFra
             keys = {}
             for a, b, k, v in found:
                 keys |= dict.fromkeys(name_words(t, a, b) if k == "name" else [(k, v)])
-            out.append([[{"kind": k, "value": v} for k, v in e] for e in ([e[2:] for e in found], keys)])
+            spans = [dict(zip(("first", "end", "kind", "value"), e)) for e in found]
+            out.append([spans, [{"kind": k, "value": v} for k, v in keys]])
         return pd.DataFrame(out, columns=["found", "keys"])
 
     @F.pandas_udf("string")
-    def rewrite(s: pd.Series, known: pd.Series) -> pd.Series:
+    def rewrite(s: pd.Series, spans: pd.Series, known: pd.Series) -> pd.Series:
         out = []
-        for t, pairs in zip(s, known):
+        for t, found, pairs in zip(s, spans, known):
             made = {(p["kind"], p["value"]): p["made"] for p in pairs}
             at, parts = 0, []
-            for a, b, kind, value in find(t):
+            for e in found:
+                kind, surface = e["kind"], t[e["first"] : e["end"]]
                 if kind == "name":
-                    new = rendered_name(key, t[a:b], made)
+                    new = rendered_name(key, surface, made)
                 else:
-                    new = rendered(kind, t[a:b], made[kind, value])
-                parts += [t[at:a], new]
-                at = b
+                    new = rendered(kind, surface, made[kind, e["value"]])
+                parts += [t[at : e["first"]], new]
+                at = e["end"]
             out.append("".join([*parts, t[at:]]))
         return pd.Series(out)
 
-    added = ["pii_found", "pii_keys", "pii_text", "pii_known", "n_entities", "n_distinct", "kinds"]
-    found = docs.drop(*added).withColumn("pii_found", entities(F.col(text)))
-    found = found.withColumn("pii_keys", F.col("pii_found.keys"))
-    found = found.withColumn("pii_found", F.col("pii_found.found"))
-    have, free = found.filter(F.size("pii_found") > 0), found.filter(F.size("pii_found") == 0)
-    have, free = have.withColumn("pii_text", F.xxhash64(text)), free.drop("pii_keys")
+    added = ["pii", "pii_found", "pii_keys", "pii_text", "pii_known", "pii_any"]
+    added += ["n_entities", "n_distinct", "kinds"]
+    found = docs.drop(*added).withColumn("pii", entities(F.col(text)))
+    found = found.select(
+        *docs.drop(*added).columns,
+        F.col("pii.found").alias("pii_found"),
+        F.col("pii.keys").alias("pii_keys"),
+        (F.size("pii.found") > 0).alias("pii_any"),
+    )
+    found = spool(found, "searched")
+    have, free = found.filter("pii_any"), found.filter(~F.col("pii_any"))
+    have = have.withColumn("pii_text", F.xxhash64(text))
+    free = free.drop("pii_keys", "pii_any")
     seen = have.select("pii_text", F.explode("pii_keys").alias("e"))
     seen = spool(seen.select("pii_text", "e.kind", "e.value").distinct(), "entities")
     # a word of names is a given name if it was one anywhere, of a gender if its titles agree
@@ -370,13 +429,15 @@ def replace_entities(docs: DataFrame, key: bytes, text: str = "text") -> DataFra
         .groupBy("pii_text")
         .agg(F.collect_list(F.struct("kind", "value", "made")).alias("pii_known"))
     )
-    new = have.join(per_text, "pii_text").withColumn(text, rewrite(F.col(text), F.col("pii_known")))
+    made = rewrite(F.col(text), F.col("pii_found"), F.col("pii_known"))
+    new = have.join(per_text, "pii_text").withColumn(text, made)
     both = new.select(*docs.drop(*added).columns, "pii_found").unionByName(free)
+    entity = F.transform("pii_found", lambda e: F.struct(e["kind"], e["value"]))
     kinds = F.array_sort(F.array_distinct(F.transform("pii_found", lambda e: e["kind"])))
     return both.withColumns(
         {
             "n_entities": F.size("pii_found"),
-            "n_distinct": F.size(F.array_distinct("pii_found")),
+            "n_distinct": F.size(F.array_distinct(entity)),
             "kinds": kinds,
         }
     ).drop("pii_found")

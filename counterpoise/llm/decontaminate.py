@@ -9,6 +9,11 @@ one starts half a passage later, so two neighbours together hold any verbatim it
 them scores at least 0.5; the threshold lies below that.  Retrieved items are verified on the
 whole text: the share of question and answer words that stand in common five-word shingles.
 
+Question and answer are decided on apart: a text leaks an item if at least 0.8 of the question's
+words, or of the answer's, stand in common shingles; a question or answer of fewer than PART words
+decides only together with the other one, by 0.8 of all words.  Every part that can decide is an
+entry of the index with its own weights, so a question without its answer is retrieved too.
+
 The index travels to every executor: its size is that of the benchmark and is checked.  A larger benchmark is
 searched in parts, one after the other.
 
@@ -38,6 +43,7 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.4  # share of an item's weight that a passage must cover
 OVERLAP = 0.8  # share of an item's words that must stand in common shingles
 SHINGLE = 5
+PART = 8  # words that a question or an answer needs to count by itself
 PASSAGE = 64  # words, or the longest item if that is longer
 BLOCKS = 64  # blocks of items, each with its own score bounds
 CHUNK_STEPS = 4096  # half passages of one text that are bounded at once
@@ -65,7 +71,7 @@ def question_words(text: str) -> int:
 class Index:
     """Inverted index with impacts, and their maxima per term and block of items.
 
-    Items are dealt to BLOCKS blocks of neighbouring numbers.  ``block_tops`` has one row per
+    Entries, the parts of items, are dealt to BLOCKS blocks of neighbouring numbers.  ``block_tops`` has one row per
     term, row 0 for words that no item has.
     """
 
@@ -76,14 +82,16 @@ class Index:
         self.words = [w for _, _, w in kept]
         self.question = [question_words(t) for _, t, _ in kept]
         self.shingles = [_shingles(w) for w in self.words]
+        self.entries = [e for w, q in zip(self.words, self.question) for e in entries(w, q)]
+        self.item = [d for d, w in enumerate(self.words) for _ in entries(w, self.question[d])]
         self.passage = max([PASSAGE, *map(len, self.words)])
-        n = len(kept)
+        n = len(self.entries)
         self.block = max(1, math.ceil(n / BLOCKS))
-        mean = sum(map(len, self.words)) / n if n else 1.0
-        df = Counter(t for w in self.words for t in set(w))
+        mean = sum(map(len, self.entries)) / n if n else 1.0
+        df = Counter(t for w in self.entries for t in set(w))
         self.number = {t: i + 1 for i, t in enumerate(sorted(df))}
         lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for d, w in enumerate(self.words):
+        for d, w in enumerate(self.entries):
             own = {}
             for t, tf in Counter(w).items():
                 idf = math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))
@@ -100,8 +108,8 @@ class Index:
                 self.block_tops[at] = max(self.block_tops[at], x)
 
     def above(self, query: set[int], block: int, least: float) -> dict[int, float]:
-        """All items of one block that score ``least`` or more, by WAND: lists stay sorted by
-        their next item, and the bounds of the first lists say which item can reach it."""
+        """All entries of one block that score ``least`` or more, by WAND: lists stay sorted by
+        their next entry, and the bounds of the first lists say which entry can reach it."""
         first, end = block * self.block, (block + 1) * self.block
         lists = []
         for t in query:
@@ -159,7 +167,7 @@ class Index:
             for i, block in np.argwhere(bounds >= THRESHOLD - SLACK).tolist():
                 query = set(part[i * step : i * step + self.passage].tolist()) - {0}
                 for d, score in self.above(query, block, THRESHOLD - SLACK).items():
-                    best[d] = max(best.get(d, 0.0), score)
+                    best[self.item[d]] = max(best.get(self.item[d], 0.0), score)
         return self._verified(words, best) if best else []
 
     def _verified(self, words: list[bytes], best: dict[int, float]):
@@ -172,14 +180,23 @@ class Index:
             for i, s in enumerate(self.shingles[d]):
                 if s in own[k]:
                     covered[i : i + k] = True
-            if covered.mean() >= OVERLAP:
-                q = self.question[d]
-                answer = float(covered[q:].mean()) if q < len(item) else 1.0
-                question = float(covered[:q].mean()) if q else 1.0
+            q = self.question[d]
+            answer = float(covered[q:].mean()) if q < len(item) else 1.0
+            question = float(covered[:q].mean()) if q else 1.0
+            alone = q >= PART and question >= OVERLAP or len(item) - q >= PART and answer >= OVERLAP
+            if alone or covered.mean() >= OVERLAP:
                 out.append((self.ids[d], min(1.0, score), question, answer))
         return out
 
 
+def entries(words: list[bytes], question: int) -> list[list[bytes]]:
+    """What can decide: question and answer, and the whole item unless both count by themselves
+    or there is no other part."""
+    parts = [words[:question], words[question:]]
+    long = [p for p in parts if len(p) >= PART]
+    return long if len(long) == len([p for p in parts if p]) else [*long, words]
+
+
 def _shingles(words: list[bytes]) -> list[tuple[bytes, ...]]:
     k = min(SHINGLE, len(words))
     return list(zip(*[words[i:] for i in range(k)]))

@@ -1,39 +1,65 @@
-"""A small labelled URL table to train the URL filter from, made up for this purpose."""
+"""A small labelled URL table to train the URL filter from.
+
+Written by hand from the kinds of pages that crawls usually drop (gambling, pills, adult pages,
+link spam, advertising, loans, prizes) and keep (institutions, news, reference, shops, clubs,
+personal pages).  Hosts and paths are invented; a larger table can be given in its place.
+"""
 
 # Hosts whose pages are unwanted in training data, and hosts whose pages are not.
 BLOCKED_HOSTS = """
-casino-royal.com best-casino.net online-casino-bonus.org casino-slots.info win-casino.example.com
-free-bets.com sports-bets.net bets-online.org betting-tips.info live-bets.example.net
-cheap-pills.com pills-online.net buy-pills.org diet-pills.info pills-pharmacy.example.org
-adult-videos.com adult-chat.net xxx-adult.org adult-x.info free-adult.example.com
-spam-links.com link-farm.net spam-farm.org seo-farm.info farm-spam.example.net
-ads-server.com ads-track.net track-ads.org click-ads.info adserver-track.example.org
-win-prizes.com free-prize-win.net lottery-win.org jackpot-win.info win-money.example.com
-cheap-loans.com payday-loans.net free-credit-loans.org cheap-viagra.info cheap-watches.example.net
-poker-online.com free-poker-slots.net porn-tube.org free-porn.info escort-girls.example.org
+royalcasino.com casino-palace.net online-casino-guide.org luckyslots.com megaslots-casino.info
+freespins.com roulette-tricks.net blackjack-bonus.com pokerbonus.org poker-freeroll.net
+sportsbets.com bets4you.net bestbets.info bettingodds.org free-betting-tips.com livebets24.net
+cheapmeds.com pills4less.net buy-cheap-pills.com dietpills.org online-pharmacy-discount.info
+viagra-store.com generic-cialis.net weightloss-pills.org bestpills.biz cheap-viagra-pills.net
+adultvideos.com adult-dating.net xxxtube.com hotxxx.org free-porn-movies.net porncams.info
+escorts-directory.com sexchat.net nudecams.org adultfriend.biz webcam-girls.net
+buybacklinks.com linkfarm.org cheap-backlinks.net seo-spam.info link-exchange.biz
+adserver1.com ads-network.net clicktracker.org trackingpixel.net popup-ads.info adtrack.biz
+banner-ads.com track-clicks.net ads.affiliate-links.org
+winfreeprizes.com you-won-prize.net free-iphone-winner.org lotterywinner.info claim-your-prize.biz
+paydayloan.com fast-cash-loans.net instant-credit-now.org cheap-credit-loans.info quickmoney.biz
+replica-watches.com cheap-handbags-outlet.net fake-rolex.org crypto-doubler.biz earn-money-fast.info
 """
 ALLOWED_HOSTS = """
-library.org news-daily.com weather.net cityhall.org museum-arts.org university.edu
-gardening.example.com cooking.example.net travel-notes.example.org history.example.com
-science.example.net music.example.org school.example.com mountains.example.net rivers.example.org
-then.example.com other.example.net theory.example.org thing.example.com nation.example.net
-station.example.org rather.example.com weather.example.net thread.example.org that.example.com
-tion.example.net there.example.org thorn.example.com think.example.net author.example.org
-theatre.example.com method.example.net health.example.org earth.example.com north.example.net
-south.example.org gather.example.com lether.example.net thesis.example.org ration.example.com
-astronomy.com biology.org railway.net harbour.info forest-walks.org poetry.net grammar.info
-painting.com chess-club.org recipes.net open-data.org local-news.info choir.net archive.org
+citylibrary.org nationalmuseum.org universitypress.edu physics-department.edu ministry.gov
+daily-herald.com eveningnews.net regionalpost.org radio-north.org weatherservice.gov
+opendictionary.org encyclopedia-project.org linguistics-journal.org mathforum.net
+bakery-martin.com bookshop-harbour.com bicycle-repair.net gardentools.com furniture-makers.org
+chessclub.org rowing-society.org mountain-hut.net choir-festival.org birdwatchers.info
+annasblog.net peter-writes.com familyrecipes.net travelswithmaps.com photo-diary.org
+softwaredocs.org python-notes.net kernel-archive.org databases-explained.com compilers.info
+hospital-trust.org health-advice.gov vet-clinic.net dentist-weber.com nursing-school.edu
+bibliothek-stadt.de rathaus-online.de zeitung-heute.de verein-wandern.de universitaet-nord.de
+mairie-village.fr journal-du-soir.fr bibliotheque-ville.fr ecole-primaire.fr musee-histoire.fr
+ayuntamiento.es biblioteca-central.es periodico-sur.es instituto-lenguas.es museo-ciencia.es
+stadsbibliotheek.nl comune-storico.it universidade-livre.pt kommune-info.dk skola-syd.se
+railway-timetable.net airport-info.org shipping-register.org energy-statistics.gov census.gov
+astronomy-club.org geology-maps.net river-trust.org forestry.info climate-records.org
+courtreports.gov lawschool.edu parliament-archive.org elections.gov charity-register.org
+theatre-season.com orchestra.org painters-guild.net filmreviews.com poetry-magazine.org
+"""
+# Pages are numbered and dated alike on both sides; only a few paths are typical of one.
+SHARED_PATHS = """
+/ /index.php /articles/2021/05/3817 /page/204 /item/95063.html /about /archive/7418/ /p/62.php
 """
-PATHS = ["/en/12", "/de/345.html", "/fr/6789/", "/es/1024", "", "/"]
-PREFIXES = ["", "www.", "m.", "blog."]
+BLOCKED_PATHS = "/bonus/claim /free-signup"
+ALLOWED_PATHS = "/opening-hours /docs/history"
+PREFIXES = ["", "www.", "news.", "shop."]
+ENDINGS = ["com", "net", "org"]
 
 
 def rows() -> list[tuple[str, str]]:
-    """(url, verdict): every host with each prefix, paths in turn."""
+    """(url, verdict): every host as listed and with each ending, prefixes and paths in turn, so
+    that neither ending nor prefix tells a label."""
     out = []
-    for verdict, hosts in (("block", BLOCKED_HOSTS.split()), ("allow", ALLOWED_HOSTS.split())):
+    for verdict, hosts, paths in (
+        ("block", BLOCKED_HOSTS.split(), f"{SHARED_PATHS} {BLOCKED_PATHS}".split()),
+        ("allow", ALLOWED_HOSTS.split(), f"{SHARED_PATHS} {ALLOWED_PATHS}".split()),
+    ):
         for i, host in enumerate(hosts):
-            for j, prefix in enumerate(PREFIXES):
-                path = PATHS[(i + j) % len(PATHS)]
+            name = host.rpartition(".")[0]
+            for j, host in enumerate([host, *(f"{name}.{e}" for e in ENDINGS)]):
+                prefix, path = PREFIXES[(i + j) % len(PREFIXES)], paths[(3 * i + j) % len(paths)]
                 out.append((f"https://{prefix}{host}{path}", verdict))
     return out

@@ -43,12 +43,12 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.4  # share of an item's weight that a passage must cover
 OVERLAP = 0.8  # share of an item's words that must stand in common shingles
 SHINGLE = 5
-PART = 8  # words that a question or an answer needs to count by itself
+PART = 13  # words that a question or an answer needs to count by itself
 PASSAGE = 64  # words, or the longest item if that is longer
-BLOCKS = 64  # blocks of items, each with its own score bounds
+BLOCKS = 128  # blocks of items, each with its own score bounds
 CHUNK_STEPS = 4096  # half passages of one text that are bounded at once
 SLACK = 1e-4  # of sums of single-precision bounds
-INDEX_WORDS = 2_000_000  # words of items in one index
+INDEX_WORDS = 1_000_000  # words of items in one index
 
 # ASCII punctuation separates words; everything else, letters beyond ASCII too, is kept
 _LETTERS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))

@@ -192,6 +192,32 @@ def test_scores_do_not_depend_on_the_join(spark, labelled, monkeypatch):
     assert sorted(map(tuple, B.fit_predict(labelled, labelled, "id").collect())) == usual
 
 
+def test_terms_are_counted_without_copy_vectors(spark, labelled):
+    rows = labelled.select(
+        (F.col("id") % 2).alias("fold"), "label", "text", F.array(F.lit(1), F.col("label")).cast("array<smallint>").alias("w")
+    )
+    stats = B.training_stats(rows)
+    assert stats.filter("term is not null and w is not null").count() == 0
+    assert {tuple(r["w"]) for r in B.copy_vectors(stats).collect()} == {(1, 0), (1, 1)}
+    docs = {(r["fold"], r["label"]): r["docs"] for r in B.class_totals(stats, 2).collect()}
+    for (_, label), (first, second) in docs.items():
+        assert second == first * label
+
+
+def test_suite_scores_do_not_depend_on_the_broadcast_head(spark, labelled, lex, monkeypatch):
+    corpus = labelled.select(
+        F.when(F.col("id") > 3, F.col("id")).alias("id"),  # some rows share a missing id
+        F.when(F.col("label") == 0, "positive").otherwise("negative").alias("sentiment"),
+        F.concat_ws(" ", F.lit("good great"), "text", F.concat(F.lit("rare"), "id")).alias("text"),
+    )
+    specs = [P.plain(), P.with_blankout(2, True, False, "over", test="augmented")]
+    usual = sorted(map(tuple, run_suite(corpus, specs, lex, in_sample=F.lit(True)).collect()))
+    size = B._model_size
+    monkeypatch.setattr(B, "_model_size", lambda stats, n: (size(stats, n)[0], 9))
+    few = sorted(map(tuple, run_suite(corpus, specs, lex, in_sample=F.lit(True)).collect()))
+    assert few == usual
+
+
 def test_suite_with_independent_folds(spark, labelled, lex):
     corpus = labelled.select(
         "id", F.when(F.col("label") == 0, "positive").otherwise("negative").alias("sentiment"),

@@ -188,6 +188,33 @@ def test_large_lexicons_are_joined_with_the_same_result(spark, lex, monkeypatch)
     assert sorted(map(tuple, generate(repeated(spark), gens, lex).collect())) == small
 
 
+@pytest.mark.parametrize("head_rows", [0, 2, 100])
+def test_only_rows_with_rare_words_are_joined(spark, monkeypatch, head_rows):
+    from counterpoise.operators import generate as module
+
+    texts = ["the cat", "the dog", "the end", "no hit", "rare the", "rare the"] * 2 + ["odd"]
+    rows = [(i // 2, "positive", t) for i, t in enumerate(texts)]
+    corpus = spark.createDataFrame(rows, "id long, sentiment string, text string")
+    words = [("the", "a"), ("cat", "tac"), ("rare", "well"), ("odd", "even"), ("x", "y")]
+    antonyms = spark.createDataFrame(words, "word string, repl string")
+    lex = Lexicons(antonyms=antonyms, senti=antonyms.select("word"))
+    gens = [antonym(2), antonym(4, senti=True), blankout(1, senti=True, min_left=0)]
+    usual = sorted(map(tuple, generate(corpus, gens, lex).collect()))
+    moved, spool = [], module.spool
+
+    def watched(df, name):
+        if name == "tokens":
+            moved.append(df.filter("size(_lw_maybe) > 0").count())
+        return spool(df, name)
+
+    monkeypatch.setattr(module, "spool", watched)
+    monkeypatch.setattr(module, "HEAD_ROWS", head_rows)
+    lex = Lexicons(antonyms=lex.antonyms, senti=lex.senti, max_bytes=1)
+    assert sorted(map(tuple, generate(corpus, gens, lex).collect())) == usual
+    # "the" is the most frequent word, then "rare"; "cat" occurs twice and "odd" once
+    assert len(moved) == 1 and (moved[0] >= 11 if head_rows == 0 else moved[0] < 11)
+
+
 def test_empty_rewrites_are_counted_in_the_same_pass(spark, lex):
     from pyspark.sql import Observation
 

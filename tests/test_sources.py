@@ -147,3 +147,18 @@ def test_interrupted_writes_leave_the_former_data(spark, tmp_path):
         read_augmented(spark, path, "nowhere")
     plan = read_augmented(spark, path, "b")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "dataset" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_last_lines_are_found_without_sorting_all_lines(spark):
+    from counterpoise.sources.lexicons import antonym_lexicon, sentiment_vocabulary
+
+    rows = [("a,b", 1, 0), ("a,c", 1, 2), ("a,b", 1, 1), ("x,y", None, None), ("x,z", -3, 5), ("n,m", None, 1)]
+    lines = spark.createDataFrame(rows, "value string, line long, nth int")
+    placed = lines.selectExpr("value", "struct(line, nth) as line_no")
+    found = {r["word"]: r["repl"] for r in antonym_lexicon(placed).collect()}
+    assert found == {"a": "c", "x": "z", "n": "m"}
+    texts = spark.createDataFrame([("a\tb\t0.5\t0\tgood#1 good#1\tg", 7)], "value string, line_no long")
+    made = sentiment_vocabulary(texts)
+    assert [r["word"] for r in made.collect()] == ["good"]
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan

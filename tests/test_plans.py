@@ -107,3 +107,13 @@ def test_suites_store_no_texts(spark, lex, monkeypatch):
     specs = [P.with_blankout(2, True, False, "over", test="augmented"), P.with_antonyms(2, False, "under")]
     assert run_suite(df, specs, lex).count() == 2
     assert len(stored) >= 2 and not any("text" in columns for columns in stored)
+
+
+def test_sentences_are_cleaned_once(spark):
+    from workload.corpus import labelled_sentences
+
+    rows = labelled_sentences(spark, "/root/testdata/sf0.001")
+    filters = [x for x in plan_of(rows).splitlines() if "Filter (" in x or "Filter NOT" in x]
+    # no text is made again to be filtered
+    assert filters and not any("regexp_replace" in x or "replace(" in x for x in filters)
+    assert rows.filter("text = '' or text is null").count() == 0

@@ -229,3 +229,24 @@ def test_empty_rewrites_are_counted_in_the_same_pass(spark, lex):
     assert two_passes == {0: 2, 1: 1}
     tagged = generate(corpus, gens, lex, keep_empty=True).collect()
     assert sorted((r["gen"], r["src_id"]) for r in tagged if r["dropped"]) == [(0, 1), (0, 3), (1, 1)]
+
+
+def test_rows_without_texts_are_the_same_rows(spark, lex):
+    texts = ["good great w", "NOT", "  NOT  ", "a  not  b", " good", "x", "NOT good day here", "   a   ", "a  b   c"]
+    rows = [(i, "positive" if i % 2 else "negative", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, sentiment string, text string")
+    gens = [*(antonym(case) for case in range(6)), similar("a"), blankout(1), blankout(2, protect=False)]
+
+    def key(made):
+        return sorted((r["src_id"], r["gen"], r["sentiment"]) for r in made.collect())
+
+    whole, bare = generate(df, gens, lex), generate(df, gens, lex, texts=False)
+    assert "text" not in bare.columns
+    assert key(whole) == key(bare) and whole.count() > 10
+
+
+def test_only_minority_rows_are_drawn_again(spark):
+    rows = [(1, "positive", "a b c d e f"), (2, "negative", "a b c d e f")]
+    df = spark.createDataFrame(rows, "id long, sentiment string, text string")
+    made = {r["src_id"]: r["drawn"] for r in generate(df, [blankout(2, draws=3)]).collect()}
+    assert made[1] is None and len(made[2]) == 3

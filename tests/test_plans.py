@@ -1,5 +1,7 @@
 """Shape of the physical plans."""
 
+from pyspark.sql import functions as F
+
 from counterpoise.operators.generate import antonym, blankout, generate, similar
 from counterpoise.operators.lookup import lookup_join
 from counterpoise.plans import specs as P
@@ -117,3 +119,37 @@ def test_sentences_are_cleaned_once(spark):
     # no text is made again to be filtered
     assert filters and not any("regexp_replace" in x or "replace(" in x for x in filters)
     assert rows.filter("text = '' or text is null").count() == 0
+
+
+def test_rows_outside_of_the_sample_make_no_variants(spark, lex):
+    from counterpoise.plans.training_sets import weighted_variants
+
+    rows = [(i, "negative", f"good great w{i} x y") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, sentiment string, text string")
+    specs = [P.with_antonyms(2, False, "over")]
+    flags = [r["in_sample"] for r in weighted_variants(df, specs, lex).select("in_sample").collect()]
+    assert flags and all(flags)
+    full = [P.with_antonyms(2, False, "over", base="full")]
+    assert not all(r["in_sample"] for r in weighted_variants(df, full, lex).select("in_sample").collect())
+
+
+def test_tied_rows_are_read_once_per_search(spark, lex, monkeypatch):
+    from counterpoise.plans import training_sets
+
+    stored, made = [], []
+    spooled, usual = training_sets.spool, training_sets.generate
+    monkeypatch.setattr(
+        training_sets, "spool", lambda df, name: (stored.append((name, df.columns)), spooled(df, name))[1]
+    )
+    monkeypatch.setattr(
+        training_sets, "generate", lambda *a, **kw: (made.append(kw.get("texts", True)), usual(*a, **kw))[1]
+    )
+    rows = [(i % 2, "positive" if i % 3 else "negative", f"good great w{i} x y") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, sentiment string, text string")
+    specs = [P.with_similars("a", "all", False, "under", 0.4)]
+    rows = training_sets.training_set_rows(df, specs, lex, in_sample=F.lit(True))
+    assert rows.filter("label = 1").count() == rows.filter("label = 0").count() > 0
+    # limits fall among the rows of an id; what is searched is stored, without texts
+    assert [name for name, _ in stored].count("tied") >= 2
+    assert not any("text" in columns for _, columns in stored)
+    assert made[0] is False and all(made[1:])

@@ -250,3 +250,15 @@ def test_only_minority_rows_are_drawn_again(spark):
     df = spark.createDataFrame(rows, "id long, sentiment string, text string")
     made = {r["src_id"]: r["drawn"] for r in generate(df, [blankout(2, draws=3)]).collect()}
     assert made[1] is None and len(made[2]) == 3
+
+
+def test_large_vocabulary_moves_no_rows(spark):
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i, "positive", " ".join(words[(i * j) % 3000] for j in range(1, 12))) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, sentiment string, text string")
+    senti = spark.createDataFrame([(w,) for w in words[::2]], "word string")
+    gens = [blankout(2, senti=True)]
+    held = generate(df, gens, Lexicons(senti=senti))
+    told = generate(df, gens, Lexicons(senti=senti, max_bytes=100))
+    assert sorted(held.collect()) == sorted(told.collect()) and held.count() > 100
+    assert "Join" not in told._jdf.queryExecution().optimizedPlan().toString().split("subquery")[0]

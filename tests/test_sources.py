@@ -162,3 +162,11 @@ def test_last_lines_are_found_without_sorting_all_lines(spark):
     assert [r["word"] for r in made.collect()] == ["good"]
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_vocabulary_lines_are_split_once(spark):
+    lines = spark.createDataFrame([("a\t1\t0.5\t0\tgood#1 fine#2\tgloss", 1), ("# no\t1", 2)], "value string, line_no long")
+    made = sentiment_vocabulary(lines)
+    assert sorted(r["word"] for r in made.collect()) == ["fine", "good"]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(value") == 1

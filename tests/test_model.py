@@ -243,3 +243,27 @@ def test_rows_that_share_a_key_are_scored_apart(spark):
     )
     found = B.fit_predict(train, test, "id").select("id", "label", "prediction").collect()
     assert sorted(map(tuple, found)) == [(1, 0, 0), (1, 1, 1), (1, 1, 1), (2, 1, 1)]
+
+
+def test_frequencies_are_counted_once_for_all_steps(spark, monkeypatch):
+    from counterpoise.operators import svm
+
+    rows = [(i % 2, f"a b w{i % 7} x{i % 5} {'good' if i % 2 else 'bad'}") for i in range(60)]
+    df = spark.createDataFrame(rows, "label int, text string")
+    held = {r["term"]: r["weight"] for r in svm.svm_model(df, 4).collect()}
+    counted = []
+    usual = svm.frequent_keys
+    monkeypatch.setattr(svm, "frequent_keys", lambda *a: (counted.append(1), usual(*a))[1])
+    monkeypatch.setattr(svm, "fits_broadcast", lambda table: False)
+    monkeypatch.setattr(svm, "BROADCAST_ROWS", 4)
+    moved = {r["term"]: r["weight"] for r in svm.svm_model(df, 4).collect()}
+    assert moved.keys() == held.keys() and len(counted) == 1
+    assert all(abs(moved[t] - held[t]) < 1e-9 for t in held)
+
+
+def test_size_of_a_table_is_added_up_where_it_is(spark):
+    from counterpoise.operators.lookup import fits_broadcast
+
+    table = spark.range(100).selectExpr("cast(id as string) term", "array(1e-300D, 2e-300D) v")
+    assert fits_broadcast(table, 100, 100 * (16 + 2 + 64))
+    assert not fits_broadcast(table, 99) and not fits_broadcast(table, 100, 100 * (16 + 64))

@@ -115,3 +115,23 @@ def test_parts_hold_one_fold_and_fall_into_buckets_of_their_own(spark, lex, monk
     assert len({r["b"] for r in buckets}) == len(buckets)
     plan = table.groupBy("part").count()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_one_step_margins_equal_mllib(spark):
+    import warnings
+
+    from pyspark.mllib.classification import SVMWithSGD
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.regression import LabeledPoint
+
+    rows = [(i, i % 3 // 2, f"a w{i % 5} x{i % 7} {'good good' if i % 2 else 'bad'}") for i in range(40)]
+    words = sorted({w for _, _, text in rows for w in text.split()})
+    vector = lambda text: Vectors.dense([text.split().count(w) for w in words])
+    points = spark.sparkContext.parallelize([LabeledPoint(y, vector(text)) for _, y, text in rows])
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        model = SVMWithSGD.train(points, 1)
+    model.clearThreshold()
+    df = spark.createDataFrame(rows, "id long, label int, text string")
+    found = {r["id"]: r["margin"] for r in B.fit_predict(df, df, "id", B.SVM_ONE_STEP).collect()}
+    assert found == pytest.approx({i: model.predict(vector(text)) for i, _, text in rows}, abs=1e-9)
